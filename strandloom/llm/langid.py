@@ -17,6 +17,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -191,9 +192,7 @@ def keep_identified(documents: DataFrame, model: Prototypes, least: float, short
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
-    def known(texts):
-        import pandas as pd
-
+    def known(texts: pd.Series) -> pd.Series:
         global _SCORER
         if _SCORER is None or _SCORER[0] is not shared.value:
             _SCORER = (shared.value, scorer(shared.value))

@@ -112,7 +112,7 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     placed = placed.join(quota, placed["source"].eqNullSafe(quota["of"]) & (placed["shard"] == quota["in"]))
     lie = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed), F.lit("order")), "doc_id", "size")
     end = F.sum("size").over(lie.rowsBetween(Window.unboundedPreceding, 0))
-    n = F.ceil(F.col("shard_words") / block)
+    n = F.greatest(F.lit(1), F.ceil(F.col("shard_words") / block))
     rounds, rest = F.floor(F.col("quota") / n), F.col("quota") % n
     begin = F.pmod(F.xxhash64("source", "shard", F.lit(seed)), n)
     laid = placed.withColumn("end", end).withColumn("start", F.col("end") - F.col("size")).withColumn("n", n)

@@ -16,6 +16,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -229,9 +230,7 @@ def keep_good(documents: DataFrame, model: Model, threshold: float = THRESHOLD)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
-    def good(texts):
-        import pandas as pd
-
+    def good(texts: pd.Series) -> pd.Series:
         global _SCORER
         if _SCORER is None or _SCORER[0] is not shared.value:
             _SCORER = (shared.value, scorer(shared.value))

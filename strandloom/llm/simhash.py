@@ -225,8 +225,8 @@ def _subtree_links(nodes: DataFrame, path: list[str], free: int, budget: int) ->
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node and component (the smallest node it reaches) of all nodes of ``edges`` (a, b).
 
-    Hash-to-min with pointer jumping: every round a node takes the smallest label of its neighbours
-    and of itself, then the label's label. Links between nodes of the same label fall out, so later
+    Contraction: every round a label that is linked with a smaller one points to the smallest of
+    these, and moves to where the pointers lead in the end. Links between nodes of the same label fall out, so later
     rounds are small; what is left is counted, and the rounds end when nothing is.
     """
     nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b"))).distinct()
@@ -238,10 +238,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # Contract: each label offers itself to the labels it is linked with; the smallest wins.
         offers = left.groupBy("b").agg(F.min("a").alias("low")).select(F.col("b").alias("node"), "low")
         offers = offers.union(left.groupBy("a").agg(F.min("b")).select("a", "min(b)"))
-        best = durable(offers.groupBy("node").agg(F.min("low").alias("low")).where("low < node"))
-        # A label points to a smaller one, which may itself point on: follow twice.
-        jump = best.join(best.select(F.col("node").alias("low"), F.col("low").alias("next")), "low", "left")
-        jump = durable(jump.select("node", F.coalesce("next", "low").alias("to")))
+        best = offers.groupBy("node").agg(F.min("low").alias("low")).where("low < node")
+        # A label points to a smaller one, which may itself point on: doubled until all are at roots,
+        # so that every round at least halves the labels that still have links.
+        jump = durable(best.select("node", F.col("low").alias("to")))
+        while True:
+            doubled = jump.join(jump.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left")
+            doubled = durable(doubled.select("node", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
+            if doubled.where("moved").isEmpty():
+                break
+            jump = doubled.drop("moved")
         labels = durable(
             labels.join(jump.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
         )

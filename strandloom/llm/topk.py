@@ -10,7 +10,7 @@ verified by integer products.
 Edge cases. Vectors that are null, empty, or hold a null or non-finite component take no part, as
 query or as candidate; those of another dimension than the first by vec_id neither. A null vec_id
 takes no part. Rows with a repeated vec_id are candidates of their own; a query's own id is never
-among its results. Ties go to the smaller vec_id. Extra columns are dropped; an empty table gives an
+among its results. Products are exact while the sum of |q_i p_i| is under 2^53. Ties go to the smaller vec_id. Extra columns are dropped; an empty table gives an
 empty result.
 
 Queries come in blocks of at most about ``block`` vectors, each shipped to the tasks as one bounded

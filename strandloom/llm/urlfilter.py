@@ -78,8 +78,18 @@ class Level:
     words: np.ndarray  # uint64
 
 
-def _positions(first: np.ndarray, second: np.ndarray, bits: int, hashes: int) -> np.ndarray:
-    a, b = first.astype(np.int64).view(np.uint64), second.astype(np.int64).view(np.uint64) | np.uint64(1)
+def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    """Another hash of a hash: each level needs its own, or the false positives of a level would be
+    false positives of all."""
+    x = x.astype(np.int64).view(np.uint64) + np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _positions(first: np.ndarray, second: np.ndarray, k: int, bits: int, hashes: int) -> np.ndarray:
+    """The bits of keys, given by two hashes, in level k."""
+    a, b = _mixed(first, 2 * k + 1), _mixed(second, 2 * k + 2) | np.uint64(1)
     return ((a[:, None] + b[:, None] * np.arange(1, hashes + 1, dtype=np.uint64)) % np.uint64(bits)).astype(np.int64)
 
 
@@ -90,8 +100,7 @@ def _depth(levels: list[Level], first: np.ndarray, second: np.ndarray) -> np.nda
         at = np.flatnonzero(alive)
         if not len(at):
             break
-        # A level of its own salt: otherwise the false positives of two levels would be the same.
-        spot = _positions(first[at] ^ np.int64(k * 0x5DEECE66D), second[at], level.bits, level.hashes)
+        spot = _positions(first[at], second[at], k, level.bits, level.hashes)
         here = ((level.words[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1)
         depth[at[~here]] = k
         alive[at[~here]] = False
@@ -113,7 +122,7 @@ def _build(keys: DataFrame, k: int, bits_per_key: int, hashes: int, most_bytes:
 
     @F.pandas_udf("array<long>")
     def spots(first: pd.Series, second: pd.Series) -> pd.Series:
-        at = _positions(first.to_numpy() ^ np.int64(k * 0x5DEECE66D), second.to_numpy(), bits, hashes)
+        at = _positions(first.to_numpy(), second.to_numpy(), k, bits, hashes)
         return pd.Series(list(at))
 
     words = (
@@ -147,7 +156,7 @@ def _passing(spark: SparkSession, keys: DataFrame, level: Level, k: int) -> Data
     @F.pandas_udf("boolean")
     def passes(first: pd.Series, second: pd.Series) -> pd.Series:
         x = shared.value
-        spot = _positions(first.to_numpy() ^ np.int64(k * 0x5DEECE66D), second.to_numpy(), x.bits, x.hashes)
+        spot = _positions(first.to_numpy(), second.to_numpy(), k, x.bits, x.hashes)
         return pd.Series(((x.words[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1))
 
     return keys.where(passes("first", "second"))
