@@ -40,3 +40,10 @@ def accuracy_to_phred(accuracy: float) -> float:
     import math
 
     return -10 * math.log10(1 - accuracy)
+
+
+def binomial(n: Column, k: Column, p: float) -> Column:
+    """Probability of k successes in n trials, from sums of logarithms; 0 <= k <= n, 0 < p < 1."""
+    ratios = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k.cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    ways = F.aggregate(ratios, F.lit(0.0), lambda acc, i: acc + F.log((n - k + i) / i))
+    return F.exp(ways + k * F.log(F.lit(p)) + (n - k) * F.log(F.lit(1 - p)))

@@ -26,7 +26,7 @@ def roll_up(scores: DataFrame, ancestors: DataFrame) -> DataFrame:
 def normalised(profile: DataFrame, sample: str, score: str, to: float = 100_000) -> DataFrame:
     """Scores scaled so that a sample's add up to ``to``."""
     total = profile.groupBy(sample).agg(F.sum(score).alias("_total"))
-    return profile.join(F.broadcast(total) if sample else total, sample).withColumn(score, F.col(score) * to / F.col("_total")).drop("_total")
+    return profile.join(total, sample).withColumn(score, F.col(score) * to / F.col("_total")).drop("_total")
 
 
 def merged(a: DataFrame, b: DataFrame, key: str, names: tuple[str, str]) -> DataFrame:
@@ -41,3 +41,39 @@ def common_ancestor(hits: DataFrame, group: str, ranks: list[str]) -> DataFrame:
     agreed = hits.groupBy(group).agg(*(F.when(F.min(r) == F.max(r), F.min(r).cast("string")).alias(r) for r in ranks))
     level = F.coalesce(*(F.when(F.col(r).isNotNull(), F.lit(r)) for r in ranks), F.lit("root"))
     return agreed.select(group, level.alias("rank"), F.coalesce(*ranks, F.lit("root")).alias("taxon"))
+
+
+def nodes_from_paths(paths: DataFrame, column: str, separator: str) -> DataFrame:
+    """node, parent and name of all prefixes of paths; a root's parent is null."""
+    parts = F.split(F.col(column), separator)
+    path = lambda n: F.array_join(F.slice("p", F.lit(1), n), separator)
+    steps = F.transform(
+        F.sequence(F.lit(1), F.size("p")),
+        lambda i: F.struct(path(i).alias("node"), F.when(i > 1, path(F.greatest(i - 1, F.lit(1)))).alias("parent"), F.element_at("p", i).alias("name")),
+    )
+    return paths.select(column).distinct().select(parts.alias("p")).select(F.inline(steps)).distinct()
+
+
+def with_ancestors(kept: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """The nodes of ``kept`` (node) and all their ancestors."""
+    return ancestors.join(kept.select("node").distinct(), "node", "left_semi").select(F.col("ancestor").alias("node")).distinct()
+
+
+def hit_weights(hits: DataFrame, group: str, pct: str, power: float = 1.0) -> DataFrame:
+    """weight of each hit: 1 / (1 + best - pct) ** power, scaled so that a group's add up to 1."""
+    best = hits.groupBy(group).agg(F.max(pct).alias("_best"))
+    raw = hits.join(best, group).withColumn("_w", 1 / F.pow(1 + F.col("_best") - F.col(pct), F.lit(power)))
+    return raw.join(raw.groupBy(group).agg(F.sum("_w").alias("_sum")), group).withColumn("weight", F.col("_w") / F.col("_sum")).drop("_best", "_w", "_sum")
+
+
+def scaled_to_mean(profile: DataFrame, sample: str, score: str) -> DataFrame:
+    """Scores scaled so that each sample's add up to the mean of the samples' totals."""
+    total = profile.groupBy(sample).agg(F.sum(score).alias("_total"))
+    mean = total.agg(F.avg("_total")).first()[0] or 0.0
+    return profile.join(total, sample).withColumn(score, F.when(F.col("_total") == 0, 0.0).otherwise(F.col(score) * mean / F.col("_total"))).drop("_total")
+
+
+def subtree_counts(leaves: DataFrame, ancestors: DataFrame, item: str) -> DataFrame:
+    """For each node the associations (node, item) at or below it, and the distinct items in them."""
+    own = leaves.select("node", item).distinct().join(ancestors, "node")
+    return own.groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("total"), F.countDistinct(item).alias("unique"))

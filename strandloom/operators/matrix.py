@@ -47,3 +47,24 @@ def n50(lengths: DataFrame, group: str, length: str) -> DataFrame:
     w = Window.partitionBy(group).orderBy(F.desc(length)).rowsBetween(Window.unboundedPreceding, 0)
     run = counts.withColumn("run", F.sum("held").over(w)).withColumn("total", F.sum("held").over(Window.partitionBy(group)))
     return run.where("2 * run >= total").groupBy(group).agg(F.max(length).cast("long").alias("n50"))
+
+
+def differences(profiles: DataFrame, row: str, condition: str, value: str) -> DataFrame:
+    """Mean relative difference, |x - y| over their mean, of all pairs of rows over shared conditions."""
+    p = profiles.select(row, condition, value)
+    x, y = p.select(F.col(row).alias("a"), condition, F.col(value).alias("x")), p.select(F.col(row).alias("b"), condition, F.col(value).alias("y"))
+    dif = F.when(F.col("x") + F.col("y") == 0, 0.0).otherwise(F.abs(F.col("x") - F.col("y")) / ((F.col("x") + F.col("y")) / 2))
+    return x.join(y, condition).where("a < b").groupBy("a", "b").agg(F.round(F.avg(dif), 6).alias("dif"))
+
+
+def transposed(rows: DataFrame, key: str, columns: list[str], keys: list[str]) -> DataFrame:
+    """Columns as rows and the stated keys as columns."""
+    return rows.unpivot(key, columns, "col", "v").groupBy("col").pivot(key, keys).agg(F.first("v"))
+
+
+def word_frequencies(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """Words of three letters or more, lower-cased, with their number in a text of 1000 words."""
+    words = rows.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit("([a-z]{3,})"))).alias("word"))
+    counts = words.groupBy(key, "word").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy(key))
+    return counts.select(key, "word", F.round(1000 * F.col("n") / total, 4).alias("per_1000"))

@@ -45,13 +45,14 @@ def dereplicate(rows: DataFrame, seq: str, key: str, count: Column | None = None
 def demultiplex(rows: DataFrame, column: str, barcodes: DataFrame) -> DataFrame:
     """Each row with the longest barcode (tag, sample) that its column starts with, else null.
 
-    Joined by equality on each barcode length, so no pair that can't match is compared.
+    One equality join per barcode length, longest first; Spark broadcasts the tags if they are small.
     """
-    lengths = [r[0] for r in barcodes.select(F.length("tag")).distinct().collect()]  # a few lengths
-    keys = F.array(*(F.struct(F.lit(-n).alias("less"), F.substring(column, 1, n).alias("tag")) for n in sorted(lengths, reverse=True)))
-    tags = barcodes.agg(F.map_from_entries(F.collect_list(F.struct("tag", "sample"))).alias("tags"))  # a plate's tags
-    found = rows.crossJoin(F.broadcast(tags)).withColumn("k", F.filter(keys, lambda k: F.map_contains_key("tags", k["tag"])))
-    return found.withColumn("sample", F.when(F.size("k") > 0, F.element_at("tags", F.col("k")[0]["tag"]))).drop("k", "tags")
+    lengths = [r[0] for r in barcodes.select(F.length("tag").alias("n")).distinct().orderBy(F.desc("n")).collect()]  # a few lengths
+    found = rows
+    for n in lengths:
+        tags = barcodes.where(F.length("tag") == n).select(F.col("tag").alias("_tag"), F.col("sample").alias(f"_s{n}"))
+        found = found.join(tags, F.substring(F.col(column), 1, n) == F.col("_tag"), "left").drop("_tag")
+    return found.withColumn("sample", F.coalesce(*(F.col(f"_s{n}") for n in lengths), F.lit(None))).drop(*(f"_s{n}" for n in lengths))
 
 
 def join_mates(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -69,3 +70,75 @@ def rarefy(rows: DataFrame, group: str, key: str, n: int, seed: int = 1) -> Data
     ranked = some.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
     full = rows.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") >= n).select(group)
     return ranked.join(full, group, "left_semi").drop("_o", "_r")
+
+
+def mask_by_quality(seq: Column, values: Column, low: float, high: float, mask: str = "N") -> Column:
+    """The sequence with characters whose value lies in [low, high] replaced."""
+    return F.array_join(F.zip_with(F.split(seq, ""), values, lambda c, v: F.when(v.between(low, high), mask).otherwise(c)), "")
+
+
+def quality_share(values: Column, low: float, high: float) -> Column:
+    """Percent of positions whose value lies in [low, high]; null without positions."""
+    return 100 * F.size(F.filter(values, lambda v: v.between(low, high))) / F.nullif(F.size(values), F.lit(0))
+
+
+def dna_share(seq: Column) -> Column:
+    """Share of A, G, C, T and N; null for an empty sequence."""
+    return F.length(F.regexp_replace(seq, "(?i)[^AGCTN]", "")) / F.nullif(F.length(seq), F.lit(0))
+
+
+def sub_sequence(seq: Column, parts: list[tuple[int, int]]) -> Column:
+    """The (begin from 0, length) parts of a sequence, joined."""
+    return F.concat(*(F.substring(seq, begin + 1, n) for begin, n in parts))
+
+
+def _mismatches(a: Column, b: Column) -> Column:
+    return F.size(F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x != y) & (y != "N")), lambda d: d))
+
+
+def probe_overlap(seq: Column, probe: str, least: int = 1, ratio: float = 0.8) -> Column:
+    """The longest n of at least ``least`` such that the probe's last n characters match the first n
+    of the sequence with at most int((1 - ratio) * n) mismatches (N in the sequence matches all); 0 if none."""
+    fits = lambda n: (F.length(seq) >= n) & (_mismatches(F.lit(probe[len(probe) - n :]), F.substring(seq, 1, n)) <= int((1 - ratio) * n + 1e-9))
+    return F.coalesce(*(F.when(fits(n), F.lit(n)) for n in range(len(probe), least - 1, -1)), F.lit(0))
+
+
+def merge_mates(rows: DataFrame, left: str, right: str, least: int = 15, ratio: float = 0.8) -> DataFrame:
+    """overlap and merged of two mates: the longest overlap of the left one's end and the right one's
+    start with mismatches of at most int((1 - ratio) * n); 0 and the two joined if there is none."""
+    n = F.least(F.length(left), F.length(right))
+    sizes = F.when(n >= least, F.sequence(n, F.lit(least), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    fits = lambda k: _mismatches(F.substring(left, F.length(left) - k + 1, k), F.substring(right, F.lit(1), k)) <= F.floor((1 - ratio) * k + 1e-9)
+    found = F.coalesce(F.get(F.filter(sizes, fits), 0), F.lit(0))
+    return rows.withColumn("overlap", found).withColumn("merged", F.concat(left, F.expr(f"substring(`{right}`, overlap + 1)")))
+
+
+def dereplicate_qualities(rows: DataFrame, seq: str, qual: str) -> DataFrame:
+    """Distinct sequences with their number and the best quality character at each position. Maxima
+    are taken per position before they meet, so a frequent sequence is combined on the map side."""
+    counts = rows.groupBy(seq).agg(F.count("*").alias("seq_count"))
+    best = rows.select(seq, F.posexplode(F.split(qual, "")).alias("pos", "q")).groupBy(seq, "pos").agg(F.max("q").alias("q"))
+    joined = best.groupBy(seq).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "q"))), lambda x: x["q"]), "").alias(qual))
+    return counts.join(joined, seq)
+
+
+def frequent_ends(rows: DataFrame, seq: str, k: int, most: int) -> DataFrame:
+    """The ``most`` most frequent last k characters, candidates for an adapter (ties: the smaller)."""
+    ends = rows.where(F.length(seq) >= k).select(F.right(F.col(seq), F.lit(k)).alias("ending"))
+    return ends.groupBy("ending").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "ending").limit(most)
+
+
+def best_per_key(rows: DataFrame, keys: list[str], score: str, *ties: str) -> DataFrame:
+    """One row per key: the highest score, then the smallest of ``ties`` (numbers)."""
+    order = F.struct(F.col(score).alias("s"), *((-F.col(t)).alias(f"t{i}") for i, t in enumerate(ties)))
+    best = rows.groupBy(*keys).agg(F.max(order).alias("b"))
+    return best.select(*keys, F.col("b.s").alias(score), *((-F.col(f"b.t{i}")).alias(t) for i, t in enumerate(ties)))
+
+
+def pool_table(reads: DataFrame, seq: str, sample: str, samples: list[str], least: int = 1) -> DataFrame:
+    """Sequences by samples, counts scaled by mean total / sample's total, of ``least`` reads or more."""
+    counts = reads.groupBy(seq).pivot(sample, samples).count().na.fill(0)
+    totals = counts.agg(*(F.sum(s).alias(s) for s in samples)).first()
+    mean = sum(totals[s] or 0 for s in samples) / len(samples)
+    kept = counts.where(sum((F.col(s) for s in samples), F.lit(0)) >= least)
+    return kept.select(seq, *((F.col(s) * (mean / totals[s] if totals[s] else 0.0)).alias(s) for s in samples))

@@ -2,28 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.sequence import gc_fraction, kmers, reverse_complement
 from .operators import hierarchy, matrix, records, similarity
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str):
-    def register(f):
-        QUERIES[f.__name__], SQL[f.__name__] = f, sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+from .plans import queries as _plans  # noqa: F401  registers its queries
+from .registry import QUERIES, SQL, query, table  # noqa: F401
 
 
 @query("SELECT text, min(doc_id) AS doc_id, count(*) AS seq_count FROM documents WHERE text IS NOT NULL GROUP BY text")
@@ -196,7 +180,7 @@ def table_pivot(spark, d):
  UNION ALL SELECT 'customers', n FROM (SELECT c_nationkey AS n FROM customer EXCEPT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'any', n FROM (SELECT c_nationkey AS n FROM customer UNION SELECT s_nationkey FROM supplier)""")
 def list_algebra(spark, d):
     a, b = table(spark, d, "customer").select(F.col("c_nationkey").alias("n")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("n"))
-    kinds = (("both", a.intersect(b)), ("customers", a.exceptAll(b.distinct().join(a, "n", "left_semi")).distinct().join(b, "n", "left_anti")), ("any", a.union(b).distinct()))
+    kinds = (("both", a.intersect(b)), ("customers", a.subtract(b)), ("any", a.union(b).distinct()))
     out = [x.select(F.lit(k).alias("kind"), "n") for k, x in kinds]
     return out[0].union(out[1]).union(out[2])
 

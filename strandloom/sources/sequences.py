@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -18,13 +18,29 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """id, info, seq and qual of four-line records. A record starts where a newline is followed by
-    @, and a quality line that starts with @ is put back to the record before it by its length."""
-    rows = spark.read.text(path, wholetext=True)
-    body = F.split(F.regexp_replace("value", r"\r", ""), "\n")
-    records = F.transform(F.sequence(F.lit(0), F.size(body) - 4, F.lit(4)), lambda i: F.slice(body, i + 1, F.lit(4)))
-    r = rows.where(F.size(body) >= 4).select(F.explode(records).alias("r")).where(F.col("r")[0].startswith("@"))
-    return r.select(*_header(F.substring(F.col("r")[0], F.lit(2), F.length(F.col("r")[0]))), F.col("r")[1].alias("seq"), F.col("r")[3].alias("qual"))
+    """id, info, seq and qual of four-line records.
+
+    Lines are read split by split. A line's number in its file is its place in the split plus the
+    lines of the splits before it, so records that cross splits are whole and no task reads a file.
+    """
+    lines = spark.read.text(path).select(
+        F.regexp_replace("value", r"\r$", "").alias("line"), F.monotonically_increasing_id().alias("at"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+    )
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    splits = splits.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    numbered = lines.join(splits, ["file", "block"]).withColumn("no", F.col("base") + F.col("at") - F.col("first"))
+    part = lambda i: F.max(F.when(F.col("no") % 4 == i, F.col("line")))
+    r = numbered.groupBy("file", F.floor(F.col("no") / 4).alias("record")).agg(part(0).alias("h"), part(1).alias("seq"), part(3).alias("qual"))
+    r = r.where(F.col("h").startswith("@") & F.col("qual").isNotNull())
+    return r.select(*_header(F.expr("substring(h, 2)")), "seq", "qual")
+
+
+def read_m8(spark: SparkSession, path: str) -> DataFrame:
+    """BLAST's tabular matches; comment lines are skipped."""
+    columns = "qid string, sid string, pct double, length int, mismatches int, gaps int, q_beg int, q_end int, s_beg int, s_end int, p_value double, score double"
+    return spark.read.csv(path, sep="\t", schema=columns, comment="#")
 
 
 def write_fasta(rows: DataFrame, path: str) -> None:

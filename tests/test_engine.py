@@ -6,8 +6,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.functions.sequence import info_map, qualities, reverse_complement
-from strandloom.operators import records, similarity
+from strandloom.functions.sequence import binomial, info_map, qualities, reverse_complement
+from strandloom.operators import intervals, records, similarity
+from strandloom.plans.cleaning import Step, clean
 from strandloom.queries import QUERIES, SQL
 from strandloom.sources import sequences
 from strandloom.streaming.dereplicate import dereplicate_stream
@@ -69,3 +70,40 @@ def test_streaming_dereplication(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("derep").collect())) == [("a", 1, 2), ("b", 2, 1)]
+
+
+def test_fastq_records_cross_splits(spark, tmp_path):
+    (tmp_path / "a.fq").write_text("".join(f"@r{i} n={i}\n{'ACGT' * (i % 7 + 1)}\n+\n{'@+!I' * (i % 7 + 1)}\n" for i in range(500)))
+    (tmp_path / "b.fq").write_text("@s\r\nAC\r\n+\r\n@@\r\n")
+    small = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = {r.id: r for r in sequences.read_fastq(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", small)
+    assert len(got) == 501 and all((got[f"r{i}"].info, got[f"r{i}"].seq, got[f"r{i}"].qual) == (f"n={i}", "ACGT" * (i % 7 + 1), "@+!I" * (i % 7 + 1)) for i in range(500))
+    assert got["s"].info is None and got["s"].seq == "AC" and got["s"].qual == "@@"
+
+
+def test_m8(spark, tmp_path):
+    (tmp_path / "m8").write_text("# a comment\nq\ts\t99.5\t10\t0\t0\t1\t10\t5\t14\t1e-30\t80.1\n")
+    assert [(r.qid, r.pct, r.s_end, r.p_value) for r in sequences.read_m8(spark, str(tmp_path / "m8")).collect()] == [("q", 99.5, 14, 1e-30)]
+
+
+def test_mates_merge_with_mismatches(spark):
+    t = spark.createDataFrame([("AAACGTACGT", "CGTACCTGG"), ("AAAA", "CCCC"), ("", "AC"), (None, "A")], "f string, r string")
+    assert [(r.overlap, r.merged) for r in records.merge_mates(t, "f", "r", 4, 0.8).collect()] == [(7, "AAACGTACGTGG"), (0, "AAAACCCC"), (0, "AC"), (0, None)]
+
+
+def test_as_of_across_buckets(spark):
+    left = spark.createDataFrame([(1, "u", 5), (2, "u", 35), (3, "v", 9), (4, None, 9), (5, "u", 61)], "k long, g string, at long")
+    right = spark.createDataFrame([("u", 4, 1), ("u", 12, 7), ("u", 12, 3), ("u", 36, 9), ("v", 10, 2)], "g string, at long, x long")
+    got = {r.k: (r.found_at, r.found) for r in intervals.as_of(left, right, "k", "g", "at", "x", 10).collect()}
+    assert got == {1: (4, 1), 2: (12, 7), 3: (None, None), 4: (None, None), 5: (36, 9)}
+
+
+def test_binomial_and_clean(spark):
+    r = spark.range(1).select(binomial(F.lit(4), F.lit(2), 0.5).alias("a"), binomial(F.lit(5000), F.lit(0), 0.5).alias("b"), binomial(F.lit(3), F.lit(3), 0.5).alias("c")).first()
+    assert abs(r.a - 0.375) < 1e-12 and r.b == 0.0 and abs(r.c - 0.125) < 1e-12
+    rows = spark.createDataFrame([("ACGT--",), ("A-",), (None,)], "s string")
+    assert [x.s for x in clean(rows, "s", [Step("gaps", lambda s: F.translate(s, "-", "")), Step("length", keep=lambda s: F.length(s) > 2)]).collect()] == ["ACGT"]
