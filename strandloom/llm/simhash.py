@@ -21,9 +21,12 @@ Repeated rows stay. Extra columns are dropped; an empty table gives an empty res
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +38,16 @@ BUDGET = 2
 SEED = 42
 #: Fingerprints of a subtree that one step of the join takes.
 MOST = 4096
+#: Near copies: words of a shingle, least Jaccard similarity, bits in which the fingerprints of
+#: two-word and of five-word shingles may differ.
+NEAR_WORDS = 5
+CANDIDATE_WORDS = 2
+SIMILARITY = 0.8
+NEAR_BUDGET = 6
+FAR_BUDGET = 16
+#: Where the counts of a byte's values begin, and the values' bits.
+BYTES = np.arange(8) * 256
+BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 
 
 def shingle_hashes(text: str | None, words: int = WORDS, seed: int = SEED) -> np.ndarray:
@@ -57,10 +70,11 @@ def fingerprint(hashes: np.ndarray) -> int:
     """Unsigned; bit i is set if it is set in more than half of the hashes."""
     if not len(hashes):
         return 0
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 8192):
-        bits = np.unpackbits(hashes[at : at + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones += bits.sum(axis=0, dtype=np.int64)
+    ones = np.zeros(64)
+    for at in range(0, len(hashes), 65536):
+        part = hashes[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
+        # How often each byte has each value, then the bits of these values.
+        ones += (np.bincount((part + BYTES).ravel(), minlength=2048).reshape(8, 256) @ BITS).ravel()
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
@@ -118,8 +132,14 @@ def trie_links(values: np.ndarray, begins: np.ndarray, ends: np.ndarray, free: i
     return np.minimum(left[0], right[0]), np.maximum(left[0], right[0])
 
 
-def spanning(first: np.ndarray, second: np.ndarray, size: int) -> tuple[list[int], list[int]]:
-    """A link from each position that has links to the first one of its component."""
+def forest(first: np.ndarray, second: np.ndarray, cost: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links between ``size`` positions those of a minimum spanning forest.
+
+    Cheapest first, a part at a time; what a part has joined falls out of the rest at once, so a
+    large group's many links are not looped over.
+    """
+    order = np.argsort(cost, kind="stable")
+    first, second = first[order], second[order]
     root = list(range(size))
 
     def find(x: int) -> int:
@@ -128,23 +148,19 @@ def spanning(first: np.ndarray, second: np.ndarray, size: int) -> tuple[list[int
             x = root[x]
         return x
 
-    for a, b in zip(first.tolist(), second.tolist(), strict=True):
-        a, b = find(a), find(b)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-    tops = [find(x) for x in range(size)]
-    below = [x for x in range(size) if tops[x] != x]
-    return below, [tops[x] for x in below]
-
-
-def _moved(fp, chosen: list[tuple[int, int]], rest: list[tuple[int, int]]):
-    """Bits of a long with some blocks (offset, width) first, as a Column."""
-    out, at = F.lit(0).cast("long"), 0
-    for offset, width in reversed(chosen + rest):
-        block = F.shiftrightunsigned(fp, offset).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-        out = out.bitwiseOR(F.shiftleft(block, at))
-        at += width
-    return out
+    a, b, step = [], [], 2 * size
+    while len(first):
+        for x, y in zip(first[:step].tolist(), second[:step].tolist(), strict=True):
+            p, q = find(x), find(y)
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                a.append(x)
+                b.append(y)
+        tops = np.fromiter((find(x) for x in range(size)), np.int64, size)
+        first, second = first[step:], second[step:]
+        apart = tops[first] != tops[second]
+        first, second = first[apart], second[apart]
+    return np.array(a, np.int64), np.array(b, np.int64)
 
 
 def _cut(width: int, parts: int) -> list[tuple[int, int]]:
@@ -161,38 +177,41 @@ def _turned(nodes: DataFrame, path: list[str], free: int, budget: int, agree: in
     turns = []
     widest = 0
     for k, chosen in enumerate(combinations(range(len(blocks)), agree)):
-        first, rest = [blocks[i] for i in chosen], [b for i, b in enumerate(blocks) if i not in chosen]
-        below = sum(w for _, w in rest)
+        order = [blocks[i] for i in chosen] + [b for i, b in enumerate(blocks) if i not in chosen]
+        below = sum(w for _, w in order[agree:])
         widest = max(widest, below)
-        moved = _moved(F.col("low"), first, rest)
-        turns.append(
-            F.struct(
-                F.lit(k).alias("turn"),
-                F.shiftrightunsigned(moved, below).alias("block"),
-                moved.bitwiseAND(F.lit((1 << below) - 1).cast("long")).alias("low"),
-            )
-        )
-    new = nodes.select("fp", *path, F.explode(F.array(*turns)).alias("t"))
+        moves = F.array(*(F.struct(F.lit(o).alias("offset"), F.lit(w).alias("width"), F.lit((1 << w) - 1).cast("long").alias("mask")) for o, w in order))
+        turns.append(F.struct(F.lit(k).alias("turn"), F.lit(below).alias("below"), F.lit((1 << below) - 1).cast("long").alias("mask"), moves.alias("moves")))
+    own = [c for c in nodes.columns if c not in ("low", *path)]
+    new = nodes.select(*own, "low", *path, F.explode(F.array(*turns)).alias("t"))
+    # An aggregate over a constant array, as the expression for all turns would be too long to compile.
+    call = F.call_function
+    add = lambda moved, m: call("shiftleft", moved, m["width"]).bitwiseOR(call("shiftrightunsigned", F.col("low"), m["offset"]).bitwiseAND(m["mask"]))
+    new = new.withColumn("moved", F.aggregate("t.moves", F.lit(0).cast("long"), add))
     turn, block = f"turn{len(path)}", f"block{len(path)}"
-    return new.select("fp", *path, F.col("t.turn").alias(turn), F.col("t.block").alias(block), F.col("t.low").alias("low")), widest
+    first = call("shiftrightunsigned", F.col("moved"), F.col("t.below"))
+    return new.select(*own, *path, F.col("t.turn").alias(turn), first.alias(block), F.col("moved").bitwiseAND(F.col("t.mask")).alias("low")), widest
 
 
-def links(distinct: DataFrame, budget: int = BUDGET, most: int = MOST) -> DataFrame:
+def links(distinct: DataFrame, budget: int = BUDGET, most: int = MOST, alike: Callable[..., np.ndarray] | None = None) -> DataFrame:
     """Links (a, b) between the rows of ``distinct`` (fp, all different).
 
-    Not all linked pairs, but enough for the same components: of each subtree a link from every
-    fingerprint that has any to the first one of its component.
+    Not all linked pairs, but enough for the same components: a spanning forest of each subtree. With
+    ``alike``, ``distinct`` may have more long columns; the function gets them for both ends of links,
+    as a dict of arrays each, and returns the links' costs, negative for those to leave out. The
+    forests are then minimum ones.
     """
-    nodes, path, free = distinct.select("fp", F.col("fp").alias("low")), [], 64
+    own = distinct.columns
+    nodes, path, free = distinct.withColumn("low", F.col("fp")), [], 64
     found = None
     for agree in (2, 1, 1):
         nodes, free = _turned(nodes, path, free, budget, agree)
-        path = [c for c in nodes.columns if c not in ("fp", "low")]
+        path = [c for c in nodes.columns if c not in ("low", *own)]
         sizes = nodes.groupBy(*path).agg(F.count("*").alias("size")).where("size > 1")
         nodes = durable(nodes.join(sizes, path))
         last = free <= int(np.log2(most)) or agree == 1 and len(path) == 6
         here = nodes if last else nodes.where(F.col("size") <= most)
-        part = _subtree_links(here, path, free, budget)
+        part = _subtree_links(here, path, own, free, budget, alike)
         found = part if found is None else found.unionByName(part)
         nodes = nodes.where(F.col("size") > most).drop("size")
         if last or nodes.isEmpty():
@@ -200,26 +219,25 @@ def links(distinct: DataFrame, budget: int = BUDGET, most: int = MOST) -> DataFr
     return found
 
 
-def _subtree_links(nodes: DataFrame, path: list[str], free: int, budget: int) -> DataFrame:
-    def make():
-        def each(groups):
-            a, b = [], []
-            for at in range(0, len(groups), 256):
-                part = groups[at : at + 256]
-                lows = np.array([x["low"] for g in part for x in g], np.int64).view(np.uint64)
-                fps = [x["fp"] for g in part for x in g]
-                ends = np.cumsum([len(g) for g in part])
-                i, j = trie_links(lows, np.concatenate([[0], ends[:-1]]), ends, free, budget)
-                below, tops = spanning(i, j, len(fps))
-                a += [fps[x] for x in below]
-                b += [fps[x] for x in tops]
-            return [a, b]
-
-        return each
+def _subtree_links(nodes: DataFrame, path: list[str], own: list[str], free: int, budget: int, alike: Callable[..., np.ndarray] | None) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups = batch.column(0)
+            sizes = np.asarray(pc.list_value_length(groups), np.int64)
+            step = np.cumsum(sizes) // 8192  # groups of about so many fingerprints are walked together
+            for k in np.unique(step):
+                at = np.searchsorted(step, [k, k + 1])
+                ends = np.cumsum(sizes[at[0] : at[1]])
+                low, *values = (np.asarray(x) for x in groups.slice(at[0], at[1] - at[0]).flatten().flatten())
+                i, j = trie_links(low.view(np.uint64), np.concatenate([[0], ends[:-1]]), ends, free, budget)
+                cost = alike({n: v[i] for n, v in zip(own, values)}, {n: v[j] for n, v in zip(own, values)}) if alike else np.zeros(len(i), np.int8)
+                i, j = forest(i[cost >= 0], j[cost >= 0], cost[cost >= 0], len(low))
+                fp = values[own.index("fp")]
+                yield pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[j])], names=["a", "b"])
 
     # The groups are bounded by ``most`` or by the free bits, see links().
-    groups = nodes.groupBy(*path).agg(F.array_sort(F.collect_list(F.struct("low", "fp"))).alias("group")).select("group")
-    return map_lists(groups, make, {"a": "long", "b": "long"})
+    groups = nodes.groupBy(*path).agg(F.array_sort(F.collect_list(F.struct("low", *own))).alias("group")).select("group")
+    return groups.mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -275,3 +293,100 @@ def keep_one(documents: DataFrame, words: int = WORDS, budget: int = BUDGET, key
     kept = near_duplicates(documents, words, budget, key, text).where(F.col(key) == F.col("component_id")).select(key).distinct()
     one = documents.where(F.col(key).isNotNull()).join(kept, key, "left_semi").dropDuplicates([key])
     return one.unionByName(documents.where(F.col(key).isNull()))
+
+
+# -- Near copies by shingles of five words -------------------------------------------------------
+
+
+class WordHashes(dict):
+    """XXH64 of words, kept for words to come; emptied at a million."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return value
+
+
+def rolled(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every run of ``size`` words, from the words' hashes; of all of them if fewer."""
+    size = min(size, len(words))
+    n = len(words) - size + 1 if size else 0
+    out = np.zeros(n, np.uint64)
+    for k in range(size):
+        out = (out + words[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def near_links(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Links (a, b) between the smallest keys of different texts that are near copies: their sets of
+    five-word shingles (fewer words: the whole sequence) have a Jaccard similarity of ``SIMILARITY``.
+
+    A changed word changes fewer two-word shingles than five-word ones, so candidates are fingerprints
+    of two-word shingles that differ in ``NEAR_BUDGET`` bits at most. Unrelated pairs among them go by
+    their five-word fingerprints and numbers of shingles before the forest is made, so that chance
+    links don't grow together at scale; what is left is verified on the shingles themselves. Texts of
+    no word are near copies of each other.
+    """
+
+    def words_of(table: WordHashes, x: str | None) -> np.ndarray:
+        found = (x or "").encode().lower().split()
+        return np.fromiter(map(table.__getitem__, found), np.uint64, len(found))
+
+    def make():
+        table = WordHashes()
+
+        def each(texts):
+            near, far, n = [], [], []
+            for x in texts:
+                words = words_of(table, x)
+                shingles = np.unique(rolled(words, NEAR_WORDS))
+                near.append(fingerprint(rolled(words, CANDIDATE_WORDS)))
+                far.append(fingerprint(shingles))
+                n.append(len(shingles))
+            return [[*range(len(texts))], np.array(near, np.uint64).view(np.int64).tolist(), np.array(far, np.uint64).view(np.int64).tolist(), n]
+
+        return each
+
+    rows = documents.where(F.col(key).isNotNull()).select(F.struct(F.col(key).alias("key"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("md5")).alias("id"), text)
+    prints = map_lists(rows, make, {"fp": "long", "far": "long", "n": "long"}, keep="id").select("id.*", "fp", "far", "n")
+    texts = durable(prints.groupBy("md5").agg(F.min("key").alias("key"), *(F.min(c).alias(c) for c in ("fp", "far", "n"))))
+    first = durable(texts.groupBy("fp").agg(F.min(F.struct("key", "far", "n")).alias("r")).select("fp", "r.*"))
+
+    def alike(a, b):
+        bits = np.bitwise_count(a["far"] ^ b["far"]).astype(np.int8)
+        return np.where((bits <= FAR_BUDGET) & (np.minimum(a["n"], b["n"]) >= SIMILARITY * np.maximum(a["n"], b["n"])), bits, -1)
+
+    candidates = links(first.select("fp", "far", "n"), NEAR_BUDGET, alike=alike).distinct()
+    named = first.select("fp", "key")
+    candidates = candidates.join(named.toDF("a", "ka"), "a").join(named.toDF("b", "kb"), "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    same = texts.join(first.select("fp", F.col("key").alias("b")), "fp").where("key <> b").select(F.col("key").alias("a"), "b")
+    candidates = durable(candidates.unionByName(same))
+
+    def shingled():
+        table = WordHashes()
+        return lambda texts: [[*range(len(texts))], [np.unique(rolled(words_of(table, x), NEAR_WORDS)).view(np.int64).tolist() for x in texts]]
+
+    wanted = candidates.select(F.col("a").alias(key)).union(candidates.select("b")).distinct()
+    whole = documents.select(key, text).join(wanted, key, "left_semi")
+    shingles = map_lists(whole, shingled, {"s": "array<long>"}, keep=key)
+    # A key that several texts share names the first of them only.
+    shingles = durable(shingles.groupBy(key).agg(F.min("s").alias("s")))
+    both = candidates.join(shingles.toDF("a", "sa"), "a").join(shingles.toDF("b", "sb"), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where(common >= SIMILARITY * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
+def keep_one_near(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``documents``, all columns as they are, with one row of each group of copies and near copies
+    (components of ``near_links``): that of the smallest key, any one where that key is repeated with
+    the same text. Rows without a key can't be named and stay."""
+    digest = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    named = documents.where(F.col(key).isNotNull())
+    firsts = named.select(digest.alias("_first"), F.col(key).alias("_key")).groupBy("_first").agg(F.min("_key").alias("_key"))
+    gone = components(near_links(documents, key, text)).where("component <> node").select(F.col("node").alias("_key"))
+    firsts = firsts.join(gone, "_key", "left_anti")
+    here = (F.col("_md5") == F.col("_first")) & (F.col(key) == F.col("_key"))
+    one = named.withColumn("_md5", digest).join(firsts, here, "left_semi").dropDuplicates([key, "_md5"]).drop("_md5")
+    return one.unionByName(documents.where(F.col(key).isNull()))

@@ -396,6 +396,24 @@ def test_near_duplicates_by_brute_force(spark):
     assert kept.where("doc_id is not null").count() == len({c for c in brute_components(ids, prints) if c is not None})
 
 
+def test_near_copies_by_brute_force(spark):
+    base = [f"w{i}" for i in range(200)]
+    other = [f"v{i * 7 % 150}" for i in range(300)]
+    texts = [*ODD, *(" ".join([*base[: 20 * i], f"new{i}", *base[20 * i + 1 :]]) for i in range(10)), " ".join(base), " ".join(base), " ".join(base[:150]), " ".join(other), " ".join(other[:-20])]
+    sets = [{b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").encode().lower().split() for t in texts)]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if texts[i] != "no id" and texts[j] != "no id" and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            root = [root[i] if x == root[j] else x for x in root]
+    kept = simhash.keep_one_near(documents(spark, texts))
+    assert kept.columns == documents(spark, []).columns
+    found = [r.doc_id for r in kept.select("doc_id").collect()]
+    named = [i for i, t in enumerate(texts) if t != "no id"]
+    assert sorted(x for x in found if x is not None) == sorted({min(j for j in named if root[j] == root[i]) for i in named})
+    assert found.count(None) == len(texts) - len(named)
+    assert simhash.keep_one_near(documents(spark, [])).count() == 0
+
+
 def test_trie_links_by_brute_force():
     dice = np.random.default_rng(11)
     for free in (5, 12, 32):
