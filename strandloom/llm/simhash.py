@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, map_lists
@@ -38,13 +38,13 @@ BUDGET = 2
 SEED = 42
 #: Fingerprints of a subtree that one step of the join takes.
 MOST = 4096
-#: Near copies: words of a shingle, least Jaccard similarity, bits in which the fingerprints of
-#: two-word and of five-word shingles may differ.
+#: Near copies: words of a shingle, least Jaccard similarity, bands of MinHash values and values of
+#: each, and the pairs for each row of a bucket up to which all are compared.
 NEAR_WORDS = 5
-CANDIDATE_WORDS = 2
 SIMILARITY = 0.8
-NEAR_BUDGET = 6
-FAR_BUDGET = 16
+BANDS, ROWS = 40, 5
+PAIRS_A_ROW = 8
+SALTS, FACTORS = np.random.default_rng(SEED).integers(1, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.uint64(1)
 #: Where the counts of a byte's values begin, and the values' bits.
 BYTES = np.arange(8) * 256
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
@@ -319,74 +319,118 @@ def rolled(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def near_links(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Links (a, b) between the smallest keys of different texts that are near copies: their sets of
-    five-word shingles (fewer words: the whole sequence) have a Jaccard similarity of ``SIMILARITY``.
+def buckets(shingles: np.ndarray) -> np.ndarray:
+    """A hash of each band of ``ROWS`` MinHash values of a set of hashes, ``BANDS`` in all."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(shingles), 1024):
+        np.minimum(least, ((shingles[at : at + 1024, None] ^ SALTS) * FACTORS).min(axis=0), out=least)
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for value in least.reshape(BANDS, ROWS).T:
+        out = (out ^ value) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def words_of(table: WordHashes, text: str | None) -> np.ndarray:
+    found = (text or "").encode().lower().split()
+    return np.fromiter(map(table.__getitem__, found), np.uint64, len(found))
+
+
+def _digest(text: str) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
-    A changed word changes fewer two-word shingles than five-word ones, so candidates are fingerprints
-    of two-word shingles that differ in ``NEAR_BUDGET`` bits at most. Unrelated pairs among them go by
-    their five-word fingerprints and numbers of shingles before the forest is made, so that chance
-    links don't grow together at scale; what is left is verified on the shingles themselves. Texts of
-    no word are near copies of each other.
-    """
 
-    def words_of(table: WordHashes, x: str | None) -> np.ndarray:
-        found = (x or "").encode().lower().split()
-        return np.fromiter(map(table.__getitem__, found), np.uint64, len(found))
+def near_texts(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row per different text of rows with a key: node (a number), md5, its smallest key, n (five-word
+    shingles, all different) and bands (see ``buckets``)."""
 
     def make():
         table = WordHashes()
 
         def each(texts):
-            near, far, n = [], [], []
-            for x in texts:
-                words = words_of(table, x)
-                shingles = np.unique(rolled(words, NEAR_WORDS))
-                near.append(fingerprint(rolled(words, CANDIDATE_WORDS)))
-                far.append(fingerprint(shingles))
-                n.append(len(shingles))
-            return [[*range(len(texts))], np.array(near, np.uint64).view(np.int64).tolist(), np.array(far, np.uint64).view(np.int64).tolist(), n]
+            sets = [np.unique(rolled(words_of(table, x), NEAR_WORDS)) for x in texts]
+            return [[*range(len(texts))], [len(x) for x in sets], [buckets(x).view(np.int64) for x in sets]]
 
         return each
 
-    rows = documents.where(F.col(key).isNotNull()).select(F.struct(F.col(key).alias("key"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("md5")).alias("id"), text)
-    prints = map_lists(rows, make, {"fp": "long", "far": "long", "n": "long"}, keep="id").select("id.*", "fp", "far", "n")
-    texts = durable(prints.groupBy("md5").agg(F.min("key").alias("key"), *(F.min(c).alias(c) for c in ("fp", "far", "n"))))
-    first = durable(texts.groupBy("fp").agg(F.min(F.struct("key", "far", "n")).alias("r")).select("fp", "r.*"))
+    rows = documents.where(F.col(key).isNotNull()).select(F.struct(F.col(key).alias("key"), _digest(text).alias("md5")).alias("id"), text)
+    prints = map_lists(rows, make, {"n": "long", "bands": "array<long>"}, keep="id").select("id.*", "n", "bands")
+    texts = durable(prints.groupBy("md5").agg(F.min("key").alias("key"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")))
+    return durable(texts.withColumn("node", F.monotonically_increasing_id()))
 
-    def alike(a, b):
-        bits = np.bitwise_count(a["far"] ^ b["far"]).astype(np.int8)
-        return np.where((bits <= FAR_BUDGET) & (np.minimum(a["n"], b["n"]) >= SIMILARITY * np.maximum(a["n"], b["n"])), bits, -1)
 
-    candidates = links(first.select("fp", "far", "n"), NEAR_BUDGET, alike=alike).distinct()
-    named = first.select("fp", "key")
-    candidates = candidates.join(named.toDF("a", "ka"), "a").join(named.toDF("b", "kb"), "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
-    same = texts.join(first.select("fp", F.col("key").alias("b")), "fp").where("key <> b").select(F.col("key").alias("a"), "b")
-    candidates = durable(candidates.unionByName(same))
+def near_links(texts: DataFrame, documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Links (a, b) between nodes of ``texts`` (``near_texts``) that are near copies: their sets of
+    five-word shingles (fewer words: the whole sequence) have a Jaccard similarity of ``SIMILARITY``.
+    Not all such pairs, but enough for the same components. Texts of no word are near copies.
+
+    Candidates share a bucket, that is a band of MinHash values; a pair at the least similarity shares
+    none with a probability of (1 - 0.8 ** 5) ** 40, about 1e-7. Every candidate is verified on
+    the shingles before it joins anything. A family of many near copies isn't compared pair by pair: of each bucket the
+    text that meets most others is compared with all of the bucket and then leaves it. Buckets whose
+    texts are all joined are done. Once the pairs that are left are few for the number of rows,
+    they are all compared.
+    """
+    rows = texts.select("node", "n", F.explode("bands").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
+    members = durable(rows.join(shared, "bucket").withColumn("label", F.col("node")))
 
     def shingled():
         table = WordHashes()
-        return lambda texts: [[*range(len(texts))], [np.unique(rolled(words_of(table, x), NEAR_WORDS)).view(np.int64).tolist() for x in texts]]
+        return lambda found: [[*range(len(found))], [np.unique(rolled(words_of(table, x), NEAR_WORDS)).view(np.int64) for x in found]]
+
+    wanted = texts.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("key").alias("_key"), F.col("md5").alias("_first"))
+    named = documents.select(key, _digest(text).alias("_md5"), text)
+    whole = named.join(wanted, (F.col("_md5") == F.col("_first")) & (F.col(key) == F.col("_key"))).select("node", text)
+    shingles = durable(map_lists(whole, shingled, {"s": "array<long>"}, keep="node").groupBy("node").agg(F.any_value("s").alias("s")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.distinct().join(shingles.toDF("a", "sa"), "a").join(shingles.toDF("b", "sb"), "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        return durable(both.where(common >= SIMILARITY * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
 
-    wanted = candidates.select(F.col("a").alias(key)).union(candidates.select("b")).distinct()
-    whole = documents.select(key, text).join(wanted, key, "left_semi")
-    shingles = map_lists(whole, shingled, {"s": "array<long>"}, keep=key)
-    # A key that several texts share names the first of them only.
-    shingles = durable(shingles.groupBy(key).agg(F.min("s").alias("s")))
-    both = candidates.join(shingles.toDF("a", "sa"), "a").join(shingles.toDF("b", "sb"), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common >= SIMILARITY * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    # Sizes this far apart exclude the similarity.
+    sizes_fit = F.least("n", "n2") >= SIMILARITY * F.greatest("n", "n2")
+    pair = (F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+    found = None
+    while True:
+        open_ = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        live = durable(members.join(open_.select("bucket", "size"), "bucket"))
+        labelled = live.groupBy("bucket", "label").agg(F.count("*").alias("m"))
+        rows_left, alike = live.count(), labelled.agg(F.sum(F.col("m") * F.col("m"))).first()[0] or 0
+        if not rows_left:
+            break
+        # Of the ordered pairs of each bucket those of one label fall out.
+        apart = (live.agg(F.sum("size")).first()[0] - alike) // 2
+        if apart <= PAIRS_A_ROW * rows_left:
+            others = live.select("bucket", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
+            last = verified(live.join(others, "bucket").where((F.col("label") < F.col("label2")) & sizes_fit).select(*pair))
+            found = last if found is None else found.unionByName(last)
+            break
+        degree = live.groupBy("node").agg(F.sum("size").alias("degree"))
+        center = F.max(F.struct("degree", "node", "n", "label")).alias("c")
+        centers = live.join(degree, "node").groupBy("bucket").agg(center).select("bucket", F.col("c.node").alias("node2"), F.col("c.n").alias("n2"), F.col("c.label").alias("label2"))
+        beside = durable(live.drop("size").join(centers, "bucket").where("node <> node2"))
+        star = verified(beside.where((F.col("label") != F.col("label2")) & sizes_fit).select(*pair))
+        found = star if found is None else found.unionByName(star)
+        labels = components(found)
+        left = beside.select("bucket", "node", "n").join(labels, "node", "left")
+        members = durable(left.select("bucket", "node", "n", F.coalesce("component", "node").alias("label")))
+    if found is None:
+        return texts.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    return found.distinct()
 
 
 def keep_one_near(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``documents``, all columns as they are, with one row of each group of copies and near copies
-    (components of ``near_links``): that of the smallest key, any one where that key is repeated with
-    the same text. Rows without a key can't be named and stay."""
-    digest = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    (components of ``near_links``): that of the smallest key (and md5, where texts share a key), any
+    one where that key is repeated with the same text. Rows without a key can't be named and stay."""
+    texts = near_texts(documents, key, text)
     named = documents.where(F.col(key).isNotNull())
-    firsts = named.select(digest.alias("_first"), F.col(key).alias("_key")).groupBy("_first").agg(F.min("_key").alias("_key"))
-    gone = components(near_links(documents, key, text)).where("component <> node").select(F.col("node").alias("_key"))
-    firsts = firsts.join(gone, "_key", "left_anti")
+    found = components(near_links(texts, documents, key, text)).join(texts.select("node", F.struct("key", "md5").alias("id")), "node")
+    best = found.groupBy("component").agg(F.min("id").alias("best"))
+    gone = found.join(best, "component").where("id <> best").select("node")
+    firsts = texts.join(gone, "node", "left_anti").select(F.col("md5").alias("_first"), F.col("key").alias("_key"))
     here = (F.col("_md5") == F.col("_first")) & (F.col(key) == F.col("_key"))
-    one = named.withColumn("_md5", digest).join(firsts, here, "left_semi").dropDuplicates([key, "_md5"]).drop("_md5")
+    one = named.withColumn("_md5", _digest(text)).join(firsts, here, "left_semi").dropDuplicates([key, "_md5"]).drop("_md5")
     return one.unionByName(documents.where(F.col(key).isNull()))

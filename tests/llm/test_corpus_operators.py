@@ -414,6 +414,34 @@ def test_near_copies_by_brute_force(spark):
     assert simhash.keep_one_near(documents(spark, [])).count() == 0
 
 
+def near_by_brute_force(texts):
+    """Smallest position of each group of texts of five-word Jaccard similarity 0.8 or more."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    return sorted(set(root))
+
+
+def kept_near(spark, texts):
+    return sorted(r.doc_id for r in simhash.keep_one_near(documents(spark, texts)).select("doc_id").collect())
+
+
+def test_near_copies_at_the_least_similarity(spark):
+    dice = random.Random(21)
+    texts = []
+    for f in range(40):
+        base = [f"w{f}x{dice.randrange(500)}" for _ in range(100)]
+        texts.append(" ".join(base))
+        for edits in (1, 2, 2, 2, 3):  # similarities around 0.8; two edits of the same text are often under it
+            other = list(base)
+            for at in dice.sample(range(100), edits):
+                other[at] = f"new{dice.random()}"
+            texts.append(" ".join(other))
+    assert kept_near(spark, texts) == near_by_brute_force(texts)
+
+
 def test_trie_links_by_brute_force():
     dice = np.random.default_rng(11)
     for free in (5, 12, 32):
