@@ -442,6 +442,15 @@ def test_near_copies_at_the_least_similarity(spark):
     assert kept_near(spark, texts) == near_by_brute_force(texts)
 
 
+def test_near_copies_behind_a_repeated_line(spark):
+    dice = random.Random(22)
+    line = "the same line comes again and again "
+    tails = [" ".join(f"t{dice.random()}" for _ in range(60)) for _ in range(12)]
+    texts = [line * 400 + tail + end for tail in tails for end in ("", " one", " one two")]
+    want = near_by_brute_force(texts)
+    assert len(want) == 12 and kept_near(spark, texts) == want
+
+
 def test_trie_links_by_brute_force():
     dice = np.random.default_rng(11)
     for free in (5, 12, 32):
