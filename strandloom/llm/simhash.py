@@ -355,8 +355,7 @@ def near_texts(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     rows = documents.where(F.col(key).isNotNull()).select(F.struct(F.col(key).alias("key"), _digest(text).alias("md5")).alias("id"), text)
     prints = map_lists(rows, make, {"n": "long", "bands": "array<long>"}, keep="id").select("id.*", "n", "bands")
-    texts = durable(prints.groupBy("md5").agg(F.min("key").alias("key"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")))
-    return durable(texts.withColumn("node", F.monotonically_increasing_id()))
+    return durable(prints.groupBy("md5").agg(F.min("key").alias("key"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
 
 
 def near_links(texts: DataFrame, documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -387,7 +386,7 @@ def near_links(texts: DataFrame, documents: DataFrame, key: str = "doc_id", text
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.distinct().join(shingles.toDF("a", "sa"), "a").join(shingles.toDF("b", "sb"), "b")
         common = F.size(F.array_intersect("sa", "sb"))
-        return durable(both.where(common >= SIMILARITY * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
+        return durable(both.where(common >= SIMILARITY * (F.size("sa") + F.size("sb") - common)).drop("sa", "sb"))
 
     # Sizes this far apart exclude the similarity.
     sizes_fit = F.least("n", "n2") >= SIMILARITY * F.greatest("n", "n2")
@@ -396,12 +395,11 @@ def near_links(texts: DataFrame, documents: DataFrame, key: str = "doc_id", text
     while True:
         open_ = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
         live = durable(members.join(open_.select("bucket", "size"), "bucket"))
+        # Of the ordered pairs of each bucket those of one label fall out.
         labelled = live.groupBy("bucket", "label").agg(F.count("*").alias("m"))
-        rows_left, alike = live.count(), labelled.agg(F.sum(F.col("m") * F.col("m"))).first()[0] or 0
+        rows_left, apart = labelled.join(open_.select("bucket", "size"), "bucket").agg(F.sum("m"), F.sum(F.col("m") * (F.col("size") - F.col("m"))) / 2).first()
         if not rows_left:
             break
-        # Of the ordered pairs of each bucket those of one label fall out.
-        apart = (live.agg(F.sum("size")).first()[0] - alike) // 2
         if apart <= PAIRS_A_ROW * rows_left:
             others = live.select("bucket", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
             last = verified(live.join(others, "bucket").where((F.col("label") < F.col("label2")) & sizes_fit).select(*pair))
@@ -409,13 +407,14 @@ def near_links(texts: DataFrame, documents: DataFrame, key: str = "doc_id", text
             break
         degree = live.groupBy("node").agg(F.sum("size").alias("degree"))
         center = F.max(F.struct("degree", "node", "n", "label")).alias("c")
-        centers = live.join(degree, "node").groupBy("bucket").agg(center).select("bucket", F.col("c.node").alias("node2"), F.col("c.n").alias("n2"), F.col("c.label").alias("label2"))
+        centers = live.join(degree, "node").groupBy("bucket").agg(center).select("bucket", F.col("c.node").alias("node2"), F.col("c.n").alias("n2"), F.col("c.label").alias("label2"), F.col("c.degree").alias("degree2"))
         beside = durable(live.drop("size").join(centers, "bucket").where("node <> node2"))
-        star = verified(beside.where((F.col("label") != F.col("label2")) & sizes_fit).select(*pair))
-        found = star if found is None else found.unionByName(star)
-        labels = components(found)
-        left = beside.select("bucket", "node", "n").join(labels, "node", "left")
-        members = durable(left.select("bucket", "node", "n", F.coalesce("component", "node").alias("label")))
+        star = verified(beside.where((F.col("label") != F.col("label2")) & sizes_fit).select(F.col("node").alias("a"), F.col("node2").alias("b"), "label2", "degree2"))
+        part = star.select("a", "b")
+        found = part if found is None else found.unionByName(part)
+        # Equal labels mean joined texts; each takes the label of its most central neighbour.
+        labels = star.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("degree2", "b", "label2")).alias("c")).select("node", F.col("c.label2").alias("new"))
+        members = beside.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("new", "label").alias("label"))
     if found is None:
         return texts.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     return found.distinct()

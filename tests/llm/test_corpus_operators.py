@@ -451,6 +451,24 @@ def test_near_copies_behind_a_repeated_line(spark):
     assert len(want) == 12 and kept_near(spark, texts) == want
 
 
+def test_thousands_of_variants_of_one_text(spark, monkeypatch):
+    dice = random.Random(23)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for i in range(3000):
+        other = list(base)
+        for at in dice.sample(range(100), 2):
+            other[at] = f"new{i}x{at}"
+        texts.append(" ".join(other))
+    texts += [" ".join(base), *(" ".join(f"z{i}y{k}" for k in range(50)) for i in range(20))]
+    compared = []
+    checked = simhash.durable
+    monkeypatch.setattr(simhash, "durable", lambda df: compared.append(checked(df)) or compared[-1])
+    assert kept_near(spark, texts) == [0, *range(3001, 3021)]
+    # Links and pairs stay far under the 4.5 million of all pairs.
+    assert max(x.count() for x in compared) < 200_000
+
+
 def test_trie_links_by_brute_force():
     dice = np.random.default_rng(11)
     for free in (5, 12, 32):
