@@ -469,6 +469,14 @@ def test_thousands_of_variants_of_one_text(spark, monkeypatch):
     assert max(x.count() for x in compared) < 200_000
 
 
+def test_near_copies_of_a_repeated_key(spark):
+    dice = random.Random(24)
+    a, b, c = (" ".join(f"{n}{dice.random()}" for _ in range(80)) for n in "abc")
+    rows = [(1, a, "en"), (2, a + " end", "en"), (2, b, "en"), (2, c, "en"), (3, c + " end", "en"), (2, b, "fr")]
+    kept = simhash.keep_one_near(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, a), (2, b), (2, c)])
+
+
 def test_trie_links_by_brute_force():
     dice = np.random.default_rng(11)
     for free in (5, 12, 32):
