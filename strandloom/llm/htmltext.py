@@ -13,7 +13,8 @@ fixed values below.
 
 Edge cases. A null or empty page, and one without content, has the text ''. Unclosed elements end as
 HTML's usual rules have it (a p ends a p, an li an li); a page that breaks off inside a tag loses
-that tag. Equal pages get equal texts. Whole pages are read; extra columns are dropped.
+that tag. A skipped element without an end tag loses its tag only, a script, style or other raw text all
+that follows. Equal pages get equal texts. Whole pages are read; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -27,8 +28,17 @@ from pyspark.sql import DataFrame
 
 from .common import map_lists
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|<(?=/?[a-zA-Z]).*\Z", re.S)
+#: Attributes as HTML's tokenizer has them: a quote counts as one only right after the equals sign. Where
+#: such a quote is never closed, the tag ends at its first >.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)("
+    r"(?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*\"|'[^']*'|(?![\"'])[^\s>]++|(?=>)))?+|=)*+>|[^>]*>)|<[!?][^>]*(?:>|\Z)|<(?=/?[a-zA-Z]).*\Z",
+    re.S,
+)
 _RAW = {name: re.compile(rf"</{name}(?=[\s/>]).*?>|\Z", re.S | re.I) for name in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "noframes", "xmp", "math", "object", "canvas", "video", "audio")}
+#: Of these an element without an end tag hides nothing: its tag alone is skipped.
+_OPTIONAL = frozenset("svg select math object canvas video audio".split())
+_PAIRS = {name: re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>", re.I) for name in _OPTIONAL}
 _HINT = re.compile(r"\b(class|id|role|aria-label|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
@@ -90,11 +100,24 @@ def _hints(attributes: str) -> tuple[float, bool]:
     return weight, hidden
 
 
+def _ends(page: str, name: str) -> dict[int, int]:
+    """Where the closed elements of a name begin and end."""
+    begun, ends = [], {}
+    for found in _PAIRS[name].finditer(page):
+        if not found[1]:
+            if name not in ("svg", "math") or not found[0].endswith("/>"):
+                begun.append(found.start())
+        elif begun:
+            ends[begun.pop()] = found.end()
+    return ends
+
+
 def blocks(page: str) -> list[TextBlock]:
     """The text blocks of a page in their order, with the classifier's scores."""
     node = Node("", 0.0, None, False, False)
     out: list[TextBlock] = []
     parts: list[str] = []
+    closed: dict[str, dict[int, int]] = {}
     linked = at = in_link = 0
 
     def end() -> None:
@@ -144,7 +167,14 @@ def blocks(page: str) -> list[TextBlock]:
         if name in _RAW:
             if name != "title":
                 say(" ")
-            at = _RAW[name].search(page, at).end()
+            if name in ("svg", "math") and found[3].endswith("/>"):
+                continue
+            if name in _OPTIONAL:
+                if name not in closed:
+                    closed[name] = _ends(page, name)
+                at = closed[name].get(found.start(), at)
+            else:
+                at = _RAW[name].search(page, at).end()
             continue
         if name in ("br", "wbr"):
             say(" " if name == "br" else "")
@@ -170,7 +200,7 @@ def blocks(page: str) -> list[TextBlock]:
                 node = top.parent
         if name == "hr":
             continue
-        own, hidden = _hints(found[3]) if found[3] else (0.0, False)
+        own, hidden = _hints(found[3][:-1]) if len(found[3]) > 1 else (0.0, False)
         weight = node.weight + (HEADER_IN_ARTICLE if name == "header" and node.inside else 0.0) + TAG_WEIGHT.get(name, 0.0) * (name != node.tag) + own
         node = Node(name, weight, node, hidden or node.hidden or name == "head", node.inside or name in ("article", "main"))
     end()

@@ -537,6 +537,16 @@ def test_html_extraction():
     assert htmltext.main_text(None) == htmltext.main_text("") == htmltext.main_text("<nav><a href=x>x</a></nav>") == ""
 
 
+def test_html_keeps_what_follows_odd_tags():
+    page = "<article><p>Before it. It is a sentence here.</p>{}<p>The rest stays. It is kept whole.</p></article>"
+    plain = htmltext.main_text(page.format(""))
+    assert plain.endswith("The rest stays. It is kept whole.")
+    for odd in ("<svg width=1 />", "<math/>", "<video src=x>", "<audio>", "<object data=a>", "<canvas>", "<svg><svg></svg>no</svg>", "<svg><text>no</text></svg>", "<video>no</video>", "<img alt='a > b'>"):
+        assert htmltext.main_text(page.format(odd)) == plain, odd
+    for odd in ("<p title=don't>Kept too.</p>", '<p title="5" screen">Kept too.</p>', '<p class="a>Kept too.</p>', "<p a = 'x>y'>Kept too.</p>", "<video src=x><p>Kept too.</p><video>no</video>"):
+        assert htmltext.main_text(page.format(odd)) == plain.replace("\n\n", "\n\nKept too.\n\n"), odd
+
+
 def test_html_table(spark):
     rows = spark.createDataFrame([(1, "u", PAGE, 5), (2, None, None, 6), (None, "v", "", 7), (1, "u", PAGE, 5)], "page_id long, url string, html string, n_chars int")
     got = htmltext.extract(rows).collect()
