@@ -9,14 +9,18 @@ that reruns give the same ones.
 
 Edge cases. A null html is an empty body; a null url an empty target URI. Responses whose block has
 no blank line have an empty payload. An empty text still gives a conversion record of length 0.
-Repeated rows give repeated records. Extra columns are dropped. All expressions are native; only the
-files' bytes pass through Python.
+Repeated rows give repeated records. Extra columns are dropped. All expressions are native; only
+references and the files' bytes pass through Python. HTTP header lines go into the metadata record as
+source-header lines, but for those that its other lines restate.
 """
 
 from __future__ import annotations
 
 import gzip
+import html as entities
+import re
 from collections.abc import Iterator
+from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,14 +55,28 @@ def response_records(pages: DataFrame, key: str = "page_id", date: str = DATE) -
     )
 
 
+_REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);")
+
+
+def _character(found: re.Match) -> str:
+    name = found[0][1:]
+    value = entities.unescape(found[0]) if name[0] == "#" else html5.get(name, found[0])
+    return " " if value == "\xa0" else value
+
+
+def decoded(text: str | None) -> str | None:
+    """``text`` with its numeric and named references as characters, no-break spaces as spaces. One that
+    isn't ended by a semicolon stays."""
+    return text if text is None or "&" not in text else _REFERENCE.sub(_character, text)
+
+
 def plain_text(html: Column) -> Column:
-    """Markup to text: scripts, styles and comments go, tags are white space, the common named
-    references are decoded, white space is one space."""
-    x = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</(script|style)\s*>", " ")
+    """Markup to text: scripts, styles (to the end of the page if not closed) and comments go, tags are
+    white space, references are decoded, white space is one space."""
+    x = F.regexp_replace(html, r"(?is)<(script|style)\b.*?(?:</\1\b[^>]*>|\z)", " ")
     x = F.regexp_replace(x, r"(?s)<!--.*?-->", " ")
     x = F.regexp_replace(x, r"<[^<>]*>", " ")
-    for name, value in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(name), F.lit(value))
+    x = F.udf(decoded, "string", useArrow=True)(x)
     return F.trim(F.regexp_replace(x, r"[ \t\n\r\f\x0B]+", " "))
 
 
@@ -74,7 +92,13 @@ def derive(responses: DataFrame, key: str = "page_id") -> DataFrame:
     status = F.regexp_extract("head", r"^HTTP/\S+ (\d{3})", 1)
     kind = F.lower(F.trim(F.regexp_extract("head", r"(?im)^content-type:\s*([^;\r\n]*)", 1)))
     length = F.octet_length("payload").cast("string")
-    facts = F.concat(F.lit("http-status: "), status, F.lit("\r\nsource-content-type: "), kind, F.lit("\r\nsource-payload-length: "), length, F.lit("\r\nsource-payload-digest: "), F.col("payload_digest"), F.lit("\r\nsource-block-digest: "), F.col("source_block_digest"), F.lit("\r\n"))
+    # Every header line but those that the other facts restate: a bare type (the block's text is UTF-8)
+    # and the payload's length.
+    bare = lambda x: F.regexp_extract(x, r"(?i)^content-type:\s*([^;\s]+)\s*(?:;\s*charset=\"?utf-8\"?\s*)?$", 1) == kind
+    sized = lambda x: F.lower(F.regexp_replace(x, r"\s", "")) == F.concat(F.lit("content-length:"), length)
+    lines = F.filter(F.split(F.regexp_replace("head", r"\r\n[ \t]+", " "), "\r\n"), lambda x, i: (i > 0) & (x != "") & ~((kind != "") & bare(x)) & ~sized(x))
+    headers = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("source-header: "), x, F.lit("\r\n"))), "")
+    facts = F.concat(F.lit("http-status: "), status, F.lit("\r\nsource-content-type: "), kind, F.lit("\r\nsource-payload-length: "), length, F.lit("\r\nsource-payload-digest: "), F.col("payload_digest"), F.lit("\r\nsource-block-digest: "), F.col("source_block_digest"), F.lit("\r\n"), headers)
     made = known.select(
         F.col(key), "record_id", "target_uri", "warc_date", "source_block_digest", "payload_digest",
         F.array(

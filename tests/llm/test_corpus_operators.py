@@ -351,6 +351,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert "http-status: 200" in facts[1].block and f"source-payload-digest: {facts[1].source_payload_digest}" in facts[1].block
 
 
+def test_warc_references_scripts_and_headers(spark):
+    html = "<p>caf&eacute; it&#8217;s &#x27;x&#x27; &mdash; &amp;lt; a&nbsp;b &nosuch; &lt;</p><script>var hidden = 1;<p>gone"
+    responses = warc.response_records(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"))
+    more = "HTTP/1.1 200 OK\r\nDate: Mon, 01 Jan 2024 00:00:00 GMT\r\nContent-Type: text/html; charset=latin-1\r\nLocation: /a\r\n  b\r\nContent-Length: 9\r\n\r\nabc"
+    other = responses.withColumn("page_id", F.lit(2).cast("long")).withColumn("block", F.lit(more))
+    made = {(r.page_id, r.warc_type): r.block for r in warc.derive(responses.unionByName(other)).collect()}
+    assert made[1, "conversion"] == "café it’s 'x' — &lt; a b &nosuch; <"
+    assert "source-header" not in made[1, "metadata"]  # its lines restate the headers
+    want = ["Date: Mon, 01 Jan 2024 00:00:00 GMT", "Content-Type: text/html; charset=latin-1", "Location: /a b", "Content-Length: 9"]
+    assert [x.removeprefix("source-header: ") for x in made[2, "metadata"].split("\r\n") if x.startswith("source-header: ")] == want
+
+
 # -- 9 -------------------------------------------------------------------------------------------
 
 
