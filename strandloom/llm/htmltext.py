@@ -1,27 +1,35 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is split into text blocks. A classifier gives each block a cost of being called boilerplate
-(its source capacity) and one of being called content (its sink capacity). Blocks that follow each
-other, and blocks near in the document tree, are joined by edges whose capacity is the cost of
-labelling them differently. The maximum flow from source to sink leaves a minimum cut: blocks still
-reachable from the source are content. The graph's edges only smooth; scripts, styles, comments and
-hidden or form elements never become blocks.
-
-The classifier is a linear model over where a block stands (tags and the words of class and id on
-its path) and what it is like (length, share of text in links, sentence marks). Its weights are
-fixed values below.
+A page is split into text blocks. A classifier over a block's text and links (length, sentence marks,
+share of text in links) gives it a cost of being called boilerplate (its source capacity) and one of
+being called content (its sink capacity). Smoothness edges join a block with what it stands next to:
+with the block before it, with the block before it under the same parent, and with the marked elements
+around it, which are tied to a terminal themselves: an article to the source, a nav or an element of
+class ``ad`` to the sink. An edge's capacity is the cost of labelling its two ends differently, on the
+scale of the classifier's log odds. The maximum flow from source to sink leaves a minimum cut: blocks
+still reachable from the source are content. So a short paragraph between long ones stays, and prose
+in a footer goes, against what their text alone says. Scripts, styles, comments and hidden elements
+never become blocks.
+
+The flow takes time in proportion to the page for chains and trees of blocks, as blocks whose own
+capacity exceeds their edges' and blocks at the end of a chain are settled one by one; the rest goes
+by blocking flows.
+
+No page is labelled, so the classifier's and the marks' weights are fixed values below.
 
 Edge cases. A null or empty page, and one without content, has the text ''. Unclosed elements end as
 HTML's usual rules have it (a p ends a p, an li an li); a page that breaks off inside a tag loses
-that tag. A skipped element without an end tag loses its tag only, a script, style or other raw text all
-that follows. Equal pages get equal texts. Whole pages are read; extra columns are dropped.
+that tag. A < that only looks like a tag (words without = before the next <, or before the end) is
+text. A skipped element without an end tag loses its tag only, a script, style or other raw text all
+that follows. Marks of html and body don't count. Equal pages get equal texts. Whole pages are read;
+extra columns are dropped; repeated rows and null keys are rows like others.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import re
-from collections import deque
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -31,7 +39,7 @@ from .common import map_lists
 #: Attributes as HTML's tokenizer has them: a quote counts as one only right after the equals sign. Where
 #: such a quote is never closed, the tag ends at its first >.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)("
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)("
     r"(?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*\"|'[^']*'|(?![\"'])[^\s>]++|(?=>)))?+|=)*+>|[^>]*>)|<[!?][^>]*(?:>|\Z)|<(?=/?[a-zA-Z]).*\Z",
     re.S,
 )
@@ -39,8 +47,9 @@ _RAW = {name: re.compile(rf"</{name}(?=[\s/>]).*?>|\Z", re.S | re.I) for name in
 #: Of these an element without an end tag hides nothing: its tag alone is skipped.
 _OPTIONAL = frozenset("svg select math object canvas video audio".split())
 _PAIRS = {name: re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>", re.I) for name in _OPTIONAL}
-_HINT = re.compile(r"\b(class|id|role|aria-label|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_HINT = re.compile(r"(?<![\w-])(class|id|role|aria-label|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -51,28 +60,41 @@ CLOSES_P = BLOCK - {"html", "body", "head", "td", "th", "tr", "tbody", "thead",
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 
-#: Weights of the classifier. Positive speaks for content.
-TAG_WEIGHT = {
-    "article": 4.0, "main": 3.0, "section": 0.2, "blockquote": 0.5, "pre": 0.5, "p": 0.8, "h1": 1.0, "h2": 0.5, "h3": 0.4, "figcaption": 0.2,
-    "nav": -8.0, "header": -5.0, "footer": -8.0, "aside": -8.0, "form": -8.0, "menu": -8.0, "button": -8.0, "fieldset": -6.0, "dialog": -8.0, "search": -8.0, "label": -4.0, "a": -1.0,
+#: How strongly elements speak for content (positive) or boilerplate.
+TAG_MARK = {
+    "article": 4.0, "main": 3.0, "section": 0.2, "blockquote": 0.5, "pre": 0.5,
+    "nav": -8.0, "header": -5.0, "footer": -8.0, "aside": -8.0, "form": -8.0, "menu": -8.0, "button": -8.0, "fieldset": -6.0, "dialog": -8.0, "search": -8.0, "label": -4.0,
 }
-#: Words of class, id, role and labels that mark boilerplate, and content.
-BAD_WORDS = frozenset(
-    "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer form gdpr hidden "
-    "login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related "
-    "reply replies respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe tags teaser toc toolbar tracking widget alert complementary contentinfo discussion".split()
+#: Words of class, id, role and labels that mark boilerplate on any element, those that do
+#: so on elements that hold others, those that say nothing beside them, and those that mark content.
+BAD_ANYWHERE = frozenset(
+    "ad ads advert advertisement advertising adverts banner comment comments commentlist consent cookie cookies disqus discussion gdpr hidden newsletter notice notices notification "
+    "paywall popup promo promoted promotion recommended related reply replies respond responses sponsor sponsored teaser tracking".split()
 )
-GOOD_WORDS = frozenset("article body content entry hentry main page post story text articlebody".split())
-BAD_WORD, GOOD_WORD = -8.0, 1.5
-BIAS, LINK_WEIGHT, LENGTH_WEIGHT, SENTENCE_WEIGHT = -1.2, -3.0, 0.35, 0.4
-FOLLOWS, NEAR = 0.8, 0.6
+BAD_AROUND = frozenset(
+    "alert breadcrumb breadcrumbs complementary contentinfo copyright footer form login masthead menu modal nav navbar navigation overlay pager pagination search share sharing sidebar "
+    "signup skip social subscribe tags toc toolbar widget".split()
+)
+PLAIN_WORDS = frozenset(
+    "area article articles bar block body bottom box btn button buttons col column container content div entry global group header id inner item items layer left link links list main outer page panel policy "
+    "post posts primary region right row secondary section site slot stories story text thread title top unit wrap wrapper x".split()
+)
+GOOD_WORDS = frozenset("article articlebody body content entry hentry main page post story text".split())
+BAD_MARK, GOOD_MARK = -8.0, 1.5
+MARK_RANGE = (-8.0, 5.0)
 HEADER_IN_ARTICLE = 4.5
+#: The classifier of texts, in log odds, and the capacities of edges between blocks.
+BIAS, LINK_WEIGHT, LENGTH_WEIGHT, SENTENCE_WEIGHT = -1.2, -2.5, 0.35, 0.4
+HEADING_WEIGHT = {"h1": 0.8, "h2": 0.4, "h3": 0.3}
+FOLLOWS, NEAR = 0.8, 0.6
+#: Elements that hold text rather than others.
+TEXT_ELEMENTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th figcaption caption pre summary".split())
 
 
 @dataclass(slots=True)
 class Node:
     tag: str
-    weight: float
+    mark: float  # of the elements from the root to this one
     parent: Node | None
     hidden: bool
     inside: bool  # an article or main is above
@@ -82,22 +104,29 @@ class Node:
 class TextBlock:
     text: str
     node: Node
-    score: float
+    score: float  # log odds of being content by text and links alone
+
 
+def _hints(tag: str, attributes: str) -> tuple[float, bool]:
+    """An element's mark by its attributes, and whether it is hidden.
 
-def _hints(attributes: str) -> tuple[float, bool]:
-    weight, hidden = 0.0, False
+    A name such as ``cookie-notice`` counts if one of its words is bad and the others are bad or plain;
+    ``share-price`` and ``no-sidebar`` say nothing.
+    """
+    mark, hidden = 0.0, False
+    bad = BAD_ANYWHERE if tag in TEXT_ELEMENTS else BAD_ANYWHERE | BAD_AROUND
     for name, value in _HINT.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             hidden = True
         elif name in ("class", "id", "role", "aria-label", "itemprop"):
-            words = set(_WORDS.findall(value))
-            if words & BAD_WORDS:
-                weight = min(weight, BAD_WORD)
-            elif words & GOOD_WORDS and weight >= 0:
-                weight = GOOD_WORD
-    return weight, hidden
+            for token in value.split():
+                words = {x.lower() for x in _WORDS.findall(token)}
+                if words & bad and words <= bad | PLAIN_WORDS:
+                    mark = BAD_MARK
+                elif words & GOOD_WORDS and words <= GOOD_WORDS | PLAIN_WORDS and mark >= 0:
+                    mark = GOOD_MARK
+    return mark, hidden
 
 
 def _ends(page: str, name: str) -> dict[int, int]:
@@ -112,6 +141,11 @@ def _ends(page: str, name: str) -> dict[int, int]:
     return ends
 
 
+def _loose(tail: str) -> bool:
+    """Is what stands from a < to the end of the page words rather than a tag that breaks off?"""
+    return tail[:1] == "<" and bool(re.fullmatch(r"</?[a-zA-Z][^\s/>]*\s+[^=/\"']*", tail)) and len(tail.split()) > 1
+
+
 def blocks(page: str) -> list[TextBlock]:
     """The text blocks of a page in their order, with the classifier's scores."""
     node = Node("", 0.0, None, False, False)
@@ -127,7 +161,7 @@ def blocks(page: str) -> list[TextBlock]:
             if text and not node.hidden:
                 share = min(1.0, linked / len(text))
                 marks = text.count(". ") + text.count("! ") + text.count("? ") + (text[-1] in ".!?")
-                score = BIAS + node.weight + LENGTH_WEIGHT * min(8, len(text) / 40) + LINK_WEIGHT * share + SENTENCE_WEIGHT * min(3, marks)
+                score = BIAS + HEADING_WEIGHT.get(node.tag, 0.0) + LENGTH_WEIGHT * min(8, len(text) / 40) + LINK_WEIGHT * share + SENTENCE_WEIGHT * min(3, marks)
                 out.append(TextBlock(text, node, score))
             parts.clear()
         linked = 0
@@ -149,6 +183,12 @@ def blocks(page: str) -> list[TextBlock]:
         at = found.end()
         name = found[2]
         if not name:
+            if at == size and _loose(found[0]):  # the page ends in what is no tag
+                say(found[0])
+            continue
+        if "<" in found[3] and "=" not in found[3] and "<" in _QUOTED.sub("", found[3]):
+            at = found.start(3) + found[3].rindex("<")
+            say(page[found.start() : at])
             continue
         name = name.lower()
         if found[1]:  # an end tag
@@ -200,55 +240,135 @@ def blocks(page: str) -> list[TextBlock]:
                 node = top.parent
         if name == "hr":
             continue
-        own, hidden = _hints(found[3][:-1]) if len(found[3]) > 1 else (0.0, False)
-        weight = node.weight + (HEADER_IN_ARTICLE if name == "header" and node.inside else 0.0) + TAG_WEIGHT.get(name, 0.0) * (name != node.tag) + own
-        node = Node(name, weight, node, hidden or node.hidden or name == "head", node.inside or name in ("article", "main"))
+        own, hidden = _hints(name, found[3][:-1]) if len(found[3]) > 1 and name not in ("html", "body") else (0.0, False)
+        mark = node.mark + (HEADER_IN_ARTICLE if name == "header" and node.inside else 0.0) + TAG_MARK.get(name, 0.0) * (name != node.tag) + own
+        node = Node(name, min(max(mark, MARK_RANGE[0]), MARK_RANGE[1]), node, hidden or node.hidden or name == "head", node.inside or name in ("article", "main"))
     end()
     return out
 
 
+_LEAST = 1e-9
+
+
 def maximum_flow(size: int, source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Which nodes are on the source's side of a minimum cut. Edges hold in both directions.
 
-    What goes straight from source over a node to the sink is settled first; the rest goes over
-    shortest augmenting paths between nodes with something left to send and nodes with room.
+    What goes straight from source over a node to the sink is settled first. Then nodes are settled
+    one by one where the flow is certain: a node with more left to send (or more room) than its edges
+    hold fills them all, and a node with a single edge passes on what it has. The rest goes by
+    blocking flows over shortest paths.
     """
     extra = [a - b for a, b in zip(source, sink, strict=True)]  # > 0: left to send; < 0: room
-    near: list[list[list]] = [[] for _ in range(size)]
+    near: list[dict[int, float]] = [{} for _ in range(size)]
     for a, b, capacity in edges:
-        forth, back = [b, capacity, None], [a, capacity, None]
-        forth[2], back[2] = back, forth
-        near[a].append(forth)
-        near[b].append(back)
+        if a != b and capacity > 0:
+            near[a][b] = near[a].get(b, 0.0) + capacity
+            near[b][a] = near[b].get(a, 0.0) + capacity
+    side: list[bool | None] = [None] * size
+    follows: list[tuple[int, int]] = []  # nodes that end up on the side of another
+    total = [sum(x.values()) for x in near]
+    queue = list(range(size))
+    waiting = [True] * size
+    while queue:
+        i = queue.pop()
+        waiting[i] = False
+        if side[i] is not None or near[i] is None:
+            continue
+        own = near[i]
+        if extra[i] > total[i] + _LEAST or -extra[i] >= total[i] - _LEAST:
+            side[i] = extra[i] > total[i] + _LEAST
+            sign = 1.0 if side[i] else -1.0
+            for j, capacity in own.items():
+                extra[j] += sign * capacity
+        elif len(own) == 1:
+            (j, _), = own.items()
+            extra[j] += extra[i]
+            follows.append((i, j))
+        else:
+            continue
+        for j, capacity in own.items():
+            del near[j][i]
+            total[j] -= capacity
+            if not waiting[j] and side[j] is None:
+                waiting[j] = True
+                queue.append(j)
+        near[i] = None
+    left = [i for i in range(size) if near[i] is not None]
+    if left:
+        number = {i: k for k, i in enumerate(left)}
+        found = _blocking_flows([extra[i] for i in left], [{number[j]: c for j, c in near[i].items()} for i in left])
+        for i, reached in zip(left, found, strict=True):
+            side[i] = reached
+    for i, j in reversed(follows):
+        side[i] = side[j]
+    return side
+
+
+def _blocking_flows(extra: list[float], near: list[dict[int, float]]) -> list[bool]:
+    """Which nodes can still be reached once no more can be sent from nodes with a positive ``extra``
+    to those with a negative one."""
+    size = len(extra)
+    # Edge e leads to head[e] and has rest[e] left; e ^ 1 is its mirror image.
+    head: list[int] = []
+    rest: list[float] = []
+    out: list[list[int]] = [[] for _ in range(size)]
+    for i, own in enumerate(near):
+        for j, capacity in own.items():
+            if i < j:
+                out[i].append(len(head))
+                out[j].append(len(head) + 1)
+                head += [j, i]
+                rest += [capacity, capacity]
     while True:
-        came: list[list | None] = [None] * size
-        seen = [x > 1e-9 for x in extra]
-        queue = deque(i for i in range(size) if seen[i])
-        goal = -1
-        while queue:
-            i = queue.popleft()
-            if extra[i] < -1e-9:
-                goal = i
-                break
-            for edge in near[i]:
-                if edge[1] > 1e-9 and not seen[edge[0]]:
-                    seen[edge[0]] = True
-                    came[edge[0]] = edge
-                    queue.append(edge[0])
-        if goal < 0:
-            return seen
-        amount, i = -extra[goal], goal
-        while came[i] is not None:
-            amount = min(amount, came[i][1])
-            i = came[i][2][0]
-        amount = min(amount, extra[i])
-        extra[i] -= amount
-        extra[goal] += amount
-        i = goal
-        while came[i] is not None:
-            came[i][1] -= amount
-            came[i][2][1] += amount
-            i = came[i][2][0]
+        level = [-1] * size
+        layer = [i for i in range(size) if extra[i] > _LEAST]
+        for i in layer:
+            level[i] = 0
+        starts, reached, depth = list(layer), False, 0
+        while layer and not reached:
+            depth += 1
+            following = []
+            for i in layer:
+                for e in out[i]:
+                    j = head[e]
+                    if rest[e] > _LEAST and level[j] < 0:
+                        level[j] = depth
+                        following.append(j)
+                        reached = reached or extra[j] < -_LEAST
+            layer = following
+        if not reached:
+            return [x >= 0 for x in level]
+        turn = [0] * size
+        for start in starts:
+            path: list[int] = []
+            i = start
+            while extra[start] > _LEAST:
+                if extra[i] < -_LEAST and path:
+                    amount = min(extra[start], -extra[i], min(rest[e] for e in path))
+                    extra[start] -= amount
+                    extra[i] += amount
+                    back = len(path)
+                    for k, e in enumerate(path):
+                        rest[e] -= amount
+                        rest[e ^ 1] += amount
+                        if rest[e] <= _LEAST and back == len(path):
+                            back = k
+                    i = head[path[back] ^ 1] if back < len(path) else i
+                    del path[back:]
+                    continue
+                own = out[i]
+                while turn[i] < len(own):
+                    e = own[turn[i]]
+                    if rest[e] > _LEAST and level[head[e]] == level[i] + 1:
+                        path.append(e)
+                        i = head[e]
+                        break
+                    turn[i] += 1
+                else:
+                    if not path:
+                        break
+                    i = head[path.pop() ^ 1]
+                    turn[i] += 1
 
 
 def labels(found: list[TextBlock]) -> list[bool]:
@@ -256,14 +376,17 @@ def labels(found: list[TextBlock]) -> list[bool]:
     edges, last = [], {}
     for i, block in enumerate(found):
         parent = id(block.node.parent)
+        beside = last.get(parent)
         if i:
             edges.append((i - 1, i, FOLLOWS))
-        if parent in last and last[parent] != i - 1:
-            edges.append((last[parent], i, NEAR))
-        elif parent in last:
-            edges[-1] = (i - 1, i, FOLLOWS + NEAR)
+        if beside is not None:
+            edges.append((beside, i, NEAR))
         last[parent] = i
-    return maximum_flow(len(found), [max(0.0, b.score) for b in found], [max(0.0, -b.score) for b in found], edges)
+    # The classifier's costs, and the edges to the marked elements around a block, whose other ends are
+    # tied to a terminal.
+    source = [math.log1p(math.exp(b.score)) + max(0.0, b.node.mark) for b in found]
+    sink = [math.log1p(math.exp(-b.score)) + max(0.0, -b.node.mark) for b in found]
+    return maximum_flow(len(found), source, sink, edges)
 
 
 def main_text(page: str | None) -> str:
