@@ -1,34 +1,55 @@
 """WARC derivatives: response records to linked metadata and plain-text conversion records.
 
-``response_records`` turns pages into WARC response records, ``serialise`` gives a record's bytes,
-``write_warc`` and ``read_warc`` store and load files of records, and ``derive`` builds from every
-response a ``metadata`` record (facts about the capture) and a ``conversion`` record (its text as
-text/plain). Both name the response in WARC-Refers-To and keep its target URI, date and digests; the
-conversion also names the metadata record. Ids are urn:uuid values made from the response's id, so
-that reruns give the same ones.
-
-Edge cases. A null html is an empty body; a null url an empty target URI. Responses whose block has
-no blank line have an empty payload. An empty text still gives a conversion record of length 0.
-Repeated rows give repeated records. Extra columns are dropped. All expressions are native; only
-references and the files' bytes pass through Python. HTTP header lines go into the metadata record as
-source-header lines, but for those that its other lines restate.
+``response_records`` turns pages into WARC response records, ``derive`` builds from every response a
+``metadata`` record (facts about the capture and the source's header lines) and a ``conversion``
+record (its text as text/plain). Both name the response in WARC-Refers-To and keep its target URI,
+date and digests; the conversion also names the metadata record. Ids are urn:uuid values made from
+the response's id, so that reruns give the same ones. ``write_warc`` and ``read_warc`` store and load
+folders of ``.warc.gz`` files, a gzip member per record; what is read back can be derived again.
+
+Every record is a row of its own work: nothing is shuffled, and a lost task is run again. A block and
+a payload are hashed once, the markup goes in one pass.
+
+Edge cases. A null html is an empty body; a null url an empty target URI; a null block an empty one.
+Responses whose block has no blank line have an empty payload. An empty text still gives a conversion
+record of length 0, as does a payload of a type that isn't text (images and the like). Bytes that
+aren't of the named character set become U+FFFD; an unknown set is read as UTF-8. Content and transfer
+encodings are not undone. Repeated rows give repeated records. Extra columns are dropped. Where
+records become bytes, control characters and spaces in a target URI are percent-encoded and those in
+other fields become spaces, so that a value can't end its line.
 """
 
 from __future__ import annotations
 
-import gzip
+import hashlib
 import html as entities
+import os
 import re
+import uuid
+import zlib
 from collections.abc import Iterator
 from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 VERSION = "WARC/1.1"
+#: The columns of ``derive`` after the key.
+DERIVED = {
+    "warc_type": "string", "record_id": "string", "refers_to": "string", "concurrent_to": "string", "target_uri": "string", "warc_date": "string", "content_type": "string",
+    "content_length": "long", "block_digest": "string", "source_payload_digest": "string", "source_block_digest": "string", "block": "string",
+}
+#: Columns of records in files and their fields. Other fields of a file are in ``fields``.
+FIELDS = {
+    "warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "concurrent_to": "WARC-Concurrent-To", "target_uri": "WARC-Target-URI", "warc_date": "WARC-Date",
+    "content_type": "Content-Type", "block_digest": "WARC-Block-Digest", "payload_digest": "WARC-Payload-Digest",
+    "source_payload_digest": "Source-Payload-Digest", "source_block_digest": "Source-Block-Digest",
+}
+STORED = ", ".join(f"{name} string" for name in FIELDS) + ", fields map<string,string>, block binary"
 
 
 def urn(seed: Column) -> Column:
@@ -37,25 +58,32 @@ def urn(seed: Column) -> Column:
     return F.concat(F.lit("urn:uuid:"), *(x for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)) for x in (F.substring(h, a, n), F.lit("-" if a < 21 else ""))))
 
 
-def digest(value: Column) -> Column:
-    return F.concat(F.lit("sha256:"), F.sha2(value.cast("binary"), 256))
-
-
 def response_records(pages: DataFrame, key: str = "page_id", date: str = DATE) -> DataFrame:
-    """One response record per page: key, record_id, target_uri, warc_date, block (the HTTP message)."""
+    """One response record per page: key, warc_type, record_id, target_uri, warc_date, content_type and
+    block (the HTTP message)."""
     body = F.coalesce("html", F.lit(""))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
     uri = F.coalesce("url", F.lit(""))
     return pages.select(
         F.col(key),
+        F.lit("response").alias("warc_type"),
         urn(F.concat_ws("|", F.lit("response"), F.col(key).cast("string"), uri)).alias("record_id"),
         uri.alias("target_uri"),
         F.lit(date).alias("warc_date"),
+        F.lit("application/http; msgtype=response").alias("content_type"),
         F.concat(head, body).alias("block"),
     )
 
 
+# -- One response ----------------------------------------------------------------------------------
+
+_MARKUP = re.compile(r"<(?:[^<>sS!][^<>]*>|((?i:script|style))\b.*?(?:</(?i:\1)\b[^>]*>|\Z)|!--.*?-->|[^<>]*>)", re.S)
 _REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);")
+_STATUS = re.compile(r"HTTP/\S+ (\d{3})")
+_FOLDED = re.compile(r"\r?\n[ \t]+")
+_CHARSET = re.compile(r";\s*charset\s*=\s*[\"']?([^\s;\"']+)", re.I)
+#: Types whose payload is text.
+_TEXTUAL = re.compile(r"text/|.*(?:html|xml|json|javascript)|$")
 
 
 def _character(found: re.Match) -> str:
@@ -64,108 +92,275 @@ def _character(found: re.Match) -> str:
     return " " if value == "\xa0" else value
 
 
-def decoded(text: str | None) -> str | None:
-    """``text`` with its numeric and named references as characters, no-break spaces as spaces. One that
-    isn't ended by a semicolon stays."""
-    return text if text is None or "&" not in text else _REFERENCE.sub(_character, text)
-
-
-def plain_text(html: Column) -> Column:
-    """Markup to text: scripts, styles (to the end of the page if not closed) and comments go, tags are
-    white space, references are decoded, white space is one space."""
-    x = F.regexp_replace(html, r"(?is)<(script|style)\b.*?(?:</\1\b[^>]*>|\z)", " ")
-    x = F.regexp_replace(x, r"(?s)<!--.*?-->", " ")
-    x = F.regexp_replace(x, r"<[^<>]*>", " ")
-    x = F.udf(decoded, "string", useArrow=True)(x)
-    return F.trim(F.regexp_replace(x, r"[ \t\n\r\f\x0B]+", " "))
+def plain_text(markup: str) -> bytes:
+    """Markup to text in UTF-8: scripts, styles (to the end of the page if not closed) and comments go, tags are
+    white space, references that end in a semicolon are decoded (a no-break space is a space), white
+    space is one space."""
+    text = _MARKUP.sub(" ", markup) if "<" in markup else markup
+    if "&" in text:
+        text = _REFERENCE.sub(_character, text)
+    return b" ".join(text.encode().split())  # of bytes only the six ASCII ones are white space
+
+
+def digest(data: bytes) -> str:
+    return "sha256:" + hashlib.sha256(data).hexdigest()
+
+
+def _uuid(seed: str) -> str:
+    return f"urn:uuid:{uuid.UUID(bytes=hashlib.md5(seed.encode(), usedforsecurity=False).digest())}"
+
+
+def _decoded(payload: bytes, kind: str) -> str:
+    found = _CHARSET.search(kind)
+    try:
+        return payload.decode(found[1] if found else "utf-8", "replace")
+    except (LookupError, ValueError):
+        return payload.decode("utf-8", "replace")
+
+
+def derived(record_id: str, target_uri: str | None, date: str | None, block: bytes) -> list[tuple]:
+    """The two records of a response, in the order of ``DERIVED``; blocks are UTF-8."""
+    at = block.find(b"\r\n\r\n")
+    head, payload = (block[:at], block[at + 4 :]) if at >= 0 else (block, b"")
+    lines = [x for x in _FOLDED.sub(" ", head.decode("utf-8", "replace")).split(CRLF)[1:] if x]
+    status = _STATUS.match(head.decode("latin-1"))
+    kind = next((value.strip() for name, _, value in (x.partition(":") for x in lines) if name.strip().lower() == "content-type"), "")
+    bare = kind.partition(";")[0].strip().lower()
+    of_block, of_payload = digest(block), digest(payload)
+    facts = [("http-status", status[1] if status else ""), ("source-content-type", bare), ("source-payload-length", len(payload)), ("source-payload-digest", of_payload), ("source-block-digest", of_block)]
+    metadata = "".join(f"{name}: {value}\r\n" for name, value in [*facts, *(("source-header", x) for x in lines)])
+    text = plain_text(_decoded(payload, kind)) if _TEXTUAL.match(bare) else b""
+    meta_id = _uuid(f"metadata|{record_id}")
+    out = []
+    for name, own, beside, media, body in (("metadata", meta_id, None, "application/warc-fields", metadata.encode()), ("conversion", _uuid(f"conversion|{record_id}"), meta_id, "text/plain", text)):
+        out.append((name, own, record_id, beside, target_uri or "", date, media, len(body), digest(body), of_payload, of_block, body))
+    return out
 
 
 def derive(responses: DataFrame, key: str = "page_id") -> DataFrame:
-    """Two rows per response: a metadata and a conversion record, linked to it and to each other."""
-    at = F.locate("\r\n\r\n", F.col("block"))
-    has = at > 0
-    head = F.when(has, F.substring(F.col("block"), F.lit(1), at - 1)).otherwise(F.col("block"))
-    payload = F.when(has, F.substring(F.col("block"), at + 4, F.length("block"))).otherwise(F.lit(""))
-    split = responses.select(F.col(key), "record_id", "target_uri", "warc_date", digest(F.col("block")).alias("source_block_digest"), head.alias("head"), payload.alias("payload"))
-    known = split.withColumn("payload_digest", digest(F.col("payload")))
-    meta_id = urn(F.concat(F.lit("metadata|"), F.col("record_id")))
-    status = F.regexp_extract("head", r"^HTTP/\S+ (\d{3})", 1)
-    kind = F.lower(F.trim(F.regexp_extract("head", r"(?im)^content-type:\s*([^;\r\n]*)", 1)))
-    length = F.octet_length("payload").cast("string")
-    # Every header line but those that the other facts restate: a bare type (the block's text is UTF-8)
-    # and the payload's length.
-    bare = lambda x: F.regexp_extract(x, r"(?i)^content-type:\s*([^;\s]+)\s*(?:;\s*charset=\"?utf-8\"?\s*)?$", 1) == kind
-    sized = lambda x: F.lower(F.regexp_replace(x, r"\s", "")) == F.concat(F.lit("content-length:"), length)
-    lines = F.filter(F.split(F.regexp_replace("head", r"\r\n[ \t]+", " "), "\r\n"), lambda x, i: (i > 0) & (x != "") & ~((kind != "") & bare(x)) & ~sized(x))
-    headers = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("source-header: "), x, F.lit("\r\n"))), "")
-    facts = F.concat(F.lit("http-status: "), status, F.lit("\r\nsource-content-type: "), kind, F.lit("\r\nsource-payload-length: "), length, F.lit("\r\nsource-payload-digest: "), F.col("payload_digest"), F.lit("\r\nsource-block-digest: "), F.col("source_block_digest"), F.lit("\r\n"), headers)
-    made = known.select(
-        F.col(key), "record_id", "target_uri", "warc_date", "source_block_digest", "payload_digest",
-        F.array(
-            F.struct(F.lit("metadata").alias("t"), F.lit("application/warc-fields").alias("c"), meta_id.alias("id"), F.lit(None).cast("string").alias("c_to"), facts.alias("b")),
-            F.struct(F.lit("conversion").alias("t"), F.lit("text/plain").alias("c"), urn(F.concat(F.lit("conversion|"), F.col("record_id"))).alias("id"), meta_id.alias("c_to"), plain_text(F.col("payload")).alias("b")),
-        ).alias("records"),
-    )
-    flat = made.withColumn("r", F.explode("records"))
-    return flat.select(
-        F.col(key), F.col("r.t").alias("warc_type"), F.col("r.id").alias("record_id"), F.col("record_id").alias("refers_to"),
-        F.col("r.c_to").alias("concurrent_to"), "target_uri", "warc_date", F.col("r.c").alias("content_type"),
-        F.octet_length("r.b").cast("long").alias("content_length"), digest(F.col("r.b")).alias("block_digest"),
-        F.col("payload_digest").alias("source_payload_digest"), "source_block_digest", F.col("r.b").alias("block"),
-    )
-
-
-def serialise(records: DataFrame) -> DataFrame:
-    """The bytes of each record of ``derive``: header lines, blank line, block and two line ends."""
-    line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(CRLF)), F.lit(""))
-    ref = lambda c: F.concat(F.lit("<"), F.col(c), F.lit(">"))
-    head = F.concat(
-        F.lit(VERSION + CRLF), line("WARC-Type", F.col("warc_type")), line("WARC-Record-ID", ref("record_id")), line("WARC-Refers-To", ref("refers_to")),
-        line("WARC-Concurrent-To", ref("concurrent_to")), line("WARC-Target-URI", F.col("target_uri")), line("WARC-Date", F.col("warc_date")),
-        line("WARC-Block-Digest", F.col("block_digest")), line("WARC-Payload-Digest", F.col("source_payload_digest")),
-        line("Content-Type", F.col("content_type")), line("Content-Length", F.col("content_length").cast("string")), F.lit(CRLF),
-    )
-    return records.withColumn("record", F.concat(head, F.col("block"), F.lit(CRLF * 2)).cast("binary"))
-
-
-def write_warc(records: DataFrame, path: str) -> None:
-    """Gzip members, one per record, several to a row of a Parquet table of ``data`` at ``path``:
-    the concatenation of all rows is a WARC file. The table is in shared storage, so lost tasks are
-    simply run again."""
+    """Two rows per response (record_id, target_uri, warc_date, block as text or bytes): a metadata and
+    a conversion record, linked to it and to each other. ``key`` is a column that both carry on; with
+    ``record_id``, as for records read from files, ``refers_to`` is it."""
+    carried = [] if key == "record_id" else [key]
+    rows = responses.select(*carried, "record_id", "target_uri", "warc_date", F.coalesce(F.col("block").cast("binary"), F.lit(b"")).alias("block"))
+    types = [pa.int64() if kind == "long" else pa.string() for kind in DERIVED.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                members = b"".join(gzip.compress(x, 6, mtime=0) for x in batch.column(0).slice(at, 256).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array([members], pa.binary())], names=["data"])
+                part = batch.slice(at, 256)
+                ids, uris, dates, blocks = (part.column(name).to_pylist() for name in ("record_id", "target_uri", "warc_date", "block"))
+                made = [x for row in zip(ids, uris, dates, blocks, strict=True) for x in derived(*row)]
+                twice = pa.array([i for i in range(part.num_rows) for _ in range(2)], pa.int64())
+                first = [part.column(key).take(twice)] if carried else []
+                yield pa.RecordBatch.from_arrays(first + [pa.array(v, t) for v, t in zip(zip(*made, strict=True), types, strict=True)], names=[*carried, *DERIVED])
+
+    of_key = [f"`{key}` {responses.schema[key].dataType.simpleString()}"] if carried else []
+    return rows.mapInArrow(run, ", ".join([*of_key, *(f"{name} {kind}" for name, kind in DERIVED.items())]))
+
+
+# -- Files -----------------------------------------------------------------------------------------
+
+_CONTROL = re.compile(r"[\x00-\x20\x7f]")
+
+
+def serialised(record: dict) -> bytes:
+    """A record's bytes: field lines, blank line, block and two line ends. Null fields are left out."""
+    block = record.get("block")
+    block = block.encode() if isinstance(block, str) else block or b""
+    lines = [VERSION]
+    for column, field in FIELDS.items():
+        value = record.get(column)
+        if value is None:
+            continue
+        value = _CONTROL.sub((lambda m: f"%{ord(m[0]):02X}") if column == "target_uri" else " ", value)
+        lines.append(f"{field}: <{value}>" if column in ("record_id", "refers_to", "concurrent_to") else f"{field}: {value}")
+    lines += [f"{_CONTROL.sub('-', k)}: {_CONTROL.sub(' ', v or '')}" for k, v in (record.get("fields") or ())]
+    lines.append(f"Content-Length: {len(block)}")
+    return CRLF.join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def _unfolded(head: bytes) -> dict[str, str]:
+    lines = _FOLDED.sub(" ", head.decode("utf-8", "replace")).splitlines()
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+
+
+def parsed(pieces: Iterator[bytes]) -> Iterator[dict]:
+    """Records from a file's decompressed bytes, as they come: no more than a record and a piece is
+    held. What ends inside a record is left out."""
+    held, ended = bytearray(), False
+    pieces = iter(pieces)
+
+    def more() -> bool:
+        nonlocal ended
+        piece = next(pieces, None)
+        ended = piece is None
+        held.extend(piece or b"")
+        return not ended
+
+    while True:
+        while (end := held.find(b"\r\n\r\n")) < 0:
+            if not more():
+                return
+        fields = _unfolded(bytes(held[:end]))
+        size = int(fields.pop("content-length", "0") or 0)
+        while len(held) < end + 4 + size:
+            if not more():
+                return
+        block = bytes(held[end + 4 : end + 4 + size])
+        while len(held) < end + 8 + size and more():
+            pass
+        del held[: end + 8 + size]
+        row = {column: fields.pop(field.lower(), None) for column, field in FIELDS.items()}
+        for column in ("record_id", "refers_to", "concurrent_to"):
+            row[column] = row[column].strip("<>") if row[column] is not None else None
+        yield row | {"fields": list(fields.items()), "block": block}
+
+
+def inflated(stream, size: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a file of gzip members, or of one that isn't compressed."""
+    piece = stream.read(size)
+    if piece[:2] != b"\x1f\x8b":
+        while piece:
+            yield piece
+            piece = stream.read(size)
+        return
+    member = zlib.decompressobj(31)
+    while piece:
+        yield member.decompress(piece)
+        if member.eof:
+            piece, member = member.unused_data, zlib.decompressobj(31)
+            if piece:
+                continue
+        piece = stream.read(size)
+
+
+def _store(path: str):
+    """A file system and the path in it, for plain paths and for URIs."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://|file:", path) else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
+class _File(InputPartition):
+    def __init__(self, path: str):
+        self.path = path
+
+
+class _Written(WriterCommitMessage):
+    def __init__(self, name: str):
+        self.name = name
+
+
+class WarcSource(DataSource):
+    """Folders of WARC files for ``spark.read.format("warc")`` and ``df.write.format("warc")``.
+
+    A file is a task's work, read record by record. Tasks write into a folder of the job's own; only
+    when all have ended the driver moves their files in place, so a lost or repeated task leaves none.
+    The path must be one that all executors share.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "warc"
+
+    def schema(self) -> str:
+        return STORED
+
+    def reader(self, schema) -> WarcReader:
+        return WarcReader(self.options["path"])
+
+    def writer(self, schema, overwrite: bool) -> WarcWriter:
+        return WarcWriter(self.options["path"], schema.names, overwrite)
+
+
+class WarcReader(DataSourceReader):
+    def __init__(self, path: str):
+        self.path = path
+
+    def partitions(self) -> list[_File]:
+        from pyarrow import fs
+
+        store, path = _store(self.path)
+        info = store.get_file_info(path)
+        found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(path, recursive=False))
+        return [_File(x.path) for x in sorted(found, key=lambda x: x.path) if x.type == fs.FileType.File and not x.base_name.startswith(("_", "."))]
+
+    def read(self, partition: _File | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:
+            return
+        store, _ = _store(self.path)
+        kinds = [pa.string()] * len(FIELDS) + [pa.map_(pa.string(), pa.string()), pa.binary()]
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[name] for r in rows], kind) for name, kind in zip(names, kinds, strict=True)], names=names)
+        names, rows, held = [*FIELDS, "fields", "block"], [], 0
+        with store.open_input_stream(partition.path, compression=None) as stream:
+            for row in parsed(inflated(stream)):
+                rows.append(row)
+                held += len(row["block"])
+                if len(rows) == 256 or held > 8 << 20:
+                    yield made(rows)
+                    rows, held = [], 0
+        if rows:
+            yield made(rows)
+
+
+class WarcWriter(DataSourceArrowWriter):
+    def __init__(self, path: str, names: list[str], overwrite: bool):
+        self.path, self.names, self.overwrite = path, names, overwrite
+        self.job = uuid.uuid4().hex
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
+        from pyspark import TaskContext
+
+        store, path = _store(self.path)
+        task = TaskContext.get()
+        name = f"part-{task.partitionId():06d}-{self.job[:12]}-{task.taskAttemptId()}.warc.gz"
+        store.create_dir(f"{path}/_{self.job}", recursive=True)
+        with store.open_output_stream(f"{path}/_{self.job}/{name}", compression=None) as out:
+            for batch in iterator:
+                for at in range(0, batch.num_rows, 64):
+                    for row in batch.slice(at, 64).to_pylist():
+                        member = zlib.compressobj(6, zlib.DEFLATED, 31)
+                        out.write(member.compress(serialised(row)) + member.flush())
+        return _Written(name)
+
+    def commit(self, messages: list[_Written | None]) -> None:
+        from pyarrow import fs
 
-    serialise(records).select("record").mapInArrow(run, "data binary").write.mode("overwrite").parquet(path)
+        store, path = _store(self.path)
+        store.create_dir(path, recursive=True)
+        before = [x.path for x in store.get_file_info(fs.FileSelector(path)) if x.type == fs.FileType.File] if self.overwrite else []
+        for m in messages:
+            if m is not None:
+                store.move(f"{path}/_{self.job}/{m.name}", f"{path}/{m.name}")
+        for old in before:
+            store.delete_file(old)
+        self._clear(store, path)
 
+    def abort(self, messages: list[_Written | None]) -> None:
+        self._clear(*_store(self.path))
 
-def parse(data: bytes) -> list[dict]:
-    """Records of decompressed WARC bytes: header fields in lower case, and ``block``."""
-    out, at = [], 0
-    while (end := data.find(b"\r\n\r\n", at)) >= 0:
-        lines = data[at:end].decode().split(CRLF)
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(fields.get("content-length", 0))
-        out.append({**fields, "block": data[end + 4 : end + 4 + size]})
-        at = end + 8 + size
-    return out
+    def _clear(self, store, path: str) -> None:
+        from pyarrow import fs
+
+        if store.get_file_info(f"{path}/_{self.job}").type == fs.FileType.Directory:
+            store.delete_dir(f"{path}/_{self.job}")
+
+
+def write_warc(records: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Records (of ``derive`` or ``response_records``) as ``.warc.gz`` files in the folder ``path``."""
+    records.sparkSession.dataSource.register(WarcSource)
+    kept = [c for c in records.columns if c in FIELDS or c in ("fields", "block")]
+    rows = records.select(*kept)
+    if "block_digest" not in kept:
+        rows = rows.withColumn("block_digest", F.concat(F.lit("sha256:"), F.sha2(F.col("block").cast("binary"), 256)))
+    rows.write.format("warc").mode(mode).save(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """warc_type, record_id, refers_to, target_uri, block_digest and block of a written table."""
-    names = {"warc_type": "warc-type", "record_id": "warc-record-id", "refers_to": "warc-refers-to", "target_uri": "warc-target-uri", "block_digest": "warc-block-digest"}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                found = parse(gzip.decompress(data))
-                columns = [pa.array([r.get(x, "").strip("<>") if x in r else None for r in found], pa.string()) for x in names.values()]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([r["block"] for r in found], pa.binary())], names=[*names, "block"])
-
-    return spark.read.parquet(path).select("data").mapInArrow(run, "warc_type string, record_id string, refers_to string, target_uri string, block_digest string, block binary")
+    """All records of a WARC file or of a folder's files (see ``STORED`` for the columns)."""
+    spark.dataSource.register(WarcSource)
+    return spark.read.format("warc").load(path)
 
 
 #: The same derivation for DuckDB, over the view ``pages``.
@@ -182,7 +377,8 @@ WITH responses AS (
   SELECT *, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[ \t\n\r\f\x0B]+', ' ', 'g')) AS plain,
     'urn:uuid:' || substr(mh, 1, 8) || '-' || substr(mh, 9, 4) || '-' || substr(mh, 13, 4) || '-' || substr(mh, 17, 4) || '-' || substr(mh, 21, 12) AS mid,
     'urn:uuid:' || substr(ch, 1, 8) || '-' || substr(ch, 9, 4) || '-' || substr(ch, 13, 4) || '-' || substr(ch, 17, 4) || '-' || substr(ch, 21, 12) AS cid,
-    'http-status: 200' || chr(13) || chr(10) || 'source-content-type: text/html' || chr(13) || chr(10) || 'source-payload-length: ' || strlen(payload) || chr(13) || chr(10) || 'source-payload-digest: ' || pd || chr(13) || chr(10) || 'source-block-digest: ' || bd || chr(13) || chr(10) AS facts FROM hashed
+    'http-status: 200' || chr(13) || chr(10) || 'source-content-type: text/html' || chr(13) || chr(10) || 'source-payload-length: ' || strlen(payload) || chr(13) || chr(10) || 'source-payload-digest: ' || pd || chr(13) || chr(10) || 'source-block-digest: ' || bd || chr(13) || chr(10)
+      || 'source-header: Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'source-header: Content-Length: ' || strlen(payload) || chr(13) || chr(10) AS facts FROM hashed
 ), both_kinds AS (
   SELECT page_id, 'metadata' AS warc_type, mid AS record_id, rid AS refers_to, NULL::VARCHAR AS concurrent_to, target_uri, 'application/warc-fields' AS content_type, facts AS block, pd, bd FROM texts
   UNION ALL
