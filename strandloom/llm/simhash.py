@@ -31,18 +31,24 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, map_lists
+from .common import durable, join_hot, map_lists, sorted_groups
 
 WORDS = 3
 BUDGET = 2
 SEED = 42
 #: Fingerprints of a subtree that one step of the join takes.
 MOST = 4096
-#: Near copies: words of a shingle, least Jaccard similarity, bands of MinHash values and values of
-#: each, and the pairs for each row of a bucket up to which all are compared.
+#: Near copies: words of a shingle, least Jaccard similarity, bands of MinHash values and values of each.
 NEAR_WORDS = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 40, 5
+BANDS, ROWS = 24, 5
+#: The least share of equal values that two texts of the least similarity have, five standard deviations
+#: under it.
+ESTIMATE = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / (BANDS * ROWS)) ** 0.5
+#: Texts of a bucket that one step compares, and texts and shingles of a group that one step verifies.
+#: What is larger is cut up, see ``grouped`` and ``near_links``.
+BUCKET_TEXTS, GROUP_TEXTS, GROUP_SHINGLES = 4096, 8192, 1 << 22
+#: Of buckets cut up, the pairs for each row up to which all are compared.
 PAIRS_A_ROW = 8
 SALTS, FACTORS = np.random.default_rng(SEED).integers(1, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.uint64(1)
 #: Where the counts of a byte's values begin, and the values' bits.
@@ -247,9 +253,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     these, and moves to where the pointers lead in the end. Links between nodes of the same label fall out, so later
     rounds are small; what is left is counted, and the rounds end when nothing is.
     """
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b"))).distinct()
-    labels = durable(nodes.withColumn("component", F.col("node")))
     left = durable(edges.select("a", "b").distinct())
+    nodes = left.select(F.col("a").alias("node")).union(left.select(F.col("b"))).distinct()
+    labels = durable(nodes.withColumn("component", F.col("node")))
     for _ in range(rounds):
         if left.isEmpty():
             return labels
@@ -283,8 +289,8 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, budget: int = BUDG
     # Components of fingerprints get the smallest key of all their fingerprints.
     least = found.join(smallest.withColumnRenamed("fp", "node"), "node").groupBy("component").agg(F.min("smallest").alias("component_id"))
     named = found.join(least, "component").select(F.col("node").alias("fp"), "component_id")
-    of = smallest.join(named, "fp", "left").select("fp", F.coalesce("component_id", "smallest").alias("component_id"))
-    return prints.join(of, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = durable(smallest.join(named, "fp", "left").select("fp", F.coalesce("component_id", "smallest").alias("component_id")))
+    return join_hot(prints, of, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(documents: DataFrame, words: int = WORDS, budget: int = BUDGET, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -319,11 +325,16 @@ def rolled(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def buckets(shingles: np.ndarray) -> np.ndarray:
-    """A hash of each band of ``ROWS`` MinHash values of a set of hashes, ``BANDS`` in all."""
+def least_hashes(shingles: np.ndarray) -> np.ndarray:
+    """MinHash values of a set of hashes, ``BANDS`` times ``ROWS``."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
     for at in range(0, len(shingles), 1024):
         np.minimum(least, ((shingles[at : at + 1024, None] ^ SALTS) * FACTORS).min(axis=0), out=least)
+    return least
+
+
+def buckets(least: np.ndarray) -> np.ndarray:
+    """A hash of each band of MinHash values."""
     out = np.arange(1, BANDS + 1, dtype=np.uint64)
     for value in least.reshape(BANDS, ROWS).T:
         out = (out ^ value) * np.uint64(0x9E3779B97F4A7C15)
@@ -331,6 +342,11 @@ def buckets(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketch(least: np.ndarray) -> bytes:
+    """A byte of each MinHash value."""
+    return ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
 def words_of(table: WordHashes, text: str | None) -> np.ndarray:
     found = (text or "").encode().lower().split()
     return np.fromiter(map(table.__getitem__, found), np.uint64, len(found))
@@ -342,48 +358,202 @@ def _digest(text: str) -> Column:
 
 def near_texts(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per different text of rows with a key: node (a number), md5, its smallest key, n (five-word
-    shingles, all different) and bands (see ``buckets``)."""
+    shingles, all different), bands (see ``buckets``) and sketch."""
 
     def make():
         table = WordHashes()
 
         def each(texts):
             sets = [np.unique(rolled(words_of(table, x), NEAR_WORDS)) for x in texts]
-            return [[*range(len(texts))], [len(x) for x in sets], [buckets(x).view(np.int64) for x in sets]]
+            least = [least_hashes(x) for x in sets]
+            return [[*range(len(texts))], [len(x) for x in sets], [buckets(x).view(np.int64) for x in least], [sketch(x) for x in least]]
 
         return each
 
-    rows = documents.where(F.col(key).isNotNull()).select(F.struct(F.col(key).alias("key"), _digest(text).alias("md5")).alias("id"), text)
-    prints = map_lists(rows, make, {"n": "long", "bands": "array<long>"}, keep="id").select("id.*", "n", "bands")
-    return durable(prints.groupBy("md5").agg(F.min("key").alias("key"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
+    rows = documents.where(F.col(key).isNotNull()).select(F.struct(F.col(key).alias("key"), _digest(text).alias("md5")).alias("id"), F.col(text).alias("text"))
+    prints = map_lists(rows, make, {"n": "long", "bands": "array<long>", "sketch": "binary"}, keep="id").select("id.*", "n", F.struct("bands", "sketch").alias("made"))
+    least = prints.groupBy("md5").agg(F.min("key").alias("key"), F.any_value("n").alias("n"), F.any_value("made").alias("made"))
+    return durable(least.select(F.monotonically_increasing_id().alias("node"), "md5", "key", "n", "made.*"))
+
+
+def reached(size: int, like: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join positions as ``like(i, others)`` does, a spanning forest of it: every position is
+    held once against those not reached yet."""
+    left, first, second = np.arange(size), [], []
+    while len(left) > 1:
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            hit = like(i, left)
+            found = left[hit]
+            first.append(np.full(len(found), i))
+            second.append(found)
+            queue += found.tolist()
+            left = left[~hit]
+    return np.concatenate([np.empty(0, np.int64), *first]).astype(np.int64), np.concatenate([np.empty(0, np.int64), *second]).astype(np.int64)
+
+
+def resembling(n: np.ndarray, sketches: np.ndarray) -> Callable[[int, np.ndarray], np.ndarray]:
+    """May texts have the least similarity, by their numbers of shingles and sketches?"""
+
+    def like(i: int, others: np.ndarray) -> np.ndarray:
+        fit = np.minimum(n[i], n[others]) >= SIMILARITY * np.maximum(n[i], n[others])
+        at = np.flatnonzero(fit)
+        fit[at] = (sketches[others[at]] == sketches[i]).mean(axis=1) >= ESTIMATE
+        return fit
+
+    return like
+
+
+def verified(n: np.ndarray, sketches: np.ndarray, shingles: np.ndarray) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Do texts have the least similarity? ``shingles``: those of all texts, ascending within a text."""
+    may, begin = resembling(n, sketches), np.concatenate([[0], np.cumsum(n)])
+
+    def like(i: int, others: np.ndarray) -> np.ndarray:
+        fit = may(i, others)
+        at = np.flatnonzero(fit)
+        if len(at) and n[i]:
+            own, sizes = shingles[begin[i] : begin[i + 1]], n[others[at]]
+            ends = np.cumsum(sizes)
+            places = np.repeat(begin[others[at]] - ends + sizes, sizes) + np.arange(ends[-1])
+            spot = np.searchsorted(own, shingles[places])
+            there = own[np.minimum(spot, len(own) - 1)] == shingles[places]
+            common = np.add.reduceat(there, ends - sizes, dtype=np.int64)
+            fit[at] = common >= SIMILARITY * (sizes + n[i] - common)
+        return fit
+
+    return like
 
 
-def near_links(texts: DataFrame, documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Links (a, b) between nodes of ``texts`` (``near_texts``) that are near copies: their sets of
-    five-word shingles (fewer words: the whole sequence) have a Jaccard similarity of ``SIMILARITY``.
-    Not all such pairs, but enough for the same components. Texts of no word are near copies.
+def _bytes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), BANDS * ROWS)
 
-    Candidates share a bucket, that is a band of MinHash values; a pair at the least similarity shares
-    none with a probability of (1 - 0.8 ** 5) ** 40, about 1e-7. Every candidate is verified on
-    the shingles before it joins anything. A family of many near copies isn't compared pair by pair: of each bucket the
-    text that meets most others is compared with all of the bucket and then leaves it. Buckets whose
-    texts are all joined are done. Once the pairs that are left are few for the number of rows,
-    they are all compared.
+
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin and end."""
+    return np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]])
+
+
+def grouped(texts: DataFrame) -> DataFrame:
+    """node and component of texts that may be near copies of others: a component holds all near copies
+    of its texts, and some more.
+
+    Texts meet in a bucket, that is a band of MinHash values; a pair at the least similarity shares
+    none with a probability of (1 - 0.8 ** 5) ** 24, under 1e-4. Within a bucket they are compared by
+    their sketches; links that join them the same way come out, fewer than texts. A bucket of over
+    ``BUCKET_TEXTS`` isn't compared but joined as it is.
     """
-    rows = texts.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    members = durable(rows.join(shared, "bucket").withColumn("label", F.col("node")))
+    rows = texts.select("node", F.explode("bands").alias("bucket"))
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("low")).where("size > 1")
+    shared = durable(rows.join(sizes, "bucket"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sorted_groups(batches, "bucket"):
+            node, n = batch.column("node").to_numpy(), batch.column("n").to_numpy()
+            sketches, ends = _bytes(batch.column("sketch")), _runs(batch.column("bucket").to_numpy())
+            first, second = [], []
+            pairs = ends[:-1][np.diff(ends) == 2]  # most buckets: all of them at once
+            alike = (np.minimum(n[pairs], n[pairs + 1]) >= SIMILARITY * np.maximum(n[pairs], n[pairs + 1])) & ((sketches[pairs] == sketches[pairs + 1]).mean(axis=1) >= ESTIMATE)
+            first.append(pairs[alike])
+            second.append(pairs[alike] + 1)
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                if b - a > 2:
+                    i, j = reached(b - a, resembling(n[a:b], sketches[a:b]))
+                    first.append(i + a)
+                    second.append(j + a)
+            i, j = np.concatenate(first), np.concatenate(second)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
+
+    small = shared.where(F.col("size") <= BUCKET_TEXTS).join(texts.select("node", "n", "sketch"), "node").select("bucket", "node", "n", "sketch")
+    near = small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
+    large = shared.where((F.col("size") > BUCKET_TEXTS) & (F.col("node") > F.col("low"))).select(F.col("low").alias("a"), F.col("node").alias("b"))
+    return components(near.unionByName(large))
+
+
+def whole_texts(documents: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """node and s (its shingles, ascending) of the rows of ``wanted`` (node, key, md5)."""
 
     def shingled():
         table = WordHashes()
         return lambda found: [[*range(len(found))], [np.unique(rolled(words_of(table, x), NEAR_WORDS)).view(np.int64) for x in found]]
 
-    wanted = texts.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("key").alias("_key"), F.col("md5").alias("_first"))
-    named = documents.select(key, _digest(text).alias("_md5"), text)
-    whole = named.join(wanted, (F.col("_md5") == F.col("_first")) & (F.col(key) == F.col("_key"))).select("node", text)
-    shingles = durable(map_lists(whole, shingled, {"s": "array<long>"}, keep="node").groupBy("node").agg(F.any_value("s").alias("s")))
+    named = documents.select(F.col(key).alias("_key"), _digest(text).alias("_md5"), F.col(text).alias("text"))
+    whole = named.join(wanted.select("node", "key", "md5"), (F.col("_md5") == F.col("md5")) & (F.col("_key") == F.col("key"))).select("node", "text")
+    return map_lists(whole, shingled, {"s": "array<long>"}, keep="node").groupBy("node").agg(F.any_value("s").alias("s"))
+
 
-    def verified(pairs: DataFrame) -> DataFrame:
+def near_components(texts: DataFrame, documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """node and component (its smallest node) of the texts of ``near_texts`` that have near copies: sets
+    of five-word shingles (fewer words: the whole sequence) with a Jaccard similarity of
+    ``SIMILARITY``. Texts of no word are near copies.
+
+    Every link is verified on the shingles. The groups of ``grouped`` are verified in a task each, all
+    pairs that aren't joined yet; those of over ``GROUP_TEXTS`` texts or ``GROUP_SHINGLES`` shingles go
+    through ``near_links``, which no task holds.
+    """
+    held = texts.select("node", "key", "md5", "n").join(grouped(texts), "node")
+    sizes = held.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
+    held = durable(held.join(sizes, "component"))
+    fits = (F.col("size") <= GROUP_TEXTS) & (F.col("total") <= GROUP_SHINGLES)
+    shingles = durable(whole_texts(documents, held, key, text))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sorted_groups(batches, "component"):
+            node, n, sketches = batch.column("node").to_numpy(), batch.column("n").to_numpy(), _bytes(batch.column("sketch"))
+            s = batch.column("s").flatten().to_numpy().view(np.uint64)
+            ends, begin = _runs(batch.column("component").to_numpy()), np.concatenate([[0], np.cumsum(n)])
+            nodes, roots = [], []
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                i, j = reached(b - a, verified(n[a:b], sketches[a:b], s[begin[a] : begin[b]]))
+                root = _roots(node[a:b], i, j)
+                linked = np.zeros(b - a, bool)
+                linked[i] = linked[j] = True
+                nodes.append(node[a:b][linked])
+                roots.append(root[linked])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(roots))], names=["node", "component"])
+
+    small = held.where(fits).select("component", "node", "n").join(shingles, "node").join(texts.select("node", "sketch"), "node")
+    found = small.select("component", "node", "n", "sketch", "s").repartition("component").sortWithinPartitions("component").mapInArrow(run, "node long, component long")
+    large = held.where(~fits).select("node")
+    if large.isEmpty():
+        return found
+    return found.unionByName(components(near_links(texts.join(large, "node", "left_semi"), shingles)))
+
+
+def _roots(names: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The smallest name that each position reaches by links of a forest as ``reached`` makes it: the
+    first end of a link was reached before."""
+    root = list(range(len(names)))
+    for i, j in zip(first.tolist(), second.tolist(), strict=True):
+        root[j] = i
+    for i in range(len(root)):
+        path, at = [], i
+        while root[at] != at:
+            path.append(at)
+            at = root[at]
+        for x in path:
+            root[x] = at
+    least: dict[int, int] = {}
+    for i, r in enumerate(root):
+        least[r] = min(least.get(r, names[i]), names[i])
+    return np.array([least[r] for r in root], np.int64)
+
+
+def near_links(texts: DataFrame, shingles: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes of ``texts`` (``near_texts``) that are near copies: not all such pairs,
+    but enough for the same components. ``shingles``: node and s.
+
+    For groups that no task holds: buckets aren't gathered, pairs meet by joins. Every candidate is
+    verified before it joins anything. A family of many near copies isn't compared pair by pair: of each
+    bucket the text that meets most others is compared with all of the bucket and then leaves it.
+    Buckets whose texts are all joined are done. Once the pairs that are left are few for the number of
+    rows, they are all compared.
+    """
+    rows = texts.select("node", "n", F.explode("bands").alias("bucket"))
+    common = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
+    members = durable(rows.join(common, "bucket").withColumn("label", F.col("node")))
+
+    def checked(pairs: DataFrame) -> DataFrame:
         both = pairs.distinct().join(shingles.toDF("a", "sa"), "a").join(shingles.toDF("b", "sb"), "b")
         common = F.size(F.array_intersect("sa", "sb"))
         return durable(both.where(common >= SIMILARITY * (F.size("sa") + F.size("sb") - common)).drop("sa", "sb"))
@@ -402,14 +572,14 @@ def near_links(texts: DataFrame, documents: DataFrame, key: str = "doc_id", text
             break
         if apart <= PAIRS_A_ROW * rows_left:
             others = live.select("bucket", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-            last = verified(live.join(others, "bucket").where((F.col("label") < F.col("label2")) & sizes_fit).select(*pair))
+            last = checked(live.join(others, "bucket").where((F.col("label") < F.col("label2")) & sizes_fit).select(*pair))
             found = last if found is None else found.unionByName(last)
             break
         degree = live.groupBy("node").agg(F.sum("size").alias("degree"))
         center = F.max(F.struct("degree", "node", "n", "label")).alias("c")
         centers = live.join(degree, "node").groupBy("bucket").agg(center).select("bucket", F.col("c.node").alias("node2"), F.col("c.n").alias("n2"), F.col("c.label").alias("label2"), F.col("c.degree").alias("degree2"))
         beside = durable(live.drop("size").join(centers, "bucket").where("node <> node2"))
-        star = verified(beside.where((F.col("label") != F.col("label2")) & sizes_fit).select(F.col("node").alias("a"), F.col("node2").alias("b"), "label2", "degree2"))
+        star = checked(beside.where((F.col("label") != F.col("label2")) & sizes_fit).select(F.col("node").alias("a"), F.col("node2").alias("b"), "label2", "degree2"))
         part = star.select("a", "b")
         found = part if found is None else found.unionByName(part)
         # Equal labels mean joined texts; each takes the label of its most central neighbour.
@@ -422,14 +592,15 @@ def near_links(texts: DataFrame, documents: DataFrame, key: str = "doc_id", text
 
 def keep_one_near(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``documents``, all columns as they are, with one row of each group of copies and near copies
-    (components of ``near_links``): that of the smallest key (and md5, where texts share a key), any
-    one where that key is repeated with the same text. Rows without a key can't be named and stay."""
+    (``near_components``): that of the smallest key (and md5, where texts share a key), any one where
+    that key is repeated with the same text. Rows without a key can't be named and stay. A null text is
+    the empty text; an empty table gives an empty one."""
     texts = near_texts(documents, key, text)
-    named = documents.where(F.col(key).isNotNull())
-    found = components(near_links(texts, documents, key, text)).join(texts.select("node", F.struct("key", "md5").alias("id")), "node")
+    found = durable(near_components(texts, documents, key, text).join(texts.select("node", F.struct("key", "md5").alias("id")), "node"))
     best = found.groupBy("component").agg(F.min("id").alias("best"))
     gone = found.join(best, "component").where("id <> best").select("node")
-    firsts = texts.join(gone, "node", "left_anti").select(F.col("md5").alias("_first"), F.col("key").alias("_key"))
-    here = (F.col("_md5") == F.col("_first")) & (F.col(key) == F.col("_key"))
-    one = named.withColumn("_md5", _digest(text)).join(firsts, here, "left_semi").dropDuplicates([key, "_md5"]).drop("_md5")
-    return one.unionByName(documents.where(F.col(key).isNull()))
+    firsts = texts.join(gone, "node", "left_anti").select("key", "md5")
+    rows = documents.select(F.col(key).alias("_key"), _digest(text).alias("_md5"), F.struct("*").alias("_row"))
+    here = (F.col("_md5") == F.col("md5")) & (F.col("_key") == F.col("key"))
+    one = rows.where("_key IS NOT NULL").join(firsts, here, "left_semi").dropDuplicates(["_key", "_md5"])
+    return one.unionByName(rows.where("_key IS NULL")).select("_row.*")
