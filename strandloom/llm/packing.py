@@ -7,27 +7,33 @@ sequences. Pieces of one length are interchangeable, so the problem is a histogr
 sizes share a sequence) with multiplicities. That bounded problem is solved in one place:
 
 * best-fit decreasing gives the first incumbent;
-* bin completion takes the largest size left, enumerates its undominated fillings, the fullest
-  first, and uses one as often as the counts allow; the waste so far is checked against what the
-  incumbent leaves to waste, and a branch that can't beat it is dropped;
-* every node of the search is completed by best fit, and a better completion is the new incumbent.
-
-The search ends when the incumbent meets the lower bound, or after ``nodes`` nodes.
+* bin completion takes the largest size left and enumerates the undominated fillings of the room beside
+  it, of any number of pieces, the fullest first. A filling is dominated if some of its pieces could
+  give way to one left-over piece that takes up no less (Martello and Toth). Each branches into its
+  use as often as the counts allow and its use once;
+* the waste so far is checked against what a better packing than the incumbent may waste, and only
+  fillings within it are made; a state that was met with as few sequences is left;
+* nodes are completed by best fit, and a better completion is the new incumbent: every node with fewer
+  than 32 sizes left, and of wider ones one in so many nodes as 32 goes into its sizes.
+
+The search ends when the incumbent meets the lower bound or everything is tried, or else after
+``work`` steps (about a size or a partial filling looked at each), where the incumbent stands.
 
 Documents then find their places without any being gathered: pieces are numbered within (length,
 bucket), buckets get offsets from a table of counts, and a number within a length falls in the range
-of one pattern slot.
+of one slot of a pattern, looked for among those of its bucket's range.
 
 Edge cases. A null or empty text is the end id alone. Repeated rows and ids are pieces of their own.
-Extra columns are dropped; an empty table gives an empty result.
+Extra columns are dropped; an empty table gives an empty result. The name of a special token in a text
+is that token, as the tokenizer has it.
 """
 
 from __future__ import annotations
 
 import bisect
 import zlib
-from collections import Counter, deque
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -37,8 +43,10 @@ from .common import durable, map_lists
 
 LENGTH = 2048
 END_ID = 0
-NODES = 4000
-FILLINGS = 6
+#: Steps of the search, a few seconds' worth.
+WORK = 400_000
+#: The special token that is not in the rank file.
+SPECIAL = {"<|endoftext|>": 50_256}
 
 Patterns = list[tuple[tuple[int, ...], int]]
 
@@ -47,7 +55,7 @@ Patterns = list[tuple[tuple[int, ...], int]]
 
 
 def tokenizer(path: str) -> Callable[[str], list[int]]:
-    """Ids of a text without special tokens, by a ``.json`` or ``.tiktoken`` vocabulary file."""
+    """Ids of a text, no special token added, by a ``.json`` or ``.tiktoken`` vocabulary file."""
     if path.endswith(".tiktoken"):
         import base64
 
@@ -56,11 +64,12 @@ def tokenizer(path: str) -> Callable[[str], list[int]]:
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        held = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+        named = lambda text: held.encode(text, allowed_special="all")
+        return lambda text: named(text) if any(x in text for x in SPECIAL) else held.encode_ordinary(text)
     from tokenizers import Tokenizer
 
     held = Tokenizer.from_file(path)
-    held.encode_special_tokens = True
     return lambda text: held.encode(text, add_special_tokens=False).ids
 
 
@@ -144,61 +153,91 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def fillings(counts: dict[int, int], sizes: list[int], room: int, most: int = FILLINGS) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``room``, the fullest first.
-
-    One size that fills the room exactly dominates everything. Otherwise: the largest single size
-    that fits, and pairs and triples that fill more than it does; a pair whose parts could be
-    swapped for a single size not smaller than their sum, within the room, is dominated by it.
-    """
-    if room <= 0 or not sizes or sizes[0] > room:
-        return [()]
-    if counts.get(room):
-        return [(room,)]
-    top = sizes[bisect.bisect_right(sizes, room) - 1]
-    found = [(top, (top,))]
-    tried = 0
-    for i in range(bisect.bisect_right(sizes, room) - 1, -1, -1):
-        a = sizes[i]
-        rest = room - a
-        j = min(bisect.bisect_right(sizes, rest) - 1, i)
-        if j == i and counts[a] < 2:
-            j -= 1
-        if j >= 0:
-            b = sizes[j]
-            last = rest - b
-            k = min(bisect.bisect_right(sizes, last) - 1, j)
-            need = Counter((a, b))
-            while k >= 0 and counts[sizes[k]] <= need[sizes[k]]:
-                k -= 1
-            part = (a, b) if k < 0 else (a, b, sizes[k])
-            found.append((sum(part), part))
-        tried += 1
-        if tried >= 400 or (found and max(found)[0] == room and len(found) > most):
-            break
-    found = sorted(set(found), key=lambda x: (-x[0], len(x[1]), x[1]))
-    kept: list[tuple[int, ...]] = []
-    for total, part in found:
-        if not any(_dominates(other, part) for other in kept):
-            kept.append(part)
-        if len(kept) == most or total < top:
-            break
-    return kept
-
-
-def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """Can the sizes of b be shared out among the sizes of a as if these were bins?"""
-    rooms = list(a)
-    for size in sorted(b, reverse=True):
-        fits = [i for i, r in enumerate(rooms) if r >= size]
-        if not fits:
-            return False
-        i = min(fits, key=lambda i: rooms[i])
-        rooms[i] -= size
-    return True
-
-
-def bin_completion(counts: dict[int, int], capacity: int = LENGTH, nodes: int = NODES) -> Patterns:
+def sums(counts: dict[int, int], sizes: list[int], room: int) -> list[int]:
+    """For each k the sums up to ``room`` of some of the first k sizes, within their counts, as bits."""
+    now, out = 1, [1]
+    whole = (1 << room + 1) - 1
+    for size in sizes:
+        left, step = min(counts[size], room // size), 1
+        while left > 0:
+            step = min(step, left)
+            now |= now << size * step
+            left -= step
+            step *= 2
+        now &= whole
+        out.append(now)
+    return out
+
+
+def fillings(counts: dict[int, int], sizes: list[int], room: int, waste: int, work: list[int]) -> Iterator[tuple[int, ...]]:
+    """Undominated ways to fill ``room`` but for at most ``waste``, the fullest first and of equally full
+    ones those of larger pieces, but for a first pair. ``sizes``: those with a count, ascending.
+    ``work``: the steps left; there are no more fillings after them."""
+    sizes = sizes[: bisect.bisect_right(sizes, room)]
+    if sizes and sizes[-1] == room:  # a piece that fills the room dominates everything
+        yield (room,)
+        return
+    first = next(((a, room - a) for a in reversed(sizes) if 2 * a >= room and counts.get(room - a, 0) > (2 * a == room)), None)
+    if first:
+        yield first
+    bits = sums(counts, sizes, room)
+    work[0] -= len(sizes)
+    there = 0
+    for size in sizes:
+        there |= 1 << size
+    for total in range(room, max(room - waste, 0) - 1, -1):
+        if bits[-1] >> total & 1:
+            for part in _adding_up(counts, sizes, bits, total, work):
+                if part != first and not _dominated(counts, there, part, room - total):
+                    yield part
+
+
+def _adding_up(counts: dict[int, int], sizes: list[int], bits: list[int], total: int, work: list[int]) -> Iterator[tuple[int, ...]]:
+    """The ways to add up to ``total``. None is begun that can't be ended."""
+    stack = [(len(sizes), total, ())]
+    while stack and work[0] > 0:
+        work[0] -= 1
+        k, total, part = stack.pop()
+        if not total:
+            yield part
+            continue
+        k = bisect.bisect_right(sizes, total, 0, k)
+        if not k or not bits[k] >> total & 1:
+            continue
+        size = sizes[k - 1]
+        # Of several the last is taken up first: more of the larger.
+        for n in range(min(counts[size], total // size) + 1):
+            if bits[k - 1] >> total - n * size & 1:
+                stack.append((k - 1, total - n * size, part + (size,) * n))
+
+
+def _dominated(counts: dict[int, int], there: int, part: tuple[int, ...], room: int) -> bool:
+    """Is there a left-over piece that none, one or more of the filling's pieces could give way to,
+    without overflow, and that takes up no less (more than a single one)?"""
+    used = Counter(part)
+    for size, n in used.items():
+        if n == counts[size]:
+            there ^= 1 << size
+    single = several = 0
+    for size in part:
+        several |= several << size | single << size
+        single |= 1 << size
+    return bool(there & (_smeared(1 << 1, room - 1) | _smeared(single << 1, room - 1) | _smeared(several, room)))
+
+
+def _smeared(bits: int, width: int) -> int:
+    """Every bit and the ``width`` bits above it; nothing for a negative width."""
+    if width < 0:
+        return 0
+    done = 0
+    while done < width:
+        step = min(done + 1, width - done)
+        bits |= bits << step
+        done += step
+    return bits
+
+
+def bin_completion(counts: dict[int, int], capacity: int = LENGTH, work: int = WORK) -> Patterns:
     """Patterns that pack the histogram into few sequences; the best of the search."""
     counts = {s: n for s, n in counts.items() if n}
     if not counts:
@@ -207,57 +246,92 @@ def bin_completion(counts: dict[int, int], capacity: int = LENGTH, nodes: int =
     best = best_fit_decreasing(counts, capacity)
     best_n = sum(n for _, n in best)
     total = sum(s * n for s, n in counts.items())
-    spent = 0
-
-    def dive(counts: dict[int, int], sizes: list[int], chosen: Patterns, used: int, waste: int, width: int) -> None:
-        """Fullest fillings down to the end, then the other fillings of the last levels as branches
-        of their own. The first dive is not counted: it has at most a node per size and filling."""
-        nonlocal best, best_n, spent
-        others: deque = deque(maxlen=64)
-        steps = 0
-        while sizes:
-            if best_n <= bound or spent > nodes or waste > (best_n - 1) * capacity - total:
-                break
-            spent += bool(chosen) and width < 3
-            steps += 1
+    seen: dict[frozenset, int] = {}
+    steps, since = [work], 0
+    # A node: what is left, the sequences used, their waste, how it came about, and its branches.
+    stack: list[tuple] = []
+
+    def enter(counts: dict[int, int], used: int, waste: int, chosen: tuple | None) -> None:
+        nonlocal best, best_n, since
+        steps[0] -= 1 + len(counts) // 8
+        since += 1
+        state = frozenset(counts.items())
+        if seen.get(state, used + 1) <= used:
+            return
+        seen[state] = used
+        if 32 * since >= len(counts):
+            since = 0
+            steps[0] -= 4 * len(counts)
+            rest = best_fit_decreasing(counts, capacity)
+            n = used + sum(times for _, times in rest)
+            if n < best_n:
+                best, best_n = _listed(chosen) + rest, n
+        if counts and best_n > bound:
+            sizes = sorted(counts)
             largest = sizes[-1]
-            ways = fillings_of(counts, sizes, largest)
-            others.extend((counts, sizes, chosen, used, waste, largest, way) for way in ways[1:width])
-            counts, sizes, times = apply(counts, sizes, largest, ways[0])
-            chosen = [*chosen, ((largest, *ways[0]), times)]
-            used += times
-            waste += times * (capacity - largest - sum(ways[0]))
-            if steps % 64 == 0 and sizes:
-                rest = best_fit_decreasing({s: counts[s] for s in sizes}, capacity)
-                if used + sum(n for _, n in rest) < best_n:
-                    best, best_n = chosen + rest, used + sum(n for _, n in rest)
-        if not sizes and used < best_n:
-            best, best_n = chosen, used
-        while others and width > 1 and best_n > bound and spent <= nodes:
-            counts, sizes, chosen, used, waste, largest, way = others.pop()
-            counts, sizes, times = apply(counts, sizes, largest, way)
-            dive(counts, sizes, [*chosen, ((largest, *way), times)], used + times, waste + times * (capacity - largest - sum(way)), width - 1)
-
-    def fillings_of(counts: dict[int, int], sizes: list[int], largest: int) -> list[tuple[int, ...]]:
-        counts = dict(counts)
-        counts[largest] -= 1
-        return fillings(counts, sizes if counts[largest] else sizes[:-1], capacity - largest)
-
-    def apply(counts: dict[int, int], sizes: list[int], largest: int, way: tuple[int, ...]) -> tuple[dict[int, int], list[int], int]:
-        need = Counter((largest, *way))
-        times = min(counts[s] // n for s, n in need.items())
-        counts = {**counts, **{s: counts[s] - times * n for s, n in need.items()}}
-        gone = {s for s in need if not counts[s]}
-        return counts, [s for s in sizes if s not in gone] if gone else sizes, times
-
-    dive(counts, sorted(counts), [], 0, 0, 3)
+            others = dict(counts)
+            others[largest] -= 1
+            if not others[largest]:
+                del others[largest]
+                sizes.pop()
+            ways = fillings(others, sizes, capacity - largest, (best_n - 1) * capacity - total - waste, steps)
+            stack.append((counts, used, waste, chosen, _branches(counts, largest, ways)))
+
+    enter(counts, 0, 0, None)
+    while stack and best_n > bound and steps[0] > 0:
+        counts, used, waste, chosen, branches = stack[-1]
+        pattern, times = next(branches, (None, 0))
+        if not times:
+            stack.pop()
+            continue
+        lost = waste + times * (capacity - sum(pattern))
+        if lost > (best_n - 1) * capacity - total:
+            steps[0] -= 1
+            continue
+        left = dict(counts)
+        for size, n in Counter(pattern).items():
+            left[size] -= times * n
+            if not left[size]:
+                del left[size]
+        enter(left, used + times, lost, (chosen, pattern, times))
     return best
 
 
+def _branches(counts: dict[int, int], largest: int, ways: Iterator[tuple[int, ...]]) -> Iterator[tuple[tuple[int, ...], int]]:
+    for way in ways:
+        pattern = (largest, *way)
+        times = min(counts[s] // n for s, n in Counter(pattern).items())
+        yield pattern, times
+        if times > 1:
+            yield pattern, 1
+
+
+def _listed(chosen: tuple | None) -> Patterns:
+    out = []
+    while chosen is not None:
+        chosen, pattern, times = chosen
+        out.append((pattern, times))
+    return out[::-1]
+
+
 # -- Places ------------------------------------------------------------------------------------
 
 
-def pack(cuts: DataFrame, length: int = LENGTH, nodes: int = NODES) -> DataFrame:
+def slots_of(patterns: Patterns) -> list[tuple[int, int, int, int, int, int]]:
+    """Where the pieces of a length go: those numbered [low, high) of it lie ``each`` to a sequence, from
+    sequence ``first`` and place ``offset`` on. A row per pattern and size of it."""
+    slots, taken, first = [], Counter(), 0
+    for pattern, times in patterns:
+        offset = 0
+        for size, each in Counter(pattern).items():
+            slots.append((size, taken[size], taken[size] + times * each, first, offset, each))
+            taken[size] += times * each
+            offset += size * each
+        first += times
+    return slots
+
+
+def pack(cuts: DataFrame, length: int = LENGTH, work: int = WORK) -> DataFrame:
     """``cuts`` (a row per piece, with ``length``) with sequence_id and offset."""
     spark = cuts.sparkSession
     buckets = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 32)
@@ -267,28 +341,24 @@ def pack(cuts: DataFrame, length: int = LENGTH, nodes: int = NODES) -> DataFrame
     # At most ``length`` rows.
     counts = {r["length"]: r["n"] for r in per_bucket.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     full = counts.pop(length, 0)
-    patterns = bin_completion(counts, length, nodes) + ([((length,), full)] if full else [])
-    slots, taken, first = [], Counter(), 0
-    for pattern, times in patterns:
-        offset = 0
-        for size in pattern:
-            slots.append((size, taken[size], taken[size] + times, first, offset))
-            taken[size] += times
-            offset += size
-        first += times
-    # Slots: bounded by the number of patterns, which the search bounds by sizes and nodes.
-    table = spark.createDataFrame(slots, "length long, low long, high long, first_id long, offset long")
-    by_size = table.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("low", "high", "first_id", "offset"))).alias("slots"))
+    patterns = bin_completion(counts, length, work) + ([((length,), full)] if full else [])
+    # As many slots as the patterns have sizes, which lengths and steps of the search bound.
+    table = spark.createDataFrame(slots_of(patterns), "length long, low long, high long, first long, offset long, each long")
+    by_size = table.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("low", "high", "first", "offset", "each"))).alias("slots"))
+    # Where a bucket's pieces begin among those of its length, and the slots that they fall in.
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    begun = per_bucket.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(by_size, "length")
+    meets = F.filter("slots", lambda s: (s["low"] < F.col("before") + F.col("n")) & (F.col("before") < s["high"]))
+    ranges = begun.select("length", "bucket", "before", meets.alias("slots"))
     within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = sized.withColumn("rank", F.row_number().over(within) - 1)
-    placed = ranked.join(offsets, ["length", "bucket"]).withColumn("number", F.col("rank") + F.col("before"))
-    found = placed.join(F.broadcast(by_size), "length").withColumn("slot", F.filter("slots", lambda s: (s["low"] <= F.col("number")) & (F.col("number") < s["high"]))[0])
-    kept = [c for c in cuts.columns]
-    return found.select(*kept, (F.col("slot.first_id") + F.col("number") - F.col("slot.low")).alias("sequence_id"), F.col("slot.offset").alias("offset"))
+    placed = ranked.join(ranges, ["length", "bucket"]).withColumn("number", F.col("rank") + F.col("before"))
+    found = placed.withColumn("slot", F.filter("slots", lambda s: (s["low"] <= F.col("number")) & (F.col("number") < s["high"]))[0])
+    at = F.col("number") - F.col("slot.low")
+    sequence = F.col("slot.first") + F.floor(at / F.col("slot.each"))
+    return found.select(*cuts.columns, sequence.alias("sequence_id"), (F.col("slot.offset") + at % F.col("slot.each") * F.col("length")).alias("offset"))
 
 
-def pack_documents(documents: DataFrame, vocabulary: str, length: int = LENGTH, nodes: int = NODES) -> DataFrame:
+def pack_documents(documents: DataFrame, vocabulary: str, length: int = LENGTH, work: int = WORK) -> DataFrame:
     """Pieces of all documents with their places in sequences."""
-    return pack(pieces(documents, vocabulary, length), length, nodes)
+    return pack(pieces(documents, vocabulary, length), length, work)
