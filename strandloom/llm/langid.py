@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_lists, sampled, spread
+from .common import map_lists, parts_of, sampled, spread
 
 UNKNOWN = "und"
 DIMENSION = 1024
@@ -29,6 +29,11 @@ ORDER = 3
 #: The prototypes are a classifier; they are fitted on about this many of the labelled rows at most.
 TRAINING_ROWS = 20_000
 SEED = 20_011
+#: How often two n-grams of a language are equal, for the cosine that a text of so many is expected to
+#: have; the share of it that makes a language known; standard deviations of chance cosines allowed.
+COLLISION = 0.002
+LEAST_SHARE = 0.5
+CHANCE = 3.0
 
 
 class Profiles:
@@ -82,7 +87,7 @@ class Profiles:
         return code
 
     def bundle(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The vector of each text, and whether it has any n-gram."""
+        """The vector of each text, and its number of n-grams."""
         found = [np.unique(self.codes(x), return_counts=True) if x else (np.empty(0, np.int64), np.empty(0, np.int64)) for x in texts]
         vectors = np.zeros((len(texts), self.dimension), np.float32)
         for at in range(0, len(texts), 64):  # one product for some texts: it shares the look-ups
@@ -95,7 +100,7 @@ class Profiles:
                 counts[who[here], inverse[here] - low] = np.concatenate([n for _, n in part])[here]
                 places = self.places(codes[low : low + 4096])
                 vectors[at : at + 64] += counts @ self.table[places]
-        return vectors, np.array([len(c) > 0 for c, _ in found], bool)
+        return vectors, np.array([n.sum() for _, n in found], np.int64)
 
 
 _LETTERS = np.zeros(0, bool)
@@ -128,11 +133,11 @@ def learn(labelled: DataFrame, dimension: int = DIMENSION, order: int = ORDER, r
         profiles = Profiles(dimension, order)
 
         def each(texts, languages):
-            vectors, there = profiles.bundle(texts)
+            vectors, size = profiles.bundle(texts)
             vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
             names = sorted(set(languages))
             of = np.array([names.index(x) for x in languages])
-            return [names, [np.rint(vectors[(of == i) & there].sum(axis=0) * 1e6).astype(np.int64).tolist() for i in range(len(names))]]
+            return [names, [np.rint(vectors[(of == i) & (size > 0)].sum(axis=0) * 1e6).astype(np.int64).tolist() for i in range(len(names))]]
 
         return each
 
@@ -151,7 +156,7 @@ def learn(labelled: DataFrame, dimension: int = DIMENSION, order: int = ORDER, r
 
 
 def scorer(model: Prototypes) -> Callable[[list[str | None]], list[list]]:
-    """A function from texts to predicted languages and scores.
+    """A function from texts to predicted languages, scores and numbers of n-grams.
 
     The score is the cosine of the text with its language's prototype, at least 0.
     """
@@ -160,15 +165,16 @@ def scorer(model: Prototypes) -> Callable[[list[str | None]], list[list]]:
     centred = centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-9)
 
     def each(texts: list[str | None]) -> list[list]:
-        vectors, there = profiles.bundle(texts)
+        vectors, size = profiles.bundle(texts)
         if not model.languages:
-            return [[UNKNOWN] * len(texts), [0.0] * len(texts)]
+            return [[UNKNOWN] * len(texts), [0.0] * len(texts), size.tolist()]
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
         best = np.argmax(np.round(vectors @ centred.T, 5), axis=1)
         cosine = np.round(np.clip((vectors * model.vectors[best]).sum(axis=1), 0, 1).astype(float), 5)
         return [
-            [model.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), there.tolist(), strict=True)],
-            [c if ok else 0.0 for c, ok in zip(cosine.tolist(), there.tolist(), strict=True)],
+            [model.languages[b] if n else UNKNOWN for b, n in zip(best.tolist(), size.tolist(), strict=True)],
+            [c if n else 0.0 for c, n in zip(cosine.tolist(), size.tolist(), strict=True)],
+            size.tolist(),
         ]
 
     return each
@@ -180,15 +186,25 @@ def predict(documents: DataFrame, model: Prototypes, key: str = "doc_id", text:
 
     def make():
         each = scorer(shared.value)
-        return lambda texts: [[*range(len(texts))], *each(texts)]
+        return lambda texts: [[*range(len(texts))], *each(texts)[:2]]
 
     return map_lists(documents.select(key, text), make, {"lang_pred": "string", "score": "double"}, keep=key)
 
 
-def keep_identified(documents: DataFrame, model: Prototypes, least: float, short: int = 100) -> DataFrame:
+def least_cosine(n: int, dimension: int, share: float = LEAST_SHARE) -> float:
+    """The cosine with its language's prototype from which a text of n n-grams is identified.
+
+    A text whose n-grams are drawn from the language has an expected cosine of sqrt(n c / (1 + n c)),
+    c being the chance that two are equal, and chance adds a deviation of 1 / sqrt(dimension). So a few
+    n-grams say nothing, and many have to come near to the prototype.
+    """
+    expected = (n * COLLISION / (1 + n * COLLISION)) ** 0.5
+    return max(0.0, share * expected - CHANCE / dimension**0.5)
+
+
+def keep_identified(documents: DataFrame, model: Prototypes, share: float = LEAST_SHARE, text: str = "text") -> DataFrame:
     """The rows, all columns as they are, whose language is known: that have letters and a cosine of
-    ``least`` or more with its prototype. A text under ``short`` characters has too few n-grams for
-    its cosine to say much, so letters are enough there."""
+    ``least_cosine`` or more with its prototype. Null and empty texts go; repeated rows stay."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
@@ -196,10 +212,12 @@ def keep_identified(documents: DataFrame, model: Prototypes, least: float, short
         global _SCORER
         if _SCORER is None or _SCORER[0] is not shared.value:
             _SCORER = (shared.value, scorer(shared.value))
-        names, scores = _SCORER[1](texts.tolist())
-        return pd.Series([n != UNKNOWN and (s >= least or len(x) < short) for n, s, x in zip(names, scores, texts, strict=True)])
+        out: list[bool] = []
+        for part in parts_of(texts.tolist()):
+            out += [name != UNKNOWN and score >= least_cosine(n, shared.value.dimension, share) for name, score, n in zip(*_SCORER[1](part), strict=True)]
+        return pd.Series(out)
 
-    return documents.where(known("text"))
+    return documents.where(known(text))
 
 
 _SCORER = None

@@ -2,7 +2,8 @@
 written as NPY tiles with difference hashes.
 
 Edge cases. A null image or one that is none of the known formats decodes to ``None`` and yields a
-row with null shape, hash and tiles. An image without pixels is not valid. A null text is the empty
+row with null shape, hash and tiles; so does a damaged file (cut off, a size field that lies, samples
+that are no numbers or above the stated maximum). An image without pixels is not valid. A null text is the empty
 text; the empty text is one row of 64 zero bytes. Equal inputs give equal rows; nothing depends on
 the order of rows. Extra columns are ignored.
 """
@@ -69,6 +70,8 @@ def decode_netpbm(data: bytes) -> np.ndarray | None:
         if len(data) - at - 1 < count * wide.itemsize:
             return None
         flat = np.frombuffer(data, wide, count, at + 1)
+        if flat.max() > top:
+            return None
     else:
         plain = re.sub(rb"#[^\n]*", b"", data[head.end(3) if kind == 1 else at :])
         words = [c for c in plain if c in b"01"] if kind == 1 else plain.split()
@@ -77,6 +80,8 @@ def decode_netpbm(data: bytes) -> np.ndarray | None:
         flat = np.array([x - 48 for x in words[:count]] if kind == 1 else [int(x) for x in words[:count]])
         if kind == 1:
             flat = 255 * (1 - flat)
+        elif flat.min() < 0 or flat.max() > top:
+            return None
     image = flat.reshape((height, width, 3) if channels == 3 else (height, width))
     return image.astype(np.uint16 if top > 255 else np.uint8)
 
@@ -136,7 +141,10 @@ def decode_bmp(data: bytes) -> np.ndarray | None:
 def decode(data: bytes | None) -> np.ndarray | None:
     if not data:
         return None
-    return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    try:
+        return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    except (ValueError, OverflowError):  # numpy's and Python's for samples and sizes that can't be
+        return None
 
 
 # -- Features ----------------------------------------------------------------------------------

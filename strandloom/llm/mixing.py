@@ -11,12 +11,15 @@ of its own, after all others. A total of zero words gives targets of zero. Repea
 documents of their own; equal rows may trade places. Extra columns are dropped.
 
 A source list is taken to be small (names of corpora): one row per source comes to the driver.
-Shards hold about ``shard_rows`` documents, or more once a source has over ``most_shards``.
+Shards hold about ``shard_rows`` documents each. A source's shards are apportioned in two levels, so a
+task that apportions holds about the square root of their number. Rows that are equal in id and text
+lie in one shard.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -83,10 +86,22 @@ def sainte_lague(votes: list[float], seats: int, most: list[int]) -> list[int]:
     return out
 
 
-def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, block: int = BLOCK, seed: int = SEED, shard_rows: int = 256, most_shards: int = 4096) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken of every row."""
+def apportioned(totals: DataFrame, keys: list[str], of: str, given: str) -> DataFrame:
+    """``totals`` (keys, of, words, most and the ``given`` seats of their keys) with a quota of seats each:
+    the seats of equal keys by highest quotients of words, none above ``most``."""
+
+    def quotas(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(of)
+        return rows.assign(quota=sainte_lague([float(w) for w in rows["words"]], int(rows[given].iloc[0]), [int(x) for x in rows["most"]]))
+
+    kinds = ", ".join(f"{c} {totals.schema[c].dataType.simpleString()}" for c in totals.columns)
+    return totals.groupBy(*keys).applyInPandas(quotas, f"{kinds}, quota long")
+
+
+def laid_out(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, block: int = BLOCK, seed: int = SEED, shard_rows: int = 256) -> DataFrame:
+    """doc_id, mark (a hash of the text), source, size, source_size, target and taken of every row."""
     spark = documents.sparkSession
-    sized = durable(documents.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    sized = durable(documents.select("doc_id", "source", F.xxhash64("text").alias("mark"), word_count(F.col("text")).alias("size")))
     found = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("rows")).collect()
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))  # Python orders strings by code point
     words = [r["words"] for r in found]
@@ -94,23 +109,17 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     # A shard ends with a block that may be short, so the number of blocks is known only by shard;
     # what a source can give at most is bounded by its words, in blocks of the full size.
     blocks = sainte_lague(goal, round(sum(goal) / block), [int(limit) * -(-w // block) for w in words])
-    plan = [(r["source"], w, g, b, min(most_shards, -(-r["rows"] // shard_rows))) for r, w, g, b in zip(found, words, goal, blocks, strict=True)]
-    sources = spark.createDataFrame(plan, "source string, source_size long, target double, blocks long, shards int")
+    plan = [(i, r["source"], w, g, b, shards, max(1, math.isqrt(shards))) for i, (r, w, g, b) in enumerate(zip(found, words, goal, blocks, strict=True)) for shards in [-(-r["rows"] // shard_rows)]]
+    sources = spark.createDataFrame(plan, "of int, source string, source_size long, target double, blocks long, shards int, groups int")
     placed = sized.join(F.broadcast(sources) if len(plan) <= 10_000 else sources, sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.col("shards")).cast("int"))
-    totals = placed.groupBy("source", "shard", "blocks").agg(F.sum("size").alias("words"))
-
-    def quotas(rows: pd.DataFrame) -> pd.DataFrame:
-        # A source's shards: at most ``most_shards`` rows.
-        rows = rows.sort_values("shard")
-        words = [int(x) for x in rows["words"]]
-        most = [int(limit) * -(-w // block) for w in words]
-        return rows.assign(quota=sainte_lague([float(w) for w in words], int(rows["blocks"].iloc[0]), most))[["source", "shard", "words", "quota"]]
-
-    quota = totals.groupBy("source").applyInPandas(quotas, "source string, shard int, words long, quota long")
-    quota = quota.select(F.col("source").alias("of"), F.col("shard").alias("in"), F.col("words").alias("shard_words"), "quota")
-    placed = placed.join(quota, placed["source"].eqNullSafe(quota["of"]) & (placed["shard"] == quota["in"]))
-    lie = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed), F.lit("order")), "doc_id", "size")
+    placed = placed.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size", "mark", F.lit(seed)), F.col("shards")).cast("int"))
+    most = F.lit(int(limit)) * F.ceil(F.col("words") / block)
+    shards = placed.groupBy("of", "shard", "groups", "blocks").agg(F.sum("size").alias("words")).withColumn("most", most).withColumn("group", F.col("shard") % F.col("groups"))
+    groups = shards.groupBy("of", "group", "blocks").agg(F.sum("words").alias("words"), F.sum("most").alias("most"))
+    by_group = apportioned(groups, ["of"], "group", "blocks").select("of", "group", F.col("quota").alias("own"))
+    quota = apportioned(shards.select("of", "group", "shard", "words", "most").join(by_group, ["of", "group"]), ["of", "group"], "shard", "own")
+    placed = placed.join(quota.select("of", "shard", F.col("words").alias("shard_words"), "quota"), ["of", "shard"])
+    lie = Window.partitionBy("of", "shard").orderBy(F.xxhash64("doc_id", "mark", F.lit(seed), F.lit("order")), "doc_id", "size", "mark")
     end = F.sum("size").over(lie.rowsBetween(Window.unboundedPreceding, 0))
     n = F.greatest(F.lit(1), F.ceil(F.col("shard_words") / block))
     rounds, rest = F.floor(F.col("quota") / n), F.col("quota") % n
@@ -122,15 +131,20 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     first = covered(F.col("run") * block, F.least(F.col("run") + F.col("rest"), F.col("n")) * block)
     again = covered(F.lit(0).cast("long"), F.greatest(F.lit(0), F.col("run") + F.col("rest") - F.col("n")) * block)
     taken = F.when(F.col("shard_words") == 0, 0).otherwise(F.col("rounds") * F.col("size") + first + again)
-    return laid.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return laid.select("doc_id", "mark", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, block: int = BLOCK, seed: int = SEED, shard_rows: int = 256) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken of every row."""
+    return laid_out(documents, weights, share, limit, block, seed, shard_rows).drop("mark")
 
 
 def mixed_documents(documents: DataFrame) -> DataFrame:
     """The mix as rows: each of ``documents`` as often as whole copies of it come nearest to the
-    words that the mix takes of it (not at all, once or twice), all columns as they are."""
-    shares = mix(documents).select("doc_id", "size", F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("int").alias("copies"))
-    shares = shares.groupBy("doc_id", "size").agg(F.max("copies").alias("copies")).where("copies > 0")
-    rows = documents.withColumn("__size", word_count(F.col("text"))).alias("d")
-    joined = rows.join(shares.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.__size") == F.col("s.size")))
-    copies = joined.select("d.*", F.explode(F.sequence(F.lit(1), F.col("s.copies"))).alias("__copy"))
-    return copies.drop("__size", "__copy")
+    words that the mix takes of it (not at all, once or twice), all columns as they are. Rows that are
+    equal in id and text all come as often as the one of which the mix takes most."""
+    copies = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("int")
+    shares = laid_out(documents).groupBy("doc_id", "mark").agg(F.max(copies).alias("copies")).where("copies > 0")
+    rows = documents.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_mark"), F.struct("*").alias("_row"))
+    joined = rows.join(shares, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_mark") == F.col("mark")))
+    return joined.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select("_row.*")

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import map_lists, sampled
 
 SLOTS = 1 << 18
-#: The classifier is fitted on about this many labelled rows at most.
-TRAINING_ROWS = 6_000
+#: The classifier is fitted on about this many labelled rows, and characters of them, at most.
+TRAINING_ROWS, TRAINING_CHARACTERS = 6_000, 40_000_000
 THRESHOLD = 0.7
 SEED = 7
 
@@ -172,10 +172,10 @@ def fit(slots: list[np.ndarray], labels: np.ndarray) -> Model:
     return Model(np.stack([w, ratio**2]).astype(np.float32), b, slope, offset)
 
 
-def learn(labelled: DataFrame, rows: int = TRAINING_ROWS, text: str = "text", label: str = "quality", key: str = "doc_id") -> Model:
+def learn(labelled: DataFrame, rows: int = TRAINING_ROWS, text: str = "text", label: str = "quality", key: str = "doc_id", characters: int = TRAINING_CHARACTERS) -> Model:
     """A model from the labelled rows. Features are made on the executors; those of the bounded
     sample come to the driver, where the steps of the descent follow each other."""
-    used = sampled(labelled.where(F.col(label).isNotNull()).select(key, text, label), key, rows)
+    used = sampled(labelled.where(F.col(label).isNotNull()).select(key, text, label), key, rows, text, characters)
 
     def make():
         features = Features()

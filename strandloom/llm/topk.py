@@ -10,11 +10,14 @@ verified by integer products.
 Edge cases. Vectors that are null, empty, or hold a null or non-finite component take no part, as
 query or as candidate; those of another dimension than the first by vec_id neither. A null vec_id
 takes no part. Rows with a repeated vec_id are candidates of their own; a query's own id is never
-among its results. Products are exact while the sum of |q_i p_i| is under 2^53. Ties go to the smaller vec_id. Extra columns are dropped; an empty table gives an
+among its results. Query rows of one id but different vectors are queries of their own, with a list
+each; equal rows are one query. A null query condition asks for nothing. Products are exact while the sum of |q_i p_i| is under 2^53. Ties go to the smaller vec_id. Extra columns are dropped; an empty table gives an
 empty result.
 
 Queries come in blocks of at most about ``block`` vectors, each shipped to the tasks as one bounded
-broadcast; every block reads the prepared vectors once. Tasks return at most k rows per query.
+broadcast; every block reads the prepared vectors once. With more than one, a block's results are
+written and its broadcast ended before the next begins. Tasks return at most k rows per query; these
+are merged in two steps, first for some of the tasks together.
 """
 
 from __future__ import annotations
@@ -129,7 +132,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K, key: str = "vec_id",
     """query_id, rank, vec_id and score of the k best of each row for which ``queries`` holds."""
     spark = vectors.sparkSession
     sc = spark.sparkContext
-    schema = "query_id long, vec_id long, score long"
+    schema = "query long, query_id long, vec_id long, score long"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ready = prepared(vectors, key, column, scale)
     first = ready.select(F.min_by(F.size("v"), "vec_id")).first()[0]
@@ -138,7 +141,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K, key: str = "vec_id",
         return empty
     ready = ready.where(F.size("v") == first)
     # Similar lengths together; the id splits vectors of one length, however many there are.
-    ready = durable(ready.repartitionByRange(parts, F.desc("norm2"), "vec_id"))
+    ready = durable(ready.repartitionByRange(parts, F.desc("norm2"), "vec_id").sortWithinPartitions(F.desc("norm2"), "vec_id"))
     asked = ready.where(queries).withColumnRenamed("vec_id", "query_id")
     n = asked.count()
     blocks = max(1, -(-n // block))
@@ -160,16 +163,23 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K, key: str = "vec_id",
             products[ids[at : at + 1024, None] == seed_ids[None, :]] = -np.inf
             if products.shape[1] > k:
                 floor[at : at + 1024] = -np.partition(-products, k - 1, axis=1)[:, k - 1]
-        shared = sc.broadcast((ids, v, floor))
-        part = ready.select("vec_id", "v").mapInArrow(_searcher(shared, k, bucket, first), schema)
+        shared = sc.broadcast((np.arange(len(ids)) * blocks + b, ids, v, floor))
+        part = ready.select("vec_id", "v").mapInArrow(_searcher(shared, k, bucket, first), schema).withColumn("part", F.spark_partition_id())
+        if blocks > 1:
+            part = durable(part)
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    if found is None:
+        return empty
+    some = Window.partitionBy("query", F.pmod("part", F.lit(max(1, math.isqrt(parts))))).orderBy(F.desc("score"), "vec_id")
+    fewer = found.withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= k)
+    ranked = fewer.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _searcher(shared, k: int, bucket: int, dimension: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, v, floor = shared.value
+        names, ids, v, floor = shared.value
         search = Retrieval(ids, v, floor, k)
         for batch in batches:
             for at in range(0, batch.num_rows, bucket):
@@ -178,6 +188,6 @@ def _searcher(shared, k: int, bucket: int, dimension: int):
                 search.bucket(part.column(0).to_numpy(zero_copy_only=False), flat.reshape(-1, dimension))
         for q, held in enumerate(search.best):
             if held is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held[0]), ids[q])), pa.array(held[0]), pa.array(held[1])], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held[0]), names[q])), pa.array(np.full(len(held[0]), ids[q])), pa.array(held[0]), pa.array(held[1])], names=["query", "query_id", "vec_id", "score"])
 
     return run

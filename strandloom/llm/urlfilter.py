@@ -13,8 +13,10 @@ list or table gives no rule for any row.
 
 Size: level 0 takes ``bits_per_key`` bits for a listed key, each later level ``bits_per_key`` for a
 false positive of the level before, i.e. a few thousandths of the keys asked for. Levels are built
-on the executors, combined with bit_or, and shipped only while all are under ``most_bytes``;
-beyond that the builder raises, and the list should be joined instead.
+on the executors, combined with bit_or, and reach the driver as columns. Keys are dealt by hash into
+so many segments that a segment's cascade takes about ``most_bytes``; each has a cascade of its own,
+and with more than one, they are shipped and asked one after the other, the answers so far written
+in between. So what a task or the driver holds doesn't grow with the list.
 """
 
 from __future__ import annotations
@@ -111,14 +113,12 @@ def _hashes(key: Column) -> list[Column]:
     return [F.xxhash64(key).alias("first"), F.xxhash64(key, F.lit("second")).alias("second")]
 
 
-def _build(keys: DataFrame, k: int, bits_per_key: int, hashes: int, most_bytes: int) -> Level | None:
+def _build(keys: DataFrame, k: int, bits_per_key: int, hashes: int) -> Level | None:
     """A level over the rows of ``keys`` (first, second); None if there are none."""
     n = keys.count()
     if not n:
         return None
     bits = max(64, -(-n * bits_per_key // 64) * 64)
-    if bits // 8 > most_bytes:
-        raise ValueError(f"a level of the cascade would be larger than {most_bytes} bytes")
 
     @F.pandas_udf("array<long>")
     def spots(first: pd.Series, second: pd.Series) -> pd.Series:
@@ -129,24 +129,36 @@ def _build(keys: DataFrame, k: int, bits_per_key: int, hashes: int, most_bytes:
         keys.select(F.explode(spots("first", "second")).alias("at"))
         .groupBy(F.shiftright("at", 6).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("value"))
-        .collect()
+        .toArrow()
     )
     held = np.zeros(bits // 64, np.int64)
-    for word, value in words:
-        held[word] = value
+    held[words.column("word").to_numpy()] = words.column("value").to_numpy()
     return Level(bits, hashes, held.view(np.uint64))
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, bits_per_key: int = 16, hashes: int = 6, most_bytes: int = 64 << 20) -> list[Level]:
+def _segment(segments: int) -> Column:
+    return F.pmod(F.col("first").bitwiseXOR(F.col("second")), F.lit(segments))
+
+
+def build_cascade(listed: DataFrame, universe: DataFrame, bits_per_key: int = 16, hashes: int = 6) -> list[Level]:
     """Levels for the distinct ``key`` of ``listed`` over the distinct ``key`` of ``universe``."""
-    spark = listed.sparkSession
-    inside = listed.select(*_hashes(F.col("key"))).distinct()
-    outside = durable(universe.select(*_hashes(F.col("key"))).distinct().join(F.broadcast(inside) if inside.count() < 100_000 else inside, ["first", "second"], "left_anti"))
+    return _cascade(*_apart(listed, universe), bits_per_key, hashes)
+
+
+def _apart(listed: DataFrame, universe: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The hashes of the listed keys and of those asked for that aren't listed."""
+    inside = durable(listed.select(*_hashes(F.col("key"))).distinct())
+    # A short list is sent to the keys; the result is the same either way.
+    short = F.broadcast(inside) if inside.count() < 100_000 else inside
+    return inside, durable(universe.select(*_hashes(F.col("key"))).distinct().join(short, ["first", "second"], "left_anti"))
+
+
+def _cascade(inside: DataFrame, outside: DataFrame, bits_per_key: int, hashes: int) -> list[Level]:
     levels: list[Level] = []
     turn, other = inside, outside
-    while (level := _build(turn, len(levels), bits_per_key, hashes, most_bytes - sum(x.words.nbytes for x in levels))) is not None:
+    while (level := _build(turn, len(levels), bits_per_key, hashes)) is not None:
         levels.append(level)
-        turn, other = durable(_passing(spark, other, level, len(levels) - 1)), turn
+        turn, other = durable(_passing(inside.sparkSession, other, level, len(levels) - 1)), turn
     return levels
 
 
@@ -178,7 +190,7 @@ def member(spark: SparkSession, levels: list[Level]):
     return listed
 
 
-def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "page_id", column: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "page_id", column: str = "url", bits_per_key: int = 16, hashes: int = 6, most_bytes: int = 64 << 20) -> DataFrame:
     """key, host, path, rule and verdict of every row; see the module for the semantics.
 
     Where no rule fits, the verdict is the cascade's: an unlisted key is allowed.
@@ -188,15 +200,26 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "p
     lengths = sorted({len(r.path) for r in rules})
     split = pages.select(F.col(key), host.alias("host"), path.alias("path"))
     keyed = split.withColumn("keys", candidates(F.col("host"), F.col("path"), lengths) if rules else F.array().cast("array<string>"))
-    listed = spark.createDataFrame([(r.key,) for r in rules], "key string")
-    levels = build_cascade(listed, keyed.select(F.explode("keys").alias("key")))
-    inside = member(spark, levels)(
-        F.transform("keys", lambda x: F.xxhash64(x)), F.transform("keys", lambda x: F.xxhash64(x, F.lit("second")))
-    )
-    found = keyed.withColumn("inside", inside)
+    inside, outside = _apart(spark.createDataFrame([(r.key,) for r in rules], "key string"), keyed.select(F.explode("keys").alias("key")))
+    segments = max(1, -(-len(rules) * bits_per_key // 8 // most_bytes))
+    first, second = F.transform("keys", lambda x: F.xxhash64(x)), F.transform("keys", lambda x: F.xxhash64(x, F.lit("second")))
+    found = keyed.withColumn("inside", F.transform("keys", lambda _: F.lit(False)))
+    for s in range(segments):
+        own = [x.where(_segment(segments) == s) if segments > 1 else x for x in (inside, outside)]
+        levels = _cascade(*own, bits_per_key, hashes)
+        test = member(spark, levels)(first, second)
+        mine = F.zip_with(first, second, lambda a, b: F.pmod(a.bitwiseXOR(b), F.lit(segments)) == s)
+        found = found.withColumn("test", test).withColumn("inside", F.zip_with("inside", F.zip_with("test", mine, lambda a, b: a & b), lambda a, b: a | b)).drop("test")
+        if segments > 1:
+            found = durable(found)
     hits = F.filter(F.col("keys"), lambda x, i: F.element_at("inside", i + 1))
     # Longest first; the keys of longer hosts come first among the candidates.
     best = F.aggregate(hits, F.lit("").cast("string"), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
     rule = F.nullif(best, F.lit(""))
-    says = F.create_map(*(F.lit(x) for r in rules for x in (r.key, r.verdict))) if rules else F.lit(None).cast("map<string,string>")
-    return found.withColumn("rule", rule).select(key, "host", "path", "rule", F.coalesce(says[F.col("rule")], F.lit("allow")).alias("verdict"))
+    ruled = found.withColumn("rule", rule)
+    if len(rules) <= 1000:
+        says = F.create_map(*(F.lit(x) for r in rules for x in (r.key, r.verdict))) if rules else F.lit(None).cast("map<string,string>")
+        return ruled.select(key, "host", "path", "rule", F.coalesce(says[F.col("rule")], F.lit("allow")).alias("verdict"))
+    # A long list's verdicts don't fit into an expression.
+    says = spark.createDataFrame([(r.key, r.verdict) for r in rules], "rule string, says string").dropDuplicates(["rule"])
+    return ruled.join(says, "rule", "left").select(key, "host", "path", "rule", F.coalesce("says", F.lit("allow")).alias("verdict"))
