@@ -23,9 +23,9 @@ def count_gaps(seq: Column) -> Column:
 
 
 def justify(rows: DataFrame, seq: str, right: bool = False) -> DataFrame:
-    """Sequences padded with - to the longest one's length; only that length goes to the driver."""
-    width = rows.agg(F.max(F.length(seq))).first()[0] or 0
-    return rows.withColumn(seq, (F.lpad if right else F.rpad)(seq, width, "-"))
+    """Sequences padded with - to the longest one's length, which is joined in as one row."""
+    width = rows.agg(F.coalesce(F.max(F.length(seq)), F.lit(0)).alias("__sl_width"))
+    return rows.join(F.broadcast(width)).withColumn(seq, (F.lpad if right else F.rpad)(F.col(seq), F.col("__sl_width"), F.lit("-"))).drop("__sl_width")
 
 
 def ambiguous_consensus(alignment: DataFrame, ali: str, seq: str, coverage: float = 0.9) -> DataFrame:
@@ -51,3 +51,38 @@ def mask_pairs(masks: DataFrame, key: str, mask: str) -> DataFrame:
     kth = deep.withColumn("k", F.row_number().over(Window.partitionBy(key, "depth", "ch").orderBy("pos")))
     both = kth.groupBy(key, "depth", "k").agg(F.min("pos").alias("beg"), F.max("pos").alias("end"), F.count("*").alias("n"))
     return both.where("n = 2").select(key, "depth", "beg", "end")
+
+
+def to_sequence_positions(rows: DataFrame, key: str, seq: str) -> DataFrame:
+    """key, column and position of every base: its place among the columns and among the bases, from 0."""
+    places = F.filter(F.transform(F.split(seq, ""), lambda c, i: F.struct(i.alias("column"), c.alias("c"))), lambda x: ~x["c"].isin("-", "~", ".", ""))
+    return rows.select(key, F.posexplode(places).alias("position", "x")).select(key, F.col("x.column").alias("column"), "position")
+
+
+def sub_alignment(rows: DataFrame, seq: str, columns: list[tuple[int, int]]) -> DataFrame:
+    """The alignment's columns of ranges (first, last), both counted, from 0, in their order."""
+    return rows.withColumn(seq, F.concat(*(F.substring(F.col(seq), a + 1, b - a + 1) for a, b in columns)))
+
+
+def without_gap_columns(alignment: DataFrame, ali: str, seq: str) -> DataFrame:
+    """Alignments without the columns in which all rows have a gap. Null rows stay null."""
+    bases = column_counts(alignment, ali, seq).where(~F.col("ch").isin("-", "~", ".")).select(ali, "col").distinct()
+    kept = bases.groupBy(F.col(ali).alias("__sl_ali")).agg(F.sort_array(F.collect_list("col")).alias("__sl_cols"))
+    joined = alignment.join(kept, alignment[ali].eqNullSafe(kept["__sl_ali"]), "left")
+    cut = F.array_join(F.transform("__sl_cols", lambda c: F.substring(F.col(seq), c.cast("int"), F.lit(1))), "")
+    return joined.withColumn(seq, F.when(F.col(seq).isNotNull(), F.coalesce(cut, F.lit("")))).drop("__sl_ali", "__sl_cols")
+
+
+def expand_codes(seq: Column) -> Column:
+    """Bases that each character of a sequence stands for: an array of strings, itself where it is no code."""
+    codes = F.create_map(*(F.lit(x) for bases, code in AMBIGUITY.items() for x in (code, bases)))
+    return F.transform(F.filter(F.split(seq, ""), lambda c: c != ""), lambda c: F.coalesce(F.element_at(codes, F.upper(c)), c))
+
+
+def pair_counts(alignment: DataFrame, ali: str, seq: str, pairs: DataFrame) -> DataFrame:
+    """ali, beg, end, base1, base2 and n: what stands in the two columns (from 0) of each pair (ali, beg,
+    end) of a pairing mask; rows with a gap in one of them don't count."""
+    both = alignment.join(pairs.select(ali, "beg", "end"), ali)
+    one, two = (F.translate(F.upper(F.substring(F.col(seq), F.col(c) + 1, F.lit(1))), "T", "U") for c in ("beg", "end"))
+    made = both.select(ali, "beg", "end", one.alias("base1"), two.alias("base2")).where("base1 RLIKE '[A-Z]' AND base2 RLIKE '[A-Z]'")
+    return made.groupBy(ali, "beg", "end", "base1", "base2").agg(F.count("*").alias("n"))

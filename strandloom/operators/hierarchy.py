@@ -1,20 +1,52 @@
-"""Trees and profiles: closure, roll-up, normalising, merging and common ancestors."""
+"""Trees and profiles: closure, roll-up, normalising, merging, common ancestors and scores of hits.
+
+Edge cases, where an operator doesn't say otherwise: rows with a null key join nothing and drop out of
+sums by key; null scores add nothing; an empty table gives an empty result; repeated rows count as often
+as they occur. Helper columns begin with ``__sl_``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def closure(spark: SparkSession, nodes: DataFrame, name: str = "closure_nodes") -> DataFrame:
-    """node, ancestor and dist of ``nodes`` (node, parent), each node its own at distance 0."""
-    nodes.createOrReplaceTempView(name)
-    return spark.sql(f"""
-        WITH RECURSIVE up(node, ancestor, dist) AS (
-          SELECT node, node, 0 FROM {name}
-          UNION ALL
-          SELECT u.node, n.parent, u.dist + 1 FROM up u JOIN {name} n ON u.ancestor = n.node WHERE n.parent IS NOT NULL
-        ) SELECT node, ancestor, dist FROM up""")
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's ``spark.checkpoint.dir``, its lineage cut. Where that is unset, on a
+    single machine only, a temporary folder is made."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="strandloom-"))
+    return df.checkpoint(eager=True)
+
+
+def closure(spark: SparkSession, nodes: DataFrame, name: str | None = None) -> DataFrame:
+    """node, ancestor and dist of ``nodes`` (node, parent), each node its own at distance 0; the shortest
+    distance where there are several ways (a node may have several rows, for several parents).
+
+    By doubling: ways of up to 2, 4, 8, ... steps are joined with each other until none is new, so a
+    tree of depth d takes log2(d) rounds, each written. A cycle's nodes are ancestors of each other. A
+    parent that is no node is an ancestor all the same. ``name`` is not used any more.
+    """
+    own = nodes.where("node IS NOT NULL").select("node", F.col("node").alias("ancestor"), F.lit(0).alias("dist")).distinct()
+    up = nodes.where("node IS NOT NULL AND parent IS NOT NULL").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("dist"))
+    ways = written(own.union(up).groupBy("node", "ancestor").agg(F.min("dist").alias("dist")))
+    held = ways.count()
+    while True:
+        # ``here`` is asked for from both sides; rows of distance 0 carry what there is.
+        on = ways.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("__sl_top"), F.col("dist").alias("__sl_more"))
+        longer = ways.join(on, "ancestor", "left").select("node", F.coalesce("__sl_top", "ancestor").alias("ancestor"), (F.col("dist") + F.coalesce("__sl_more", F.lit(0))).alias("dist"))
+        ways = written(ways.union(longer).groupBy("node", "ancestor").agg(F.min("dist").cast("int").alias("dist")))
+        now = ways.count()
+        if now == held:
+            return ways
+        held = now
 
 
 def roll_up(scores: DataFrame, ancestors: DataFrame) -> DataFrame:
@@ -24,9 +56,11 @@ def roll_up(scores: DataFrame, ancestors: DataFrame) -> DataFrame:
 
 
 def normalised(profile: DataFrame, sample: str, score: str, to: float = 100_000) -> DataFrame:
-    """Scores scaled so that a sample's add up to ``to``."""
-    total = profile.groupBy(sample).agg(F.sum(score).alias("_total"))
-    return profile.join(total, sample).withColumn(score, F.col(score) * to / F.col("_total")).drop("_total")
+    """Scores scaled so that a sample's add up to ``to``; 0 where they add up to nothing. Totals are added
+    up on the map side and joined, so a hot sample isn't gathered; null samples are one."""
+    total = profile.groupBy(F.col(sample).alias("__sl_s")).agg(F.sum(score).alias("__sl_total"))
+    joined = profile.join(total, F.col(sample).eqNullSafe(F.col("__sl_s")))
+    return joined.withColumn(score, F.when(F.col("__sl_total") == 0, 0.0).otherwise(F.col(score) * to / F.col("__sl_total"))).drop("__sl_total", "__sl_s")
 
 
 def merged(a: DataFrame, b: DataFrame, key: str, names: tuple[str, str]) -> DataFrame:
@@ -60,17 +94,62 @@ def with_ancestors(kept: DataFrame, ancestors: DataFrame) -> DataFrame:
 
 
 def hit_weights(hits: DataFrame, group: str, pct: str, power: float = 1.0) -> DataFrame:
-    """weight of each hit: 1 / (1 + best - pct) ** power, scaled so that a group's add up to 1."""
-    best = hits.groupBy(group).agg(F.max(pct).alias("_best"))
-    raw = hits.join(best, group).withColumn("_w", 1 / F.pow(1 + F.col("_best") - F.col(pct), F.lit(power)))
-    return raw.join(raw.groupBy(group).agg(F.sum("_w").alias("_sum")), group).withColumn("weight", F.col("_w") / F.col("_sum")).drop("_best", "_w", "_sum")
+    """weight of each hit: 1 / (1 + best - pct) ** power, scaled so that a group's add up to 1. One
+    window, so a group's hits (a read's, few) meet in one task; a null pct has a null weight."""
+    w = Window.partitionBy(group)
+    raw = hits.withColumn("__sl_w", 1 / F.pow(1 + F.max(pct).over(w) - F.col(pct), F.lit(power)))
+    return raw.withColumn("weight", F.col("__sl_w") / F.sum("__sl_w").over(w)).drop("__sl_w")
 
 
 def scaled_to_mean(profile: DataFrame, sample: str, score: str) -> DataFrame:
-    """Scores scaled so that each sample's add up to the mean of the samples' totals."""
-    total = profile.groupBy(sample).agg(F.sum(score).alias("_total"))
-    mean = total.agg(F.avg("_total")).first()[0] or 0.0
-    return profile.join(total, sample).withColumn(score, F.when(F.col("_total") == 0, 0.0).otherwise(F.col(score) * mean / F.col("_total"))).drop("_total")
+    """Scores scaled so that each sample's add up to the mean of the samples' totals, which is joined in
+    as one row."""
+    total = profile.groupBy(sample).agg(F.sum(score).alias("__sl_total"))
+    mean = total.agg(F.avg("__sl_total").alias("__sl_mean"))
+    joined = profile.join(total, sample).join(F.broadcast(mean))
+    return joined.withColumn(score, F.when(F.col("__sl_total") == 0, 0.0).otherwise(F.col(score) * F.col("__sl_mean") / F.col("__sl_total"))).drop("__sl_total", "__sl_mean")
+
+
+def score_hits(hits: DataFrame, nodes: DataFrame, ancestors: DataFrame, most_span: int = 1) -> DataFrame:
+    """read, node and score: each read's count shared among the tips of the tree that spans its hits.
+
+    ``hits``: read, node (a tip of the tree) and reads (the count, the same for all of a read's hits).
+    ``nodes``: node, parent, depth; ``ancestors``: its closure. Of a read's spanning tree, which begins
+    at the deepest node that holds all hits, hits beside other children of their parent are clipped:
+    their share goes to the parent, and counts there if the parent has no child left. A read whose tips
+    then lie more than ``most_span`` levels below that node is ambiguous and its whole count stands at
+    the node null, as do hits on no known node. Repeated hits of a read are one.
+    """
+    own = hits.select("read", F.col("node").alias("tip"), "reads").distinct()
+    total = own.groupBy("read").agg(F.count("*").alias("tips"), F.max("reads").alias("reads"))
+    spanned = own.join(ancestors.select(F.col("node").alias("tip"), "ancestor"), "tip").groupBy("read", F.col("ancestor").alias("node")).agg(F.count("*").alias("held"), F.max(F.col("tip") == F.col("ancestor")).alias("hit"))
+    placed = spanned.join(nodes.select("node", "parent", "depth"), "node").join(total, "read")
+    root = placed.where("held = tips").groupBy("read").agg(F.max("depth").alias("top"))
+    below = placed.join(root, "read").where("depth >= top")
+    children = below.where("depth > top").groupBy("read", F.col("parent").alias("node")).agg(F.count("*").alias("children"), F.sum(F.col("hit").cast("int")).alias("leaves"))
+    beside = children.select("read", F.col("node").alias("parent"), F.col("children").alias("siblings"))
+    tree = below.join(children, ["read", "node"], "left").join(beside, ["read", "parent"], "left")
+    # A hit stays a tip unless it has siblings; a parent is one if all its children are clipped hits.
+    stays = F.col("hit") & F.col("children").isNull() & ((F.col("depth") == F.col("top")) | (F.col("siblings") == 1))
+    takes = (F.col("children") > 1) & (F.col("leaves") == F.col("children"))
+    tips = tree.where(stays | takes).withColumn("share", F.when(takes, F.col("children")).otherwise(1))
+    span = tips.groupBy("read").agg((F.max("depth") - F.max("top")).alias("span"))
+    scored = tips.join(span.where(F.col("span") <= most_span), "read").select("read", "node", (F.col("reads") * F.col("share") / F.col("tips")).alias("score"))
+    rest = total.join(scored.select("read").distinct(), "read", "left_anti").select("read", F.lit(None).cast(nodes.schema["node"].dataType).alias("node"), F.col("reads").cast("double").alias("score"))
+    return scored.unionByName(rest)
+
+
+def filter_profile(profile: DataFrame, samples: list[str], least: float | None = None, least_sum: float | None = None) -> DataFrame:
+    """Rows of which the largest sample is ``least`` or more and all add up to ``least_sum`` or more; a
+    null score counts as 0."""
+    values = [F.coalesce(F.col(s), F.lit(0)) for s in samples]
+    kept = profile if least is None else profile.where((F.greatest(*values) if len(values) > 1 else values[0]) >= least)
+    return kept if least_sum is None else kept.where(sum(values[1:], values[0]) >= least_sum)
+
+
+def shown_path(path: Column, separator: str = "; ") -> Column:
+    """A taxonomy path without the ranks at its end that have no name (``g__``)."""
+    return F.regexp_replace(path, rf"({separator}?[a-z]__)+$", "")
 
 
 def subtree_counts(leaves: DataFrame, ancestors: DataFrame, item: str) -> DataFrame:

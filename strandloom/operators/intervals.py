@@ -1,8 +1,12 @@
-"""Merging of intervals and as-of lookups."""
+"""Merging of intervals, as-of lookups, suppression of overlaps and chains of matches.
+
+Edge cases: a null group is a group of its own where rows are only grouped and meets nothing where they
+are joined; intervals with a null end take no part; equal intervals are rows of their own.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,9 +16,9 @@ def condense(intervals: DataFrame, group: str, begin: str, end: str, gap: int =
     own = intervals.groupBy(group, begin).agg(F.max(end).alias(end), F.count("*").alias("n"))
     w = Window.partitionBy(group).orderBy(begin)
     reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    islands = own.withColumn("_new", F.when(reach.isNull() | (F.col(begin) > reach + gap), 1).otherwise(0))
-    islands = islands.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(group, "_island").agg(F.min(begin).alias(begin), F.max(end).alias(end), F.sum("n").alias("n")).drop("_island")
+    islands = own.withColumn("__sl_new", F.when(reach.isNull() | (F.col(begin) > reach + gap), 1).otherwise(0))
+    islands = islands.withColumn("__sl_island", F.sum("__sl_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return islands.groupBy(group, "__sl_island").agg(F.min(begin).alias(begin), F.max(end).alias(end), F.sum("n").alias("n")).drop("__sl_island")
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, group: str, at: str, value: str, width: int) -> DataFrame:
@@ -24,15 +28,55 @@ def as_of(left: DataFrame, right: DataFrame, key: str, group: str, at: str, valu
     Times are split into buckets of ``width``. Rows meet within a bucket; what earlier buckets leave
     comes from one row per bucket. So a hot group is spread over its buckets.
     """
-    bucket = F.floor(F.col(at) / width).alias("_b")
+    bucket = F.floor(F.col(at) / width).alias("__sl_b")
     found = F.struct(F.col(at).alias("t"), F.col(value).alias("v"))
-    r = right.select(group, at, bucket, found.alias("_f"))
-    last = r.groupBy(group, "_b").agg(F.max("_f").alias("_f"))
+    r = right.select(group, at, bucket, found.alias("__sl_f"))
+    last = r.groupBy(group, "__sl_b").agg(F.max("__sl_f").alias("__sl_f"))
     l = left.select(key, group, at, bucket)
-    some = l.select(group, "_b").distinct().withColumn("_f", F.lit(None).cast(last.schema["_f"].dataType)).unionByName(last)
-    earlier = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = some.groupBy(group, "_b").agg(F.max("_f").alias("_f")).withColumn("_c", F.max("_f").over(earlier)).drop("_f")
-    both = l.withColumn("_f", F.lit(None).cast(last.schema["_f"].dataType)).unionByName(r.withColumn(key, F.lit(None).cast(left.schema[key].dataType)))
-    here = both.withColumn("_h", F.max("_f").over(Window.partitionBy(group, "_b").orderBy(at))).where(F.col(key).isNotNull()).drop("_f")
-    out = here.join(carried, [group, "_b"], "left").withColumn("_f", F.coalesce("_h", "_c"))
-    return out.select(key, F.col("_f.t").alias("found_at"), F.col("_f.v").alias("found"))
+    some = l.select(group, "__sl_b").distinct().withColumn("__sl_f", F.lit(None).cast(last.schema["__sl_f"].dataType)).unionByName(last)
+    earlier = Window.partitionBy(group).orderBy("__sl_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = some.groupBy(group, "__sl_b").agg(F.max("__sl_f").alias("__sl_f")).withColumn("__sl_c", F.max("__sl_f").over(earlier)).drop("__sl_f")
+    both = l.withColumn("__sl_f", F.lit(None).cast(last.schema["__sl_f"].dataType)).unionByName(r.withColumn(key, F.lit(None).cast(left.schema[key].dataType)))
+    here = both.withColumn("__sl_h", F.max("__sl_f").over(Window.partitionBy(group, "__sl_b").orderBy(at))).where(F.col(key).isNotNull()).drop("__sl_f")
+    out = here.join(carried, [group, "__sl_b"], "left").withColumn("__sl_f", F.coalesce("__sl_h", "__sl_c"))
+    return out.select(key, F.col("__sl_f.t").alias("found_at"), F.col("__sl_f.v").alias("found"))
+
+
+def as_of_next(left: DataFrame, right: DataFrame, key: str, group: str, at: str, value: str, width: int) -> DataFrame:
+    """As ``as_of``, with the earliest right row not before the left one (of rows at one time that of the
+    largest value's negative, so the smallest): the same lookup on times turned round."""
+    turned = lambda df: df.withColumn(at, -F.col(at))
+    found = as_of(turned(left), turned(right).withColumn(value, -F.col(value)), key, group, at, value, width)
+    return found.select(key, (-F.col("found_at")).alias("found_at"), (-F.col("found")).alias("found"))
+
+
+def rectangles_overlap(a: tuple[str, str, str, str], b: tuple[str, str, str, str]) -> Column:
+    """Do two rectangles, columns (left, right, top, bottom) with both ends counted, share a point?"""
+    meet = lambda x1, x2, y1, y2: (F.col(x1) <= F.col(y2)) & (F.col(y1) <= F.col(x2))
+    return meet(a[0], a[1], b[0], b[1]) & meet(a[2], a[3], b[2], b[3])
+
+
+def lies_within(begin: str, end: str, outer_begin: str, outer_end: str) -> Column:
+    return (F.col(outer_begin) <= F.col(begin)) & (F.col(end) <= F.col(outer_end))
+
+
+def chained(matches: DataFrame, pair: list[str], q_begin: str, s_begin: str, length: str, gap: int, shift: int) -> DataFrame:
+    """Matches of a pair of sequences with ``chain``: a match goes on with the one before it (by its begin
+    in the first sequence) if it begins after it in both, at most ``gap`` behind its end, and the two
+    distances differ by at most ``shift``. The chain is named by its number within the pair.
+
+    A pair's matches are ordered in one task; a genome's pair is cut into ``pair`` keys by contig first.
+    """
+    order = Window.partitionBy(*pair).orderBy(q_begin, s_begin, length)
+    before = {c: F.lag(c).over(order) for c in (q_begin, s_begin, length)}
+    dq = F.col(q_begin) - before[q_begin] - before[length]
+    ds = F.col(s_begin) - before[s_begin] - before[length]
+    goes_on = (F.col(q_begin) > before[q_begin]) & (F.col(s_begin) > before[s_begin]) & (dq <= gap) & (ds <= gap) & (F.abs(dq - ds) <= shift)
+    marked = matches.withColumn("__sl_new", F.when(goes_on, 0).otherwise(1))
+    return marked.withColumn("chain", F.sum("__sl_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__sl_new")
+
+
+def chain_table(chains: DataFrame, pair: list[str], q_begin: str, s_begin: str, length: str) -> DataFrame:
+    """A row per chain: both begins and ends (the last character), matches and matched characters."""
+    q_end, s_end = F.col(q_begin) + F.col(length) - 1, F.col(s_begin) + F.col(length) - 1
+    return chains.groupBy(*pair, "chain").agg(F.min(q_begin).alias("q_begin"), F.max(q_end).alias("q_end"), F.min(s_begin).alias("s_begin"), F.max(s_end).alias("s_end"), F.count("*").alias("matches"), F.sum(length).alias("matched"))

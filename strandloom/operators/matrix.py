@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 
 def correlations(profiles: DataFrame, row: str, condition: str, value: str) -> DataFrame:
-    """Pearson correlation of all pairs of rows over their shared conditions, a < b.
+    """Pearson correlation of all pairs of rows over their shared conditions, a < b, mapped from [-1, 1]
+    to [0, 1] as (r + 1) / 2; null where a row has one condition or doesn't vary.
 
     A join on the condition and sums per pair; pairs of rows are the result asked for.
     """
     p = profiles.select(row, condition, value)
     x, y = p.select(F.col(row).alias("a"), condition, F.col(value).alias("x")), p.select(F.col(row).alias("b"), condition, F.col(value).alias("y"))
-    return x.join(y, condition).where("a < b").groupBy("a", "b").agg(F.round(F.corr("x", "y"), 6).alias("r"), F.count("*").alias("n"))
+    return x.join(y, condition).where("a < b").groupBy("a", "b").agg(F.round((F.corr("x", "y") + 1) / 2, 6).alias("r"), F.count("*").alias("n"))
 
 
 def column_counts(alignment: DataFrame, ali: str, seq: str) -> DataFrame:

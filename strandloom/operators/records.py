@@ -1,23 +1,76 @@
-"""Cleaning, filtering, de-replication, demultiplexing and joining of sequence records."""
+"""Cleaning, filtering, de-replication, demultiplexing and joining of sequence records.
+
+Edge cases, where an operator doesn't say otherwise: a null sequence, id or info passes no filter and
+stays null through a change; an empty table gives an empty result; repeated rows are rows of their own;
+extra columns stay as they are. Helper columns are named with two leading underscores and a prefix
+(``__sl_``) and are dropped again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequence import reverse_complement
+
 
 def filter_length(rows: DataFrame, column: str, least: int = 1, most: int = 1 << 30) -> DataFrame:
     return rows.where(F.length(column).between(least, most))
 
 
-def clip_start(rows: DataFrame, column: str, pattern: str, distance: int = 15) -> DataFrame:
-    """Removes what stands before and in the first match of ``pattern`` that begins within
-    ``distance`` characters of the start."""
-    return rows.withColumn(column, F.regexp_replace(column, rf"(?s)^.{{0,{distance}}}?(?:{pattern})", ""))
+def clip_start(rows: DataFrame, column: str, pattern: str, distance: int = 15, keep_match: bool = False) -> DataFrame:
+    """Cuts the start off by a pattern's matches, unless the last of these ends beyond ``distance``
+    characters: all up to the end of the last match, or with ``keep_match`` all before the first one.
+    Without a match, or one so near, the record stays as it is."""
+    text = F.col(column)
+    matches = F.regexp_extract_all(text, F.lit(f"(?s)({pattern})"), F.lit(1))
+    upto = F.regexp_extract(text, f"(?s)^(.*(?:{pattern}))", 1)  # greedy: to the end of the last match
+    last = F.length(upto)
+    first = F.length(F.regexp_extract(text, f"(?s)^(.*?)(?:{pattern})", 1))
+    near = (F.size(matches) > 0) & (last <= distance)
+    cut = first if keep_match else last
+    return rows.withColumn(column, F.when(near, F.substring(text, cut + 1, F.length(text))).otherwise(text))
+
+
+def clip_end(rows: DataFrame, column: str, pattern: str, distance: int | None = None, keep_match: bool = False) -> DataFrame:
+    """Cuts the end off from a pattern's first match on, or with ``keep_match`` from its end on, unless
+    it begins more than ``distance`` characters before the end. Without ``distance`` the pattern must
+    reach the end."""
+    if distance is None:
+        return rows.withColumn(column, F.regexp_replace(column, rf"(?s)(?:{pattern})$", ""))
+    text = F.col(column)
+    before = F.length(F.regexp_extract(text, f"(?s)^(.*?)(?:{pattern})", 1))
+    match = F.length(F.regexp_extract(text, f"(?s)({pattern})", 1))
+    near = text.rlike(f"(?s)(?:{pattern})") & (F.length(text) - before <= distance)
+    return rows.withColumn(column, F.when(near, F.substring(text, F.lit(1), before + match if keep_match else before)).otherwise(text))
+
+
+def filter_id_pattern(rows: DataFrame, key: str, pattern: str, keep: bool = True) -> DataFrame:
+    """Records whose id has (or with ``keep`` false: has not) a match of a regular expression."""
+    return rows.where(F.col(key).rlike(pattern) if keep else ~F.col(key).rlike(pattern))
+
+
+def filter_info_pattern(rows: DataFrame, info: str, pattern: str, keep: bool = True) -> DataFrame:
+    """Records whose info field has (or has not) a match; a null info counts as empty."""
+    found = F.coalesce(F.col(info), F.lit("")).rlike(pattern)
+    return rows.where(found if keep else ~found)
+
 
+def filter_id_length(rows: DataFrame, key: str, least: int = 1, most: int = 1 << 30) -> DataFrame:
+    return rows.where(F.length(key).between(least, most))
 
-def clip_end(rows: DataFrame, column: str, pattern: str) -> DataFrame:
-    return rows.withColumn(column, F.regexp_replace(column, rf"(?s)(?:{pattern})$", ""))
+
+def filter_quality(rows: DataFrame, values: str, least: float, low: float = 99.0, high: float = 100.0) -> DataFrame:
+    """Records of whose quality values low to high percent are ``least`` or more; none without values."""
+    return rows.where(quality_share(F.col(values), least, float("inf")).between(low, high))
+
+
+def trim_quality_start(rows: DataFrame, seq: str, values: str, window: int = 10, match: int = 9, least: float = 20) -> DataFrame:
+    """Cuts before the first window of which ``match`` of ``window`` values are ``least`` or more, and
+    then before its first such value; empties records without such a window."""
+    turned = rows.withColumn(seq, F.reverse(seq)).withColumn(values, F.reverse(values))
+    cut = trim_quality_end(turned, seq, values, window, match, least)
+    return cut.withColumn(seq, F.reverse(seq)).withColumn(values, F.reverse(values))
 
 
 def trim_quality_end(rows: DataFrame, seq: str, values: str, window: int = 10, match: int = 9, least: float = 20) -> DataFrame:
@@ -28,7 +81,7 @@ def trim_quality_end(rows: DataFrame, seq: str, values: str, window: int = 10, m
     good = F.filter(ends, lambda e: F.size(F.filter(F.slice(values, e - window + 1, window), lambda x: x >= least)) >= match)
     inside = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= F.array_max(good)) & (F.element_at(values, i) >= least))
     cut = F.coalesce(F.array_max(inside), F.lit(0))
-    return rows.withColumn("_cut", cut).withColumn(seq, F.substring(F.col(seq), F.lit(1), F.col("_cut"))).withColumn(values, F.slice(values, F.lit(1), F.col("_cut"))).drop("_cut")
+    return rows.withColumn("__sl_cut", cut).withColumn(seq, F.substring(F.col(seq), F.lit(1), F.col("__sl_cut"))).withColumn(values, F.slice(values, F.lit(1), F.col("__sl_cut"))).drop("__sl_cut")
 
 
 def filter_ids(rows: DataFrame, ids: DataFrame, key: str, keep: bool = True) -> DataFrame:
@@ -36,23 +89,63 @@ def filter_ids(rows: DataFrame, ids: DataFrame, key: str, keep: bool = True) ->
 
 
 def dereplicate(rows: DataFrame, seq: str, key: str, count: Column | None = None) -> DataFrame:
-    """Distinct sequences with the smallest id and the number of records; grouped by a hash of the
-    sequence with the sequence, so that long texts sort by their hash."""
+    """Distinct sequences with the smallest id and the number of records, or the sum of ``count``.
+
+    Grouped by a 64-bit and a 128-bit hash of the sequence: what is sorted and compared are the hashes,
+    one text of each comes along. Null sequences are left out.
+    """
     n = F.sum(count) if count is not None else F.count("*")
-    return rows.where(F.col(seq).isNotNull()).groupBy(seq).agg(F.min(key).alias(key), n.cast("long").alias("seq_count"))
+    hashes = (F.xxhash64(seq).alias("__sl_h"), F.md5(F.col(seq).cast("binary")).alias("__sl_m"))
+    groups = rows.where(F.col(seq).isNotNull()).groupBy(*hashes)
+    return groups.agg(F.any_value(seq).alias(seq), F.min(key).alias(key), n.cast("long").alias("seq_count")).drop("__sl_h", "__sl_m")
 
 
 def demultiplex(rows: DataFrame, column: str, barcodes: DataFrame) -> DataFrame:
-    """Each row with the longest barcode (tag, sample) that its column starts with, else null.
+    """Each row with the sample of the longest barcode (tag, sample) that its column starts with, else
+    null. Of a tag listed twice the smallest sample counts; empty and null tags don't.
 
-    One equality join per barcode length, longest first; Spark broadcasts the tags if they are small.
+    The prefixes of the lengths that tags have are looked up in one map of all tags: a barcode list is
+    small (at most some thousands), so it travels with the rows; nothing is shuffled.
     """
-    lengths = [r[0] for r in barcodes.select(F.length("tag").alias("n")).distinct().orderBy(F.desc("n")).collect()]  # a few lengths
-    found = rows
-    for n in lengths:
-        tags = barcodes.where(F.length("tag") == n).select(F.col("tag").alias("_tag"), F.col("sample").alias(f"_s{n}"))
-        found = found.join(tags, F.substring(F.col(column), 1, n) == F.col("_tag"), "left").drop("_tag")
-    return found.withColumn("sample", F.coalesce(*(F.col(f"_s{n}") for n in lengths), F.lit(None))).drop(*(f"_s{n}" for n in lengths))
+    tags = barcodes.where(F.length("tag") > 0).groupBy("tag").agg(F.min("sample").alias("sample"))
+    held = tags.agg(F.map_from_entries(F.collect_list(F.struct("tag", "sample"))).alias("__sl_of"), F.sort_array(F.collect_set(F.length("tag")), False).alias("__sl_n"))
+    found = F.filter(F.transform("__sl_n", lambda n: F.element_at("__sl_of", F.left(F.col(column), n))), lambda s: s.isNotNull())
+    return rows.join(F.broadcast(held)).withColumn("sample", F.get(found, 0)).drop("__sl_of", "__sl_n")
+
+
+#: What ``match_barcodes`` says of reads without a sample.
+NO_ROOM, LOW_QUALITY, NO_BARCODE = "no-room", "low-quality", "no-barcode"
+
+
+def match_barcodes(rows: DataFrame, seq: str, primer_at: str, barcodes: DataFrame, most_gap: int = 0, values: str | None = None, least: float = 0.0) -> DataFrame:
+    """sample and outcome of reads by the barcode before their primer.
+
+    ``primer_at`` is where the primer begins (from 0; null: no primer, and both are null). The barcode
+    ends there or up to ``most_gap`` characters before; the nearest counts, of those the longest. The
+    outcome is the barcode, or that there was no room for the shortest one, that a quality value of it
+    is under ``least``, or that none was found. Of a barcode listed twice the smallest sample counts.
+    """
+    tags = barcodes.where(F.length("tag") > 0).groupBy("tag").agg(F.min("sample").alias("sample"))
+    held = tags.agg(F.map_from_entries(F.collect_list(F.struct("tag", "sample"))).alias("__sl_of"), F.sort_array(F.collect_set(F.length("tag")), False).alias("__sl_n"))
+    begin = F.col(primer_at)
+    places = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(most_gap)), lambda gap: F.transform("__sl_n", lambda n: F.struct((begin - n - gap).alias("at"), n.alias("n")))))
+    cut = F.transform(F.filter(places, lambda p: p["at"] >= 0), lambda p: F.struct(p["at"].alias("at"), p["n"].alias("n"), F.substring(F.col(seq), p["at"] + 1, p["n"]).alias("tag")))
+    hit = F.get(F.filter(cut, lambda p: F.element_at("__sl_of", p["tag"]).isNotNull()), 0)
+    found = rows.join(F.broadcast(held)).withColumn("__sl_hit", F.when(begin.isNotNull(), hit))
+    good = F.lit(True)
+    if values is not None:
+        good = ~F.exists(F.slice(F.col(values), F.col("__sl_hit.at") + 1, F.col("__sl_hit.n")), lambda v: v < least)
+    shortest = F.array_min("__sl_n")
+    outcome = F.when(begin < shortest, NO_ROOM).when(F.col("__sl_hit").isNull(), NO_BARCODE).when(good, F.col("__sl_hit.tag")).otherwise(LOW_QUALITY)
+    found = found.withColumn("sample", F.when((begin >= shortest) & good, F.element_at("__sl_of", F.col("__sl_hit.tag")))).withColumn("outcome", F.when(begin.isNotNull(), outcome))
+    return found.drop("__sl_hit", "__sl_of", "__sl_n")
+
+
+def pair_samples(rows: DataFrame, forward: str, reverse: str, pairs: DataFrame) -> DataFrame:
+    """The sample of a pair of tags (f_tag, r_tag, sample) that both mates' outcomes make; null if the
+    pair isn't listed. Of a pair listed twice the smallest sample counts."""
+    listed = pairs.groupBy(F.col("f_tag").alias("__sl_f"), F.col("r_tag").alias("__sl_r")).agg(F.min("sample").alias("sample"))
+    return rows.join(listed, (F.col(forward) == F.col("__sl_f")) & (F.col(reverse) == F.col("__sl_r")), "left").drop("__sl_f", "__sl_r")
 
 
 def join_mates(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -64,12 +157,12 @@ def rarefy(rows: DataFrame, group: str, key: str, n: int, seed: int = 1) -> Data
     """``n`` rows of each group by a seeded order; groups with fewer rows give none. Each task first
     drops what can't be among its own first n, so no task gets a whole hot group."""
     order = F.md5(F.concat_ws(":", F.lit(seed), F.col(key)).cast("binary"))
-    w = Window.partitionBy(group).orderBy("_o", key)
-    salted = Window.partitionBy(group, F.pmod(F.xxhash64(key), F.lit(64))).orderBy("_o", key)
-    some = rows.withColumn("_o", order).withColumn("_r", F.row_number().over(salted)).where(F.col("_r") <= n)
-    ranked = some.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
-    full = rows.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") >= n).select(group)
-    return ranked.join(full, group, "left_semi").drop("_o", "_r")
+    w = Window.partitionBy(group).orderBy("__sl_o", key)
+    salted = Window.partitionBy(group, F.pmod(F.xxhash64(key), F.lit(64))).orderBy("__sl_o", key)
+    some = rows.withColumn("__sl_o", order).withColumn("__sl_r", F.row_number().over(salted)).where(F.col("__sl_r") <= n)
+    ranked = some.withColumn("__sl_r", F.row_number().over(w)).where(F.col("__sl_r") <= n)
+    full = rows.groupBy(group).agg(F.count("*").alias("__sl_n")).where(F.col("__sl_n") >= n).select(group)
+    return ranked.join(full, group, "left_semi").drop("__sl_o", "__sl_r")
 
 
 def mask_by_quality(seq: Column, values: Column, low: float, high: float, mask: str = "N") -> Column:
@@ -103,6 +196,48 @@ def probe_overlap(seq: Column, probe: str, least: int = 1, ratio: float = 0.8) -
     return F.coalesce(*(F.when(fits(n), F.lit(n)) for n in range(len(probe), least - 1, -1)), F.lit(0))
 
 
+def probe_overlap_end(seq: Column, probe: str, least: int = 1, ratio: float = 0.8) -> Column:
+    """The same at the end: the probe's first n characters against the last n of the sequence."""
+    fits = lambda n: (F.length(seq) >= n) & (_mismatches(F.lit(probe[:n]), F.right(seq, F.lit(n))) <= int((1 - ratio) * n + 1e-9))
+    return F.coalesce(*(F.when(fits(n), F.lit(n)) for n in range(len(probe), least - 1, -1)), F.lit(0))
+
+
+def trim_probe_start(rows: DataFrame, seq: str, probe: str, least: int = 1, ratio: float = 0.95) -> DataFrame:
+    """Cuts off what overlaps with the end of a probe at the start (``probe_overlap``)."""
+    text = F.col(seq)
+    return rows.withColumn(seq, F.substring(text, probe_overlap(text, probe, least, ratio) + 1, F.length(text)))
+
+
+def trim_probe_end(rows: DataFrame, seq: str, probe: str, least: int = 1, ratio: float = 0.95) -> DataFrame:
+    """Cuts off what overlaps with the start of a probe at the end (``probe_overlap_end``)."""
+    text = F.col(seq)
+    return rows.withColumn(seq, F.substring(text, F.lit(1), F.length(text) - probe_overlap_end(text, probe, least, ratio)))
+
+
+def merge_mate_reads(rows: DataFrame, seq1: str, qual1: str, seq2: str, qual2: str, least: int = 15, ratio: float = 0.8) -> DataFrame:
+    """overlap, seq, qual and seq_break of two mates as they were read.
+
+    Mate 2 is turned and complemented. Where the longest overlap of mate 1's end with mate 2's start has
+    at most int((1 - ratio) * n) mismatches, the two are merged: in the overlap the base of the better
+    quality counts, of equal ones mate 2's; seq_break is -1. Else they are joined and seq_break is mate
+    1's length. A null sequence or quality gives nulls.
+    """
+    turned = rows.withColumn("__sl_s", reverse_complement(F.col(seq2))).withColumn("__sl_q", F.reverse(qual2))
+    found = merge_mates(turned, seq1, "__sl_s", least, ratio).drop("merged").withColumn("__sl_k", F.col("overlap"))
+    k, n1 = F.col("__sl_k"), F.length(seq1)
+    tail = lambda c: F.substring(F.col(c), n1 - k + 1, k)
+    start = lambda c: F.substring(F.col(c), F.lit(1), k)
+    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    four = F.arrays_zip(chars(tail(seq1)).alias("a"), chars(tail(qual1)).alias("p"), chars(start("__sl_s")).alias("b"), chars(start("__sl_q")).alias("q"))
+    best = lambda x, one, two: F.when(x["p"] > x["q"], x[one]).otherwise(x[two])
+    inside = lambda one, two: F.array_join(F.transform("__sl_o", lambda x: best(x, one, two)), "")
+    whole = lambda first, middle, second: F.concat(F.substring(F.col(first), F.lit(1), n1 - k), middle, F.substring(F.col(second), k + 1, F.length(second)))
+    zipped = found.withColumn("__sl_o", four)
+    made = zipped.withColumn("__sl_1", whole(seq1, inside("a", "b"), "__sl_s")).withColumn("__sl_2", whole(qual1, inside("p", "q"), "__sl_q"))
+    made = made.withColumn("seq_break", F.when(F.col("__sl_1").isNotNull(), F.when(k > 0, -1).otherwise(n1)))
+    return made.withColumns({"seq": F.col("__sl_1"), "qual": F.col("__sl_2")}).drop("__sl_s", "__sl_q", "__sl_k", "__sl_o", "__sl_1", "__sl_2")
+
+
 def merge_mates(rows: DataFrame, left: str, right: str, least: int = 15, ratio: float = 0.8) -> DataFrame:
     """overlap and merged of two mates: the longest overlap of the left one's end and the right one's
     start with mismatches of at most int((1 - ratio) * n); 0 and the two joined if there is none."""
@@ -136,9 +271,32 @@ def best_per_key(rows: DataFrame, keys: list[str], score: str, *ties: str) -> Da
 
 
 def pool_table(reads: DataFrame, seq: str, sample: str, samples: list[str], least: int = 1) -> DataFrame:
-    """Sequences by samples, counts scaled by mean total / sample's total, of ``least`` reads or more."""
+    """Sequences by samples, counts scaled by mean total / sample's total, of ``least`` reads or more. The
+    totals are joined in as one row, so nothing runs while the plan is made."""
     counts = reads.groupBy(seq).pivot(sample, samples).count().na.fill(0)
-    totals = counts.agg(*(F.sum(s).alias(s) for s in samples)).first()
-    mean = sum(totals[s] or 0 for s in samples) / len(samples)
-    kept = counts.where(sum((F.col(s) for s in samples), F.lit(0)) >= least)
-    return kept.select(seq, *((F.col(s) * (mean / totals[s] if totals[s] else 0.0)).alias(s) for s in samples))
+    totals = reads.agg(*(F.count_if(F.col(sample) == s).alias(f"__sl_{i}") for i, s in enumerate(samples)))
+    kept = counts.where(sum((F.col(s) for s in samples), F.lit(0)) >= least).join(F.broadcast(totals))
+    mean = sum((F.col(f"__sl_{i}") for i in range(len(samples))), F.lit(0)) / len(samples)
+    return kept.select(seq, *(F.when(F.col(f"__sl_{i}") > 0, F.col(s) * mean / F.col(f"__sl_{i}")).otherwise(0.0).alias(s) for i, s in enumerate(samples)))
+
+
+def even_sample(rows: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
+    """``n`` rows of each group, evenly spaced in its order: those at places floor(i * size / n). Groups of
+    fewer rows give none. Places are counted within buckets of a group and then added up, so no task
+    sorts a whole hot group: the buckets follow from the first column of the order (a number).
+
+    Nulls come first in the order; equal rows may trade places.
+    """
+    first = F.col(order[0])
+    ends = rows.groupBy(group).agg(F.count("*").alias("__sl_size"), F.min(first).alias("__sl_low"), F.max(first).alias("__sl_high"))
+    width = F.greatest((F.col("__sl_high") - F.col("__sl_low") + 1) / 64, F.lit(1e-9))
+    held = rows.join(ends.where(F.col("__sl_size") >= n), rows[group].eqNullSafe(ends[group])).drop(ends[group])
+    held = held.withColumn("__sl_b", F.coalesce(F.floor((first - F.col("__sl_low")) / width), F.lit(-1)))
+    sizes = held.groupBy(group, "__sl_b").agg(F.count("*").alias("__sl_n"))
+    before = F.coalesce(F.sum("__sl_n").over(Window.partitionBy(group).orderBy("__sl_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(F.col(group).alias("__sl_g"), F.col("__sl_b").alias("__sl_c"), before.alias("__sl_before"))
+    held = held.join(sizes, held[group].eqNullSafe(sizes["__sl_g"]) & (F.col("__sl_b") == F.col("__sl_c")))
+    place = F.col("__sl_before") + F.row_number().over(Window.partitionBy(group, "__sl_b").orderBy(*(F.col(c).asc_nulls_first() for c in order))) - 1
+    placed = held.withColumn("__sl_at", place)
+    pick = f"((__sl_at * {n} + __sl_size - 1) div __sl_size)"  # the first i with i * size / n >= place
+    return placed.where(F.expr(f"{pick} < {n} AND {pick} * __sl_size div {n} = __sl_at")).select(*rows.columns)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .functions.sequence import gc_fraction, kmers, reverse_complement
 from .operators import hierarchy, matrix, records, similarity
 from .plans import queries as _plans  # noqa: F401  registers its queries
+from .plans import reads as _reads  # noqa: F401  registers its queries
 from .registry import QUERIES, SQL, query, table  # noqa: F401
 
 
@@ -20,9 +21,10 @@ def seq_filter_length(spark, d):
     return records.filter_length(table(spark, d, "documents"), "text", 200, 2000).select("doc_id", "lang", F.length("text").cast("long").alias("n"))
 
 
-@query(r"SELECT doc_id, regexp_replace(text, '^.{0,15}?(?:reserved\.|the )', '', 's') AS text FROM documents")
+@query(r"""WITH m AS (SELECT doc_id, text, length(regexp_extract(text, '^(.*(?:reserved\.|the ))', 1, 's')) AS upto FROM documents)
+ SELECT doc_id, CASE WHEN upto BETWEEN 1 AND 4000 THEN substr(text, upto + 1) ELSE text END AS text FROM m""")
 def seq_clip_start(spark, d):
-    return records.clip_start(table(spark, d, "documents"), "text", r"reserved\.|the ").select("doc_id", "text")
+    return records.clip_start(table(spark, d, "documents"), "text", r"reserved\.|the ", 4000).select("doc_id", "text")
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
@@ -139,7 +141,7 @@ def taxonomy_common_ancestor(spark, d):
 
 
 @query("""WITH p AS (SELECT p_brand AS brand, l_returnflag || l_linestatus AS cond, sum(round(l_quantity))::BIGINT::DOUBLE AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)
- SELECT x.brand AS a, y.brand AS b, round(corr(x.v, y.v), 6) AS r, count(*) AS n FROM p x JOIN p y USING (cond) WHERE x.brand < y.brand GROUP BY ALL""")
+ SELECT x.brand AS a, y.brand AS b, round((corr(x.v, y.v) + 1) / 2, 6) AS r, count(*) AS n FROM p x JOIN p y USING (cond) WHERE x.brand < y.brand GROUP BY ALL""")
 def expression_correlations(spark, d):
     p = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     m = p.groupBy("p_brand", F.concat("l_returnflag", "l_linestatus").alias("cond")).agg(F.sum(F.round("l_quantity").cast("long")).cast("double").alias("v"))

@@ -13,7 +13,7 @@ def _header(line: Column) -> tuple[Column, Column]:
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """id, info and seq; one-line and wrapped records. Records are split by the reader."""
     rows = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^>", "").alias("r")).where(F.trim("r") != "")
-    lines = F.split("r", r"\r?\n")
+    lines = F.split(F.regexp_replace("r", "\r", ""), "\n")
     return rows.select(*_header(lines[0]), F.array_join(F.slice(lines, 2, F.size(lines)), "").alias("seq"))
 
 
