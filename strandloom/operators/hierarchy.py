@@ -156,3 +156,39 @@ def subtree_counts(leaves: DataFrame, ancestors: DataFrame, item: str) -> DataFr
     """For each node the associations (node, item) at or below it, and the distinct items in them."""
     own = leaves.select("node", item).distinct().join(ancestors, "node")
     return own.groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("total"), F.countDistinct(item).alias("unique"))
+
+
+def tree_measures(nodes: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """node, depth (the steps to its furthest ancestor), children, leaves (nodes without children at or
+    below it) and below (nodes under it) of every node, from a tree (node, parent) and its closure."""
+    children = nodes.where("parent IS NOT NULL").groupBy(F.col("parent").alias("node")).agg(F.countDistinct("node").alias("children"))
+    depth = ancestors.groupBy("node").agg(F.max("dist").alias("depth"))
+    tips = ancestors.join(children.select("node"), "node", "left_anti").groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("leaves"))
+    below = ancestors.groupBy(F.col("ancestor").alias("node")).agg((F.count("*") - 1).alias("below"))
+    own = nodes.where("node IS NOT NULL").select("node").distinct()
+    joined = own.join(depth, "node").join(below, "node").join(tips, "node", "left").join(children, "node", "left")
+    return joined.select("node", "depth", F.coalesce("children", F.lit(0)).alias("children"), F.coalesce("leaves", F.lit(0)).alias("leaves"), "below")
+
+
+def subtree(ancestors: DataFrame, roots: DataFrame, depth: int | None = None, leaves_only: bool = False) -> DataFrame:
+    """root, node and dist of the nodes at or below each root (node), down to ``depth`` levels; with
+    ``leaves_only`` those below which there are none."""
+    found = ancestors.join(roots.select(F.col("node").alias("ancestor")).distinct(), "ancestor")
+    if depth is not None:
+        found = found.where(F.col("dist") <= depth)
+    if leaves_only:
+        inner = ancestors.where("dist > 0").select(F.col("ancestor").alias("node")).distinct()
+        found = found.join(inner, "node", "left_anti")
+    return found.select(F.col("ancestor").alias("root"), "node", "dist")
+
+
+def items_below(links: DataFrame, ancestors: DataFrame, roots: DataFrame, item: str) -> DataFrame:
+    """Distinct items that are linked (node, item) to a root or a node below it."""
+    return links.join(subtree(ancestors, roots).select("node").distinct(), "node", "left_semi").select(item).distinct()
+
+
+def clustered_table(pool: DataFrame, seq: str, samples: list[str], clusters: DataFrame) -> DataFrame:
+    """Rows of a pool table by cluster (id: a sequence, seed): the samples' counts added up under the seed.
+    Sequences in no cluster are their own."""
+    joined = pool.join(clusters.select(F.col("id").alias("__sl_id"), F.col("seed").alias("__sl_seed")), F.col(seq) == F.col("__sl_id"), "left")
+    return joined.groupBy(F.coalesce("__sl_seed", seq).alias(seq)).agg(*(F.sum(s).alias(s) for s in samples), F.count("*").alias("members"))

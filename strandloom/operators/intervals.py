@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .matrix import overlaps
+from .similarity import greedy_clusters
+
 
 def condense(intervals: DataFrame, group: str, begin: str, end: str, gap: int = 0) -> DataFrame:
     """A group's intervals merged where they overlap or lie at most ``gap`` apart, with how many
@@ -80,3 +83,25 @@ def chain_table(chains: DataFrame, pair: list[str], q_begin: str, s_begin: str,
     """A row per chain: both begins and ends (the last character), matches and matched characters."""
     q_end, s_end = F.col(q_begin) + F.col(length) - 1, F.col(s_begin) + F.col(length) - 1
     return chains.groupBy(*pair, "chain").agg(F.min(q_begin).alias("q_begin"), F.max(q_end).alias("q_end"), F.min(s_begin).alias("s_begin"), F.max(s_end).alias("s_end"), F.count("*").alias("matches"), F.sum(length).alias("matched"))
+
+
+def in_slices(features: DataFrame, slices: DataFrame, group: str, begin: str, end: str, width: int, clip: bool = False) -> DataFrame:
+    """Features that overlap slices (slice, group, from, to; both ends counted), with the slice, and with
+    ``clip`` cut down to it. They meet in buckets of ``width``, each pair in one of them."""
+    spread = lambda df, a, b: df.withColumn("__sl_b", F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width))))
+    of = spread(slices.where(F.col("from") <= F.col("to")), "from", "to").select("slice", F.col(group).alias("__sl_g"), F.col("from").alias("__sl_from"), F.col("to").alias("__sl_to"), "__sl_b")
+    own = spread(features.where(F.col(begin) <= F.col(end)), begin, end).withColumnRenamed("__sl_b", "__sl_own")
+    met = own.join(of, (F.col(group) == F.col("__sl_g")) & (F.col("__sl_own") == F.col("__sl_b")))
+    first = F.floor(F.greatest(F.col(begin), F.col("__sl_from")) / width)
+    kept = met.where((F.col(begin) <= F.col("__sl_to")) & (F.col("__sl_from") <= F.col(end)) & (F.col("__sl_b") == first))
+    if clip:
+        kept = kept.withColumn(begin, F.greatest(begin, "__sl_from")).withColumn(end, F.least(end, "__sl_to"))
+    return kept.drop("__sl_g", "__sl_from", "__sl_to", "__sl_b", "__sl_own")
+
+
+def best_of_overlapping(features: DataFrame, group: str, key: str, begin: str, end: str, score: str, width: int) -> DataFrame:
+    """Features that no better kept one of their group overlaps, going through them by score (then by the
+    smaller key, which names a feature)."""
+    pairs = overlaps(features, group, key, begin, end, width)
+    seeds = greedy_clusters(pairs.select("a", "b"), features.select(F.col(key).alias("id"), F.col(score).alias("weight")))
+    return features.join(seeds.where("id = seed").select(F.col("id").alias(key)), key, "left_semi")

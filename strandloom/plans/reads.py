@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sequence
-from ..operators import alignment, chimera, hierarchy, intervals, patterns, records, similarity
+from ..operators import alignment, chimera, expression, hierarchy, intervals, patterns, records, similarity, structure
 from ..registry import query, table
 
 
@@ -101,10 +101,11 @@ def seq_clip_end(spark, d):
     return records.clip_end(table(spark, d, "documents"), "text", r"\. [A-Z]", 1500).select("doc_id", "text")
 
 
-@query("""WITH t AS (SELECT doc_id, upper(text) AS s FROM documents),
- c AS (SELECT doc_id, i - 1 AS place FROM t, unnest(range(1, length(s) - 3)) AS u(i) WHERE (substr(s, i::INTEGER, 1) NOT IN ('A', 'G', 'R'))::INTEGER + (substr(s, i::INTEGER + 1, 1) <> 'C')::INTEGER
-  + (substr(s, i::INTEGER + 2, 1) NOT IN ('T', 'U'))::INTEGER + (substr(s, i::INTEGER + 3, 1) <> 'A')::INTEGER + (substr(s, i::INTEGER + 4, 1) NOT IN ('C', 'T', 'U', 'Y'))::INTEGER <= 1)
- SELECT doc_id, min(place)::INTEGER AS begin_at FROM c GROUP BY doc_id""")
+_R, _C, _T, _A, _Y = "[AGRagr]", "[Cc]", "[TUtu]", "[Aa]", "[CTUYctuy]"
+_ONE_OFF = "|".join("".join("." if i == k else c for i, c in enumerate((_R, _C, _T, _A, _Y))) for k in range(5))
+
+
+@query(f"""SELECT doc_id, length(regexp_extract(text, '^(.*?)(?:{_ONE_OFF})', 1, 's'))::INTEGER AS begin_at FROM documents WHERE regexp_matches(text, '{_ONE_OFF}', 's')""")
 def pattern_first_match(spark, d):
     found = table(spark, d, "documents").select("doc_id", patterns.find_pattern(F.col("text"), "RCTAY[1,0,0]", 1).alias("m"))
     return found.where(F.size("m") > 0).select("doc_id", F.get(F.get("m", 0), 0)["at"].alias("begin_at"))
@@ -183,3 +184,74 @@ def intervals_next(spark, d):
 def profile_filtered(spark, d):
     c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("node")).agg(F.count_if(F.col("c_mktsegment") == "BUILDING").alias("b"), F.count_if(F.col("c_mktsegment") == "MACHINERY").alias("m"))
     return hierarchy.filter_profile(c, ["b", "m"], 2, 3)
+
+
+def _places(spark, d):
+    root = spark.createDataFrame([("root", None)], "node string, parent string")
+    region = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey"), F.lit("root"))
+    nation = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"))
+    return root.union(region).union(nation)
+
+
+@query("""SELECT 'root' AS node, 0 AS depth, count(DISTINCT n_regionkey) AS children, count(*) AS leaves, count(*) + count(DISTINCT n_regionkey) AS below FROM nation
+ UNION ALL SELECT 'r' || n_regionkey, 1, count(*), count(*), count(*) FROM nation GROUP BY n_regionkey UNION ALL SELECT 'n' || n_nationkey, 2, 0, 1, 0 FROM nation""")
+def tree_measures(spark, d):
+    nodes = _places(spark, d)
+    return hierarchy.tree_measures(nodes, hierarchy.closure(spark, nodes))
+
+
+@query("""SELECT 'r' || n_regionkey AS root, 'n' || n_nationkey AS node, 1 AS dist FROM nation WHERE n_regionkey IN (1, 3)""")
+def tree_subtree(spark, d):
+    roots = spark.createDataFrame([("r1",), ("r3",), ("nowhere",)], "node string")
+    return hierarchy.subtree(hierarchy.closure(spark, _places(spark, d)), roots, leaves_only=True)
+
+
+@query("""SELECT DISTINCT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2""")
+def ontology_items_below(spark, d):
+    links = table(spark, d, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("node"), "c_custkey")
+    return hierarchy.items_below(links, hierarchy.closure(spark, _places(spark, d)), spark.createDataFrame([("r2",)], "node string"), "c_custkey")
+
+
+@query("""WITH m AS (SELECT l_returnflag, l_partkey, l_quantity::BIGINT AS n, l_discount + 0.5 AS p, l_tax AS pct FROM lineitem), b AS (SELECT *, min(p) OVER (PARTITION BY l_returnflag, l_partkey) AS best FROM m)
+ SELECT l_returnflag, l_partkey, floor(sum(n * (CASE WHEN p = best THEN 1.0::DOUBLE ELSE best / p END)) + 1e-9)::BIGINT AS weighted, sum(n)::BIGINT AS total, count(*) AS matches, max(pct) AS best_pct FROM b GROUP BY ALL""")
+def expression_profile(spark, d):
+    m = table(spark, d, "lineitem").select("l_returnflag", "l_partkey", F.col("l_quantity").cast("long").alias("n"), (F.col("l_discount") + 0.5).alias("p"), F.col("l_tax").alias("pct"))
+    return expression.profile(m, ["l_returnflag", "l_partkey"], "n", "p", "pct")
+
+
+@query("""WITH v AS (SELECT o_custkey, list(round(o_totalprice)) AS v FROM orders GROUP BY o_custkey), m AS (SELECT *, list_avg(v) AS mean FROM v)
+ SELECT o_custkey, round(mean, 4) AS mean FROM m WHERE len(list_filter(v, lambda x: x >= 30000)) >= 0.8 * len(v) AND mean BETWEEN 100000 AND 250000 AND list_avg(list_transform(v, lambda x: abs(x - mean))) / mean BETWEEN 0.2 AND 0.6""")
+def expression_filtered(spark, d):
+    rows = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(F.round("o_totalprice")).alias("v"))
+    kept = expression.filter_rows(rows, "v", 80, 30_000, (100_000, 250_000), (0.2, 0.6))
+    return kept.select("o_custkey", F.round(expression.row_mean(F.col("v")), 4).alias("mean"))
+
+
+@query("""WITH f AS (SELECT o_custkey, o_orderkey, datediff('day', DATE '1970-01-01', o_orderdate::DATE) AS b, datediff('day', DATE '1970-01-01', o_orderdate::DATE) + 45 AS e FROM orders),
+ s AS (SELECT c_custkey, 9000 + 100 * (c_custkey % 7) AS f, 9250 + 100 * (c_custkey % 7) AS t FROM customer)
+ SELECT o_orderkey, c_custkey AS slice, greatest(b, f)::BIGINT AS b, least(e, t)::BIGINT AS e FROM f JOIN s ON o_custkey = c_custkey AND b <= t AND f <= e""")
+def intervals_in_slices(spark, d):
+    day = F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date")).cast("long")
+    features = table(spark, d, "orders").select(F.col("o_custkey").alias("g"), "o_orderkey", day.alias("b"), (day + 45).alias("e"))
+    shift = 100 * (F.col("c_custkey") % 7)
+    slices = table(spark, d, "customer").select(F.col("c_custkey").alias("slice"), F.col("c_custkey").alias("g"), (9000 + shift).alias("from"), (9250 + shift).alias("to"))
+    return intervals.in_slices(features, slices, "g", "b", "e", 50, clip=True).select("o_orderkey", "slice", "b", "e")
+
+
+@query("""WITH s AS (SELECT p_size, translate(md5(p_name || p_partkey), '0123456789abcdef', 'ACGUACGAACGUACAA') AS seq FROM part),
+ k AS (SELECT i - 1 AS beg, 32 - i AS "end", i FROM unnest(range(1, 9)) AS t(i)),
+ p AS (SELECT p_size, beg, "end", substr(seq, i::INTEGER, 1) AS x, substr(seq, 33 - i::INTEGER, 1) AS y, count(*) AS n FROM s, k GROUP BY ALL),
+ e AS (SELECT a.p_size, a.beg, a."end", a.x, b.y, a.n * b.n AS n FROM (SELECT p_size, beg, "end", x, sum(n) AS n FROM p GROUP BY ALL) a JOIN (SELECT p_size, beg, "end", y, sum(n) AS n FROM p GROUP BY ALL) b USING (p_size, beg, "end")),
+ u AS (SELECT 'seen' AS kind, * FROM p UNION ALL SELECT 'random', * FROM e),
+ r AS (SELECT *, row_number() OVER (PARTITION BY kind, p_size, beg ORDER BY n DESC, x, y) AS k FROM u),
+ c AS (SELECT a.kind, a.p_size, a.beg, a."end", sum(CASE WHEN b.k > a.k AND a.x <> b.x AND a.y <> b.y THEN b.n ELSE 0 END) AS cov,
+  sum(CASE WHEN b.k > a.k AND (a.x <> b.x) <> (a.y <> b.y) AND NOT (a.x = 'G' AND b.x = 'G' AND a.y IN ('C', 'U') AND b.y IN ('C', 'U')) AND NOT (a.y = 'G' AND b.y = 'G' AND a.x IN ('C', 'U') AND b.x IN ('C', 'U')) THEN b.n ELSE 0 END) AS un
+  FROM r a JOIN r b ON a.kind = b.kind AND a.p_size = b.p_size AND a.beg = b.beg GROUP BY ALL),
+ h AS (SELECT *, CASE WHEN cov = 0 THEN 0.0::DOUBLE ELSE cov::DOUBLE / (cov + un) END AS share FROM c)
+ SELECT p_size, beg::INTEGER AS beg, "end"::INTEGER AS "end", round(least(1.0, greatest(0.0, 2 * (max(share) FILTER (kind = 'seen') - max(share) FILTER (kind = 'random')))), 6) AS score FROM h GROUP BY ALL""")
+def alignment_covariation(spark, d):
+    seq = F.translate(F.md5(F.concat("p_name", "p_partkey").cast("binary")), "0123456789abcdef", "ACGUACGAACGUACAA")
+    rows = table(spark, d, "part").select("p_size", seq.alias("seq"))
+    pairs = rows.select("p_size").distinct().select("p_size", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("beg")).withColumn("end", 31 - F.col("beg"))
+    scores = structure.covariation(alignment.pair_counts(rows, "p_size", "seq", pairs), ["p_size", "beg", "end"])
+    return scores.select("p_size", "beg", "end", F.round("score", 6).alias("score"))
