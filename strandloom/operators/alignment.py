@@ -1,4 +1,9 @@
-"""Alignments: gaps, justification, ambiguity-code consensus and pairing masks."""
+"""Alignments: gaps, justification, ambiguity-code consensus, positions and pairing masks.
+
+Edge cases, where an operator doesn't say otherwise: null sequences stay null or take no part; an empty
+one has no columns; rows of unequal length count in the columns that they have; an empty table gives an
+empty result. Helper columns begin with ``__sl_``.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,10 @@
-"""Expression profiles, alignment columns, intervals and summaries."""
+"""Expression profiles, alignment columns, intervals and summaries.
+
+Edge cases, where an operator doesn't say otherwise: rows with a null key or value take no part in
+pairs, columns and sums; an empty text has no columns and no words; repeated rows count as often as they
+occur; empty tables give empty results. Pairs of all rows (``correlations``, ``differences``) are the
+result asked for, so these are for profiles with few rows, such as genes of interest.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Cleaning as a chain of steps, with records and characters counted after each in one pass."""
+"""Cleaning as a chain of steps, with records and characters counted after each in one pass.
+
+A null sequence stays null through changes and is dropped by the first condition; it counts as a record
+without characters until then. An empty table has counts of 0 (null sums for characters).
+"""
 
 from __future__ import annotations
 

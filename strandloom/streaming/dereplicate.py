@@ -1,4 +1,8 @@
-"""Incremental de-replication of a stream of records."""
+"""Incremental de-replication and counting of a stream of records.
+
+Null sequences are one group; null times are never counted; repeated records count again; a stream
+without records gives none.
+"""
 
 from __future__ import annotations
 
