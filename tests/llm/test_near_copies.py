@@ -82,7 +82,7 @@ def test_recall_on_documents(spark):
             where.setdefault(x, []).append(i)
     common_ones: dict = {}
     for at in where.values():
-        if len(at) < 200:
+        if len(at) < 40:  # near pairs share some rare ones
             for p in itertools.combinations(at, 2):
                 common_ones[p] = common_ones.get(p, 0) + 1
     near = [p for p in common_ones if len(sets[p[0]] & sets[p[1]]) >= 0.8 * len(sets[p[0]] | sets[p[1]])]
@@ -92,11 +92,11 @@ def test_recall_on_documents(spark):
 
 
 def test_variants_without_a_center(spark):
-    """Thousands of variants of one text of which no two are near copies: none is lost, none joins."""
+    """Hundreds of variants of one text of which no two are near copies: none is lost, none joins."""
     dice = random.Random(33)
     base = [f"w{i}" for i in range(100)]
     texts = []
-    for i in range(1500):
+    for i in range(400):
         other = list(base)
         for at in dice.sample(range(100), 4):
             other[at] = f"new{i}x{at}"
