@@ -121,21 +121,20 @@ def score_hits(hits: DataFrame, nodes: DataFrame, ancestors: DataFrame, most_spa
     the node null, as do hits on no known node. Repeated hits of a read are one.
     """
     own = hits.select("read", F.col("node").alias("tip"), "reads").distinct()
-    total = own.groupBy("read").agg(F.count("*").alias("tips"), F.max("reads").alias("reads"))
-    spanned = own.join(ancestors.select(F.col("node").alias("tip"), "ancestor"), "tip").groupBy("read", F.col("ancestor").alias("node")).agg(F.count("*").alias("held"), F.max(F.col("tip") == F.col("ancestor")).alias("hit"))
-    placed = spanned.join(nodes.select("node", "parent", "depth"), "node").join(total, "read")
-    root = placed.where("held = tips").groupBy("read").agg(F.max("depth").alias("top"))
-    below = placed.join(root, "read").where("depth >= top")
+    read = Window.partitionBy("read")  # a read's hits are few
+    counted = own.withColumn("tips", F.count("*").over(read)).withColumn("reads", F.max("reads").over(read))
+    spanned = counted.join(ancestors.select(F.col("node").alias("tip"), "ancestor"), "tip").groupBy("read", F.col("ancestor").alias("node"), "tips", "reads").agg(F.count("*").alias("held"), F.max(F.col("tip") == F.col("ancestor")).alias("hit"))
+    placed = spanned.join(nodes.select("node", "parent", "depth"), "node").withColumn("top", F.max(F.when(F.col("held") == F.col("tips"), F.col("depth"))).over(read))
+    below = placed.where("depth >= top").withColumn("siblings", F.count("*").over(Window.partitionBy("read", "parent")))
     children = below.where("depth > top").groupBy("read", F.col("parent").alias("node")).agg(F.count("*").alias("children"), F.sum(F.col("hit").cast("int")).alias("leaves"))
-    beside = children.select("read", F.col("node").alias("parent"), F.col("children").alias("siblings"))
-    tree = below.join(children, ["read", "node"], "left").join(beside, ["read", "parent"], "left")
+    tree = below.join(children, ["read", "node"], "left")
     # A hit stays a tip unless it has siblings; a parent is one if all its children are clipped hits.
     stays = F.col("hit") & F.col("children").isNull() & ((F.col("depth") == F.col("top")) | (F.col("siblings") == 1))
     takes = (F.col("children") > 1) & (F.col("leaves") == F.col("children"))
-    tips = tree.where(stays | takes).withColumn("share", F.when(takes, F.col("children")).otherwise(1))
-    span = tips.groupBy("read").agg((F.max("depth") - F.max("top")).alias("span"))
-    scored = tips.join(span.where(F.col("span") <= most_span), "read").select("read", "node", (F.col("reads") * F.col("share") / F.col("tips")).alias("score"))
-    rest = total.join(scored.select("read").distinct(), "read", "left_anti").select("read", F.lit(None).cast(nodes.schema["node"].dataType).alias("node"), F.col("reads").cast("double").alias("score"))
+    tips = tree.where(stays | takes).withColumn("share", F.when(takes, F.col("children")).otherwise(1)).withColumn("deepest", F.max("depth").over(read))
+    scored = tips.where(F.col("deepest") - F.col("top") <= most_span).select("read", "node", (F.col("reads") * F.col("share") / F.col("tips")).alias("score"))
+    whole = own.groupBy("read").agg(F.max("reads").cast("double").alias("score"))
+    rest = whole.join(scored.select("read").distinct(), "read", "left_anti").select("read", F.lit(None).cast(nodes.schema["node"].dataType).alias("node"), "score")
     return scored.unionByName(rest)
 
 
