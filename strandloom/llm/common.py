@@ -40,12 +40,12 @@ def fold(key: str, modulus: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(modulus)
 
 
-def sampled(df: DataFrame, key: str, rows: int, text: str | None = None, characters: int = 0) -> DataFrame:
-    """About ``rows`` rows of ``df`` at most, and about ``characters`` of its column ``text``, the same ones
-    each time: those whose hashed key is under a threshold that follows from the counts. For fitting
+def sampled(df: DataFrame, key: str, rows: int, size: str | None = None, characters: int = 0) -> DataFrame:
+    """About ``rows`` rows of ``df`` at most, and about ``characters`` in all by its column ``size``, the same
+    ones each time: those whose hashed key is under a threshold that follows from the counts. For fitting
     classifiers only."""
-    found = df.agg(F.count("*").alias("n"), (F.sum(F.length(text)) if text else F.lit(0)).alias("held")).first()
-    share = min(rows / max(found["n"], 1), characters / max(found["held"] or 0, 1) if text else 1.0)
+    found = df.agg(F.count("*").alias("n"), (F.sum(size) if size else F.lit(0)).alias("held")).first()
+    share = min(rows / max(found["n"], 1), characters / max(found["held"] or 0, 1) if size else 1.0)
     if share >= 1:
         return df
     return df.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))

@@ -172,10 +172,13 @@ def fit(slots: list[np.ndarray], labels: np.ndarray) -> Model:
     return Model(np.stack([w, ratio**2]).astype(np.float32), b, slope, offset)
 
 
-def learn(labelled: DataFrame, rows: int = TRAINING_ROWS, text: str = "text", label: str = "quality", key: str = "doc_id", characters: int = TRAINING_CHARACTERS) -> Model:
-    """A model from the labelled rows. Features are made on the executors; those of the bounded
+def learn(labelled: DataFrame, rows: int = TRAINING_ROWS, text: str = "text", label: str = "quality", key: str = "doc_id", characters: int = TRAINING_CHARACTERS, size: str | None = None) -> Model:
+    """A model from the labelled rows. ``size`` names a column with the texts' lengths, if there is one: to
+    bound the sample then no text is read. Features are made on the executors; those of the bounded
     sample come to the driver, where the steps of the descent follow each other."""
-    used = sampled(labelled.where(F.col(label).isNotNull()).select(key, text, label), key, rows, text, characters)
+    length = F.length(text) if size is None else F.col(size)
+    known = labelled.where(F.col(label).isNotNull()).select(key, text, label, length.alias("length"))
+    used = sampled(known, key, rows, "length", characters)
 
     def make():
         features = Features()

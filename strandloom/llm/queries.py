@@ -39,7 +39,7 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_model(documents: DataFrame, labels: DataFrame) -> quality.Model:
     labelled = labels.where(F.coalesce(fold("doc_id", 4), F.lit(2)) != 2).select("doc_id", "quality")
-    return quality.learn(documents.select("doc_id", "text").join(labelled, "doc_id"))
+    return quality.learn(documents.select("doc_id", "text", F.length("text").alias("size")).join(labelled, "doc_id"), size="size")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

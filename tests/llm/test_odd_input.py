@@ -83,8 +83,9 @@ def test_quality_sample_is_bounded(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string, quality int")
     from strandloom.llm.common import sampled
 
-    assert sampled(table, "doc_id", 100).count() < 160 and sampled(table, "doc_id", 10**6, "text", 5000).count() < 100
-    assert sampled(table, "doc_id", 10**6, "text", 10**9).count() == 400 and sampled(table.limit(0), "doc_id", 10, "text", 10).count() == 0
+    sized = table.withColumn("size", F.length("text"))
+    assert sampled(table, "doc_id", 100).count() < 160 and sampled(sized, "doc_id", 10**6, "size", 5000).count() < 100
+    assert sampled(sized, "doc_id", 10**6, "size", 10**9).count() == 400 and sampled(sized.limit(0), "doc_id", 10, "size", 10).count() == 0
     assert quality.learn(table, rows=50).weights.shape[1] == quality.SLOTS
 
 
