@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, media, mixing, packing, quality, simhash, topk, urlfilter, warc
+from . import clustering, collocations, htmltext, langid, media, mixing, packing, quality, simhash, tokencount, topk, urlfilter, warc
 from .common import fold, read
 
 #: The same vocabulary as byte_bpe_50k.json, as ranks; the ids are equal and made four times as fast.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_features(read(spark, sf_dir, "documents"))
@@ -68,8 +70,20 @@ def op10_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(read(spark, sf_dir, "pages"))
 
 
+def op11_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(read(spark, sf_dir, "documents"), PIECES)
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(read(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_media, op2_packing, op3_langid, op4_topk, op5_quality, op6_urlfilter, op7_mixing, op8_warc, op9_simhash, op10_htmltext)
+    made = (op1_media, op2_packing, op3_langid, op4_topk, op5_quality, op6_urlfilter, op7_mixing, op8_warc, op9_simhash, op10_htmltext, op11_tokencount, op12_clustering, op13_collocations)
     return {f.__name__: f for f in made}
 
 
@@ -104,4 +118,4 @@ SELECT page_id, host, path, rule, coalesce(says, 'allow') AS verdict FROM keyed
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": OP4_SQL, "op6_urlfilter": OP6_SQL, "op8_warc": warc.DERIVE_SQL}
+    return {"op4_topk": OP4_SQL, "op6_urlfilter": OP6_SQL, "op8_warc": warc.DERIVE_SQL, "op12_clustering": clustering.CLUSTER_SQL, "op13_collocations": collocations.COLLOCATIONS_SQL}
