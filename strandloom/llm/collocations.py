@@ -24,11 +24,11 @@ columns are dropped; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,24 +41,27 @@ FIRST = 2000
 COVERED = 80  # per cent
 #: Bits of the filter of frequent words: 8 MB.
 FILTER_BITS = 1 << 26
-#: Different rows that a task adds up before it passes them on.
-HELD = 200_000
+#: Bytes of text that a task works on at a time, and words whose passing it remembers.
+PART, HELD = 8 << 20, 200_000
 #: Joins the words of a suffix. It is less than every character of a word, so a phrase and what goes on
 #: from it lie together in the order; the few characters below it are spelled with ESCAPE.
 JOINT, ESCAPE = "\t", "\x0e"
-_LOW = re.compile("[\x00-\x08\x0e]")
+_LOW = re.compile(b"[\x00-\x08\x0e]")
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
 
 
-def pieces(text: str) -> Iterator[list[str]]:
-    """The words of each piece of a text that has any."""
-    folded = text.encode().translate(_FOLD).decode()
-    if _LOW.search(folded):
-        folded = _LOW.sub(lambda m: ESCAPE + chr(ord(m[0]) + 64), folded)
-    for piece in folded.split("\n"):
-        words = [w for w in piece.split(" ") if w]
-        if words:
-            yield words
+def words_of(texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+    """All words of the texts in their order, and a number for each that words of one piece share."""
+    joined = b"\n".join(t.encode() for t in texts).translate(_FOLD)
+    if _LOW.search(joined):
+        joined = _LOW.sub(lambda m: ESCAPE.encode() + bytes([m[0][0] + 64]), joined)
+    held = np.frombuffer(joined, np.uint8)
+    inside = (held != 32) & (held != 10)
+    edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+    starts, ends = edges[::2], edges[1::2]
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets.tobytes()), pa.py_buffer(held[inside].tobytes()))
+    return words, np.searchsorted(np.flatnonzero(held == 10), starts)
 
 
 def _spelled(phrase: Column) -> Column:
@@ -69,39 +72,33 @@ def _spelled(phrase: Column) -> Column:
     return F.when(F.instr(phrase, ESCAPE) > 0, spaced).otherwise(F.translate(phrase, JOINT, " "))
 
 
-def _counted(documents: DataFrame, add, name: str) -> DataFrame:
-    """lang, ``name`` and n: what ``add(counter, lang, text)`` counts, added up within tasks as far as ``HELD`` goes."""
+def _counted(documents: DataFrame, count, name: str) -> DataFrame:
+    """lang, ``name`` and n of what ``count(lang, texts)`` finds in the texts of a language that lie together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters: dict[str, Counter] = {}
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, batch.num_rows, PART):
+                texts: dict[str, list[str]] = {}
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    add(counters.setdefault(lang, Counter()), lang, text)
-                if sum(map(len, counters.values())) > HELD:
-                    yield from _rows(counters, name)
-                    counters = {}
-        yield from _rows(counters, name)
+                    texts.setdefault(lang, []).append(text)
+                for lang, its in texts.items():
+                    keys, n = count(lang, its)
+                    for at in range(0, len(keys), 50_000):
+                        some = keys[at : at + 50_000]
+                        yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(some)), some, pa.array(n[at : at + 50_000], pa.int64())], names=["lang", name, "n"])
 
     texts = documents.where(F.length("text") > 0).select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     return texts.mapInArrow(run, f"lang string, {name} string, n long")
 
 
-def _rows(counters: dict[str, Counter], name: str) -> Iterator[pa.RecordBatch]:
-    for lang, counter in counters.items():
-        keys, n = pa.array(counter.keys(), pa.string()), pa.array(counter.values(), pa.int64())
-        for at in range(0, len(keys), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(keys[at : at + 50_000])), keys[at : at + 50_000], n[at : at + 50_000]], names=["lang", name, "n"])
-
-
-def _add_words(counter: Counter, lang: str, text: str) -> None:
-    for words in pieces(text):
-        counter.update(words)
+def _count_words(lang: str, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    coded = words_of(texts)[0].dictionary_encode()
+    return coded.dictionary, np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
 
 
 def word_counts(documents: DataFrame) -> DataFrame:
     """lang, word and n of all words of ``documents`` (lang, text)."""
-    return _counted(documents, _add_words, "word").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return _counted(documents, _count_words, "word").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def _filter(words: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -122,7 +119,7 @@ class Passing:
     def __init__(self, lang: str, bits: np.ndarray):
         self.lang, self.bits, self.known = lang, bits, {}
 
-    def __call__(self, words: list[str]) -> list[bool]:
+    def __call__(self, words: list[str]) -> np.ndarray:
         known = self.known
         if len(known) > HELD:
             known.clear()
@@ -131,28 +128,34 @@ class Passing:
                 h = xxhash.xxh64_intdigest(f"{self.lang}{JOINT}{w}".encode(), 42)
                 h %= 8 * len(self.bits)  # a power of two divides the signed and the unsigned hash alike
                 known[w] = bool(self.bits[h >> 3] >> (h & 7) & 1)
-        return [known[w] for w in words]
-
-
-def _suffix_adder(shared, max_words: int):
-    passing: dict[str, Passing] = {}
-
-    def add(counter: Counter, lang: str, text: str) -> None:
-        if lang not in passing:
-            if len(passing) > 64:
-                passing.clear()
-            passing[lang] = Passing(lang, shared.value)
-        asked = passing[lang]
-        for words in pieces(text):
-            run: list[str] = []
-            for w, there in zip([*words, ""], [*asked(words), False], strict=True):
-                if there:
-                    run.append(w)
-                elif run:
-                    counter.update([JOINT.join(run[i : i + max_words]) for i in range(len(run))])
-                    run = []
-
-    return add
+        return np.fromiter(map(known.__getitem__, words), bool, len(words))
+
+
+def suffix_counts(words: pa.StringArray, piece: np.ndarray, passing, max_words: int) -> tuple[pa.Array, np.ndarray]:
+    """The different suffixes of at most ``max_words`` words, ended before words that don't pass, and how often
+    each stands in ``words``."""
+    coded = words.dictionary_encode()
+    codes = coded.indices.to_numpy().astype(np.int64)
+    there = passing(coded.dictionary.to_pylist())[codes] if len(codes) else np.zeros(0, bool)
+    places = np.flatnonzero(there)
+    goes_on = np.zeros(len(codes) + max_words, bool)
+    goes_on[: len(codes)][:-1] = there[:-1] & there[1:] & (piece[:-1] == piece[1:])
+    padded = np.concatenate([codes, np.zeros(max_words, np.int64)])
+    base = len(coded.dictionary) + 1
+    columns, key, alive = [codes[places]], codes[places], np.ones(len(places), bool)
+    limit = base  # keys are less than this
+    for ahead in range(1, max_words):
+        alive = alive & goes_on[places + ahead - 1]
+        column = np.where(alive, padded[places + ahead] + 1, 0)  # nought: ended
+        if limit * base >= 1 << 62:
+            key = np.unique(key, return_inverse=True)[1]
+            limit = len(key)
+        key, limit = key * base + column, limit * base
+        columns.append(column)
+    _, first, n = np.unique(key, return_index=True, return_counts=True)
+    spelled = [coded.dictionary.take(pa.array(columns[0][first]))]
+    spelled += [coded.dictionary.take(pa.array(c[first] - 1, mask=c[first] == 0)) for c in columns[1:]]
+    return pc.binary_join_element_wise(*spelled, JOINT, null_handling="skip"), n
 
 
 def prefix_counts(rows: Iterator[tuple[str, str, int]], least: int) -> Iterator[tuple[str, str, int]]:
@@ -160,36 +163,46 @@ def prefix_counts(rows: Iterator[tuple[str, str, int]], least: int) -> Iterator[
     of ``least`` or more, and those of the first and the last suffix, which may go on elsewhere."""
     lang, words, counts = None, [], []
     edge = 0  # so many of the words on the stack have been there since the first row
-
-    def pop(upto: int) -> Iterator[tuple[str, str, int]]:
-        nonlocal edge
-        while len(words) > upto:
-            n = counts.pop()
-            if n >= least or len(words) <= edge:
-                yield lang, JOINT.join(words), n
-            words.pop()
-            edge = min(edge, len(words))
-            if counts:
-                counts[-1] += n
-
     for its_lang, suffix, n in rows:
         its = suffix.split(JOINT)
-        same = 0
+        same, depth = 0, len(words)
         if its_lang == lang:
             for a, b in zip(words, its, strict=False):
                 if a != b:
                     break
                 same += 1
-        yield from pop(same)
-        begun = lang is None
-        lang = its_lang
-        words += its[same:]
-        counts += [0] * (len(its) - same)
+        while depth > same:
+            held = counts.pop()
+            if held >= least or depth <= edge:
+                yield lang, JOINT.join(words[:depth]), held
+            depth -= 1
+            if depth:
+                counts[-1] += held
+        new = len(its) - same
+        if new:
+            counts += [0] * new
         counts[-1] += n
-        if begun:
-            edge = len(words)
-    edge = len(words)
-    yield from pop(0)
+        edge = min(edge, same) if lang is not None else len(its)
+        lang, words = its_lang, its
+    while words:
+        held = counts.pop()
+        yield lang, JOINT.join(words), held
+        words.pop()
+        if counts:
+            counts[-1] += held
+
+
+def _suffix_counter(shared, max_words: int):
+    passing: dict[str, Passing] = {}
+
+    def count(lang: str, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        if lang not in passing:
+            if len(passing) > 64:
+                passing.clear()
+            passing[lang] = Passing(lang, shared.value)
+        return suffix_counts(*words_of(texts), passing[lang], max_words)
+
+    return count
 
 
 def phrase_counts(documents: DataFrame, frequent: DataFrame, least: int = LEAST, max_words: int = MAX_WORDS) -> DataFrame:
@@ -197,7 +210,7 @@ def phrase_counts(documents: DataFrame, frequent: DataFrame, least: int = LEAST,
     ``least`` times or more; ``frequent`` has lang and word of all words that do."""
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(_filter(frequent))
-    suffixes = _counted(documents, _suffix_adder(shared, max_words), "suffix")
+    suffixes = _counted(documents, _suffix_counter(shared, max_words), "suffix")
     order = [F.desc("lang"), F.desc("suffix")]
     dealt = suffixes.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
 
@@ -259,15 +272,20 @@ def collocations(documents: DataFrame, least: int = LEAST, max_words: int = MAX_
 
 COLLOCATIONS_SQL = r"""
 WITH d AS (
-  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
-), p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d
-), w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p
-), totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), p AS (SELECT row_number() OVER () AS id, lang, piece FROM (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)
+), w AS (SELECT id, lang, unnest(ws) AS w1, generate_subscripts(ws, 1) AS place FROM (SELECT id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p)
+), totals AS (SELECT lang, count(*) AS n FROM w GROUP BY lang
+), s AS MATERIALIZED (
+  SELECT lang, w1, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3, lead(w1, 3) OVER o AS w4 FROM w WINDOW o AS (PARTITION BY id ORDER BY place)
 ), sizes(m) AS (VALUES (1), (2), (3), (4)
 ), f AS MATERIALIZED (
-  SELECT lang, m, phrase, string_split(phrase, ' ') AS ws, count(*) AS f FROM (
-    SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i : i + m - 1], ' '))) AS phrase FROM w, sizes WHERE len(ws) >= m
-  ) GROUP BY lang, m, phrase HAVING count(*) >= 30
+  SELECT *, string_split(phrase, ' ') AS ws FROM (
+    SELECT lang, 1 AS m, w1 AS phrase, count(*) AS f FROM s GROUP BY ALL HAVING count(*) >= 30
+    UNION ALL SELECT lang, 2, w1 || ' ' || w2 AS phrase, count(*) FROM s WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+    UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 AS phrase, count(*) FROM s WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+    UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 AS phrase, count(*) FROM s WHERE w4 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+  )
 ), cuts AS (
   SELECT c.lang, c.phrase, c.f AS a, k, l.f AS l, r.f AS r, ((2000000::HUGEINT * c.f) // (l.f::HUGEINT + r.f))::BIGINT AS score
   FROM f c JOIN (VALUES (1), (2), (3)) ks(k) ON k < c.m
