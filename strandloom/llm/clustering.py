@@ -97,12 +97,12 @@ def _matrix(lists: pa.Array, width: int) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def _assigned(ready: DataFrame, centroids: np.ndarray, make, schema: str) -> DataFrame:
+def _assigned(ready: DataFrame, centroids: np.ndarray, segment: int, make, schema: str) -> DataFrame:
     """``make(batch, vectors, clusters, distances)`` over the batches of ``ready``, each result a record batch."""
     shared = ready.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        screen = Screen(shared.value)
+        screen = Screen(shared.value, segment)
         for batch in batches:
             if batch.num_rows:
                 v = _matrix(batch.column("v"), screen.centroids.shape[1]).astype(np.int64)
@@ -126,10 +126,10 @@ def starts(ready: DataFrame, k: int = K, key: str = "vec_id", salt: str = "2:")
     return np.array([row["v"] for row in hashed.orderBy("h", "v").limit(k).collect()], np.int64)
 
 
-def moved(ready: DataFrame, centroids: np.ndarray) -> np.ndarray:
+def moved(ready: DataFrame, centroids: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
     """Centroids after a round: the floored mean of each one's vectors, or itself where it has none."""
     width = centroids.shape[1]
-    totals = _assigned(ready, centroids, _sums, "cluster int, n long, sums array<long>").groupBy("cluster").agg(F.sum("n").alias("n"), *[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(width)])
+    totals = _assigned(ready, centroids, segment, _sums, "cluster int, n long, sums array<long>").groupBy("cluster").agg(F.sum("n").alias("n"), *[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(width)])
     after = centroids.copy()
     for row in totals.collect():  # a row per centroid
         after[row["cluster"]] = [row[f"s{i}"] // row["n"] for i in range(width)]
@@ -147,12 +147,12 @@ def cluster(
     if not len(centroids):
         return spark.createDataFrame([], f"`{key}` {kind}, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string")
     for _ in range(rounds):
-        centroids = moved(ready, centroids)
+        centroids = moved(ready, centroids, segment)
 
     def rows(batch, vectors, clusters, distances):
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(clusters, pa.int32()), pa.array(distances, pa.int64())], names=[key, "cluster", "distance"])
 
-    found = _assigned(ready, centroids, rows, f"`{key}` {kind}, cluster int, distance long")
+    found = _assigned(ready, centroids, segment, rows, f"`{key}` {kind}, cluster int, distance long")
     held = {r["cluster"]: r["held"] for r in found.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("held")).collect()}
     fits = lambda x: int(x) if x < 1 << 63 else None
     digests = [hashlib.sha256(",".join(map(str, c.tolist())).encode()).hexdigest() for c in centroids]

@@ -1,14 +1,16 @@
 """Collocations by Suffix-sigma.
 
 Texts fall into pieces at punctuation and line ends, and into words at spaces. Every place of a piece starts a
-suffix of at most ``max_words`` words. Suffixes are dealt out by language and words, first word first, and sorted
+suffix of at most ``max_words`` words. Suffixes are dealt out by first word, language and further words, and sorted
 in reverse lexicographic order; there a suffix comes before its own prefixes, so one stack per partition, a
-count for each word of the current suffix, gives the frequencies of all prefixes, that is of all phrases.
+count for each word of the current suffix, gives the frequencies of all prefixes, that is of all phrases. The stack
+takes a batch of suffixes in one step: where neighbours part, counts are closed, and what the last one has open stays.
 
 * **Words first.** Words are counted before (one row per word and task is shuffled). Words under the least
   frequency are in no candidate and no part of one, so suffixes end before them. The frequent words
   go to the tasks as one bitmap of ``FILTER_BITS`` hashed bits, of fixed size whatever the vocabulary; a word that
-  passes by chance costs a row, no more: its phrases fall out by their frequency.
+  passes by chance costs a row, no more: its phrases fall out by their frequency. Suffixes of one word aren't
+  needed any more.
 * **Hot words.** The deal is by ranges over language and all words of the suffix, so a first word (or pair) of a third
   of all rows gets as many partitions as it has rows for; equal suffixes are added up in the tasks before
   the shuffle. Only the prefixes of a partition's first and last suffix can go on in another; these leave it at any
@@ -64,16 +66,20 @@ def words_of(texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
     return words, np.searchsorted(np.flatnonzero(held == 10), starts)
 
 
+def _escaped(lang: str) -> str:
+    return re.sub("[\x00-\x09\x0e]", lambda m: ESCAPE + chr(ord(m[0]) + 64), lang)
+
+
 def _spelled(phrase: Column) -> Column:
-    """A phrase as it stands in texts, with spaces between its words."""
+    """A phrase (or a language) as it stands in the table, with spaces between its words."""
     spaced = F.translate(phrase, JOINT, " ")
-    for low in (*range(9), 14):
+    for low in (*range(10), 14):
         spaced = F.replace(spaced, F.lit(ESCAPE + chr(low + 64)), F.lit(ESCAPE if low == 14 else chr(low)))
     return F.when(F.instr(phrase, ESCAPE) > 0, spaced).otherwise(F.translate(phrase, JOINT, " "))
 
 
-def _counted(documents: DataFrame, count, name: str) -> DataFrame:
-    """lang, ``name`` and n of what ``count(lang, texts)`` finds in the texts of a language that lie together."""
+def _counted(documents: DataFrame, count, names: list[str]) -> DataFrame:
+    """Columns ``names`` and n of what ``count(lang, texts)`` finds in the texts of a language that lie together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,23 +88,22 @@ def _counted(documents: DataFrame, count, name: str) -> DataFrame:
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     texts.setdefault(lang, []).append(text)
                 for lang, its in texts.items():
-                    keys, n = count(lang, its)
-                    for at in range(0, len(keys), 50_000):
-                        some = keys[at : at + 50_000]
-                        yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(some)), some, pa.array(n[at : at + 50_000], pa.int64())], names=["lang", name, "n"])
+                    *keys, n = count(_escaped(lang), its)
+                    for at in range(0, len(n), 50_000):
+                        yield pa.RecordBatch.from_arrays([k[at : at + 50_000] for k in (*keys, pa.array(n, pa.int64()))], names=[*names, "n"])
 
     texts = documents.where(F.length("text") > 0).select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    return texts.mapInArrow(run, f"lang string, {name} string, n long")
+    return texts.mapInArrow(run, ", ".join([*(f"{name} string" for name in names), "n long"]))
 
 
-def _count_words(lang: str, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+def _count_words(lang: str, texts: list[str]) -> tuple[pa.Array, pa.Array, np.ndarray]:
     coded = words_of(texts)[0].dictionary_encode()
-    return coded.dictionary, np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+    return pa.repeat(lang, len(coded.dictionary)), coded.dictionary, np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
 
 
 def word_counts(documents: DataFrame) -> DataFrame:
     """lang, word and n of all words of ``documents`` (lang, text)."""
-    return _counted(documents, _count_words, "word").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return _counted(documents, _count_words, ["lang", "word"]).groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def _filter(words: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -131,15 +136,15 @@ class Passing:
         return np.fromiter(map(known.__getitem__, words), bool, len(words))
 
 
-def suffix_counts(words: pa.StringArray, piece: np.ndarray, passing, max_words: int) -> tuple[pa.Array, np.ndarray]:
-    """The different suffixes of at most ``max_words`` words, ended before words that don't pass, and how often
-    each stands in ``words``."""
+def suffix_counts(lang: str, words: pa.StringArray, piece: np.ndarray, passing, max_words: int) -> tuple[pa.Array, np.ndarray]:
+    """The different suffixes of 2 to ``max_words`` words, ended before words that don't pass, and how often each
+    stands in ``words``. The first word has the language behind it, after a line end."""
     coded = words.dictionary_encode()
     codes = coded.indices.to_numpy().astype(np.int64)
     there = passing(coded.dictionary.to_pylist())[codes] if len(codes) else np.zeros(0, bool)
-    places = np.flatnonzero(there)
     goes_on = np.zeros(len(codes) + max_words, bool)
     goes_on[: len(codes)][:-1] = there[:-1] & there[1:] & (piece[:-1] == piece[1:])
+    places = np.flatnonzero(goes_on)
     padded = np.concatenate([codes, np.zeros(max_words, np.int64)])
     base = len(coded.dictionary) + 1
     columns, key, alive = [codes[places]], codes[places], np.ones(len(places), bool)
@@ -153,43 +158,74 @@ def suffix_counts(words: pa.StringArray, piece: np.ndarray, passing, max_words:
         key, limit = key * base + column, limit * base
         columns.append(column)
     _, first, n = np.unique(key, return_index=True, return_counts=True)
-    spelled = [coded.dictionary.take(pa.array(columns[0][first]))]
+    led = pc.binary_join_element_wise(coded.dictionary, pa.scalar(lang), "\n")
+    spelled = [led.take(pa.array(columns[0][first]))]
     spelled += [coded.dictionary.take(pa.array(c[first] - 1, mask=c[first] == 0)) for c in columns[1:]]
     return pc.binary_join_element_wise(*spelled, JOINT, null_handling="skip"), n
 
 
-def prefix_counts(rows: Iterator[tuple[str, str, int]], least: int) -> Iterator[tuple[str, str, int]]:
-    """lang, phrase and count of the prefixes of (lang, suffix, count) rows, which come in descending order: those
-    of ``least`` or more, and those of the first and the last suffix, which may go on elsewhere."""
-    lang, words, counts = None, [], []
-    edge = 0  # so many of the words on the stack have been there since the first row
-    for its_lang, suffix, n in rows:
-        its = suffix.split(JOINT)
-        same, depth = 0, len(words)
-        if its_lang == lang:
-            for a, b in zip(words, its, strict=False):
-                if a != b:
-                    break
-                same += 1
-        while depth > same:
-            held = counts.pop()
-            if held >= least or depth <= edge:
-                yield lang, JOINT.join(words[:depth]), held
-            depth -= 1
-            if depth:
-                counts[-1] += held
-        new = len(its) - same
-        if new:
-            counts += [0] * new
-        counts[-1] += n
-        edge = min(edge, same) if lang is not None else len(its)
-        lang, words = its_lang, its
-    while words:
-        held = counts.pop()
-        yield lang, JOINT.join(words), held
-        words.pop()
-        if counts:
-            counts[-1] += held
+class Stack:
+    """Counts of the prefixes of suffixes that come in descending order, batch by batch. Given out are prefixes of
+    ``least`` or more, and those of the first and the last suffix at any count, as they may go on elsewhere."""
+
+    def __init__(self, least: int, max_words: int):
+        self.least, self.max_words = least, max_words
+        self.words: list[str] = []  # of the last suffix
+        self.counts: list[int] = []  # of its prefixes so far
+        self.edge: int | None = None  # so many of its words have been there since the first suffix
+
+    def batch(self, suffixes: pa.StringArray, n: np.ndarray) -> Iterator[tuple[str, int]]:
+        rows = len(suffixes)
+        if not rows:
+            return
+        parts = pc.split_pattern(suffixes, JOINT)
+        offsets = parts.offsets.to_numpy()
+        lengths = np.diff(offsets)
+        coded = parts.flatten().dictionary_encode()
+        codes, names = coded.indices.to_numpy(), coded.dictionary
+        table = np.full((rows, self.max_words), -1, np.int64)
+        for m in range(self.max_words):
+            has = np.flatnonzero(lengths > m)
+            table[has, m] = codes[offsets[has] - offsets[0] + m]
+        spell = lambda row, m: [names[int(c)].as_py() for c in table[row, :m]]
+        same = np.zeros(rows, np.int64)  # words that a suffix shares with the one before it
+        alive = np.ones(rows - 1, bool)
+        for m in range(self.max_words):
+            alive &= (table[1:, m] == table[:-1, m]) & (table[1:, m] >= 0)
+            same[1:] += alive
+        last = spell(rows - 1, lengths[-1])
+        for a, b in zip(self.words, spell(0, lengths[0]), strict=False):
+            if a != b:
+                break
+            same[0] += 1
+        begun, edge = self.edge is not None, self.edge or 0
+        counts = [0] * len(last)
+        for m in range(1, self.max_words + 1):
+            sums = np.concatenate([[0], np.cumsum(np.where(lengths >= m, n, 0))])
+            starts = np.flatnonzero(same < m)
+            if len(self.words) >= m:
+                held = self.counts[m - 1] + int(sums[starts[0] if len(starts) else rows])
+                if not len(starts):
+                    counts[m - 1] = held
+                elif held >= self.least or m <= edge:
+                    yield JOINT.join(self.words[:m]), held
+            if not len(starts):
+                continue
+            totals = sums[np.append(starts[1:], rows)] - sums[starts]
+            its = lengths[starts] >= m
+            out = its & (totals >= self.least)
+            out[0] |= its[0] and not begun
+            if its[-1]:  # goes on
+                counts[m - 1], out[-1] = int(totals[-1]), False
+            for k in np.flatnonzero(out):
+                yield JOINT.join(spell(starts[k], m)), int(totals[k])
+        stays = int(same[1:].min(initial=lengths[0]))
+        self.edge = min(edge, int(same[0]), stays) if begun else stays
+        self.words, self.counts = last, counts
+
+    def end(self) -> Iterator[tuple[str, int]]:
+        for m, held in enumerate(self.counts, 1):
+            yield JOINT.join(self.words[:m]), held
 
 
 def _suffix_counter(shared, max_words: int):
@@ -200,36 +236,39 @@ def _suffix_counter(shared, max_words: int):
             if len(passing) > 64:
                 passing.clear()
             passing[lang] = Passing(lang, shared.value)
-        return suffix_counts(*words_of(texts), passing[lang], max_words)
+        return suffix_counts(lang, *words_of(texts), passing[lang], max_words)
 
     return count
 
 
 def phrase_counts(documents: DataFrame, frequent: DataFrame, least: int = LEAST, max_words: int = MAX_WORDS) -> DataFrame:
     """lang, phrase (words joined by ``JOINT``) and f of all phrases of at most ``max_words`` words that occur
-    ``least`` times or more; ``frequent`` has lang and word of all words that do."""
+    ``least`` times or more; ``frequent`` has lang, word and n of all words that do."""
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(_filter(frequent))
-    suffixes = _counted(documents, _suffix_counter(shared, max_words), "suffix")
-    order = [F.desc("lang"), F.desc("suffix")]
-    dealt = suffixes.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    suffixes = _counted(documents, _suffix_counter(shared, max_words), ["suffix"])
+    dealt = suffixes.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.desc("suffix")).sortWithinPartitions(F.desc("suffix"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        held: list[tuple[str, str, int]] = []
-        for found in prefix_counts(rows, least):
-            held.append(found)
-            if len(held) == 20_000:
-                yield _batch(held)
-                held = []
-        yield _batch(held)
+        stack = Stack(least, max_words)
+        for batch in batches:
+            yield _batch(list(stack.batch(batch.column(0), batch.column(1).to_numpy())))
+        yield _batch(list(stack.end()))
 
     parts = dealt.mapInArrow(run, "lang string, phrase string, n long")
-    return parts.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-
-
-def _batch(rows: list[tuple[str, str, int]]) -> pa.RecordBatch:
-    lang, phrase, n = zip(*rows, strict=True) if rows else ((), (), ())
+    # Prefixes of one word are left to ``frequent``: suffixes of one word weren't made.
+    several = parts.where(F.instr("phrase", JOINT) > 0).groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    return several.unionByName(frequent.select("lang", F.col("word").alias("phrase"), F.col("n").alias("f")))
+
+
+def _batch(rows: list[tuple[str, int]]) -> pa.RecordBatch:
+    """lang, phrase and n of prefixes, the language behind whose first word is put apart."""
+    apart = []
+    for prefix, n in rows:
+        first, *others = prefix.split(JOINT)
+        word, lang = first.split("\n", 1)
+        apart.append((lang, JOINT.join([word, *others]), n))
+    lang, phrase, n = zip(*apart, strict=True) if apart else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
 
 
@@ -267,7 +306,7 @@ def collocations(documents: DataFrame, least: int = LEAST, max_words: int = MAX_
     kept = kept.select("lang", _spelled(F.col("phrase")).alias("phrase"), "a", "cut.l", "cut.r", "cut.score")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     ranked = kept.withColumn("rank", place).where(F.col("rank") <= first)  # the limit goes before the shuffle too
-    return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    return ranked.join(totals, "lang").select(_spelled(F.col("lang")).alias("lang"), F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 COLLOCATIONS_SQL = r"""

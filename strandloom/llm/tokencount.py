@@ -114,20 +114,23 @@ class Counter:
             return [len(ids) for ids in self.library.encode([t or "" for t in texts], num_threads=1)]
         split, known = self.pattern.findall, self.known
         found = [split(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        rest = list({p for p in chain.from_iterable(found) if p not in known})
+        rest = {p for p in chain.from_iterable(found) if p not in known}
+        if len(known) + len(rest) > len(self.proven) + self.memo:  # begin anew, with what these texts ask for
+            known = self.known = dict.fromkeys(self.proven, 1)
+            rest = {p for p in chain.from_iterable(found) if p not in known}
         self.merged += len(rest)
         if rest:
-            numbers = self._encoded(rest)
-            if len(known) + len(rest) > len(self.proven) + self.memo:
-                known = self.known = dict.fromkeys(self.proven, 1)
-            known = known | dict(zip(rest, numbers, strict=True)) if len(rest) > self.memo else self._keep(rest, numbers)
+            known = self._learn(list(rest))
         self.looked_up += sum(map(len, found))
         return [sum(map(known.__getitem__, f)) for f in found]
 
-    def _keep(self, rest: list[str], numbers: list[int]) -> dict[str, int]:
-        """What is known with ``rest``; the short ones stay known for the next batch."""
-        long = {p: n for p, n in zip(rest, numbers, strict=True) if len(p) > SHORT}
-        self.known.update((p, n) for p, n in zip(rest, numbers, strict=True) if len(p) <= SHORT)
+    def _learn(self, rest: list[str]) -> dict[str, int]:
+        """What is known with ``rest``; short ones stay known for later batches, unless they are too many."""
+        numbers = dict(zip(rest, self._encoded(rest), strict=True))
+        if len(rest) > self.memo:
+            return self.known | numbers
+        long = {p: n for p, n in numbers.items() if len(p) > SHORT}
+        self.known.update((p, n) for p, n in numbers.items() if len(p) <= SHORT)
         return self.known | long if long else self.known
 
 
