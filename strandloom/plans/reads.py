@@ -18,19 +18,19 @@ def _items(spark, d):
 
 
 @query("""WITH reads AS (SELECT conv_id * 1000 + turn AS id, lower(text) AS s FROM conversations WHERE length(text) >= 16),
- w AS (SELECT id, ((i - 1) // 4)::BIGINT AS i, substr(s, i::INTEGER, 16) AS k FROM reads, unnest(range(1, length(s) - 14, 4)) AS t(i)),
+ w AS MATERIALIZED (SELECT id, ((i - 1) // 4)::BIGINT AS i, substr(s, i::INTEGER, 16) AS k FROM reads, unnest(range(1, length(s) - 14, 4)) AS t(i)),
  n AS (SELECT id, count(*) AS n FROM w GROUP BY id),
  r AS (SELECT DISTINCT item_id AS ref, substr(lower(text), i::INTEGER, 16) AS k FROM benchmark, unnest(range(1, length(text) - 14)) AS t(i)),
- h AS (SELECT w.id, w.i, r.ref FROM w JOIN r USING (k)),
- c AS (SELECT *, count(*) OVER (PARTITION BY id, ref ORDER BY i) AS l, count(*) OVER (PARTITION BY id, ref ORDER BY i DESC) AS r FROM h),
- lm AS (SELECT id, i, max(l) AS l, min(ref) FILTER (l = m) AS ref FROM (SELECT *, max(l) OVER (PARTITION BY id, i) AS m FROM c) GROUP BY ALL),
- rm AS (SELECT id, i, max(r) AS r, min(ref) FILTER (r = m) AS ref FROM (SELECT *, max(r) OVER (PARTITION BY id, i) AS m FROM c) GROUP BY ALL),
- p AS (SELECT w.id, w.i, n.n, i + 1 - coalesce(max(l) OVER (PARTITION BY w.id ORDER BY i), 0) AS lt, n.n - i - coalesce(max(r) OVER (PARTITION BY w.id ORDER BY i DESC), 0) AS rt
+ h AS MATERIALIZED (SELECT w.id, w.i, r.ref FROM w JOIN r USING (k)),
+ c AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY id, ref ORDER BY i) AS l, count(*) OVER (PARTITION BY id, ref ORDER BY i DESC) AS r FROM h),
+ lm AS MATERIALIZED (SELECT id, i, max(l) AS l, min(ref) FILTER (l = m) AS ref FROM (SELECT *, max(l) OVER (PARTITION BY id, i) AS m FROM c) GROUP BY ALL),
+ rm AS MATERIALIZED (SELECT id, i, max(r) AS r, min(ref) FILTER (r = m) AS ref FROM (SELECT *, max(r) OVER (PARTITION BY id, i) AS m FROM c) GROUP BY ALL),
+ p AS MATERIALIZED (SELECT w.id, w.i, n.n, i + 1 - coalesce(max(l) OVER (PARTITION BY w.id ORDER BY i), 0) AS lt, n.n - i - coalesce(max(r) OVER (PARTITION BY w.id ORDER BY i DESC), 0) AS rt
   FROM w JOIN n USING (id) LEFT JOIN lm USING (id, i) LEFT JOIN rm USING (id, i)),
- j AS (SELECT id, any_value(n) AS n, (min(i) + max(i)) // 2 AS j FROM (SELECT *, min(lt + rt) OVER (PARTITION BY id) AS m FROM p) WHERE lt + rt = m GROUP BY id),
- a AS (SELECT p.*, j.j, pj.lt AS jl, pj.rt AS jr FROM p JOIN j USING (id) JOIN p pj ON pj.id = p.id AND pj.i = j.j),
- e AS (SELECT id, j, coalesce(max({'s': lt + rt, 'i': i}) FILTER (i < j AND lt + rt > jr).i, j) AS b, coalesce(-(max({'s': lt + rt, 'i': -i}) FILTER (i > j AND lt + rt > jl).i), j) AS e FROM a GROUP BY id, j),
- v AS (SELECT e.*, j.n, x.lt AS lb, x.rt AS rb, y.lt AS le, y.rt AS re, g.rt AS rg, f.lt AS lg FROM e JOIN j USING (id)
+ j AS MATERIALIZED (SELECT id, any_value(n) AS n, (min(i) + max(i)) // 2 AS j FROM (SELECT *, min(lt + rt) OVER (PARTITION BY id) AS m FROM p) WHERE lt + rt = m GROUP BY id),
+ a AS MATERIALIZED (SELECT p.*, j.j, pj.lt AS jl, pj.rt AS jr FROM p JOIN j USING (id) JOIN p pj ON pj.id = p.id AND pj.i = j.j),
+ e AS MATERIALIZED (SELECT id, j, coalesce(max({'s': lt + rt, 'i': i}) FILTER (i < j AND lt + rt > jr).i, j) AS b, coalesce(-(max({'s': lt + rt, 'i': -i}) FILTER (i > j AND lt + rt > jl).i), j) AS e FROM a GROUP BY id, j),
+ v AS MATERIALIZED (SELECT e.*, j.n, x.lt AS lb, x.rt AS rb, y.lt AS le, y.rt AS re, g.rt AS rg, f.lt AS lg FROM e JOIN j USING (id)
   JOIN p x ON x.id = e.id AND x.i = b JOIN p y ON y.id = e.id AND y.i = e.e JOIN p g ON g.id = e.id AND g.i = e.j + (e.e - e.j) // 4 JOIN p f ON f.id = e.id AND f.i = e.j - (e.j - b) // 4),
  o AS (SELECT *, re + (rb - re) * (e - j) // (e - b + 1) AS lx, lb + (le - lb) * (j - b) // (e - b + 1) AS rx FROM v)
  SELECT id AS read, (j * 4 + 8)::BIGINT AS "position",
