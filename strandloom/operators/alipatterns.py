@@ -131,6 +131,6 @@ def patterns_from_alignments(rows: DataFrame, ali: str, seq: str, pairs: DataFra
     said = F.when(F.col("kind") == "run", F.col("codes")).when(F.col("kind") == "left", F.concat(F.lit("p"), F.col("partner"), F.lit("="), gap)).when(F.col("kind") == "right", helix).otherwise(F.when(F.col("most") > 0, gap))
     joined = seen.withColumn("said", said).groupBy("ali").agg(F.array_sort(F.collect_list(F.struct("k", "said", "kind"))).alias("all"))
     words = F.array_join(F.transform(F.filter("all", lambda x: x["said"].isNotNull()), lambda x: x["said"]), " ")
-    told, folded = (F.exists("all", lambda x, kinds=kinds: x["kind"].isin(*kinds)) for kinds in (("run", "left"), ("left",)))
+    told, folded = F.exists("all", lambda x: x["kind"].isin("run", "left")), F.exists("all", lambda x: x["kind"] == "left")
     made = joined.select("ali", F.when(told, F.concat(F.when(folded, RULE + " ").otherwise(""), words)).alias("pattern"))
     return held.select("ali").distinct().join(made, "ali", "left").withColumnRenamed("ali", ali)

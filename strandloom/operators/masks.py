@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 BITS = 32_768
 _DIGITS = "0123456789abcdefghijklmnopqrstuvwxyz"
@@ -56,7 +57,7 @@ def united(masks: DataFrame, key: str) -> DataFrame:
     return masks.groupBy(key, "bucket").agg(F.bitmap_or_agg("mask").alias("mask"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _without(masks: pd.Series, others: pd.Series) -> pd.Series:
     return pd.Series([m if o is None else (np.frombuffer(m, np.uint8) & ~np.frombuffer(o, np.uint8)).tobytes() for m, o in zip(masks, others, strict=True)])
 

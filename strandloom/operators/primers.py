@@ -11,7 +11,7 @@ task, and among blocks by one aggregate.
 Bases of primers may be ambiguity codes (``ambiguous``): a piece is then indexed by all that it stands for, up to
 ``SPELLED`` ways; a primer with more in all its pieces is an error.
 
-Edge cases. A null read has no match; characters that no primer has simply don't match; case doesn't count. Primers
+Edge cases. A null read has no match; characters that no primer has simply don't match; the case of a to z doesn't count. Primers
 without name or sequence are left out, as are those shorter than their number of pieces; equal ones are each
 their own. Repeated reads are searched each; extra columns stay.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import reverse_complement
-from .patterns import CODES
+from .patterns import CODES, UPPER
 from .records import match_barcodes
 
 BLOCK = 20_000
@@ -63,7 +63,7 @@ class Index:
     def __init__(self, primers: list[tuple[str, str]], mismatches: int, ambiguous: bool):
         self.names = [name for name, _ in primers]
         self.mismatches, self.ambiguous = mismatches, ambiguous
-        texts = [text.upper() for _, text in primers]
+        texts = [text.translate(UPPER) for _, text in primers]
         self.length = np.array([len(t) for t in texts], np.int64)
         self.codes = np.zeros((len(texts), int(self.length.max(initial=0))), np.uint64)
         for i, t in enumerate(texts):
@@ -81,11 +81,10 @@ class Index:
                 plain = {"".join(x) for x in spelled}
                 if ambiguous:
                     plain = {p.translate(_TO_T) for p in plain}
-                plain = {"".join(c for c in p) for p in plain}
                 by_length.setdefault(b - a, []).extend((int(_hashes(_codes(p), b - a)[0]), i, a) for p in plain)
         for q, held in sorted(by_length.items()):
-            h, i, a = (np.array(x) for x in zip(*sorted(held), strict=True))
-            self.pieces.append((q, h.astype(np.uint64), i, a))
+            h, i, a = zip(*sorted(held), strict=True)
+            self.pieces.append((q, np.array(h, np.uint64), np.array(i), np.array(a)))
 
     def _ways(self, piece: str) -> int:
         n = 1
@@ -95,7 +94,7 @@ class Index:
 
     def find(self, texts: list[str], most_begin: int | None) -> tuple[np.ndarray, ...]:
         """read, primer, begin and mismatches of every match, each once."""
-        codes = [_codes(t.upper().translate(_TO_T) if self.ambiguous else t.upper()) for t in texts]
+        codes = [_codes(t.translate(UPPER).translate(_TO_T) if self.ambiguous else t.translate(UPPER)) for t in texts]
         starts = np.cumsum([0, *(len(c) + 1 for c in codes)])
         line = np.full(int(starts[-1]), np.uint64(1 << 40))  # no character between the reads
         for s, c in zip(starts, codes, strict=False):
