@@ -6,6 +6,8 @@ null means and pass no filter on them. Equal rows are rows of their own; empty t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +34,14 @@ def row_mean(values: Column) -> Column:
 
 def row_variation(values: Column) -> Column:
     """The mean distance of an array's defined values from their mean, over the mean; null for a mean of 0."""
-    mean, held = row_mean(values), _defined(values)
-    return F.aggregate(held, F.lit(0.0), lambda a, v: a + F.abs(v - mean)) / F.size(held) / F.nullif(mean, F.lit(0.0))
+    held = _defined(values)
+    away = _once(row_mean(values), lambda mean: F.aggregate(held, F.lit(0.0), lambda a, v: a + F.abs(v - mean)) / F.nullif(mean, F.lit(0.0)))
+    return away / F.size(held)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, where ``use`` asks for it at every element of an array."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def filter_rows(rows: DataFrame, values: str, defined_pct: float = 0.0, least_value: float = float("-inf"), mean: tuple[float, float] | None = None, variation: tuple[float, float] | None = None, name: tuple[str, str] | None = None) -> DataFrame:
@@ -61,7 +69,7 @@ def scaled_rows(a: Column, b: Column, by: str = "mean") -> tuple[Column, Column]
         return (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2
 
     la, lb = level(a), level(b)
-    grown = lambda x, own, other: F.when((own > 0) & (own < other), F.transform(x, lambda v: v * (other / own))).otherwise(F.transform(x, lambda v: v * 1.0))
+    grown = lambda x, own, other: _once(F.when((own > 0) & (own < other), other / own).otherwise(1.0), lambda times: F.transform(x, lambda v: v * times))
     return grown(a, la, lb), grown(b, lb, la)
 
 

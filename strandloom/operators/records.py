@@ -73,15 +73,44 @@ def trim_quality_start(rows: DataFrame, seq: str, values: str, window: int = 10,
     return cut.withColumn(seq, F.reverse(seq)).withColumn(values, F.reverse(values))
 
 
+def last_good_place(values: Column, window: int, match: int, least: float) -> Column:
+    """Up to which value (from 1; 0: none) a record is good: the last of ``least`` or more up to the end of the last
+    window of which ``match`` are. One pass over the values: what is held of them are the signs of the
+    latest window as the bits of a number, or for windows over 62 as an array."""
+    good = F.coalesce(values_at_least(values, least), F.array().cast("array<boolean>"))
+    small = window <= 62
+    sign = lambda g: F.when(g, 1).otherwise(0)
+    start = F.struct(
+        F.lit(0).alias("n"), (F.lit(0).cast("long") if small else F.array().cast("array<int>")).alias("held"), F.lit(0).alias("in_it"), F.lit(0).alias("last"), F.lit(0).alias("cut")
+    )
+
+    def step(s: Column, g: Column) -> Column:
+        n = s["n"] + 1
+        if small:
+            leaves = F.shiftrightunsigned(s["held"], window - 1).bitwiseAND(F.lit(1).cast("long")).cast("int")
+            kept = s["held"].bitwiseAND(F.lit((1 << (window - 1)) - 1).cast("long"))
+            held = F.shiftleft(kept, 1) + sign(g).cast("long")
+        else:
+            full = F.size(s["held"]) == window
+            leaves = F.when(full, F.element_at(s["held"], 1)).otherwise(0)
+            held = F.concat(F.when(full, F.slice(s["held"], 2, window - 1)).otherwise(s["held"]), F.array(sign(g)))
+        in_it = s["in_it"] + sign(g) - leaves
+        last = F.when(g, n).otherwise(s["last"])
+        cut = F.when((n >= window) & (in_it >= match), last).otherwise(s["cut"])
+        return F.struct(n.alias("n"), held.alias("held"), in_it.alias("in_it"), last.alias("last"), cut.alias("cut"))
+
+    return F.aggregate(good, start, step)["cut"]
+
+
+def values_at_least(values: Column, least: float) -> Column:
+    return F.transform(values, lambda x: F.coalesce(x >= least, F.lit(False)))
+
+
 def trim_quality_end(rows: DataFrame, seq: str, values: str, window: int = 10, match: int = 9, least: float = 20) -> DataFrame:
     """Cuts after the last window of which ``match`` of ``window`` values are ``least`` or more, and
     then after its last such value; empties records without such a window."""
-    n = F.size(values)
-    ends = F.when(n >= window, F.sequence(F.lit(window), n)).otherwise(F.array().cast("array<int>"))
-    good = F.filter(ends, lambda e: F.size(F.filter(F.slice(values, e - window + 1, window), lambda x: x >= least)) >= match)
-    inside = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= F.array_max(good)) & (F.element_at(values, i) >= least))
-    cut = F.coalesce(F.array_max(inside), F.lit(0))
-    return rows.withColumn("__sl_cut", cut).withColumn(seq, F.substring(F.col(seq), F.lit(1), F.col("__sl_cut"))).withColumn(values, F.slice(values, F.lit(1), F.col("__sl_cut"))).drop("__sl_cut")
+    cut = rows.withColumn("__sl_cut", last_good_place(F.col(values), window, match, least))
+    return cut.withColumn(seq, F.substring(F.col(seq), F.lit(1), F.col("__sl_cut"))).withColumn(values, F.slice(values, F.lit(1), F.col("__sl_cut"))).drop("__sl_cut")
 
 
 def filter_ids(rows: DataFrame, ids: DataFrame, key: str, keep: bool = True) -> DataFrame:

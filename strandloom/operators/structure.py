@@ -39,22 +39,46 @@ def covariation(counts: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * (F.col("__sl_seen") - F.col("share")))).alias("score"))
 
 
+def _brackets(fold: Column) -> Column:
+    """A fold with one kind of brackets."""
+    return F.translate(fold, "<>", "()")
+
+
+def _last_place(fold: Column, sign: str) -> Column:
+    """Where a sign stands last, from 1; 0 if nowhere."""
+    from_end = F.instr(F.reverse(fold), sign)
+    return F.when(from_end > 0, F.length(fold) - from_end + 1).otherwise(0)
+
+
 def has_branch(fold: Column) -> Column:
-    """Does a fold open again after it has closed?"""
-    return fold.rlike(r"[)>][^(<]*[(<]")
+    """Does a fold open again after it has closed? That is, does its last opening bracket come after the first
+    closing one."""
+    one = _brackets(fold)
+    closes = F.instr(one, ")")
+    return (closes > 0) & (_last_place(one, "(") > closes)
 
 
 def fold_center(fold: Column) -> Column:
-    """The middle of the first hairpin loop with its closing pair, in characters from the start."""
-    before, loop = F.regexp_extract(fold, r"^(.*?)[(<][.x]+[)>]", 1), F.regexp_extract(fold, r"([(<][.x]+[)>])", 1)
-    return F.when(F.length(loop) > 0, F.length(before) + F.length(loop) / 2)
+    """The middle of the first hairpin loop with its closing pair, in characters from the start. A loop is what
+    lies between an opening bracket and a closing one that comes next, if anything does."""
+    signs = F.filter(F.transform(F.split(_brackets(fold), ""), lambda c, i: F.struct(c.alias("c"), i.alias("at"))), lambda x: x["c"].isin("(", ")"))
+    start = F.struct(F.lit(None).cast("int").alias("opened"), F.lit(None).cast("double").alias("center"))
+    is_open = lambda x: x["c"] == "("
+    step = lambda s, x: F.struct(
+        F.when(is_open(x), x["at"]).alias("opened"),
+        F.coalesce(s["center"], F.when(~is_open(x) & (x["at"] - s["opened"] > 1), (s["opened"] + x["at"] + 1) / 2)).alias("center"),
+    )
+    return F.aggregate(signs, start, step)["center"]
 
 
 def fold_asymmetry(fold: Column) -> Column:
-    """By how many characters the two sides of an unbranched hairpin differ."""
-    shape = r"((?:\(+\.+)+)((?:\.*\)+)+)"
-    left, right = F.rtrim(F.translate(F.regexp_extract(fold, shape, 1), ".", " ")), F.ltrim(F.translate(F.regexp_extract(fold, shape, 2), ".", " "))
-    return F.when(fold.rlike(shape) & ~has_branch(fold), F.abs(F.length(left) - F.length(right)))
+    """By how many characters the two sides of an unbranched hairpin differ: from its first opening bracket to the
+    last, and from its first closing one to the last."""
+    one = _brackets(fold)
+    opens, closes = F.instr(one, "("), F.instr(one, ")")
+    turn = _last_place(one, "(")
+    there = (opens > 0) & (closes > turn + 1) & ~has_branch(fold)
+    return F.when(there, F.abs((turn - opens) - (_last_place(one, ")") - closes)))
 
 
 def lopsided(alignment: DataFrame, ali: str, seq: str, count: str | None = None, least_off: float = 70, least_rows: float = 80, least_balance: float = 10) -> DataFrame:
