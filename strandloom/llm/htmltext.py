@@ -2,20 +2,28 @@
 
 A page is split into text blocks. A classifier over a block's text and links (length, sentence marks,
 share of text in links) gives it a cost of being called boilerplate (its source capacity) and one of
-being called content (its sink capacity). Smoothness edges join a block with what it stands next to:
-with the block before it, with the block before it under the same parent, and with the marked elements
-around it, which are tied to a terminal themselves: an article to the source, a nav or an element of
-class ``ad`` to the sink. An edge's capacity is the cost of labelling its two ends differently, on the
-scale of the classifier's log odds. The maximum flow from source to sink leaves a minimum cut: blocks
-still reachable from the source are content. So a short paragraph between long ones stays, and prose
-in a footer goes, against what their text alone says. Scripts, styles, comments and hidden elements
-never become blocks.
+being called content (its sink capacity); nothing else is known of a block by itself. The graph's other
+nodes are the marked elements of the page: an article, a nav, an element of class ``notice``. They are tied to a
+terminal, the source if they speak for content, by as much as their mark is worth: tags and names that
+leave no doubt for good, names that may mean something else by a few log odds. Edges, on the same scale, cost
+what labelling their two ends differently costs:
+
+* a block and the nearest marked element around it, or the page itself where nothing in it is marked as content;
+* a marked element and the next one around it;
+* a block and the one before it, the less the farther they are apart in the element tree, and a block and the one
+  before it under the same parent, unless an element that is marked for good holds one of them only.
+
+The maximum flow from source to sink leaves a minimum cut: blocks still reachable from the source are content. So
+a short paragraph between long ones stays, prose in a footer goes, and what stands in an element of a
+doubtful name goes if it is a line or two, but stays if its text outweighs the name. Scripts, styles, comments
+and hidden elements never become blocks.
 
 The flow takes time in proportion to the page for chains and trees of blocks, as blocks whose own
 capacity exceeds their edges' and blocks at the end of a chain are settled one by one; the rest goes
 by blocking flows.
 
-No page is labelled, so the classifier's and the marks' weights are fixed values below.
+No page is labelled, so the classifier's and the marks' weights are fixed values below. A page in which
+no element is marked as content counts as one itself, weakly: short plain paragraphs stay, lists of links don't.
 
 Edge cases. A null or empty page, and one without content, has the text ''. Unclosed elements end as
 HTML's usual rules have it (a p ends a p, an li an li); a page that breaks off inside a tag loses
@@ -60,18 +68,25 @@ CLOSES_P = BLOCK - {"html", "body", "head", "td", "th", "tr", "tbody", "thead",
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 
-#: How strongly elements speak for content (positive) or boilerplate.
+#: More than all edges of an element hold: it is on its side for good.
+CERTAIN = 1e9
+#: Fixed values: (tie to a terminal, positive for content; capacity of the edge to each block) of elements by tag.
 TAG_MARK = {
-    "article": 4.0, "main": 3.0, "section": 0.2, "blockquote": 0.5, "pre": 0.5,
-    "nav": -8.0, "header": -5.0, "footer": -8.0, "aside": -8.0, "form": -8.0, "menu": -8.0, "button": -8.0, "fieldset": -6.0, "dialog": -8.0, "search": -8.0, "label": -4.0,
+    "article": (CERTAIN, 4.0), "main": (CERTAIN, 3.0), "label": (-4.0, 4.0),
+    "nav": (-CERTAIN, 8.0), "header": (-CERTAIN, 5.0), "footer": (-CERTAIN, 8.0), "aside": (-CERTAIN, 8.0), "form": (-CERTAIN, 8.0), "menu": (-CERTAIN, 8.0), "button": (-CERTAIN, 8.0),
+    "fieldset": (-CERTAIN, 6.0), "dialog": (-CERTAIN, 8.0), "search": (-CERTAIN, 8.0),
 }
-#: Words of class, id, role and labels that mark boilerplate on any element, those that do
-#: so on elements that hold others, those that say nothing beside them, and those that mark content.
-BAD_ANYWHERE = frozenset(
-    "ad ads advert advertisement advertising adverts banner comment comments commentlist consent cookie cookies disqus discussion gdpr hidden newsletter notice notices notification "
-    "paywall popup promo promoted promotion recommended related reply replies respond responses sponsor sponsored teaser tracking".split()
+#: Words of class, id, role and labels that mean boilerplate, those that often do, which of them say
+#: so of elements that hold others only, those that say nothing beside them, and those that mark content.
+BAD_WORDS = frozenset(
+    "ad ads advert advertisement advertising adverts comment comments commentlist consent cookie cookies disqus gdpr newsletter paywall popup replies reply respond responses sponsor sponsored tracking "
+    "breadcrumb breadcrumbs complementary contentinfo footer login masthead menu modal nav navbar navigation pager pagination search sidebar signup subscribe".split()
 )
-BAD_AROUND = frozenset(
+DOUBTFUL_WORDS = frozenset(
+    "banner discussion hidden notice notices notification notifications promo promoted promotion recommended related teaser "
+    "alert copyright form overlay share sharing skip social tags toc toolbar widget".split()
+)
+AROUND_WORDS = frozenset(
     "alert breadcrumb breadcrumbs complementary contentinfo copyright footer form login masthead menu modal nav navbar navigation overlay pager pagination search share sharing sidebar "
     "signup skip social subscribe tags toc toolbar widget".split()
 )
@@ -80,9 +95,10 @@ PLAIN_WORDS = frozenset(
     "post posts primary region right row secondary section site slot stories story text thread title top unit wrap wrapper x".split()
 )
 GOOD_WORDS = frozenset("article articlebody body content entry hentry main page post story text".split())
-BAD_MARK, GOOD_MARK = -8.0, 1.5
-MARK_RANGE = (-8.0, 5.0)
-HEADER_IN_ARTICLE = 4.5
+#: What names are worth, as above: bad ones, doubtful ones, any on an element of text, good ones.
+BAD_NAME, DOUBTFUL_NAME, TEXT_NAME, GOOD_NAME = (-CERTAIN, 8.0), (-4.0, 8.0), (-4.0, 4.0), (3.0, 2.0)
+#: The page's edge to a block where nothing is marked as content, and a marked element's to the next.
+PAGE, INSIDE = 1.5, 1.0
 #: The classifier of texts, in log odds, and the capacities of edges between blocks.
 BIAS, LINK_WEIGHT, LENGTH_WEIGHT, SENTENCE_WEIGHT = -1.2, -2.5, 0.35, 0.4
 HEADING_WEIGHT = {"h1": 0.8, "h2": 0.4, "h3": 0.3}
@@ -91,13 +107,32 @@ FOLLOWS, NEAR = 0.8, 0.6
 TEXT_ELEMENTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th figcaption caption pre summary".split())
 
 
+#: On these an id is an anchor that says nothing.
+ANCHORS = TEXT_ELEMENTS | {"section", "article"}
+
+
+@dataclass(slots=True)
+class Mark:
+    tie: float  # to the source if positive, to the sink if negative
+    hold: float  # capacity of the edge to each block
+    above: Mark | None  # of the next marked element around
+
+    def certain(self) -> Mark | None:
+        """The nearest mark that is for good, this one included."""
+        held: Mark | None = self
+        while held is not None and abs(held.tie) < CERTAIN:
+            held = held.above
+        return held
+
+
 @dataclass(slots=True)
 class Node:
     tag: str
-    mark: float  # of the elements from the root to this one
+    mark: Mark | None  # of the nearest marked element, itself included
     parent: Node | None
     hidden: bool
     inside: bool  # an article or main is above
+    depth: int
 
 
 @dataclass(slots=True)
@@ -107,26 +142,40 @@ class TextBlock:
     score: float  # log odds of being content by text and links alone
 
 
-def _hints(tag: str, attributes: str) -> tuple[float, bool]:
-    """An element's mark by its attributes, and whether it is hidden.
+def _name_of(tag: str, attributes: str) -> tuple[tuple[float, float] | None, bool]:
+    """What an element's names are worth, and whether it is hidden.
 
     A name such as ``cookie-notice`` counts if one of its words is bad and the others are bad or plain;
     ``share-price`` and ``no-sidebar`` say nothing.
     """
-    mark, hidden = 0.0, False
-    bad = BAD_ANYWHERE if tag in TEXT_ELEMENTS else BAD_ANYWHERE | BAD_AROUND
+    worth, hidden = None, False
+    of_text = tag in TEXT_ELEMENTS
+    known = BAD_WORDS | DOUBTFUL_WORDS
+    asked = known - AROUND_WORDS if of_text else known
     for name, value in _HINT.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             hidden = True
-        elif name in ("class", "id", "role", "aria-label", "itemprop"):
+        elif name in ("class", "role", "aria-label", "itemprop") or name == "id" and tag not in ANCHORS:
             for token in value.split():
                 words = {x.lower() for x in _WORDS.findall(token)}
-                if words & bad and words <= bad | PLAIN_WORDS:
-                    mark = BAD_MARK
-                elif words & GOOD_WORDS and words <= GOOD_WORDS | PLAIN_WORDS and mark >= 0:
-                    mark = GOOD_MARK
-    return mark, hidden
+                if words & asked and words <= known | PLAIN_WORDS:
+                    found = TEXT_NAME if of_text else BAD_NAME if words & BAD_WORDS else DOUBTFUL_NAME
+                    worth = found if worth is None or worth[0] > found[0] else worth
+                elif words & GOOD_WORDS and words <= GOOD_WORDS | PLAIN_WORDS and worth is None and not of_text:
+                    worth = GOOD_NAME
+    return worth, hidden
+
+
+def _marked(node: Node, tag: str, worth: tuple[float, float] | None) -> Mark | None:
+    """The mark that blocks of a new element under ``node`` have: its own, or else that of what is around it. Good
+    marks say nothing in an element that is boilerplate for good, a header nothing in an article."""
+    found = TAG_MARK.get(tag) if not (tag == "header" and node.inside) else None
+    if worth is not None and (found is None or worth[0] < min(found[0], 0.0)):
+        found = worth
+    if found is None or found[0] > 0 and node.mark is not None and node.mark.tie <= -CERTAIN:
+        return node.mark
+    return Mark(*found, node.mark)
 
 
 def _ends(page: str, name: str) -> dict[int, int]:
@@ -148,7 +197,7 @@ def _loose(tail: str) -> bool:
 
 def blocks(page: str) -> list[TextBlock]:
     """The text blocks of a page in their order, with the classifier's scores."""
-    node = Node("", 0.0, None, False, False)
+    node = Node("", None, None, False, False, 0)
     out: list[TextBlock] = []
     parts: list[str] = []
     closed: dict[str, dict[int, int]] = {}
@@ -240,9 +289,8 @@ def blocks(page: str) -> list[TextBlock]:
                 node = top.parent
         if name == "hr":
             continue
-        own, hidden = _hints(name, found[3][:-1]) if len(found[3]) > 1 and name not in ("html", "body") else (0.0, False)
-        mark = node.mark + (HEADER_IN_ARTICLE if name == "header" and node.inside else 0.0) + TAG_MARK.get(name, 0.0) * (name != node.tag) + own
-        node = Node(name, min(max(mark, MARK_RANGE[0]), MARK_RANGE[1]), node, hidden or node.hidden or name == "head", node.inside or name in ("article", "main"))
+        worth, hidden = _name_of(name, found[3][:-1]) if len(found[3]) > 1 and name not in ("html", "body") else (None, False)
+        node = Node(name, _marked(node, name, worth), node, hidden or node.hidden or name == "head", node.inside or name in ("article", "main"), node.depth + 1)
     end()
     return out
 
@@ -371,22 +419,64 @@ def _blocking_flows(extra: list[float], near: list[dict[int, float]]) -> list[bo
                     turn[i] += 1
 
 
-def labels(found: list[TextBlock]) -> list[bool]:
-    """True for the blocks that are content."""
-    edges, last = [], {}
+def distance(a: Node, b: Node) -> int:
+    """Steps from one element to another over the nearest one that holds both."""
+    steps = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+        steps += 1
+    return steps
+
+
+def graph(found: list[TextBlock]) -> tuple[list[float], list[float], list[tuple[int, int, float]]]:
+    """Source and sink capacities and edges: blocks first, then the marked elements around them and the page."""
+    source = [math.log1p(math.exp(b.score)) for b in found]
+    sink = [math.log1p(math.exp(-b.score)) for b in found]
+    edges: list[tuple[int, int, float]] = []
+    last: dict[int, int] = {}
+    marks: dict[int, int] = {}
+
+    def node_of(mark: Mark) -> int:
+        held, below = mark, None
+        while held is not None and id(held) not in marks:
+            marks[id(held)] = i = len(source)
+            source.append(max(0.0, held.tie))
+            sink.append(max(0.0, -held.tie))
+            if below is not None:
+                edges.append((below, i, INSIDE))
+            held, below = held.above, i
+        if below is not None and (held is not None or bare):
+            edges.append((below, page if held is None else marks[id(held)], INSIDE))
+        return marks[id(mark)]
+
+    own: list[Mark | None] = []  # the marks for good that blocks are in
+    bare = not any(b.node.inside for b in found)
+    page = len(source)
+    if bare:
+        source.append(CERTAIN)
+        sink.append(0.0)
     for i, block in enumerate(found):
+        if block.node.mark is not None:
+            edges.append((i, node_of(block.node.mark), block.node.mark.hold))
+        elif bare:
+            edges.append((i, page, PAGE))
+        own.append(block.node.mark and block.node.mark.certain())
+        if i and own[i - 1] is own[i]:
+            edges.append((i - 1, i, 2 * FOLLOWS / max(2, distance(found[i - 1].node, block.node))))
         parent = id(block.node.parent)
-        beside = last.get(parent)
-        if i:
-            edges.append((i - 1, i, FOLLOWS))
-        if beside is not None:
-            edges.append((beside, i, NEAR))
+        if parent in last and own[last[parent]] is own[i]:
+            edges.append((last[parent], i, NEAR))
         last[parent] = i
-    # The classifier's costs, and the edges to the marked elements around a block, whose other ends are
-    # tied to a terminal.
-    source = [math.log1p(math.exp(b.score)) + max(0.0, b.node.mark) for b in found]
-    sink = [math.log1p(math.exp(-b.score)) + max(0.0, -b.node.mark) for b in found]
-    return maximum_flow(len(found), source, sink, edges)
+    return source, sink, edges
+
+
+def labels(found: list[TextBlock]) -> list[bool]:
+    """True for the blocks that are content."""
+    source, sink, edges = graph(found)
+    return maximum_flow(len(source), source, sink, edges)[: len(found)]
 
 
 def main_text(page: str | None) -> str:
