@@ -17,6 +17,13 @@ aren't of the named character set become U+FFFD; an unknown set is read as UTF-8
 encodings are not undone. Repeated rows give repeated records. Extra columns are dropped. Where
 records become bytes, control characters and spaces in a target URI are percent-encoded and those in
 other fields become spaces, so that a value can't end its line.
+
+Damaged files never fail a job: what can't be read is left out, and reading goes on with the next record that
+can. That holds for gzip members with wrong bytes (up to the next member; what a member gave before its damage
+stays, whole records only), for padding and other bytes between members or records, for a Content-Length that is
+missing, no number, or not followed by a line end, and for a record that the file breaks off in. Lines may end in LF
+alone. Overwriting deletes only files of the names that this module writes, after the new ones are in place; who reads in
+between may see both.
 """
 
 from __future__ import annotations
@@ -67,7 +74,7 @@ def response_records(pages: DataFrame, key: str = "page_id", date: str = DATE) -
     return pages.select(
         F.col(key),
         F.lit("response").alias("warc_type"),
-        urn(F.concat_ws("|", F.lit("response"), F.col(key).cast("string"), uri)).alias("record_id"),
+        urn(F.concat_ws("|", F.lit("response"), F.coalesce(F.col(key).cast("string"), F.lit("")), uri)).alias("record_id"),
         uri.alias("target_uri"),
         F.lit(date).alias("warc_date"),
         F.lit("application/http; msgtype=response").alias("content_type"),
@@ -77,7 +84,8 @@ def response_records(pages: DataFrame, key: str = "page_id", date: str = DATE) -
 
 # -- One response ----------------------------------------------------------------------------------
 
-_MARKUP = re.compile(r"<(?:[^<>sS!][^<>]*>|((?i:script|style))\b.*?(?:</(?i:\1)\b[^>]*>|\Z)|!--.*?-->|[^<>]*>)", re.S)
+#: A < begins markup only before a letter, a slash and a letter, ! or ?. A quoted value after = may hold a >.
+_MARKUP = re.compile(r"<(?:((?i:script|style))(?=[\s/>]).*?(?:</(?i:\1)\b[^>]*>|\Z)|/?[a-zA-Z](?:[^<>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')|=)*+>|!--.*?-->|[!?][^<>]*>)", re.S)
 _REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);")
 _STATUS = re.compile(r"HTTP/\S+ (\d{3})")
 _FOLDED = re.compile(r"\r?\n[ \t]+")
@@ -94,7 +102,7 @@ def _character(found: re.Match) -> str:
 
 def plain_text(markup: str) -> bytes:
     """Markup to text in UTF-8: scripts, styles (to the end of the page if not closed) and comments go, tags are
-    white space, references that end in a semicolon are decoded (a no-break space is a space), white
+    white space (a < that begins none is text), references that end in a semicolon are decoded (a no-break space is a space), white
     space is one space."""
     text = _MARKUP.sub(" ", markup) if "<" in markup else markup
     if "&" in text:
@@ -181,58 +189,108 @@ def serialised(record: dict) -> bytes:
 
 
 def _unfolded(head: bytes) -> dict[str, str]:
-    lines = _FOLDED.sub(" ", head.decode("utf-8", "replace")).splitlines()
+    lines = re.split(r"\r?\n", _FOLDED.sub(" ", head.decode("utf-8", "replace")))
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
 
+#: Between pieces of a file: what comes next doesn't follow on what came before.
+BREAK = b""
+_BEGIN, _HEAD_END = re.compile(rb"(?:\A|\n)(?=WARC/\d)"), re.compile(rb"\r?\n\r?\n")
+#: A head that is longer isn't one.
+HEAD = 1 << 20
+
+
 def parsed(pieces: Iterator[bytes]) -> Iterator[dict]:
     """Records from a file's decompressed bytes, as they come: no more than a record and a piece is
-    held. What ends inside a record is left out."""
-    held, ended = bytearray(), False
+    held, as long as its length doesn't lie. An empty piece is a ``BREAK``."""
+    held, ended, broken = bytearray(), False, False
     pieces = iter(pieces)
 
     def more() -> bool:
-        nonlocal ended
+        """Another piece; False at the end of the file and at a break."""
+        nonlocal ended, broken
         piece = next(pieces, None)
-        ended = piece is None
+        ended, broken = piece is None, piece == BREAK
         held.extend(piece or b"")
-        return not ended
+        return bool(piece)
 
     while True:
-        while (end := held.find(b"\r\n\r\n")) < 0:
-            if not more():
-                return
-        fields = _unfolded(bytes(held[:end]))
-        size = int(fields.pop("content-length", "0") or 0)
-        while len(held) < end + 4 + size:
-            if not more():
-                return
-        block = bytes(held[end + 4 : end + 4 + size])
-        while len(held) < end + 8 + size and more():
+        if broken or ended:
+            # What is left of before: a record that can't go on is passed over, others in it may be whole.
+            found = _BEGIN.search(held)
+            if not found:
+                if ended:
+                    return
+                held.clear()
+                broken = False
+                continue
+        found = _BEGIN.search(held)
+        if not found:
+            del held[: max(0, len(held) - 8)]
+            more()
+            continue
+        del held[: found.end()]
+        while not (end := _HEAD_END.search(held)) and len(held) < HEAD and not (broken or ended) and more():
+            pass
+        if not end or end.start() > HEAD:
+            del held[:5]  # no longer a beginning
+            continue
+        fields = _unfolded(bytes(held[: end.start()]))
+        length, start = fields.pop("content-length", ""), end.end()
+        if not re.fullmatch(r"[0-9]{1,18}", length):
+            del held[: start - 1]
+            continue
+        size = int(length)
+        while len(held) < start + size + 4 and not (broken or ended) and more():
             pass
-        del held[: end + 8 + size]
+        after = bytes(held[start + size : start + size + 4])
+        if len(held) < start + size or after[:1] not in (b"", b"\r", b"\n"):
+            del held[: start - 1]
+            continue
+        block = bytes(held[start : start + size])
+        del held[: start + size]  # the line ends after it lead up to the next beginning
         row = {column: fields.pop(field.lower(), None) for column, field in FIELDS.items()}
         for column in ("record_id", "refers_to", "concurrent_to"):
             row[column] = row[column].strip("<>") if row[column] is not None else None
         yield row | {"fields": list(fields.items()), "block": block}
 
 
+_MAGIC = b"\x1f\x8b\x08"
+
+
 def inflated(stream, size: int = 1 << 20) -> Iterator[bytes]:
-    """The bytes of a file of gzip members, or of one that isn't compressed."""
-    piece = stream.read(size)
-    if piece[:2] != b"\x1f\x8b":
-        while piece:
-            yield piece
-            piece = stream.read(size)
+    """The bytes of a file of gzip members, or of one that isn't compressed, with a ``BREAK`` where a member is
+    damaged or other bytes stand between members."""
+    raw = stream.read(size)
+    if raw[:2] != _MAGIC[:2]:
+        while raw:
+            yield raw
+            raw = stream.read(size)
         return
-    member = zlib.decompressobj(31)
-    while piece:
-        yield member.decompress(piece)
+    member, fresh = zlib.decompressobj(31), True  # fresh: ``raw`` is where the member begins
+    while raw:
+        try:
+            made = member.decompress(raw, 4 << 20)
+        except zlib.error:
+            yield BREAK
+            raw = raw[1:] if fresh else raw
+            while (at := raw.find(_MAGIC)) < 0:
+                following = stream.read(size)
+                raw = raw[-2:] + following if following else b""
+                if not following:
+                    return
+            raw, member, fresh = raw[at:], zlib.decompressobj(31), True
+            continue
+        if made:
+            yield made
+        fresh = False
         if member.eof:
-            piece, member = member.unused_data, zlib.decompressobj(31)
-            if piece:
-                continue
-        piece = stream.read(size)
+            raw = member.unused_data.lstrip(b"\0")
+            while not raw and (raw := stream.read(size)):
+                raw = raw.lstrip(b"\0")
+            member, fresh = zlib.decompressobj(31), True
+        else:
+            raw = member.unconsumed_tail or stream.read(size)
 
 
 def _store(path: str):
@@ -304,6 +362,10 @@ class WarcReader(DataSourceReader):
             yield made(rows)
 
 
+#: Names of the files that are written.
+_OWN = re.compile(r"part-\d{6,}-[0-9a-f]{12}-\d+\.warc\.gz")
+
+
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, path: str, names: list[str], overwrite: bool):
         self.path, self.names, self.overwrite = path, names, overwrite
@@ -329,7 +391,7 @@ class WarcWriter(DataSourceArrowWriter):
 
         store, path = _store(self.path)
         store.create_dir(path, recursive=True)
-        before = [x.path for x in store.get_file_info(fs.FileSelector(path)) if x.type == fs.FileType.File] if self.overwrite else []
+        before = [x.path for x in store.get_file_info(fs.FileSelector(path)) if x.type == fs.FileType.File and _OWN.fullmatch(x.base_name)] if self.overwrite else []
         for m in messages:
             if m is not None:
                 store.move(f"{path}/_{self.job}/{m.name}", f"{path}/{m.name}")
@@ -366,13 +428,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 #: The same derivation for DuckDB, over the view ``pages``.
 DERIVE_SQL = r"""
 WITH responses AS (
-  SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload, md5('response|' || coalesce(page_id::VARCHAR || '|', '') || coalesce(url, '')) AS h FROM pages
+  SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload, md5('response|' || coalesce(page_id::VARCHAR, '') || '|' || coalesce(url, '')) AS h FROM pages
 ), known AS (
   SELECT *, 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(payload) || chr(13) || chr(10) || chr(13) || chr(10) || payload AS block,
     'urn:uuid:' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS rid FROM responses
 ), hashed AS (
   SELECT *, 'sha256:' || sha256(payload) AS pd, 'sha256:' || sha256(block) AS bd, md5('metadata|' || rid) AS mh, md5('conversion|' || rid) AS ch,
-    regexp_replace(regexp_replace(regexp_replace(payload, '<(script|style)\b.*?</(script|style)\s*>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs'), '<[^<>]*>', ' ', 'g') AS x FROM known
+    regexp_replace(regexp_replace(regexp_replace(payload, '<(script|style)\b.*?</(script|style)\s*>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs'), '<(?:/?[a-zA-Z](?:[^<>=]|=\s*"[^"]*"|=\s*''[^'']*''|=)*|[!?][^<>]*)>', ' ', 'g') AS x FROM known
 ), texts AS (
   SELECT *, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[ \t\n\r\f\x0B]+', ' ', 'g')) AS plain,
     'urn:uuid:' || substr(mh, 1, 8) || '-' || substr(mh, 9, 4) || '-' || substr(mh, 13, 4) || '-' || substr(mh, 17, 4) || '-' || substr(mh, 21, 12) AS mid,

@@ -2,7 +2,9 @@
 
 import gzip
 import hashlib
+import io
 import os
+import random
 
 import duckdb
 import pytest
@@ -89,7 +91,92 @@ def test_odd_blocks(spark):
 def test_a_large_record_comes_in_pieces():
     block = os.urandom(5_000_000)
     data = gzip.compress(warc.serialised({"warc_type": "resource", "block": block}) * 2, 1)
-    import io
-
     got = list(warc.parsed(warc.inflated(io.BytesIO(data), 1000)))
     assert [x["block"] == block for x in got] == [True, True]
+
+
+@pytest.mark.parametrize(
+    ("markup", "text"),
+    [
+        ("if a < b and c > d then <b>x</b>", "if a < b and c > d then x"), ("1 < 2 and 3 > 2", "1 < 2 and 3 > 2"), ("<p title='x>y'>z</p>", "z"), ('<a href="a>b" x=1>c', "c"), ("<p title=don't>a</p>b", "a b"),
+        ('<p title="5" screen">a', 'a'), ("a <b and c</p>d", "a <b and c d"), ("<!doctype html><p>x<!-- <p>y --> z", "x z"), ("x<script>if (a<b) c()</script>y", "x y"), ("x<script src=a>y", "x"), ("x<scripts>y", "x y"),
+        ("a<br/>b&lt;c&amp;lt;", "a b<c&lt;"), ("<?xml v?>x </ y <1> <", "x </ y <1> <"), ("<p a='", "<p a='"),
+    ],
+)
+def test_what_is_markup(markup, text):
+    assert warc.plain_text(markup).decode() == text
+
+
+def test_markup_takes_linear_time():
+    for odd in ('<a x="1" ' * 50_000, "<a " * 100_000, "<a =" * 100_000, "<a x='" * 50_000, "<!--" * 50_000 + ">", "< " * 100_000):
+        warc.plain_text(odd)
+
+
+def test_pages_with_loose_signs_equal_sql(spark):
+    import pandas as pd
+
+    rows = [(i, f"http://a/{i}", x) for i, x in enumerate(["1 < 2 and 3 > 2 <b>x</b>", "<p title='x>y'>z</p> a <b and c</p>", "<p title=don't>a</p> < b", None, "", '<a href="q>r">s</a> <1>'])] + [(None, "5|u", "x"), (5, "u", "x")]
+    c = duckdb.connect()
+    table = pd.DataFrame(rows, columns=["page_id", "url", "html"]).astype({"page_id": "Int64"})
+    c.register("pages", table)
+    want = c.sql(warc.DERIVE_SQL).df()
+    got = warc.derive(warc.response_records(spark.createDataFrame(rows, "page_id long, url string, html string"))).toPandas()
+    assert sorted(zip(want.record_id, want.block, want.refers_to, strict=True)) == sorted(zip(got.record_id, got.block, got.refers_to, strict=True))
+    assert got.record_id.nunique() == len(got)
+
+
+def record(i, block, eol=b"\r\n", length=None):
+    length = str(len(block)).encode() if length is None else length
+    return eol.join([b"WARC/1.0", b"WARC-Type: resource", b"WARC-Record-ID: <urn:x:%d>" % i, b"Content-Length: " + length, b"", b""]) + block + eol * 2
+
+
+def found(data, size=64):
+    return [(r["record_id"], r["block"]) for r in warc.parsed(warc.inflated(io.BytesIO(data), size))]
+
+
+def test_damaged_records_are_passed_over():
+    one, two, three = (record(i, b"block %d" % i) for i in (1, 2, 3))
+    whole = [(f"urn:x:{i}", b"block %d" % i) for i in (1, 2, 3)]
+    for wrong in (record(9, b"x", length=b"ten"), record(9, b"x", length=b"-4"), record(9, b"x", length=b""), record(9, b"x", length=b"900000"), b"\0" * 99, b"junk WARC/9 junk\r\n", record(9, b"x")[:40] + b"\r\n"):
+        for size in (7, 64, 1 << 20):
+            assert found(one + wrong + two + three, size) == whole, wrong
+            assert found(b"".join(map(gzip.compress, (one, wrong, two, three))), size) == whole, wrong
+            assert found(gzip.compress(one) + b"\0" * 50 + gzip.compress(two) + b"\0" * 3 + gzip.compress(three) + b"\0" * 512, size) == whole
+            assert found(gzip.compress(one) + b"not gzip" + gzip.compress(two) + gzip.compress(three), size) == whole
+    assert found(b"".join(record(i, b"block %d" % i, b"\n") for i in (1, 2, 3))) == whole
+    assert found(one + three[:-8]) == whole[:1] and found(b"") == [] and found(b"\x1f\x8b") == []
+    bad = bytearray(gzip.compress(two))
+    bad[15] ^= 0xFF
+    assert found(gzip.compress(one) + bytes(bad) + gzip.compress(three)) in ([whole[0], whole[2]], whole)
+
+
+def test_no_file_raises():
+    dice = random.Random(11)
+    records = [record(i, os.urandom(dice.randint(0, 90)), dice.choice([b"\n", b"\r\n"])) for i in range(12)]
+    for data in (b"".join(records), b"".join(map(gzip.compress, records)), gzip.compress(b"".join(records))):
+        assert len(found(data)) == 12
+        for _ in range(600):
+            other = bytearray(data)
+            for _ in range(dice.randint(1, 5)):
+                at = dice.randrange(len(other))
+                kind = dice.random()
+                if kind < 0.5:
+                    other[at] = dice.randrange(256)
+                elif kind < 0.75:
+                    del other[at : at + dice.randint(1, 40)]
+                else:
+                    other[at:at] = os.urandom(dice.randint(1, 40))
+                other = other or bytearray(b"x")
+            found(bytes(other), dice.choice([5, 64, 4096]))
+        for cut in range(0, len(data), 13):
+            found(data[:cut])
+
+
+def test_overwriting_leaves_other_files(spark, tmp_path):
+    path = tmp_path / "w"
+    path.mkdir()
+    (path / "mine.txt").write_text("kept")
+    made = warc.response_records(pages(spark, [(1, "http://a/", "x")]).coalesce(1))
+    for _ in range(2):
+        warc.write_warc(made, str(path))
+        assert (path / "mine.txt").read_text() == "kept" and sum(n.endswith(".warc.gz") for n in os.listdir(path)) == 1
