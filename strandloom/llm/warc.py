@@ -195,7 +195,7 @@ def _unfolded(head: bytes) -> dict[str, str]:
 
 #: Between pieces of a file: what comes next doesn't follow on what came before.
 BREAK = b""
-_BEGIN, _HEAD_END = re.compile(rb"(?:\A|\n)(?=WARC/\d)"), re.compile(rb"\r?\n\r?\n")
+_BEGIN, _HEAD_END = re.compile(rb"(?:\A|[\n\0])(?=WARC/\d)"), re.compile(rb"\r?\n\r?\n")
 #: A head that is longer isn't one.
 HEAD = 1 << 20
 
