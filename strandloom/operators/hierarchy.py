@@ -120,22 +120,32 @@ def score_hits(hits: DataFrame, nodes: DataFrame, ancestors: DataFrame, most_spa
     then lie more than ``most_span`` levels below that node is ambiguous and its whole count stands at
     the node null, as do hits on no known node. Repeated hits of a read are one.
     """
-    own = hits.select("read", F.col("node").alias("tip"), "reads").distinct()
+    # Dealt by read once; all that follows keeps that, the tree's tables come to it.
+    own = hits.select("read", F.col("node").alias("tip"), "reads").repartition("read").distinct()
     read = Window.partitionBy("read")  # a read's hits are few
     counted = own.withColumn("tips", F.count("*").over(read)).withColumn("reads", F.max("reads").over(read))
-    spanned = counted.join(ancestors.select(F.col("node").alias("tip"), "ancestor"), "tip").groupBy("read", F.col("ancestor").alias("node"), "tips", "reads").agg(F.count("*").alias("held"), F.max(F.col("tip") == F.col("ancestor")).alias("hit"))
-    placed = spanned.join(nodes.select("node", "parent", "depth"), "node").withColumn("top", F.max(F.when(F.col("held") == F.col("tips"), F.col("depth"))).over(read))
-    below = placed.where("depth >= top").withColumn("siblings", F.count("*").over(Window.partitionBy("read", "parent")))
-    children = below.where("depth > top").groupBy("read", F.col("parent").alias("node")).agg(F.count("*").alias("children"), F.sum(F.col("hit").cast("int")).alias("leaves"))
-    tree = below.join(children, ["read", "node"], "left")
-    # A hit stays a tip unless it has siblings; a parent is one if all its children are clipped hits.
-    stays = F.col("hit") & F.col("children").isNull() & ((F.col("depth") == F.col("top")) | (F.col("siblings") == 1))
-    takes = (F.col("children") > 1) & (F.col("leaves") == F.col("children"))
-    tips = tree.where(stays | takes).withColumn("share", F.when(takes, F.col("children")).otherwise(1)).withColumn("deepest", F.max("depth").over(read))
-    scored = tips.where(F.col("deepest") - F.col("top") <= most_span).select("read", "node", (F.col("reads") * F.col("share") / F.col("tips")).alias("score"))
-    whole = own.groupBy("read").agg(F.max("reads").cast("double").alias("score"))
-    rest = whole.join(scored.select("read").distinct(), "read", "left_anti").select("read", F.lit(None).cast(nodes.schema["node"].dataType).alias("node"), "score")
-    return scored.unionByName(rest)
+    parents = nodes.select(F.col("node").alias("parent"), F.col("depth").alias("parent_depth"))
+    about = nodes.select(F.col("node").alias("ancestor"), "parent", "depth").join(parents, "parent", "left")
+    chain = ancestors.select(F.col("node").alias("tip"), "ancestor").join(about, "ancestor")
+    spanned = counted.join(chain, "tip", "left").groupBy("read", F.col("ancestor").alias("node"), "tips", "reads", "parent", "depth", "parent_depth").agg(F.count("*").alias("held"), F.max(F.col("tip") == F.col("ancestor")).alias("hit"))
+    placed = spanned.withColumn("top", F.max(F.when(F.col("held") == F.col("tips"), F.col("depth"))).over(read))
+    # Rows above the spanning tree go; those of a read without one stay, to say so.
+    below = placed.where("depth >= top OR top IS NULL")
+    beside = Window.partitionBy("read", "parent")
+    under = F.col("depth") > F.col("top")
+    seen = below.withColumn("siblings", F.count("*").over(beside)).withColumn("children", F.sum(under.cast("int")).over(beside)).withColumn("leaves", F.sum((under & F.col("hit")).cast("int")).over(beside)).withColumn("first", F.min(F.when(under, F.col("node"))).over(beside) == F.col("node"))
+    # A hit with no other below it stays a tip unless it has siblings; a parent is one, told by its first
+    # child, if all its children are clipped hits.
+    stays = F.col("hit") & (F.col("held") == 1) & ((F.col("depth") == F.col("top")) | (F.col("siblings") == 1))
+    takes = F.col("first") & (F.col("children") > 1) & (F.col("leaves") == F.col("children"))
+    tip = lambda node, depth, share: F.struct(node.alias("node"), depth.cast("int").alias("depth"), share.cast("long").alias("share"))
+    none = F.when(F.col("top").isNull(), tip(F.lit(None).cast(nodes.schema["node"].dataType), F.lit(None), F.lit(0)))
+    made = F.array(F.when(stays, tip(F.col("node"), F.col("depth"), F.lit(1))), F.when(takes, tip(F.col("parent"), F.col("parent_depth"), F.col("children"))), none)
+    tips = seen.select("read", "reads", "tips", "top", F.explode(F.filter(made, lambda x: x.isNotNull())).alias("t"))
+    spread = tips.withColumn("deepest", F.max("t.depth").over(read)).withColumn("k", F.row_number().over(read.orderBy("t.node")))
+    clear = F.coalesce(F.col("deepest") - F.col("top") <= most_span, F.lit(False))
+    score = F.when(clear, F.col("reads") * F.col("t.share") / F.col("tips")).otherwise(F.col("reads").cast("double"))
+    return spread.where(clear | (F.col("k") == 1)).select("read", F.when(clear, F.col("t.node")).alias("node"), score.alias("score"))
 
 
 def filter_profile(profile: DataFrame, samples: list[str], least: float | None = None, least_sum: float | None = None) -> DataFrame:
