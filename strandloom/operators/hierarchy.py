@@ -8,6 +8,7 @@ as they occur. Helper columns begin with ``__sl_``.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,17 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the folder of ``written``, read again. For loops of joins: a checkpoint keeps its
+    plan's estimated size, which is squared in each round until its digits alone take minutes; a table has its own."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        written(spark.range(0))
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def closure(spark: SparkSession, nodes: DataFrame, name: str | None = None) -> DataFrame:
     """node, ancestor and dist of ``nodes`` (node, parent), each node its own at distance 0; the shortest
     distance where there are several ways (a node may have several rows, for several parents).

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import reverse_complement
-from ..operators import alipatterns, containment, hierarchy, masks, pairwise, patterns, primers
+from ..operators import agglomerate, alipatterns, containment, hierarchy, masks, pairwise, patterns, primers, stacking
 from ..registry import query, table
 
 #: Names of parts, each with that of the next part of its brand.
@@ -169,3 +169,39 @@ def signature_words(spark, d):
  SELECT doc_id, i.text IS NOT NULL OR doc_id > first AS contained FROM documents JOIN t USING (text) LEFT JOIN inside i USING (text) WHERE doc_id IS NOT NULL""")
 def seq_contained(spark, d):
     return containment.contained(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query(f"""WITH RECURSIVE groups AS (SELECT p_brand, p_size, p_partkey, p_name, first_value(p_partkey) OVER w AS q, first_value(p_name) OVER w AS a FROM part WINDOW w AS (PARTITION BY p_brand, p_size ORDER BY p_partkey)),
+ two AS (SELECT DISTINCT a, p_name AS b FROM groups WHERE p_partkey <> q),
+ {_WALK[_WALK.index(' cells AS') + 1 :]},
+ signs AS (SELECT a, b, k, x[k::INT] AS q_sign, y[k::INT] AS s_sign, length(replace(x[1:k::INT], '-', '')) AS upto FROM aligned, unnest(range(1, length(x) + 1)) AS t(k)),
+ placed AS (SELECT *, CASE WHEN q_sign = '-' THEN row_number() OVER (PARTITION BY a, b, upto, q_sign = '-' ORDER BY k) END AS run FROM signs),
+ rows AS (SELECT DISTINCT q, a, NULL::BIGINT AS subject, a AS b FROM groups UNION ALL SELECT q, a, p_partkey, p_name FROM groups WHERE p_partkey <> q),
+ own AS (SELECT q, subject, p.upto, p.run, s_sign FROM rows JOIN placed p USING (a, b) WHERE subject IS NOT NULL
+  UNION ALL SELECT q, NULL, i, NULL, a[i::INT] FROM rows, unnest(range(1, length(a) + 1)) AS t(i) WHERE subject IS NULL),
+ columns AS (SELECT DISTINCT q, CASE WHEN run IS NULL THEN upto - 1 ELSE upto END AS base, coalesce(run, 1000000) AS run FROM own),
+ shown AS (SELECT q, subject, CASE WHEN run IS NULL THEN upto - 1 ELSE upto END AS base, coalesce(run, 1000000) AS run, s_sign FROM own)
+ SELECT r.q AS query, r.subject, string_agg(coalesce(s_sign, '-'), '' ORDER BY c.base, c.run) AS row FROM rows r JOIN columns c ON c.q = r.q LEFT JOIN shown s ON s.q = r.q AND s.subject IS NOT DISTINCT FROM r.subject AND s.base = c.base AND s.run = c.run
+ GROUP BY r.q, r.subject""")
+def alignment_stacked(spark, d):
+    part = table(spark, d, "part")
+    first = part.groupBy("p_brand", "p_size").agg(F.min_by(F.struct("p_partkey", "p_name"), "p_partkey").alias("first"))
+    queries = first.select(F.col("first.p_partkey").alias("query"), F.col("first.p_name").alias("seq"))
+    others = part.join(first, ["p_brand", "p_size"]).where(F.col("p_partkey") != F.col("first.p_partkey"))
+    pairs = others.select(F.col("first.p_partkey").alias("query"), F.col("p_partkey").alias("subject"), F.col("first.p_name").alias("a"), F.col("p_name").alias("b"))
+    hits = pairwise.align_pairs(pairs, "a", "b").select("query", "subject", F.lit(0).alias("q_begin"), F.col("a_gapped").alias("q_gapped"), F.col("b_gapped").alias("s_gapped"))
+    return stacking.stacked(queries, hits)
+
+
+@query("""WITH RECURSIVE means AS (SELECT p_brand, p_size, avg(p_retailprice) AS price FROM part GROUP BY ALL),
+ near AS (SELECT p_brand, p_size, round(price, 4) AS price, lead(p_brand || '/' || p_size) OVER w AS b, round(lead(round(price, 4)) OVER w - round(price, 4), 4) AS distance, p_brand || '/' || p_size AS a FROM means WINDOW w AS (ORDER BY round(price, 4), p_brand, p_size)),
+ links AS (SELECT a, b FROM near WHERE distance <= 0.5 UNION SELECT b, a FROM near WHERE distance <= 0.5 UNION SELECT a, a FROM near),
+ reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+ SELECT a AS id, min(b) AS cluster FROM reach GROUP BY a""")
+def distance_groups(spark, d):
+    means = table(spark, d, "part").groupBy("p_brand", "p_size").agg(F.round(F.avg("p_retailprice"), 4).alias("price"))
+    named = means.select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("a"), "price", "p_brand", "p_size")
+    # The table of distances: each to the next in price, an ordered look at a row per brand and size (1250 at most).
+    w = Window.orderBy("price", "p_brand", "p_size")
+    pairs = named.select("a", F.lead("a").over(w).alias("b"), F.round(F.lead("price").over(w) - F.col("price"), 4).alias("distance"))
+    return agglomerate.groups(named.select(F.col("a").alias("id")), agglomerate.merges(pairs, "single", 0.5))
