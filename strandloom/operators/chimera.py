@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import kmers, words
+from .similarity import joined_by_word
 
 
 def best_so_far(hits: DataFrame, order: str) -> DataFrame:
@@ -83,26 +84,30 @@ def chimera_scores(reads: DataFrame, references: DataFrame, k: int = 8, step: in
     placed = held.select("read", F.transform(stepped, lambda w: F.xxhash64(w)).alias("ws"))
     sizes = placed.select("read", F.size("ws").alias("n"))
     known = references.where("id IS NOT NULL").select(F.col("id").alias("ref"), F.explode(kmers(F.col("seq"), k)).alias("w")).distinct()
-    hits = placed.select("read", F.posexplode("ws").alias("place", "w")).join(known, "w").groupBy("read", "ref", "place").agg(F.lit(1).alias("n"))
+    # A word that most references share meets the reads' places in several tasks.
+    hits = joined_by_word(placed.select("read", F.posexplode("ws").alias("place", "w")), known, "w", F.xxhash64("read", "place")).groupBy("read", "ref", "place").agg(F.lit(1).alias("n"))
     hits = hits.withColumn("back", -F.col("place"))
     sides = [best_so_far(hits, order).groupBy("read").agg(F.collect_list(F.struct("place", "shared", "ref")).alias(name)) for order, name in (("place", "from_left"), ("back", "from_right"))]
     rows = sizes.join(sides[0], "read", "left").join(sides[1], "read", "left").select(F.col("read.id").alias("read"), "n", "from_left", "from_right")
 
-    def three(found: list | None) -> np.ndarray:
-        return np.array([[x["place"], x["shared"], x["ref"]] for x in found or ()], np.int64).reshape(-1, 3).T
+    def flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each row's values begin, and (place, shared, ref) of all; a null row has none."""
+        held = lists.flatten()
+        values = np.array([held.field(k).to_numpy(zero_copy_only=False) for k in range(3)], np.int64).reshape(3, -1)
+        return np.concatenate([[0], np.cumsum([len(x) if x.is_valid else 0 for x in lists])]), values
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                n = row["n"]
-                (p, s, r), (p2, s2, r2) = three(row["from_left"]), three(row["from_right"])
+            sides = [flat(batch.column(name)) for name in ("from_left", "from_right")]
+            for i, (read, n) in enumerate(zip(batch.column("read").to_pylist(), batch.column("n").to_pylist(), strict=True)):
+                (p, s, r), (p2, s2, r2) = (values[:, offsets[i] : offsets[i + 1]] for offsets, values in sides)
                 left, left_ref = curve(p, s, r, n)
                 right, right_ref = (x[::-1] for x in curve(n - 1 - p2, s2, r2, n))
                 v = valley(left, right, step, least_parent)
                 at = v["join"]
                 name = lambda x: None if x < 0 else int(x)
-                out.append({"read": row["read"], "position": at * step + k // 2, "score": v["score"], "left_ref": name(left_ref[at]), "right_ref": name(right_ref[at]), "left_pct": v["left_pct"], "right_pct": v["right_pct"]})
+                out.append({"read": read, "position": at * step + k // 2, "score": v["score"], "left_ref": name(left_ref[at]), "right_ref": name(right_ref[at]), "left_pct": v["left_pct"], "right_pct": v["right_pct"]})
             yield pa.RecordBatch.from_pylist(out, kinds)
 
     kinds = pa.schema([("read", pa.int64()), ("position", pa.int64()), ("score", pa.int64()), ("left_ref", pa.int64()), ("right_ref", pa.int64()), ("left_pct", pa.float64()), ("right_pct", pa.float64())])

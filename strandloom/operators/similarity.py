@@ -35,8 +35,7 @@ def similarities(
     ``least_quality``: queries have ``values`` too, and bases under it are masked first. Without
     ``with_self`` an id's match with the same id is left out. Matches come from an equality join on
     k-mers, counted per pair; kept are those of ``least`` percent or more within ``top_range`` of the
-    query's best. What joins is cut down before it is counted: k-mers that only one side has are never
-    expanded, and the pairs of a frequent k-mer are spread over ``SALTS`` tasks by the query.
+    query's best. The pairs of a frequent k-mer are spread over ``SALTS`` tasks by the query.
     """
     seq = F.col("seq")
     if least_quality is not None:
@@ -46,12 +45,7 @@ def similarities(
     q = q[0] if len(q) == 1 else q[0].unionByName(q[1])
     r = _words(references, "rid", kmers(F.col("seq"), k, 1, only))
     nq, nr = q.groupBy("qid", "strand").agg(F.count("*").alias("nq")), r.groupBy("rid").agg(F.count("*").alias("nr"))
-    salted = q.withColumn("salt", F.pmod(F.xxhash64("qid"), F.lit(SALTS)).cast("int"))
-    often = r.groupBy("kmer").agg(F.count("*").alias("often"))
-    # A k-mer of many references meets the queries in SALTS places, each with all of these references.
-    spread = r.join(often, "kmer").withColumn("salt", F.explode(F.when(F.col("often") > SALTS, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1))))).drop("often")
-    plain = salted.join(often.select("kmer", F.col("often").alias("times")), "kmer").withColumn("salt", F.when(F.col("times") > SALTS, F.col("salt")).otherwise(-1)).drop("times")
-    hits = plain.join(spread, ["kmer", "salt"])
+    hits = joined_by_word(q, r, "kmer", F.xxhash64("qid"))
     if not with_self:
         hits = hits.where("qid <> rid")
     scored = hits.groupBy("qid", "rid", "strand").agg(F.count("*").alias("shared")).join(nq, ["qid", "strand"]).join(nr, "rid")
@@ -65,6 +59,17 @@ def similarities(
 SALTS = 32
 
 
+def joined_by_word(left: DataFrame, right: DataFrame, word: str, by: Column) -> DataFrame:
+    """Inner join on a word. A word that more than ``SALTS`` rows of ``right`` have meets the rows of ``left`` in
+    ``SALTS`` places, dealt by ``by``, each with all of these rows of ``right``; words of ``left`` that ``right``
+    lacks go before they are dealt."""
+    often = right.groupBy(word).agg(F.count("*").alias("__sl_often"))
+    hot = F.col("__sl_often") > SALTS
+    spread = right.join(often, word).withColumn("__sl_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))))
+    dealt = left.join(often, word).withColumn("__sl_salt", F.when(hot, F.pmod(by, F.lit(SALTS)).cast("int")).otherwise(-1))
+    return dealt.drop("__sl_often").join(spread.drop("__sl_often"), [word, "__sl_salt"]).drop("__sl_salt")
+
+
 def share_of_best(rows: DataFrame, group: str, score: str) -> DataFrame:
     """rows with ``ratio``: the score over the best of its group; null where that is 0 or null."""
     best = F.max(score).over(Window.partitionBy(group))
