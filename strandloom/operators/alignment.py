@@ -64,6 +64,22 @@ def to_sequence_positions(rows: DataFrame, key: str, seq: str) -> DataFrame:
     return rows.select(key, F.posexplode(places).alias("position", "x")).select(key, F.col("x.column").alias("column"), "position")
 
 
+def column_of(seq: Column, position: Column) -> Column:
+    """The column (from 0) in which the base at a position (from 0, gaps not counted) of an aligned sequence
+    stands; null beyond its ends."""
+    bases = F.filter(F.transform(F.split(seq, ""), lambda c, i: F.struct(c.alias("c"), i.alias("at"))), lambda x: ~x["c"].isin("-", "~", ".", ""))
+    return F.when(position >= 0, F.get(bases, position)["at"])
+
+
+def columns_of_ranges(rows: DataFrame, seq: str, begin: str, end: str) -> DataFrame:
+    """``rows`` with first_column and last_column of the range of positions from ``begin`` to ``end``, both counted,
+    as far as the sequence goes; null for a range that lies beyond it or ends before it begins."""
+    bases = F.length(delete_gaps(F.col(seq)))
+    low, high = F.greatest(F.col(begin), F.lit(0)), F.least(F.col(end), bases - 1)
+    there = low <= high
+    return rows.withColumn("first_column", F.when(there, column_of(F.col(seq), low))).withColumn("last_column", F.when(there, column_of(F.col(seq), high)))
+
+
 def sub_alignment(rows: DataFrame, seq: str, columns: list[tuple[int, int]]) -> DataFrame:
     """The alignment's columns of ranges (first, last), both counted, from 0, in their order."""
     return rows.withColumn(seq, F.concat(*(F.substring(F.col(seq), a + 1, b - a + 1) for a, b in columns)))

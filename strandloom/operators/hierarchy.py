@@ -160,6 +160,29 @@ def score_hits(hits: DataFrame, nodes: DataFrame, ancestors: DataFrame, most_spa
     return spread.where(clear | (F.col("k") == 1)).select("read", F.when(clear, F.col("t.node")).alias("node"), score.alias("score"))
 
 
+def rank_tables(profile: DataFrame, nodes: DataFrame, ancestors: DataFrame, ranks: list[str], to: float = 100_000, least: float = 0.0) -> DataFrame:
+    """A profile's tables of all ``ranks``: rank, node, sample, score, normalised (a sample's add up to ``to``) and scaled
+    (a sample's add up to the mean of the samples' totals). ``profile``: node, sample, score; ``nodes``: node, rank.
+
+    A score counts at the ancestor of each rank, and where a node has none (it lies above the rank, or no node is known)
+    at the node null of that rank, so all ranks have the same totals. Nodes of less than ``least`` in all samples together
+    are left out after scaling. Scores are added up by node and sample before they meet the tree.
+    """
+    own = profile.where("sample IS NOT NULL AND score IS NOT NULL").groupBy("node", "sample").agg(F.sum("score").alias("score"))
+    ranked = nodes.where(F.col("rank").isin(ranks)).select(F.col("node").alias("ancestor"), "rank")
+    above = ancestors.select("node", "ancestor").join(ranked, "ancestor")
+    asked = own.withColumn("rank", F.explode(F.array(*(F.lit(r) for r in ranks))))
+    at = asked.join(above, ["node", "rank"], "left").groupBy("rank", F.col("ancestor").alias("node"), "sample").agg(F.sum("score").alias("score"))
+    totals = own.groupBy("sample").agg(F.sum("score").alias("__sl_total"))  # the same at every rank
+    mean = totals.agg(F.avg("__sl_total").alias("__sl_mean"))
+    share = F.when(F.col("__sl_total") == 0, 0.0).otherwise(F.col("score") / F.col("__sl_total"))
+    told = at.join(totals, "sample").join(F.broadcast(mean)).withColumn("normalised", share * to).withColumn("scaled", share * F.col("__sl_mean"))
+    if least > 0:
+        kept = at.groupBy("rank", "node").agg(F.sum("score").alias("__sl_sum")).where(F.col("__sl_sum") >= least).withColumnsRenamed({"rank": "__sl_rank", "node": "__sl_node"})
+        told = told.join(kept, (F.col("rank") == F.col("__sl_rank")) & F.col("node").eqNullSafe(F.col("__sl_node")), "left_semi")
+    return told.select("rank", "node", "sample", "score", "normalised", "scaled")
+
+
 def filter_profile(profile: DataFrame, samples: list[str], least: float | None = None, least_sum: float | None = None) -> DataFrame:
     """Rows of which the largest sample is ``least`` or more and all add up to ``least_sum`` or more; a
     null score counts as 0."""

@@ -177,6 +177,12 @@ def pair_samples(rows: DataFrame, forward: str, reverse: str, pairs: DataFrame)
     return rows.join(listed, (F.col(forward) == F.col("__sl_f")) & (F.col(reverse) == F.col("__sl_r")), "left").drop("__sl_f", "__sl_r")
 
 
+def filter_mates(reads: DataFrame, mates: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both tables without the rows whose mate, a row of equal ``on``, the other lacks (one of them may have been
+    filtered). Nulls have no mate; repeated rows all stay."""
+    return reads.join(mates.select(*on).distinct(), on, "left_semi"), mates.join(reads.select(*on).distinct(), on, "left_semi")
+
+
 def join_mates(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Inner join of forward and reverse reads by their record number."""
     return left.join(right, on)

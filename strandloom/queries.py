@@ -9,6 +9,7 @@ from .operators import hierarchy, matrix, records, similarity
 from .plans import matching as _matching  # noqa: F401  registers its queries
 from .plans import queries as _plans  # noqa: F401  registers its queries
 from .plans import reads as _reads  # noqa: F401  registers its queries
+from .plans import steps as _steps  # noqa: F401  registers its queries
 from .registry import QUERIES, SQL, query, table  # noqa: F401
 
 
