@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .agglomerate import groups
 from .matrix import overlaps
 from .similarity import greedy_clusters
 
@@ -105,3 +106,32 @@ def best_of_overlapping(features: DataFrame, group: str, key: str, begin: str, e
     pairs = overlaps(features, group, key, begin, end, width)
     seeds = greedy_clusters(pairs.select("a", "b"), features.select(F.col(key).alias("id"), F.col(score).alias("weight")))
     return features.join(seeds.where("id = seed").select(F.col("id").alias(key)), key, "left_semi")
+
+
+def chains(matches: DataFrame, key: str, pair: list[str], q_begin: str, s_begin: str, length: str, gap: int, shift: int, strand: str | None = None) -> DataFrame:
+    """key and chain (the key of its first match) of all matches: a match goes on with any one behind it, not just the
+    next, that begins at most ``gap`` after its end in both sequences with distances that differ by at most
+    ``shift``. Of several the nearest counts (by both distances together, then their difference, then the key), and two
+    matches are linked if each is the other's nearest, so chains don't branch.
+
+    ``strand``: a column of + and -; matches on - lie backwards in the second sequence, where ``s_begin`` is their
+    smallest place all the same, and chain among themselves. Matches meet by places in squares of ``gap``, so a pair of
+    genomes is spread over them; only matches that crowd in one square meet all others there. Links are followed to
+    the chain's first match by doubling. Rows with a null key, place or length take no part; keys are unique.
+    """
+    of_minus = F.col(strand) == "-" if strand else F.lit(False)
+    own = matches.where(F.col(key).isNotNull() & F.col(q_begin).isNotNull() & F.col(s_begin).isNotNull() & F.col(length).isNotNull()).select(
+        F.col(key).alias("__sl_k"), F.struct(*pair, of_minus.alias("__sl_minus")).alias("__sl_p"), F.col(q_begin).alias("__sl_q"), F.when(of_minus, -(F.col(s_begin) + F.col(length) - 1)).otherwise(F.col(s_begin)).alias("__sl_s"), F.col(length).alias("__sl_n")
+    )
+    square = lambda x: F.floor(x / gap)
+    places = lambda x: F.explode(F.array_distinct(F.array(square(x + F.col("__sl_n")), square(x + F.col("__sl_n") + gap))))
+    ends = own.withColumn("__sl_a", places(F.col("__sl_q"))).withColumn("__sl_b", places(F.col("__sl_s")))
+    begins = own.select(F.col("__sl_k").alias("__sl_next"), "__sl_p", F.col("__sl_q").alias("__sl_q2"), F.col("__sl_s").alias("__sl_s2"), square(F.col("__sl_q")).alias("__sl_a"), square(F.col("__sl_s")).alias("__sl_b"))
+    dq, ds = F.col("__sl_q2") - F.col("__sl_q") - F.col("__sl_n"), F.col("__sl_s2") - F.col("__sl_s") - F.col("__sl_n")
+    near = ends.join(begins, ["__sl_p", "__sl_a", "__sl_b"]).where(dq.between(0, gap) & ds.between(0, gap) & (F.abs(dq - ds) <= shift))
+    ways = near.select("__sl_k", "__sl_next", (dq + ds).alias("far"), F.abs(dq - ds).alias("off"))
+    after = ways.groupBy("__sl_k").agg(F.min(F.struct("far", "off", "__sl_next")).alias("to"))
+    before = ways.groupBy("__sl_next").agg(F.min(F.struct("far", "off", "__sl_k")).alias("from"))
+    links = after.select("__sl_k", F.col("to.__sl_next").alias("__sl_next")).join(before.select("__sl_next", F.col("from.__sl_k").alias("__sl_k")), ["__sl_k", "__sl_next"])
+    found = groups(own.select(F.col("__sl_k").alias("id")), links.select(F.col("__sl_k").alias("a"), F.col("__sl_next").alias("b")))
+    return found.select(F.col("id").alias(key), F.col("cluster").alias("chain"))

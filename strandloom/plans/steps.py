@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import alignment, hierarchy, patterns, records, similarity, structure
+from ..operators import alignment, hierarchy, intervals, patterns, records, similarity, structure
 from ..registry import query, table
 
 
@@ -73,3 +73,21 @@ def alignment_lopsided(spark, d):
     rows = table(spark, d, "part").select("p_brand", F.rpad(F.regexp_replace("p_name", "[aeiou ]", "-"), 12, "-").alias("seq"))
     found = structure.lopsided(rows, "p_brand", "seq", least_rows=20)
     return found.select("p_brand", F.col("left_only").cast("long").alias("left_only"), F.col("right_only").cast("long").alias("right_only"), "rows", "chimeric")
+
+
+@query("""WITH RECURSIVE m AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS p, l_returnflag = 'R' AS minus, l_orderkey AS q, l_quantity::BIGINT AS n,
+   CASE WHEN l_returnflag = 'R' THEN -(100000 - l_orderkey + l_linenumber + l_quantity::BIGINT - 1) ELSE l_orderkey + l_linenumber END AS s
+  FROM (SELECT l_orderkey, l_linenumber, f.l_partkey, f.l_returnflag, f.l_quantity FROM (SELECT l_orderkey, l_linenumber, min({'l_partkey': l_partkey, 'l_returnflag': l_returnflag, 'l_quantity': l_quantity}) AS f FROM lineitem GROUP BY 1, 2))),
+ w AS (SELECT a.id AS a, b.id AS b, b.q - a.q - a.n AS dq, b.s - a.s - a.n AS ds FROM m a JOIN m b ON a.p = b.p AND a.minus = b.minus WHERE b.q - a.q - a.n BETWEEN 0 AND 2000 AND b.s - a.s - a.n BETWEEN 0 AND 2000 AND abs((b.q - a.q - a.n) - (b.s - a.s - a.n)) <= 8),
+ f AS (SELECT a, b FROM w QUALIFY row_number() OVER (PARTITION BY a ORDER BY dq + ds, abs(dq - ds), b) = 1), t AS (SELECT a, b FROM w QUALIFY row_number() OVER (PARTITION BY b ORDER BY dq + ds, abs(dq - ds), a) = 1),
+ l AS (SELECT f.a, f.b FROM f JOIN t ON f.a = t.a AND f.b = t.b),
+ c AS (SELECT id, id AS chain FROM m WHERE id NOT IN (SELECT b FROM l) UNION ALL SELECT l.b, chain FROM c JOIN l ON l.a = c.id)
+ SELECT id, chain FROM c""")
+def match_chains_look_back(spark, d):
+    q, n = F.col("l_orderkey"), F.col("l_quantity").cast("long")
+    minus = F.col("l_returnflag") == "R"
+    # One row of each order and line, as ids are unique.
+    first = F.min(F.struct("l_partkey", "l_returnflag", "l_quantity")).alias("first")
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(first).select("l_orderkey", "l_linenumber", "first.*")
+    m = lines.select((q * 10 + F.col("l_linenumber")).alias("id"), "l_partkey", F.when(minus, "-").otherwise("+").alias("strand"), q.alias("q"), F.when(minus, 100000 - q + F.col("l_linenumber")).otherwise(q + F.col("l_linenumber")).alias("s"), n.alias("n"))
+    return intervals.chains(m, "id", ["l_partkey"], "q", "s", "n", 2000, 8, "strand")
