@@ -32,9 +32,9 @@ def _neighbours(spark, d):
 
 
 @query(f"""{_WALK} SELECT n.p_partkey, x AS a_gapped, y AS b_gapped, same::BIGINT AS matches, length(x)::BIGINT AS columns, round(100.0::DOUBLE * same / nullif(paired, 0), 6) AS identity
- FROM neighbours n LEFT JOIN aligned USING (a, b)""")
+ FROM neighbours n JOIN aligned USING (a, b)""")
 def align_pairs(spark, d):
-    return pairwise.align_pairs(_neighbours(spark, d), "a", "b").select("p_partkey", "a_gapped", "b_gapped", "matches", "columns", F.round("identity", 6).alias("identity"))
+    return pairwise.align_pairs(_neighbours(spark, d).where("b IS NOT NULL"), "a", "b").select("p_partkey", "a_gapped", "b_gapped", "matches", "columns", F.round("identity", 6).alias("identity"))
 
 
 @query(f"""{_WALK}, places AS (SELECT *, list_transform(range(1, length(x) + 1), lambda k: length(replace(x[1:k::INT], '-', ''))) AS upto FROM aligned)
@@ -77,11 +77,11 @@ def _primed(spark, d):
     return primers.primer_pairs(reads, "seq", forward, reverse, ambiguous=False)
 
 
-@query(f"""WITH {_ENDS} SELECT d.doc_id, f.item_id::VARCHAR AS forward, f.begin::INT AS f_begin, f.apart::INT AS f_apart, r.item_id::VARCHAR AS reverse, r.begin::INT AS r_begin, r.apart::INT AS r_apart,
+@query(f"""WITH {_ENDS} SELECT d.doc_id, f.item_id::VARCHAR AS forward, coalesce(f.begin, -1)::INT AS f_begin, coalesce(f.apart, -1)::INT AS f_apart, r.item_id::VARCHAR AS reverse, coalesce(r.begin, -1)::INT AS r_begin, coalesce(r.apart, -1)::INT AS r_apart,
  CASE WHEN f.item_id = r.item_id THEN f.item_id::VARCHAR END AS pair
  FROM documents d LEFT JOIN (SELECT * FROM best WHERE side = 'f') f ON f.doc_id = d.doc_id LEFT JOIN (SELECT * FROM best WHERE side = 'r') r ON r.doc_id = d.doc_id""")
 def primer_pairs(spark, d):
-    return _primed(spark, d).select("doc_id", F.col("f_primer.name").alias("forward"), F.col("f_primer.begin").alias("f_begin"), F.col("f_primer.mismatches").alias("f_apart"), F.col("r_primer.name").alias("reverse"), F.col("r_primer.begin").alias("r_begin"), F.col("r_primer.mismatches").alias("r_apart"), "pair")
+    return _primed(spark, d).select("doc_id", F.col("f_primer.name").alias("forward"), F.coalesce("f_primer.begin", F.lit(-1)).alias("f_begin"), F.coalesce("f_primer.mismatches", F.lit(-1)).alias("f_apart"), F.col("r_primer.name").alias("reverse"), F.coalesce("r_primer.begin", F.lit(-1)).alias("r_begin"), F.coalesce("r_primer.mismatches", F.lit(-1)).alias("r_apart"), "pair")
 
 
 @query(f"""WITH {_ENDS} SELECT f.item_id::VARCHAR AS forward, r.item_id::VARCHAR AS reverse, count(*) AS reads FROM best f JOIN best r ON f.doc_id = r.doc_id AND f.side = 'f' AND r.side = 'r' GROUP BY ALL""")
@@ -98,7 +98,7 @@ def primer_cross_matches(spark, d):
  hits AS (SELECT doc_id, item_id, s, i, {_apart('substr(s, i::INT, 18)', 'p', '18')} AS apart FROM places JOIN texts USING (doc_id) WHERE i + 17 <= length(s)),
  best AS (SELECT * FROM hits WHERE apart <= 1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY apart, i, item_id::VARCHAR) = 1),
  coded AS (SELECT best.*, a.sample AS near, b.sample AS far, substr(s, i::INT - 6, 6) AS n_tag, substr(s, i::INT - 7, 6) AS f_tag FROM best LEFT JOIN tags a ON i > 6 AND a.tag = substr(s, i::INT - 6, 6) LEFT JOIN tags b ON i > 7 AND b.tag = substr(s, i::INT - 7, 6))
- SELECT doc_id, c.item_id::VARCHAR AS primer, coalesce(near, far) AS sample, CASE WHEN i IS NULL THEN NULL WHEN i - 1 < 6 THEN 'no-room' WHEN near IS NOT NULL THEN n_tag WHEN far IS NOT NULL THEN f_tag ELSE 'no-barcode' END AS outcome
+ SELECT doc_id, c.item_id::VARCHAR AS primer, coalesce(near, far)::VARCHAR AS sample, CASE WHEN i IS NULL THEN NULL WHEN i - 1 < 6 THEN 'no-room' WHEN near IS NOT NULL THEN n_tag WHEN far IS NOT NULL THEN f_tag ELSE 'no-barcode' END AS outcome
  FROM documents LEFT JOIN coded c USING (doc_id)""")
 def primer_demultiplex(spark, d):
     items = table(spark, d, "benchmark").where(F.length("text") >= 30).select("item_id", _capitals().alias("t"))
@@ -107,12 +107,12 @@ def primer_demultiplex(spark, d):
     reads = table(spark, d, "documents").select("doc_id", _capitals().alias("seq"))
     # Both strands are looked at; documents of other letters than bases hold primers on one only.
     found = primers.demultiplex_reads(reads, "seq", listed, barcodes, mismatches=1, most_gap=1, ambiguous=False)
-    return found.select("doc_id", F.col("primer.name").alias("primer"), "sample", "outcome")
+    return found.select("doc_id", F.col("primer.name").alias("primer"), F.col("sample").cast("string").alias("sample"), "outcome")
 
 
 @query("""WITH starts AS (SELECT item_id, text AS s, i, n, g, lower(text) AS t FROM benchmark, unnest(range(1, length(text))) AS a(i), unnest(range(3, 6)) AS b(n), unnest(range(0, 3)) AS c(g)),
  hits AS (SELECT item_id, i, 2 * n + g AS n FROM starts WHERE i + 2 * n + g - 1 <= length(t) AND regexp_full_match(substr(t, i::INT, n::INT), '[aeinorst]+') AND substr(t, i::INT, n::INT) = reverse(substr(t, (i + n + g)::INT, n::INT)))
- SELECT item_id, (i - 1)::INT AS at, n::INT AS n FROM benchmark LEFT JOIN (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY i, n) = 1) USING (item_id)""")
+ SELECT item_id, coalesce(i - 1, -1)::INT AS at, coalesce(n, -1)::INT AS n FROM benchmark LEFT JOIN (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY i, n) = 1) USING (item_id)""")
 def pattern_mirrored(spark, d):
     pattern = "r1={aa,ee,ii,nn,oo,rr,ss,tt} p1=3...5 0...2 r1~p1"
     return _spans(table(spark, d, "benchmark"), pattern)
@@ -121,12 +121,12 @@ def pattern_mirrored(spark, d):
 def _spans(rows, pattern):
     m = F.get(patterns.find_pattern(F.col("text"), pattern, 1), 0)
     begin, last = F.get(m, 0)["at"], F.element_at(m, -1)
-    return rows.select("item_id", begin.alias("at"), (last["at"] + last["n"] - begin).alias("n"))
+    return rows.select("item_id", F.coalesce(begin, F.lit(-1)).alias("at"), F.coalesce(last["at"] + last["n"] - begin, F.lit(-1)).alias("n"))
 
 
 @query(f"""WITH starts AS (SELECT item_id, i, n, g, {_CAPITALS} AS t FROM benchmark, unnest(range(1, length(text))) AS a(i), unnest(range(5, 8)) AS b(n), unnest(range(0, 13)) AS c(g)),
  hits AS (SELECT item_id, i, 2 * n + g AS n, {_apart('substr(t, i::INT, n::INT)', 'substr(t, (i + n + g)::INT, n::INT)', 'n')} AS apart FROM starts WHERE i + 2 * n + g - 1 <= length(t))
- SELECT item_id, (i - 1)::INT AS at, n::INT AS n FROM benchmark LEFT JOIN (SELECT * FROM hits WHERE apart <= 1 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY i, apart, n) = 1) USING (item_id)""")
+ SELECT item_id, coalesce(i - 1, -1)::INT AS at, coalesce(n, -1)::INT AS n FROM benchmark LEFT JOIN (SELECT * FROM hits WHERE apart <= 1 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY i, apart, n) = 1) USING (item_id)""")
 def pattern_repeated(spark, d):
     return _spans(table(spark, d, "benchmark"), "p1=5...7 0...12 p1[1,0,0]")
 
@@ -181,7 +181,7 @@ def seq_contained(spark, d):
   UNION ALL SELECT q, NULL, i, NULL, a[i::INT] FROM rows, unnest(range(1, length(a) + 1)) AS t(i) WHERE subject IS NULL),
  columns AS (SELECT DISTINCT q, CASE WHEN run IS NULL THEN upto - 1 ELSE upto END AS base, coalesce(run, 1000000) AS run FROM own),
  shown AS (SELECT q, subject, CASE WHEN run IS NULL THEN upto - 1 ELSE upto END AS base, coalesce(run, 1000000) AS run, s_sign FROM own)
- SELECT r.q AS query, r.subject, string_agg(coalesce(s_sign, '-'), '' ORDER BY c.base, c.run) AS row FROM rows r JOIN columns c ON c.q = r.q LEFT JOIN shown s ON s.q = r.q AND s.subject IS NOT DISTINCT FROM r.subject AND s.base = c.base AND s.run = c.run
+ SELECT r.q AS query, coalesce(r.subject, -1) AS subject, string_agg(coalesce(s_sign, '-'), '' ORDER BY c.base, c.run) AS row FROM rows r JOIN columns c ON c.q = r.q LEFT JOIN shown s ON s.q = r.q AND s.subject IS NOT DISTINCT FROM r.subject AND s.base = c.base AND s.run = c.run
  GROUP BY r.q, r.subject""")
 def alignment_stacked(spark, d):
     part = table(spark, d, "part")
@@ -190,7 +190,7 @@ def alignment_stacked(spark, d):
     others = part.join(first, ["p_brand", "p_size"]).where(F.col("p_partkey") != F.col("first.p_partkey"))
     pairs = others.select(F.col("first.p_partkey").alias("query"), F.col("p_partkey").alias("subject"), F.col("first.p_name").alias("a"), F.col("p_name").alias("b"))
     hits = pairwise.align_pairs(pairs, "a", "b").select("query", "subject", F.lit(0).alias("q_begin"), F.col("a_gapped").alias("q_gapped"), F.col("b_gapped").alias("s_gapped"))
-    return stacking.stacked(queries, hits)
+    return stacking.stacked(queries, hits).select("query", F.coalesce("subject", F.lit(-1)).alias("subject"), "row")
 
 
 @query("""WITH RECURSIVE means AS (SELECT p_brand, p_size, avg(p_retailprice) AS price FROM part GROUP BY ALL),

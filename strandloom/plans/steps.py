@@ -20,10 +20,10 @@ def seq_filter_mates(spark, d):
 
 @query("""WITH c AS (SELECT item_id, i - 1 AS col, row_number() OVER (PARTITION BY item_id ORDER BY i) - 1 AS pos FROM benchmark, unnest(range(1, length(text) + 1)) AS t(i) WHERE substr(text, i::INT, 1) NOT IN ('-', '~', '.')),
  n AS (SELECT item_id, max(pos) AS last FROM c GROUP BY item_id)
- SELECT b.item_id, x.col::INT AS first_column, y.col::INT AS last_column FROM benchmark b LEFT JOIN n USING (item_id) LEFT JOIN c x ON x.item_id = b.item_id AND x.pos = 40 AND last >= 40 LEFT JOIN c y ON y.item_id = b.item_id AND y.pos = least(199, last) AND last >= 40""")
+ SELECT b.item_id, coalesce(x.col, -1)::INT AS first_column, coalesce(y.col, -1)::INT AS last_column FROM benchmark b LEFT JOIN n USING (item_id) LEFT JOIN c x ON x.item_id = b.item_id AND x.pos = 40 AND last >= 40 LEFT JOIN c y ON y.item_id = b.item_id AND y.pos = least(199, last) AND last >= 40""")
 def alignment_ranges(spark, d):
     rows = table(spark, d, "benchmark").select("item_id", "text", F.lit(40).alias("begin"), F.lit(199).alias("end"))
-    return alignment.columns_of_ranges(rows, "text", "begin", "end").select("item_id", "first_column", "last_column")
+    return alignment.columns_of_ranges(rows, "text", "begin", "end").select("item_id", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("first_column", "last_column")))
 
 
 @query("""WITH s AS (SELECT l_returnflag AS sample, l_suppkey AS k, sum(round(l_quantity)::BIGINT)::DOUBLE AS score FROM lineitem GROUP BY ALL),
