@@ -12,8 +12,8 @@ documents of their own; equal rows may trade places. Extra columns are dropped.
 
 A source list is taken to be small (names of corpora): one row per source comes to the driver.
 Shards hold about ``shard_rows`` documents each. A source's shards are apportioned in two levels, so a
-task that apportions holds about the square root of their number. Rows that are equal in id and text
-lie in one shard.
+task that apportions holds about the square root of their number. Rows that are equal in id, source and text
+are one row with a number until the end, dealt to as many shards as ``shard_rows`` of them need.
 """
 
 from __future__ import annotations
@@ -101,8 +101,9 @@ def apportioned(totals: DataFrame, keys: list[str], of: str, given: str) -> Data
 def laid_out(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, block: int = BLOCK, seed: int = SEED, shard_rows: int = 256) -> DataFrame:
     """doc_id, mark (a hash of the text), source, size, source_size, target and taken of every row."""
     spark = documents.sparkSession
-    sized = durable(documents.select("doc_id", "source", F.xxhash64("text").alias("mark"), word_count(F.col("text")).alias("size")))
-    found = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("rows")).collect()
+    sized = documents.select("doc_id", "source", F.xxhash64("text").alias("mark"), word_count(F.col("text")).alias("size"))
+    sized = durable(sized.groupBy("doc_id", "source", "mark", "size").agg(F.count("*").alias("copies")))
+    found = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("words"), F.sum("copies").alias("rows")).collect()
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))  # Python orders strings by code point
     words = [r["words"] for r in found]
     goal = targets(words, [weights[i % len(weights)] for i in range(len(found))], share, limit)
@@ -112,19 +113,23 @@ def laid_out(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share:
     plan = [(i, r["source"], w, g, b, shards, max(1, math.isqrt(shards))) for i, (r, w, g, b) in enumerate(zip(found, words, goal, blocks, strict=True)) for shards in [-(-r["rows"] // shard_rows)]]
     sources = spark.createDataFrame(plan, "of int, source string, source_size long, target double, blocks long, shards int, groups int")
     placed = sized.join(F.broadcast(sources) if len(plan) <= 10_000 else sources, sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size", "mark", F.lit(seed)), F.col("shards")).cast("int"))
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / shard_rows)))
+    placed = placed.withColumn("part", part).withColumn("times", F.least(F.lit(shard_rows).cast("long"), F.col("copies") - F.col("part") * shard_rows))
+    placed = placed.withColumn("shard", F.pmod(F.pmod(F.xxhash64("doc_id", "size", "mark", F.lit(seed)), F.col("shards")) + F.col("part"), F.col("shards")).cast("int"))
+    all_of_it = F.col("size") * F.col("times")
     most = F.lit(int(limit)) * F.ceil(F.col("words") / block)
-    shards = placed.groupBy("of", "shard", "groups", "blocks").agg(F.sum("size").alias("words")).withColumn("most", most).withColumn("group", F.col("shard") % F.col("groups"))
+    shards = placed.groupBy("of", "shard", "groups", "blocks").agg(F.sum(all_of_it).alias("words")).withColumn("most", most).withColumn("group", F.col("shard") % F.col("groups"))
     groups = shards.groupBy("of", "group", "blocks").agg(F.sum("words").alias("words"), F.sum("most").alias("most"))
     by_group = apportioned(groups, ["of"], "group", "blocks").select("of", "group", F.col("quota").alias("own"))
     quota = apportioned(shards.select("of", "group", "shard", "words", "most").join(by_group, ["of", "group"]), ["of", "group"], "shard", "own")
     placed = placed.join(quota.select("of", "shard", F.col("words").alias("shard_words"), "quota"), ["of", "shard"])
-    lie = Window.partitionBy("of", "shard").orderBy(F.xxhash64("doc_id", "mark", F.lit(seed), F.lit("order")), "doc_id", "size", "mark")
-    end = F.sum("size").over(lie.rowsBetween(Window.unboundedPreceding, 0))
+    lie = Window.partitionBy("of", "shard").orderBy(F.xxhash64("doc_id", "mark", F.lit(seed), F.lit("order")), "doc_id", "size", "mark", "part")
+    end = F.sum(all_of_it).over(lie.rowsBetween(Window.unboundedPreceding, 0))
     n = F.greatest(F.lit(1), F.ceil(F.col("shard_words") / block))
     rounds, rest = F.floor(F.col("quota") / n), F.col("quota") % n
     begin = F.pmod(F.xxhash64("source", "shard", F.lit(seed)), n)
-    laid = placed.withColumn("end", end).withColumn("start", F.col("end") - F.col("size")).withColumn("n", n)
+    one = placed.withColumn("end", end).withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))  # equal rows end to end
+    laid = one.withColumn("start", F.col("end") - F.col("size") * F.col("one")).withColumn("end", F.col("start") + F.col("size")).withColumn("n", n)
     laid = laid.withColumn("rounds", rounds).withColumn("run", begin).withColumn("rest", rest)
     covered = lambda a, b: F.greatest(F.lit(0), F.least("end", b) - F.greatest("start", a))
     # The run of blocks [run, run + rest) goes on at block 0 if it passes the last block.

@@ -96,3 +96,19 @@ def test_cascades_in_segments(spark):
     want = {i: "block" if i < 1500 else "allow" for i in range(3000)} | {-1: "allow"}
     for most in (64 << 20, 2048):
         assert {r.page_id: r.verdict for r in urlfilter.filter_urls(pages, rules, most_bytes=most).collect()} == want
+
+
+def test_a_mix_of_many_equal_rows(spark):
+    """A third and more of all rows are one row repeated; they come out each, in the same shards' tasks as others."""
+    many = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.lit("one two three").alias("text"))
+    nulls = spark.range(5_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("text"))
+    other = spark.range(60_000).select((F.col("id") + 100).alias("doc_id"), F.when(F.col("id") % 2 == 0, "b").otherwise("a").alias("source"), F.concat(F.lit("w "), F.col("id")).alias("text"))
+    df = many.unionByName(nulls).unionByName(other)
+    runs = [mixing.mix(d).groupBy("doc_id", "source", "size", "source_size", "target", "taken").count().collect() for d in (df, df.repartition(7))]
+    assert sorted(runs[0], key=repr) == sorted(runs[1], key=repr)
+    got = runs[0]
+    assert sum(r["count"] for r in got) == 165_000 and sum(r["count"] for r in got if r["doc_id"] == 7) == 100_000
+    assert all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    for source in ("a", "b"):
+        its = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] * r["count"] for r in its) - its[0]["target"]) <= 0.02 * its[0]["target"]  # a shard's last block is short
