@@ -38,13 +38,13 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def closure(spark: SparkSession, nodes: DataFrame, name: str | None = None) -> DataFrame:
+def closure(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     """node, ancestor and dist of ``nodes`` (node, parent), each node its own at distance 0; the shortest
     distance where there are several ways (a node may have several rows, for several parents).
 
     By doubling: ways of up to 2, 4, 8, ... steps are joined with each other until none is new, so a
     tree of depth d takes log2(d) rounds, each written. A cycle's nodes are ancestors of each other. A
-    parent that is no node is an ancestor all the same. ``name`` is not used any more.
+    parent that is no node is an ancestor all the same.
     """
     own = nodes.where("node IS NOT NULL").select("node", F.col("node").alias("ancestor"), F.lit(0).alias("dist")).distinct()
     up = nodes.where("node IS NOT NULL AND parent IS NOT NULL").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("dist"))

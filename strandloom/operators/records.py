@@ -8,8 +8,13 @@ extra columns stay as they are. Helper columns are named with two leading unders
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions.sequence import reverse_complement
 
@@ -276,11 +281,22 @@ def merge_mate_reads(rows: DataFrame, seq1: str, qual1: str, seq2: str, qual2: s
 def merge_mates(rows: DataFrame, left: str, right: str, least: int = 15, ratio: float = 0.8) -> DataFrame:
     """overlap and merged of two mates: the longest overlap of the left one's end and the right one's
     start with mismatches of at most int((1 - ratio) * n); 0 and the two joined if there is none."""
-    n = F.least(F.length(left), F.length(right))
-    sizes = F.when(n >= least, F.sequence(n, F.lit(least), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    fits = lambda k: _mismatches(F.substring(left, F.length(left) - k + 1, k), F.substring(right, F.lit(1), k)) <= F.floor((1 - ratio) * k + 1e-9)
-    found = F.coalesce(F.get(F.filter(sizes, fits), 0), F.lit(0))
-    return rows.withColumn("overlap", found).withColumn("merged", F.concat(left, F.expr(f"substring(`{right}`, overlap + 1)")))
+
+    @F.pandas_udf(IntegerType())
+    def overlap(lefts: pd.Series, rights: pd.Series) -> pd.Series:
+        return pd.Series([0 if x is None or y is None else longest_overlap(x, y, least, 1 - ratio) for x, y in zip(lefts, rights, strict=True)], dtype="int32")
+
+    return rows.withColumn("overlap", overlap(left, right)).withColumn("merged", F.concat(left, F.expr(f"substring(`{right}`, overlap + 1)")))
+
+
+def longest_overlap(left: str, right: str, least: int, share: float) -> int:
+    """How many characters of the left one's end are the right one's start but for a ``share`` of them: the most,
+    of ``least`` or more; else 0. It ends at the first that fits; a try compares arrays."""
+    a, b = (np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in (left, right))
+    for k in range(min(len(a), len(b)), max(least, 1) - 1, -1):
+        if np.count_nonzero(a[len(a) - k :] != b[:k]) <= math.floor(share * k + 1e-9):
+            return k
+    return 0
 
 
 def dereplicate_qualities(rows: DataFrame, seq: str, qual: str) -> DataFrame:

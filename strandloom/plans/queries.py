@@ -102,7 +102,7 @@ def _place(spark, d):
  SELECT 'n' || n_nationkey AS node FROM k UNION SELECT 'r' || n_regionkey FROM k""")
 def taxonomy_filtered(spark, d):
     best = table(spark, d, "customer").groupBy("c_nationkey").agg(F.max("c_acctbal").alias("best")).where("best >= 9900")
-    return hierarchy.with_ancestors(best.select(F.concat(F.lit("n"), "c_nationkey").alias("node")), hierarchy.closure(spark, _place(spark, d), "filtered_nodes"))
+    return hierarchy.with_ancestors(best.select(F.concat(F.lit("n"), "c_nationkey").alias("node")), hierarchy.closure(spark, _place(spark, d)))
 
 
 @query("""WITH h AS (SELECT l_orderkey, l_linenumber, l_discount * 100 AS pct FROM lineitem), w AS (SELECT *, 1 / pow(1 + max(pct) OVER (PARTITION BY l_orderkey) - pct, 2) AS w FROM h)
@@ -125,7 +125,7 @@ def profile_scaled(spark, d):
 def ontology_counts(spark, d):
     sold = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     leaves = sold.select(F.concat(F.lit("n"), "s_nationkey").alias("node"), "l_partkey")
-    return hierarchy.subtree_counts(leaves, hierarchy.closure(spark, _place(spark, d), "counted_nodes"), "l_partkey")
+    return hierarchy.subtree_counts(leaves, hierarchy.closure(spark, _place(spark, d)), "l_partkey")
 
 
 @query("""WITH s AS (SELECT p_brand AS seq, substr(md5(p_name || p_partkey), 1, length(p_brand)) AS qual FROM part),

@@ -114,7 +114,7 @@ def tree_closure(spark, d):
 def profile_rollup(spark, d):
     o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     scores = o.select(F.concat(F.lit("n"), "c_nationkey").alias("node"), F.round(F.col("o_totalprice") * 100).cast("long").alias("score"))
-    return hierarchy.roll_up(scores, hierarchy.closure(spark, tree(spark, d), "rollup_nodes"))
+    return hierarchy.roll_up(scores, hierarchy.closure(spark, tree(spark, d)))
 
 
 @query("""WITH s AS (SELECT o_orderstatus AS sample, c_nationkey AS node, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
