@@ -56,3 +56,16 @@ def read_similarities(spark: SparkSession, path: str) -> DataFrame:
     t = spark.read.text(path).select(F.split("value", "\t").alias("c"))
     pair = lambda x: F.struct(F.regexp_extract(x, r"^(.*)=", 1).alias("id"), F.regexp_extract(x, r"=([^=]*)$", 1).cast("double").alias("pct"))
     return t.select(F.col("c")[0].alias("qid"), F.col("c")[1].cast("int").alias("n_oligos"), F.transform(F.filter(F.split(F.coalesce(F.get("c", F.lit(2)), F.lit("")), " "), lambda x: x != ""), pair).alias("sims"))
+
+
+def read_mummer(spark: SparkSession, path: str) -> DataFrame:
+    """query, strand, subject, s_begin, q_begin (both from 1) and length of MUMmer's maximal matches. A header line
+    ``> name`` (or ``> name Reverse``) leads a query's matches, lines of three numbers, or of a subject's name and three.
+    Files are cut at headers, wherever a split falls; other lines, as a query's length, are left out."""
+    records = spark.read.text(path, lineSep="\n>").select(F.split(F.regexp_replace(F.translate("value", "\r", ""), "^>", ""), "\n").alias("l"))
+    head = F.trim(F.get("l", 0))
+    backwards = head.rlike(r"\sReverse$")
+    lines = records.select(F.regexp_extract(head, r"^(\S+)", 1).alias("query"), F.when(backwards, "-").otherwise("+").alias("strand"), F.explode(F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0)))).alias("line"))
+    found = lines.where(F.col("line").rlike(r"^\s*(\S+\s+)?[0-9]{1,18}\s+[0-9]{1,18}\s+[0-9]{1,18}\s*$"))
+    part = lambda i: F.regexp_extract("line", r"^\s*(?:(\S+)\s+)?([0-9]+)\s+([0-9]+)\s+([0-9]+)\s*$", i)
+    return found.select("query", "strand", F.nullif(part(1), F.lit("")).alias("subject"), *(part(i).cast("long").alias(n) for i, n in ((2, "s_begin"), (3, "q_begin"), (4, "length"))))

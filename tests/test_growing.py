@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.operators import agglomerate, stacking
-from strandloom.sources import stockholm, wiki
+from strandloom.sources import sequences, stockholm, wiki
 
 
 def plain_stack(seq, hits):
@@ -175,3 +175,15 @@ def test_dumps_are_read_page_by_page(spark, tmp_path):
     for name in ("d.xml", "e.xml.bz2"):
         got = wiki.read_dump(spark, str(tmp_path / name)).withColumn("plain", wiki.without_markup(F.col("text")))
         assert sorted(map(tuple, got.collect()), key=repr) == sorted([("T&1", 0, 1, False, "[[a|b]] <ref>r</ref>\nq", "b \nq".replace(" \n", "\n")), ("T&2", 0, 2, False, "", ""), ("R", None, None, True, "", "")], key=repr)
+
+
+def test_mummer_matches_keep_their_headers(spark, tmp_path):
+    (tmp_path / "m").write_text("> q1\n   10   1   20\n  40  22  8\r\n> q1 Reverse\n> q2  Len = 9\n  chr1  5  6  7\nnote\n")
+    want = sorted([("q1", "+", None, 10, 1, 20), ("q1", "+", None, 40, 22, 8), ("q2", "+", "chr1", 5, 6, 7)], key=repr)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (5, 100_000):
+        try:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            assert sorted(map(tuple, sequences.read_mummer(spark, str(tmp_path / "m")).collect()), key=repr) == want
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
