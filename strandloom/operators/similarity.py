@@ -25,13 +25,15 @@ def _words(rows: DataFrame, name: str, found: Column) -> DataFrame:
 
 
 def similarities(
-    queries: DataFrame, references: DataFrame, k: int = 8, least: float = 40.0, top_range: float = 1.0, step: int = 1, strands: str = "+", only: str | None = None, least_quality: float | None = None, with_self: bool = True
+    queries: DataFrame, references: DataFrame, k: int = 8, least: float = 40.0, top_range: float = 1.0, step: int = 1, strands: str = "+", only: str | None = None, least_quality: float | None = None, with_self: bool = True, others_as: str | None = None
 ) -> DataFrame:
     """qid, rid, shared and pct (and strand, if both are asked for): 100 * shared distinct k-mers / the
     smaller number of k-mers, the queries' taken every ``step`` characters.
 
     Both sides are (id, seq). ``strands``: + for the queries as they are, - for their reverse
-    complements, +- for both. ``only``: characters that all of a k-mer's must be among (AGCTU).
+    complements, +- for both, of which the better one counts for each pair (+ if they are equal). ``only``: characters
+    that all of a k-mer's must be among (AGCTU). ``others_as``: a base that all characters but these five, in either
+    case, are read as instead.
     ``least_quality``: queries have ``values`` too, and bases under it are masked first. Without
     ``with_self`` an id's match with the same id is left out. Matches come from an equality join on
     k-mers, counted per pair; kept are those of ``least`` percent or more within ``top_range`` of the
@@ -40,16 +42,20 @@ def similarities(
     seq = F.col("seq")
     if least_quality is not None:
         seq = mask_by_quality(seq, F.col("values"), float("-inf"), least_quality - 1e-9)
-    sides = [(s, seq if s == "+" else reverse_complement(seq)) for s in strands]
+    read_as = (lambda x: F.regexp_replace(x, "[^AGCTUagctu]", others_as)) if others_as else (lambda x: x)
+    sides = [(s, read_as(seq if s == "+" else reverse_complement(seq))) for s in strands]
     q = [_words(queries, "qid", kmers(x, k, step, only)).withColumn("strand", F.lit(s)) for s, x in sides]
     q = q[0] if len(q) == 1 else q[0].unionByName(q[1])
-    r = _words(references, "rid", kmers(F.col("seq"), k, 1, only))
+    r = _words(references, "rid", kmers(read_as(F.col("seq")), k, 1, only))
     nq, nr = q.groupBy("qid", "strand").agg(F.count("*").alias("nq")), r.groupBy("rid").agg(F.count("*").alias("nr"))
     hits = joined_by_word(q, r, "kmer", F.xxhash64("qid"))
     if not with_self:
         hits = hits.where("qid <> rid")
     scored = hits.groupBy("qid", "rid", "strand").agg(F.count("*").alias("shared")).join(nq, ["qid", "strand"]).join(nr, "rid")
-    scored = scored.withColumn("pct", F.round(100 * F.col("shared") / F.least("nq", "nr"), 4)).where(F.col("pct") >= least)
+    scored = scored.withColumn("pct", F.round(100 * F.col("shared") / F.least("nq", "nr"), 5)).where(F.col("pct") >= least)
+    if len(sides) > 1:
+        better = F.max(F.struct("pct", "shared", (F.col("strand") == "+").alias("plus"))).alias("b")
+        scored = scored.groupBy("qid", "rid").agg(better).select("qid", "rid", "b.pct", "b.shared", F.when(F.col("b.plus"), "+").otherwise("-").alias("strand"))
     best = F.max("pct").over(Window.partitionBy("qid"))
     kept = scored.withColumn("best", best).where(F.col("pct") >= F.col("best") - top_range)
     return kept.select("qid", "rid", *(["strand"] if len(sides) > 1 else []), "shared", "pct")

@@ -44,7 +44,7 @@ def chimera_scores(spark, d):
  r AS (SELECT DISTINCT item_id AS rid, substr(lower(text), i::INTEGER, 8) AS k FROM benchmark, unnest(range(1, length(text) - 6)) AS t(i)),
  nq AS (SELECT qid, strand, count(*) AS nq FROM q GROUP BY ALL), nr AS (SELECT rid, count(*) AS nr FROM r GROUP BY rid),
  s AS (SELECT qid, strand, rid, count(*) AS shared FROM q JOIN r USING (k) GROUP BY ALL),
- p AS (SELECT qid, strand, rid, shared, round(100.0::DOUBLE * shared / least(nq, nr), 4) AS pct FROM s JOIN nq USING (qid, strand) JOIN nr USING (rid)),
+ p AS (SELECT qid, strand, rid, shared, round(100.0::DOUBLE * shared / least(nq, nr), 5) AS pct FROM s JOIN nq USING (qid, strand) JOIN nr USING (rid) QUALIFY row_number() OVER (PARTITION BY qid, rid ORDER BY pct DESC, shared DESC, strand) = 1),
  b AS (SELECT *, max(pct) OVER (PARTITION BY qid) AS best FROM p WHERE pct >= 1)
  SELECT qid, rid, strand, shared, pct FROM b WHERE pct >= best - 1""")
 def kmer_similarities_both_strands(spark, d):

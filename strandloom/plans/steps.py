@@ -53,7 +53,7 @@ def pattern_extracted(spark, d):
 
 
 @query("""WITH RECURSIVE k AS (SELECT DISTINCT item_id AS id, substr(lower(text), i::INT, 8) AS k FROM benchmark, unnest(range(1, length(text) - 6)) AS t(i)), n AS (SELECT id, count(*) AS n FROM k GROUP BY id),
- p AS (SELECT x.id AS a, y.id AS b FROM k x JOIN k y USING (k) JOIN n nx ON nx.id = x.id JOIN n ny ON ny.id = y.id WHERE x.id <> y.id GROUP BY x.id, y.id, nx.n, ny.n HAVING round(100.0::DOUBLE * count(*) / least(nx.n, ny.n), 4) >= 2),
+ p AS (SELECT x.id AS a, y.id AS b FROM k x JOIN k y USING (k) JOIN n nx ON nx.id = x.id JOIN n ny ON ny.id = y.id WHERE x.id <> y.id GROUP BY x.id, y.id, nx.n, ny.n HAVING round(100.0::DOUBLE * count(*) / least(nx.n, ny.n), 5) >= 2),
  o AS (SELECT row_number() OVER (ORDER BY length(text) DESC, item_id) AS r, item_id AS id, coalesce((SELECT list(b) FROM p WHERE a = item_id), []) AS beside FROM benchmark),
  walk AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS seeds, NULL::BIGINT AS id, NULL::BIGINT AS seed
   UNION ALL SELECT o.r, CASE WHEN hit IS NULL THEN list_append(seeds, o.id) ELSE seeds END, o.id, coalesce(hit, o.id) FROM (SELECT w.r, w.seeds, o.r AS next, list_filter(w.seeds, lambda s: list_contains(o.beside, s))[1] AS hit FROM walk w JOIN o ON o.r = w.r + 1) w JOIN o ON o.r = w.next)

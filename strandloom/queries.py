@@ -75,7 +75,7 @@ def kmer_counts(spark, d):
  r AS (SELECT DISTINCT item_id AS rid, substr(lower(text), i::INTEGER, 8) AS k FROM benchmark, unnest(range(1, length(text) - 6)) AS t(i)),
  nq AS (SELECT qid, count(*) AS nq FROM q GROUP BY qid), nr AS (SELECT rid, count(*) AS nr FROM r GROUP BY rid),
  s AS (SELECT qid, rid, count(*) AS shared FROM q JOIN r USING (k) GROUP BY qid, rid),
- p AS (SELECT qid, rid, shared, round(100.0::DOUBLE * shared / least(nq, nr), 4) AS pct FROM s JOIN nq USING (qid) JOIN nr USING (rid)),
+ p AS (SELECT qid, rid, shared, round(100.0::DOUBLE * shared / least(nq, nr), 5) AS pct FROM s JOIN nq USING (qid) JOIN nr USING (rid)),
  b AS (SELECT *, max(pct) OVER (PARTITION BY qid) AS best FROM p WHERE pct >= 2)
  SELECT qid, rid, shared, pct FROM b WHERE pct >= best - 1""")
 def kmer_similarities(spark, d):

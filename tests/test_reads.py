@@ -227,6 +227,12 @@ def test_similarity_options(spark):
     assert {x.rid: x.shared for x in similarity.similarities(q.where("id = 1"), r, k=4, least=1.0, top_range=100.0, only="ACGTU").collect()} == {1: 9, 8: 5}
     masked = similarity.similarities(q.where("id = 2"), r, k=4, least=1.0, top_range=100.0, strands="-", only="ACGTU", least_quality=20.0).collect()
     assert [(x.rid, x.shared) for x in masked if x.rid == 1] == [(1, 3)]
+    # Of both strands the better one counts, + if they are equal; other characters can be read as a base.
+    both = similarity.similarities(q, r, k=4, least=1.0, top_range=100.0, strands="+-").collect()
+    assert len({(x.qid, x.rid) for x in both}) == len(both)
+    own = spark.createDataFrame([(5, "ACGTACGT")], "id long, seq string")
+    assert [(x.strand, x.pct) for x in similarity.similarities(own, own, k=4, strands="+-").collect()] == [("+", 100.0)]
+    assert {x.rid: x.pct for x in similarity.similarities(q.where("id = 1"), r, k=4, least=1.0, top_range=100.0, others_as="A").collect()} == {1: 100.0, 8: 100.0}
     hot = spark.createDataFrame([(i, "ACGTACCATGCA") for i in range(100)], "id long, seq string")
     assert similarity.similarities(hot, hot, k=8, least=100.0).count() == 10_000
 
