@@ -1,8 +1,10 @@
 """Mates, positions in alignments and tables by rank on odd input."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from strandloom.operators import alignment, hierarchy, records, similarity
+from strandloom.operators import alignment, hierarchy, intervals, records, similarity
 
 
 def test_mates_stay_together(spark):
@@ -42,3 +44,34 @@ def test_frequent_words_join_all_their_rows(spark):
     right = spark.createDataFrame([(i, "hot") for i in range(100)] + [(1, "cold"), (2, "other"), (3, None)], "r long, w string")
     got = sorted((r["q"], r["r"], r["w"]) for r in similarity.joined_by_word(left, right, "w", F.xxhash64("q")).collect())
     assert got == sorted([(q, r, "hot") for q in range(40) for r in range(100)] + [(q, 1, "cold") for q in range(40)])
+
+
+def plain_chains(rows, gap, shift):
+    """Links of mutual nearest matches, tried pair by pair."""
+    ways = []
+    for k, p, q, s, n, strand in rows:
+        for k2, p2, q2, s2, n2, strand2 in rows:
+            if p != p2 or strand != strand2:
+                continue
+            dq, ds = q2 - q - n, (s2 - s - n) if strand == "+" else (s - s2 - n2)
+            if 0 <= dq <= gap and 0 <= ds <= gap and abs(dq - ds) <= shift:
+                ways.append((k, k2, dq + ds, abs(dq - ds)))
+    to = {k: min((f, o, b) for a, b, f, o in ways if a == k)[2] for k, *_ in rows if any(a == k for a, *_ in ways)}
+    frm = {k: min((f, o, a) for a, b, f, o in ways if b == k)[2] for k, *_ in rows if any(b == k for _, b, *_ in ways)}
+    up = {b: a for a, b in to.items() if frm.get(b) == a}
+    head = lambda k: head(up[k]) if k in up else k
+    return {k: head(k) for k, *_ in rows}
+
+
+def test_chains_look_back_past_other_matches(spark):
+    dice = random.Random(3)
+    rows = [(i, dice.choice("xy"), dice.randint(1, 400), dice.randint(1, 400), dice.randint(1, 20), dice.choice("+-")) for i in range(250)]
+    # One after the other on a diagonal, with strangers between.
+    rows += [(1000 + i, "z", 10 + 30 * i, 500 + 30 * i, 12, "+") for i in range(12)] + [(1100 + i, "z", 20 + 30 * i, 9000 - 100 * i, 3, "+") for i in range(12)]
+    rows += [(1200 + i, "z", 10 + 30 * i, 900 - 30 * i, 12, "-") for i in range(5)]
+    schema = "id long, pair string, q int, s int, n int, strand string"
+    df = spark.createDataFrame([*rows, (None, "x", 1, 1, 1, "+"), (2000, "x", None, 1, 1, "+")], schema).withColumn("chain", F.lit("mine"))
+    found = {r["id"]: r["chain"] for r in intervals.chains(df, "id", ["pair"], "q", "s", "n", 40, 6, "strand").collect()}
+    assert found == plain_chains(rows, 40, 6)
+    assert {found[1000 + i] for i in range(12)} == {1000} and {found[1200 + i] for i in range(5)} == {1200}
+    assert intervals.chains(df.limit(0), "id", ["pair"], "q", "s", "n", 40, 6).count() == 0
