@@ -33,8 +33,10 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: five-word shingles, similarity 0.8 or more. It is
-    that of the smallest doc_id (and md5 of the text); rows without a doc_id stay."""
+    """Keeps one document of each group of near copies. SimHash fingerprints are joined by tries and link at 2 or
+    fewer differing bits, as in op 9; an exact check on five-word shingles follows (similarity 0.5 or more, so
+    that a repeated line alone makes no copies). Texts whose fingerprints differ in more bits are near copies at a
+    similarity of 0.8 or more. Kept is the smallest doc_id (and md5 of the text); rows without a doc_id stay."""
     return simhash.keep_one_near(docs)
 
 

@@ -41,6 +41,9 @@ MOST = 4096
 #: Near copies: words of a shingle, least Jaccard similarity, bands of MinHash values and values of each.
 NEAR_WORDS = 5
 SIMILARITY = 0.8
+#: The least similarity of texts whose fingerprints link. A line that is repeated often fixes all bits of
+#: fingerprints; texts that share little else are no copies.
+LINKED_SIMILARITY = 0.5
 BANDS, ROWS = 24, 5
 #: The least share of equal values that two texts of the least similarity have, five standard deviations
 #: under it.
@@ -358,7 +361,7 @@ def _digest(text: str) -> Column:
 
 def near_texts(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per different text of rows with a key: node (a number), md5, its smallest key, n (five-word
-    shingles, all different), bands (see ``buckets``) and sketch."""
+    shingles, all different), fp (its fingerprint), bands (see ``buckets``) and sketch."""
 
     def make():
         table = WordHashes()
@@ -366,12 +369,13 @@ def near_texts(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
         def each(texts):
             sets = [np.unique(rolled(words_of(table, x), NEAR_WORDS)) for x in texts]
             least = [least_hashes(x) for x in sets]
-            return [[*range(len(texts))], [len(x) for x in sets], [buckets(x).view(np.int64) for x in least], [sketch(x) for x in least]]
+            prints = np.array([fingerprint(shingle_hashes(x)) for x in texts], np.uint64).view(np.int64)
+            return [[*range(len(texts))], [len(x) for x in sets], prints.tolist(), [buckets(x).view(np.int64) for x in least], [sketch(x) for x in least]]
 
         return each
 
     rows = documents.where(F.col(key).isNotNull()).select(F.struct(F.col(key).alias("key"), _digest(text).alias("md5")).alias("id"), F.col(text).alias("text"))
-    prints = map_lists(rows, make, {"n": "long", "bands": "array<long>", "sketch": "binary"}, keep="id").select("id.*", "n", F.struct("bands", "sketch").alias("made"))
+    prints = map_lists(rows, make, {"n": "long", "fp": "long", "bands": "array<long>", "sketch": "binary"}, keep="id").select("id.*", "n", F.struct("fp", "bands", "sketch").alias("made"))
     least = prints.groupBy("md5").agg(F.min("key").alias("key"), F.any_value("n").alias("n"), F.any_value("made").alias("made"))
     return durable(least.select(F.monotonically_increasing_id().alias("node"), "md5", "key", "n", "made.*"))
 
@@ -405,12 +409,15 @@ def resembling(n: np.ndarray, sketches: np.ndarray) -> Callable[[int, np.ndarray
     return like
 
 
-def verified(n: np.ndarray, sketches: np.ndarray, shingles: np.ndarray) -> Callable[[int, np.ndarray], np.ndarray]:
-    """Do texts have the least similarity? ``shingles``: those of all texts, ascending within a text."""
+def verified(n: np.ndarray, sketches: np.ndarray, prints: np.ndarray, shingles: np.ndarray) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Do texts have the least similarity, a lesser one if their fingerprints link? ``shingles``: those of
+    all texts, ascending within a text."""
     may, begin = resembling(n, sketches), np.concatenate([[0], np.cumsum(n)])
 
     def like(i: int, others: np.ndarray) -> np.ndarray:
-        fit = may(i, others)
+        linked = np.bitwise_count(prints[others] ^ prints[i]) <= BUDGET
+        linked &= np.minimum(n[i], n[others]) >= LINKED_SIMILARITY * np.maximum(n[i], n[others])
+        fit = may(i, others) | linked
         at = np.flatnonzero(fit)
         if len(at) and n[i]:
             own, sizes = shingles[begin[i] : begin[i + 1]], n[others[at]]
@@ -419,7 +426,7 @@ def verified(n: np.ndarray, sketches: np.ndarray, shingles: np.ndarray) -> Calla
             spot = np.searchsorted(own, shingles[places])
             there = own[np.minimum(spot, len(own) - 1)] == shingles[places]
             common = np.add.reduceat(there, ends - sizes, dtype=np.int64)
-            fit[at] = common >= SIMILARITY * (sizes + n[i] - common)
+            fit[at] = common >= np.where(linked[at], LINKED_SIMILARITY, SIMILARITY) * (sizes + n[i] - common)
         return fit
 
     return like
@@ -438,7 +445,7 @@ def grouped(texts: DataFrame) -> DataFrame:
     """node and component of texts that may be near copies of others: a component holds all near copies
     of its texts, and some more.
 
-    Texts meet in a bucket, that is a band of MinHash values; a pair at the least similarity shares
+    Texts whose fingerprints link are joined (``print_links``). Those that differ in more bits meet in a bucket, that is a band of MinHash values; a pair at the least similarity shares
     none with a probability of (1 - 0.8 ** 5) ** 24, under 1e-4. Within a bucket they are compared by
     their sketches; links that join them the same way come out, fewer than texts. A bucket of over
     ``BUCKET_TEXTS`` isn't compared but joined as it is.
@@ -467,7 +474,17 @@ def grouped(texts: DataFrame) -> DataFrame:
     small = shared.where(F.col("size") <= BUCKET_TEXTS).join(texts.select("node", "n", "sketch"), "node").select("bucket", "node", "n", "sketch")
     near = small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
     large = shared.where((F.col("size") > BUCKET_TEXTS) & (F.col("node") > F.col("low"))).select(F.col("low").alias("a"), F.col("node").alias("b"))
-    return components(near.unionByName(large))
+    return components(near.unionByName(large).unionByName(print_links(texts)))
+
+
+def print_links(texts: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes of ``texts`` by the trie join of their fingerprints (see ``links``): texts
+    of an equal one are linked with the first of them, and these with each other."""
+    first = durable(texts.groupBy("fp").agg(F.min("node").alias("first")))
+    equal = join_hot(texts.select("node", "fp"), first, "fp").where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    apart = links(first.select("fp")).distinct().withColumnsRenamed({"a": "fa", "b": "fb"})
+    apart = apart.join(first.toDF("fa", "a"), "fa").join(first.toDF("fb", "b"), "fb")
+    return equal.unionByName(apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
 def whole_texts(documents: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
@@ -485,7 +502,8 @@ def whole_texts(documents: DataFrame, wanted: DataFrame, key: str, text: str) ->
 def near_components(texts: DataFrame, documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """node and component (its smallest node) of the texts of ``near_texts`` that have near copies: sets
     of five-word shingles (fewer words: the whole sequence) with a Jaccard similarity of
-    ``SIMILARITY``. Texts of no word are near copies.
+    ``SIMILARITY``, or of ``LINKED_SIMILARITY`` where fingerprints differ in ``BUDGET`` bits at most. Texts
+    of no word are near copies.
 
     Every link is verified on the shingles. The groups of ``grouped`` are verified in a task each, all
     pairs that aren't joined yet; those of over ``GROUP_TEXTS`` texts or ``GROUP_SHINGLES`` shingles go
@@ -499,12 +517,12 @@ def near_components(texts: DataFrame, documents: DataFrame, key: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sorted_groups(batches, "component"):
-            node, n, sketches = batch.column("node").to_numpy(), batch.column("n").to_numpy(), _bytes(batch.column("sketch"))
+            node, n, fp, sketches = *(batch.column(c).to_numpy() for c in ("node", "n", "fp")), _bytes(batch.column("sketch"))
             s = batch.column("s").flatten().to_numpy().view(np.uint64)
             ends, begin = _runs(batch.column("component").to_numpy()), np.concatenate([[0], np.cumsum(n)])
             nodes, roots = [], []
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                i, j = reached(b - a, verified(n[a:b], sketches[a:b], s[begin[a] : begin[b]]))
+                i, j = reached(b - a, verified(n[a:b], sketches[a:b], fp.view(np.uint64)[a:b], s[begin[a] : begin[b]]))
                 root = _roots(node[a:b], i, j)
                 linked = np.zeros(b - a, bool)
                 linked[i] = linked[j] = True
@@ -512,8 +530,8 @@ def near_components(texts: DataFrame, documents: DataFrame, key: str = "doc_id",
                 roots.append(root[linked])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(roots))], names=["node", "component"])
 
-    small = held.where(fits).select("component", "node", "n").join(shingles, "node").join(texts.select("node", "sketch"), "node")
-    found = small.select("component", "node", "n", "sketch", "s").repartition("component").sortWithinPartitions("component").mapInArrow(run, "node long, component long")
+    small = held.where(fits).select("component", "node", "n").join(shingles, "node").join(texts.select("node", "fp", "sketch"), "node")
+    found = small.select("component", "node", "n", "fp", "sketch", "s").repartition("component").sortWithinPartitions("component").mapInArrow(run, "node long, component long")
     large = held.where(~fits).select("node")
     if large.isEmpty():
         return found
@@ -539,27 +557,35 @@ def _roots(names: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarr
     return np.array([least[r] for r in root], np.int64)
 
 
+def _print_buckets(fp: str) -> Column:
+    """A bucket for each choice of two of the blocks of a fingerprint: those that link agree in one."""
+    blocks = [F.lit(((1 << w) - 1) << o if o + w < 64 else -1 << o).cast("long") for o, w in _cut(64, BUDGET + 2)]
+    return F.array(*(F.xxhash64(F.lit(k), F.col(fp).bitwiseAND(a.bitwiseOR(b))) for k, (a, b) in enumerate(combinations(blocks, 2))))
+
+
 def near_links(texts: DataFrame, shingles: DataFrame) -> DataFrame:
     """Links (a, b) between nodes of ``texts`` (``near_texts``) that are near copies: not all such pairs,
     but enough for the same components. ``shingles``: node and s.
 
-    For groups that no task holds: buckets aren't gathered, pairs meet by joins. Every candidate is
+    For groups that no task holds: buckets (bands, and blocks of fingerprints) aren't gathered, pairs meet by joins. Every candidate is
     verified before it joins anything. A family of many near copies isn't compared pair by pair: of each
     bucket the text that meets most others is compared with all of the bucket and then leaves it.
     Buckets whose texts are all joined are done. Once the pairs that are left are few for the number of
     rows, they are all compared.
     """
-    rows = texts.select("node", "n", F.explode("bands").alias("bucket"))
+    rows = texts.select("node", "n", F.explode(F.concat("bands", _print_buckets("fp"))).alias("bucket"))
+    prints = shingles.join(texts.select("node", "fp"), "node").select("node", "s", "fp")
     common = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
     members = durable(rows.join(common, "bucket").withColumn("label", F.col("node")))
 
     def checked(pairs: DataFrame) -> DataFrame:
-        both = pairs.distinct().join(shingles.toDF("a", "sa"), "a").join(shingles.toDF("b", "sb"), "b")
+        both = pairs.distinct().join(prints.toDF("a", "sa", "fa"), "a").join(prints.toDF("b", "sb", "fb"), "b")
         common = F.size(F.array_intersect("sa", "sb"))
-        return durable(both.where(common >= SIMILARITY * (F.size("sa") + F.size("sb") - common)).drop("sa", "sb"))
+        least = F.when(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= BUDGET, LINKED_SIMILARITY).otherwise(SIMILARITY)
+        return durable(both.where(common >= least * (F.size("sa") + F.size("sb") - common)).drop("sa", "sb", "fa", "fb"))
 
     # Sizes this far apart exclude the similarity.
-    sizes_fit = F.least("n", "n2") >= SIMILARITY * F.greatest("n", "n2")
+    sizes_fit = F.least("n", "n2") >= LINKED_SIMILARITY * F.greatest("n", "n2")
     pair = (F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
     found = None
     while True:

@@ -139,3 +139,24 @@ def test_hot_keys_join_where_they_lie(spark):
     named = common.durable(spark.range(2500).selectExpr("id AS k", "id * 2 AS v"))
     got = common.join_hot(rows, named, "k")
     assert got.count() == 2000 + 500 and got.where("v <> 2 * k").count() == 0 and got.where("k = 7").count() == 2000
+
+
+@pytest.mark.parametrize("bounds", [{}, {"BUCKET_TEXTS": 2, "GROUP_TEXTS": 1}])
+def test_fingerprints_link_near_copies(spark, monkeypatch, bounds):
+    """Texts whose fingerprints link by the trie join are near copies under the similarity of others too, but
+    not those that share a repeated line alone."""
+    for name, value in bounds.items():
+        monkeypatch.setattr(simhash, name, value)
+    dice = random.Random(37)
+    line = "the same line comes again and again "
+    texts = []
+    for f in range(3):  # a line that rules the bits, and tails of which two thirds are the same
+        tail = [f"t{f}x{dice.random()}" for _ in range(60)]
+        texts += [line * 400 + " ".join(tail), line * 400 + " ".join([*tail[:50], *(f"new{dice.random()}" for _ in range(10))])]
+    prints = [simhash.fingerprint(simhash.shingle_hashes(t)) for t in texts]
+    sets = sets_of(texts)
+    for a, b in itertools.combinations(range(6), 2):
+        alike = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+        assert (prints[a] ^ prints[b]).bit_count() <= simhash.BUDGET and (0.5 < alike < 0.8 if a // 2 == b // 2 else alike < 0.5)
+    assert brute(texts) == [*range(6)]
+    assert sorted(r.doc_id for r in simhash.keep_one_near(table(spark, texts)).collect()) == [0, 2, 4]
