@@ -31,6 +31,7 @@ is that token, as the tokenizer has it.
 from __future__ import annotations
 
 import bisect
+import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -239,23 +240,25 @@ def _smeared(bits: int, width: int) -> int:
 
 def bin_completion(counts: dict[int, int], capacity: int = LENGTH, work: int = WORK) -> Patterns:
     """Patterns that pack the histogram into few sequences; the best of the search."""
-    counts = {s: n for s, n in counts.items() if n}
+    counts = {s: n for s, n in sorted(counts.items()) if n}
     if not counts:
         return []
     bound = lower_bound(counts, capacity)
     best = best_fit_decreasing(counts, capacity)
     best_n = sum(n for _, n in best)
     total = sum(s * n for s, n in counts.items())
-    seen: dict[frozenset, int] = {}
+    seen: dict[bytes, int] = {}
     steps, since = [work], 0
-    # A node: what is left, the sequences used, their waste, how it came about, and its branches.
+    # A node: the sequences used, their waste, how it came about, and its branches. What is left is held
+    # of the last node only: a search of thousands of nodes goes deep.
     stack: list[tuple] = []
+    now = [counts]
 
     def enter(counts: dict[int, int], used: int, waste: int, chosen: tuple | None) -> None:
         nonlocal best, best_n, since
         steps[0] -= 1 + len(counts) // 8
         since += 1
-        state = frozenset(counts.items())
+        state = hashlib.blake2b(np.array([*counts, *counts.values()], np.int64), digest_size=16).digest()
         if seen.get(state, used + 1) <= used:
             return
         seen[state] = used
@@ -269,26 +272,26 @@ def bin_completion(counts: dict[int, int], capacity: int = LENGTH, work: int = W
         if counts and best_n > bound:
             sizes = sorted(counts)
             largest = sizes[-1]
-            others = dict(counts)
-            others[largest] -= 1
-            if not others[largest]:
-                del others[largest]
+            if counts[largest] == 1:
                 sizes.pop()
-            ways = fillings(others, sizes, capacity - largest, (best_n - 1) * capacity - total - waste, steps)
-            stack.append((counts, used, waste, chosen, _branches(counts, largest, ways)))
+            now[0] = counts
+            ways = fillings(_Others(now, largest), sizes, capacity - largest, (best_n - 1) * capacity - total - waste, steps)
+            stack.append((used, waste, chosen, _branches(now, largest, ways)))
 
     enter(counts, 0, 0, None)
     while stack and best_n > bound and steps[0] > 0:
-        counts, used, waste, chosen, branches = stack[-1]
+        used, waste, chosen, branches = stack[-1]
         pattern, times = next(branches, (None, 0))
         if not times:
             stack.pop()
+            if chosen is not None:
+                now[0] = _put_back(now[0], *chosen[1:])
             continue
         lost = waste + times * (capacity - sum(pattern))
         if lost > (best_n - 1) * capacity - total:
             steps[0] -= 1
             continue
-        left = dict(counts)
+        left = dict(now[0])
         for size, n in Counter(pattern).items():
             left[size] -= times * n
             if not left[size]:
@@ -297,10 +300,31 @@ def bin_completion(counts: dict[int, int], capacity: int = LENGTH, work: int = W
     return best
 
 
-def _branches(counts: dict[int, int], largest: int, ways: Iterator[tuple[int, ...]]) -> Iterator[tuple[tuple[int, ...], int]]:
+class _Others:
+    """What is left (a list of its histogram) without one of the largest pieces."""
+
+    def __init__(self, now: list[dict[int, int]], largest: int):
+        self.now, self.largest = now, largest
+
+    def __getitem__(self, size: int) -> int:
+        return self.now[0][size] - (size == self.largest)
+
+    def get(self, size: int, default: int = 0) -> int:
+        return self[size] if size in self.now[0] else default
+
+
+def _put_back(counts: dict[int, int], pattern: tuple[int, ...], times: int) -> dict[int, int]:
+    """The histogram before the pattern was taken from it, the sizes ascending as always."""
+    out = Counter(counts)
+    for size in pattern:
+        out[size] += times
+    return dict(sorted(out.items()))
+
+
+def _branches(now: list[dict[int, int]], largest: int, ways: Iterator[tuple[int, ...]]) -> Iterator[tuple[tuple[int, ...], int]]:
     for way in ways:
         pattern = (largest, *way)
-        times = min(counts[s] // n for s, n in Counter(pattern).items())
+        times = min(now[0][s] // n for s, n in Counter(pattern).items())
         yield pattern, times
         if times > 1:
             yield pattern, 1

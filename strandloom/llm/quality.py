@@ -103,8 +103,11 @@ def dual_coordinate_descent(slots: list[np.ndarray], scale: np.ndarray, labels:
     """
     rare = np.sum(labels > 0), np.sum(labels < 0)
     most = np.where(labels > 0, cost * max(1.0, rare[1] / max(rare[0], 1)), cost * max(1.0, rare[0] / max(rare[1], 1)))
-    values = [scale[s] for s in slots]
-    values = [v / max(np.sqrt((v * v).sum()), 1e-9) for v in values]
+    # Of one array: the driver's memory doesn't come back from thousands of small ones.
+    values = _parts(np.empty(sum(map(len, slots))), [len(s) for s in slots])
+    for s, v in zip(slots, values, strict=True):
+        v[:] = scale[s]
+        v /= max(np.sqrt((v * v).sum()), 1e-9)
     square = np.array([(v * v).sum() + 1.0 for v in values])
     w, b, alpha = np.zeros(SLOTS), 0.0, np.zeros(len(slots))
     order = np.random.default_rng(SEED)
@@ -125,6 +128,11 @@ def dual_coordinate_descent(slots: list[np.ndarray], scale: np.ndarray, labels:
     return w, b
 
 
+def _parts(flat: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    ends = np.cumsum([0, *sizes]).tolist()
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def calibrate(margins: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tuple[float, float]:
     """Slope and offset of a logistic curve from margins to the share of label 1 (Newton steps)."""
     good, bad = np.sum(labels > 0), np.sum(labels < 0)
@@ -191,8 +199,11 @@ def learn(labelled: DataFrame, rows: int = TRAINING_ROWS, text: str = "text", la
 
     got = map_lists(used.select(F.col(text), F.col(label).cast("int").alias("label")), make, {"slots": "binary", "label": "int"}).collect()
     got.sort(key=lambda r: (bytes(r["slots"]), r["label"]))
-    order = np.random.default_rng(SEED).permutation(len(got))
-    return fit([np.frombuffer(got[i]["slots"], "<i4").astype(np.int64) for i in order], np.array([got[i]["label"] for i in order]))
+    got = [got[i] for i in np.random.default_rng(SEED).permutation(len(got))]
+    labels, sizes = np.array([r["label"] for r in got]), [len(r["slots"]) // 4 for r in got]
+    flat = np.frombuffer(b"".join(r["slots"] for r in got), "<i4").astype(np.int64)
+    del got
+    return fit(_parts(flat, sizes), labels)
 
 
 def scorer(model: Model):

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 from collections import Counter
 
 import pytest
@@ -78,3 +79,20 @@ def test_slots_give_every_piece_a_place_of_its_own():
     for sequence, rows in itertools.groupby(sorted(places), key=lambda x: x[0]):
         rows = list(rows)
         assert [x[1] for x in rows] == [0, *itertools.accumulate(x[2] for x in rows[:-1])], sequence
+
+
+def test_a_deep_search_holds_one_histogram():
+    """Thousands of nodes of two thousand sizes: the driver holds what is left of the last one only."""
+    dice = random.Random(41)
+    counts = Counter(min(2047, 1 + int(dice.lognormvariate(6.2, 0.8))) for _ in range(50_000))
+    tracemalloc.start()
+    got = packing.bin_completion(dict(counts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    used = Counter()
+    for pattern, times in got:
+        assert sum(pattern) <= packing.LENGTH
+        for size in pattern:
+            used[size] += times
+    assert used == counts and sum(times for _, times in got) <= sum(times for _, times in packing.best_fit_decreasing(counts, packing.LENGTH))
+    assert peak < 40e6
