@@ -2,12 +2,14 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions.sequence import reverse_complement
 from strandloom.operators import alignment, alipatterns, containment, hierarchy, masks, pairwise, patterns, primers
+from strandloom.queries import QUERIES, SQL
 
 
 def plain_alignment(a, b):
@@ -179,6 +181,21 @@ def test_names_rules_and_errors():
         patterns.as_regex("p1=3...4 p1")
 
 
+def test_plain_patterns_tell_t_from_u(spark, tmp_path):
+    rule = "r1={ee,nn,tt} p1=3...3 0...2 r1~p1"
+    assert patterns.matches_in("ment. Une", rule) == [[(1, 3), (4, 2), (6, 3)]]
+    assert patterns.matches_in("ment. Une", rule, plain=True) == []
+    assert patterns.matches_in("ment. Tne", rule, plain=True) == [[(1, 3), (4, 2), (6, 3)]]
+    assert patterns.matches_in("cactnt", "NT", plain=True) == [[(4, 2)]]
+    texts = ["moment. Une", "moment. Tne", "xain. N\u0130Ax", "uatttau", "x", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW benchmark AS SELECT * FROM '{tmp_path}/benchmark.parquet/*.parquet'")
+    want = sorted(duck.execute(SQL["pattern_mirrored"]).fetchall())
+    assert sorted(map(tuple, QUERIES["pattern_mirrored"](spark, str(tmp_path)).collect())) == want
+    assert [at for _, at, _ in want] == [-1, 3, 1, -1, -1, -1, -1]
+
+
 def test_patterns_from_alignments_match_all_rows(spark):
     dice = random.Random(6)
     pair = {"A": "U", "U": "A", "G": "C", "C": "G"}
