@@ -51,6 +51,8 @@ ESTIMATE = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / (BANDS * ROWS)) **
 #: Texts of a bucket that one step compares, and texts and shingles of a group that one step verifies.
 #: What is larger is cut up, see ``grouped`` and ``near_links``.
 BUCKET_TEXTS, GROUP_TEXTS, GROUP_SHINGLES = 4096, 8192, 1 << 22
+#: Blocks of a group, each two of which are a step.
+BLOCKS = 64
 #: Of buckets cut up, the pairs for each row up to which all are compared.
 PAIRS_A_ROW = 8
 SALTS, FACTORS = np.random.default_rng(SEED).integers(1, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.uint64(1)
@@ -409,10 +411,42 @@ def resembling(n: np.ndarray, sketches: np.ndarray) -> Callable[[int, np.ndarray
     return like
 
 
+def shared(n: np.ndarray, shingles: np.ndarray) -> Callable[[int, np.ndarray], np.ndarray]:
+    """How many shingles a text has in common with others. ``shingles``: those of all texts, all different
+    within a text.
+
+    Shingles of a 64th of the texts or more are bits of rows that are and-ed, so near copies, which share
+    most, cost a 64th of their shingles; of the others the texts that have them are listed.
+    """
+    size, owner = len(n), np.repeat(np.arange(len(n)), n)
+    _, which, often = np.unique(shingles, return_inverse=True, return_counts=True)
+    column = np.cumsum(frequent := often >= max(2, size / 64)) - 1
+    bits = np.zeros((size, column[-1] // 64 + 1 if len(column) else 0), np.uint64)
+    at = frequent[which]
+    place = column[which[at]]
+    np.bitwise_or.at(bits, (owner[at], place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
+    at = ~frequent[which] & (often[which] > 1)
+    own, rows = which[at], owner[at]
+    begin = np.searchsorted(rows, np.arange(size + 1))
+    order = np.argsort(own, kind="stable")
+    listed, first = rows[order], np.searchsorted(own[order], np.arange(len(often)))
+
+    def common(i: int, others: np.ndarray) -> np.ndarray:
+        found = np.bitwise_count(bits[others] & bits[i]).sum(axis=1, dtype=np.int64)
+        mine = own[begin[i] : begin[i + 1]]
+        if len(mine):
+            ends = np.cumsum(often[mine])
+            places = np.repeat(first[mine] - ends + often[mine], often[mine]) + np.arange(ends[-1])
+            found += np.bincount(listed[places], minlength=size)[others]
+        return found
+
+    return common
+
+
 def verified(n: np.ndarray, sketches: np.ndarray, prints: np.ndarray, shingles: np.ndarray) -> Callable[[int, np.ndarray], np.ndarray]:
     """Do texts have the least similarity, a lesser one if their fingerprints link? ``shingles``: those of
-    all texts, ascending within a text."""
-    may, begin = resembling(n, sketches), np.concatenate([[0], np.cumsum(n)])
+    all texts, all different within a text."""
+    may, common = resembling(n, sketches), shared(n, shingles)
 
     def like(i: int, others: np.ndarray) -> np.ndarray:
         linked = np.bitwise_count(prints[others] ^ prints[i]) <= BUDGET
@@ -420,13 +454,8 @@ def verified(n: np.ndarray, sketches: np.ndarray, prints: np.ndarray, shingles:
         fit = may(i, others) | linked
         at = np.flatnonzero(fit)
         if len(at) and n[i]:
-            own, sizes = shingles[begin[i] : begin[i + 1]], n[others[at]]
-            ends = np.cumsum(sizes)
-            places = np.repeat(begin[others[at]] - ends + sizes, sizes) + np.arange(ends[-1])
-            spot = np.searchsorted(own, shingles[places])
-            there = own[np.minimum(spot, len(own) - 1)] == shingles[places]
-            common = np.add.reduceat(there, ends - sizes, dtype=np.int64)
-            fit[at] = common >= np.where(linked[at], LINKED_SIMILARITY, SIMILARITY) * (sizes + n[i] - common)
+            both = common(i, others[at])
+            fit[at] = both >= np.where(linked[at], LINKED_SIMILARITY, SIMILARITY) * (n[others[at]] + n[i] - both)
         return fit
 
     return like
@@ -506,8 +535,9 @@ def near_components(texts: DataFrame, documents: DataFrame, key: str = "doc_id",
     of no word are near copies.
 
     Every link is verified on the shingles. The groups of ``grouped`` are verified in a task each, all
-    pairs that aren't joined yet; those of over ``GROUP_TEXTS`` texts or ``GROUP_SHINGLES`` shingles go
-    through ``near_links``, which no task holds.
+    pairs that aren't joined yet; those of over ``GROUP_TEXTS`` texts or ``GROUP_SHINGLES`` shingles are cut
+    into blocks, each two of which are verified together. Groups of over ``BLOCKS`` blocks go through
+    ``near_links``, where only texts of a bucket meet.
     """
     held = texts.select("node", "key", "md5", "n").join(grouped(texts), "node")
     sizes = held.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
@@ -516,10 +546,10 @@ def near_components(texts: DataFrame, documents: DataFrame, key: str = "doc_id",
     shingles = durable(whole_texts(documents, held, key, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sorted_groups(batches, "component"):
+        for batch in sorted_groups(batches, "part"):
             node, n, fp, sketches = *(batch.column(c).to_numpy() for c in ("node", "n", "fp")), _bytes(batch.column("sketch"))
             s = batch.column("s").flatten().to_numpy().view(np.uint64)
-            ends, begin = _runs(batch.column("component").to_numpy()), np.concatenate([[0], np.cumsum(n)])
+            ends, begin = _runs(batch.column("part").to_numpy()), np.concatenate([[0], np.cumsum(n)])
             nodes, roots = [], []
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 i, j = reached(b - a, verified(n[a:b], sketches[a:b], fp.view(np.uint64)[a:b], s[begin[a] : begin[b]]))
@@ -530,12 +560,24 @@ def near_components(texts: DataFrame, documents: DataFrame, key: str = "doc_id",
                 roots.append(root[linked])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(roots))], names=["node", "component"])
 
-    small = held.where(fits).select("component", "node", "n").join(shingles, "node").join(texts.select("node", "fp", "sketch"), "node")
-    found = small.select("component", "node", "n", "fp", "sketch", "s").repartition("component").sortWithinPartitions("component").mapInArrow(run, "node long, component long")
-    large = held.where(~fits).select("node")
-    if large.isEmpty():
+    def joined(parts: DataFrame) -> DataFrame:
+        """node and component of the texts of each part (part, node, n) that have near copies in it."""
+        rows = parts.join(shingles, "node").join(texts.select("node", "fp", "sketch"), "node").select("part", "node", "n", "fp", "sketch", "s")
+        return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "node long, component long")
+
+    found = joined(held.where(fits).select(F.col("component").alias("part"), "node", "n"))
+    cut = held.where(~fits).withColumn("blocks", F.ceil(F.greatest(F.col("size") / max(GROUP_TEXTS // 2, 1), F.col("total") / max(GROUP_SHINGLES // 2, 1))))
+    if cut.isEmpty():
         return found
-    return found.unionByName(components(near_links(texts.join(large, "node", "left_semi"), shingles)))
+    # A text's block meets every block, itself too. (Of two parts of one hash the texts meet, which does no harm.)
+    own = F.pmod(F.xxhash64("node"), "blocks")
+    two = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.xxhash64("component", F.least(own, x), F.greatest(own, x)))
+    met = joined(cut.where(F.col("blocks") <= BLOCKS).select(F.explode(two).alias("part"), "node", "n"))
+    edges = met.where("component <> node").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    large = durable(cut.where(F.col("blocks") > BLOCKS).select("node"))
+    if not large.isEmpty():
+        edges = edges.unionByName(near_links(texts.join(large, "node", "left_semi"), shingles))
+    return found.unionByName(components(edges))
 
 
 def _roots(names: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:

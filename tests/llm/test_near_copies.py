@@ -104,6 +104,39 @@ def test_variants_without_a_center(spark):
     assert len(simhash.keep_one_near(table(spark, texts)).collect()) == len(brute(texts))
 
 
+@pytest.mark.parametrize("bounds", [{"GROUP_TEXTS": 12}, {"GROUP_SHINGLES": 900}, {"GROUP_TEXTS": 4, "BLOCKS": 2}])
+def test_large_groups_are_cut_into_blocks(spark, monkeypatch, bounds):
+    """A family about the least similarity, larger than a step takes: all pairs of blocks, no rounds by buckets
+    but for more blocks than ``BLOCKS``."""
+    calls, links = [], simhash.near_links
+    monkeypatch.setattr(simhash, "near_links", lambda *a: calls.append(1) or links(*a))
+    dice = random.Random(41)
+    base = [f"w{i}" for i in range(100)]
+    texts = ["", " ", *families(dice, 3)]
+    for i in range(60):
+        other = list(base)
+        for at in dice.sample(range(100), dice.choice([1, 1, 1, 3])):
+            other[at] = f"new{i}x{at}"
+        texts.append(" ".join(other))
+    kept = lambda: sorted(r.doc_id for r in simhash.keep_one_near(table(spark, texts)).collect())
+    want = kept()  # all of a group in one step
+    assert set(want) <= set(brute(texts)) and 10 < len(want) < 50 and not calls
+    for name, value in bounds.items():
+        monkeypatch.setattr(simhash, name, value)
+    assert kept() == want
+    assert bool(calls) == ("BLOCKS" in bounds)
+
+
+def test_shared_shingles_are_counted():
+    dice = np.random.default_rng(2)
+    for size in (1, 2, 5, 300):
+        sets = [np.unique(dice.integers(0, 150, dice.integers(0, 60)).astype(np.uint64) ** np.uint64(2)) for _ in range(size)]
+        common = simhash.shared(np.array([len(x) for x in sets]), np.concatenate(sets))
+        for i in dice.integers(0, size, 5):
+            others = np.setdiff1d(dice.permutation(size)[: size // 2 + 1], i)
+            assert common(i, others).tolist() == [len(np.intersect1d(sets[i], sets[j])) for j in others]
+
+
 def test_reached_is_a_spanning_forest():
     dice = np.random.default_rng(1)
     for n in (0, 1, 2, 40):
